@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,3 +59,37 @@ def fresh(taken: list[str], *names: str) -> list[str]:
         used.add(new.lower())
         out.append(new)
     return out
+
+
+def add_columns(df: DataFrame, fields: T.StructType, make: Callable[[dict[str, pa.Array]], list[pa.Array]], inputs: list[str], rows: int = 256) -> DataFrame:
+    """``df`` and the columns that ``make`` computes from ``inputs``, by Arrow batches of at most ``rows`` rows.
+
+    A column of ``df`` with the name of a new one is replaced; the others pass through.
+    """
+    kept = [c for c in df.columns if c.lower() not in {f.name.lower() for f in fields}]
+    names, at = kept + [f.name for f in fields], {c: i for i, c in enumerate(df.columns)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                new = make({c: part.column(at[c]) for c in inputs})
+                yield pa.RecordBatch.from_arrays([part.column(at[c]) for c in kept] + new, names=names)
+
+    return df.mapInArrow(run, T.StructType([df.schema[c] for c in kept] + list(fields)))
+
+
+def utf8(texts: pa.Array) -> list[bytes]:
+    """Texts as UTF-8; a null is empty."""
+    return [b"" if t is None else t for t in texts.cast(pa.binary()).to_pylist()]
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, heavy: int = 1000) -> DataFrame:
+    """Inner join with a table that has one row for each key, and in ``count`` the rows that the key has.
+
+    Keys with over a ``heavy``-th of all rows are at most ``heavy``, so they are broadcast; the rest shuffle.
+    """
+    hot = table.where(F.col(count) * heavy > total).drop(count)
+    cold = table.where(F.col(count) * heavy <= total).drop(count)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)

@@ -7,12 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribelake.llm import mixing, pii, sharding
+from scribelake.llm import bpe, mixing, pii, sharding, simhash
 from scribelake.llm.common import documents
 
 SHARDS = 24
 
 
+def public_bpe() -> tuple[str, str]:
+    """File and pattern of the public byte-level BPE vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op1_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op6_bitmap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), *public_bpe())
+
+
 def op7_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir), sharding.Tree.even(SHARDS))
 
@@ -28,7 +43,7 @@ def op10_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_hash_tree, op8_pareto_mix, op10_feistel)}
+    return {f.__name__: f for f in (op1_simhash_ball, op6_bitmap_bpe, op7_hash_tree, op8_pareto_mix, op10_feistel)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribelake.llm import bpe, mixing, pii, sharding, simhash
+from scribelake.llm import bpe, media, mixing, pii, sharding, simhash, sketch, toxicity
 from scribelake.llm.common import documents
 
 SHARDS = 24
@@ -24,6 +24,14 @@ def op1_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+def op5_peak_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(documents(spark, sf_dir))
+
+
 def op6_bitmap_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), *public_bpe())
 
@@ -36,6 +44,10 @@ def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
 
+def op9_bloom_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprint_documents(documents(spark, sf_dir))
+
+
 def op10_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.pseudonymise(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("pii_values", lambda v: v["kind"] == kind)).alias(f"n_{kind}")
@@ -43,7 +55,7 @@ def op10_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_ball, op6_bitmap_bpe, op7_hash_tree, op8_pareto_mix, op10_feistel)}
+    return {f.__name__: f for f in (op1_simhash_ball, op4_boosted_toxicity, op5_peak_pairs, op6_bitmap_bpe, op7_hash_tree, op8_pareto_mix, op9_bloom_sketch, op10_feistel)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -49,53 +49,82 @@ def _with(rows: DataFrame, table: DataFrame, also=F.lit(True)) -> DataFrame:
     return rows.join(table, F.col("source").eqNullSafe(F.col("of")) & also, "left").drop("of")
 
 
-def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, seed: int = 8, buckets: int = 4096) -> DataFrame:
-    """One row per row of ``docs``: id, size, source, source_size, target, copies, taken.
+def _order(id_col: str, seed: int):
+    """Random odds of a row, by its id."""
+    u = draw(F.lit(seed), F.col(id_col))
+    return u / (1 - u)
 
-    ``taken`` is copies x size, and copies are at most ``most``. The Pareto order of a source is never sorted in one
-    task: words are summed by ``buckets`` of the order, and only the bucket in which the target falls is looked at row
-    by row. Then the one unselected document that brings the source nearest to its target is added, if any does.
 
-    A null text has size 0; a null source is a source of its own. Documents of size 0 follow their place in the order.
-    Rows with the same id (nulls among them) share one draw and so are taken alike. A source without words has target 0.
-    An empty table gives an empty result; extra columns are ignored. Reruns agree: draws depend on id and seed alone.
-    """
-    base = durable(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        (lambda u: u / (1 - u))(draw(F.lit(seed), F.col(id_col))).alias("order"),
-    ))
+def _ranked(rows: DataFrame, buckets: int) -> DataFrame:
+    """Random odds over inclusion odds, pressed into 0..1; a source that needs no part of a copy has no order."""
+    q = F.col("order") / (F.col("odds") / (1 - F.col("odds")))
+    return rows.withColumn("rank", q / (1 + q)).withColumn("bucket", F.floor(F.col("rank") * buckets))
+
+
+def _plan(base: DataFrame, weights: tuple[float, ...], most: int, buckets: int) -> tuple[DataFrame, int]:
+    """For each source what decides a row's copies, and how many sources there are, from (id, source, size, order)."""
     sources = durable(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, most=float(most)))
     count = sources.count()
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = sources.withColumn("whole", F.floor(share)).withColumn("odds", share - F.floor(share)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    #: Random odds over inclusion odds, pressed into 0..1; sources that need no part of a copy have no order.
-    ranked = lambda rows: rows.withColumn("rank", (lambda q: q / (1 + q))(F.col("order") / (F.col("odds") / (1 - F.col("odds"))))).withColumn("bucket", F.floor(F.col("rank") * buckets))
-    open_ = ranked(_by_source(base, plan.select("source", "odds", "rest"), count).where("odds > 0"))
+    open_ = _ranked(_by_source(base, plan.select("source", "odds", "rest"), count).where("odds > 0"), buckets)
 
     upto = Window.partitionBy("source").orderBy("bucket")
     steps = open_.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest")).withColumn("words_to", F.sum("words").over(upto))
     edge = steps.where("words_to > rest").groupBy("source").agg(F.min(F.struct("bucket", (F.col("words_to") - F.col("words")).alias("done"))).alias("e")).select("source", F.col("e.bucket").alias("edge"), F.col("e.done").alias("done")).withColumnRenamed("source", "of")
     plan = durable(_with(plan, edge))
 
-    near = ranked(_by_source(base, plan, count).where("odds > 0 and edge is not null")).where("bucket = edge").groupBy("source", "rank").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("done").alias("done"))
+    near = _ranked(_by_source(base, plan, count).where("odds > 0 and edge is not null"), buckets).where("bucket = edge").groupBy("source", "rank").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("done").alias("done"))
     near = near.withColumn("to", F.col("done") + F.sum("words").over(Window.partitionBy("source").orderBy("rank")))
     cut = near.where("to <= rest").groupBy("source").agg(F.max("rank").alias("cut"), F.max("to").alias("at")).withColumnRenamed("source", "of")
     plan = _with(plan, cut)
     plan = durable(plan.withColumn("short", F.col("rest") - F.coalesce("at", "done")).withColumn("cut", F.when(F.col("edge").isNull(), 1.0).otherwise(F.coalesce("cut", F.lit(-1.0)))))
 
-    later = ranked(_by_source(base, plan, count).where("odds > 0 and edge is not null and size < 2 * short")).where("bucket >= edge and rank > cut and size > 0")
+    later = _ranked(_by_source(base, plan, count).where("odds > 0 and edge is not null and size < 2 * short"), buckets).where("bucket >= edge and rank > cut and size > 0")
     # Rows that share a rank are taken alike; the smallest miss wins, then the first in the order.
     tied = later.groupBy("source", "rank").agg(F.sum("size").alias("words"), F.first("short").alias("short")).where("words < 2 * short")
     fill = tied.groupBy("source").agg(F.min(F.struct(F.abs(F.col("words") - F.col("short")).alias("miss"), "rank")).alias("f")).select(F.col("source").alias("of"), F.col("f.rank").alias("fill"))
     plan = durable(_with(plan, fill).select("source", "source_size", "target", "whole", "odds", "cut", "edge", "fill"))
 
-    rows = ranked(_by_source(base, plan, count))
+    return plan, count
+
+
+def _copied(rows: DataFrame, plan: DataFrame, count: int, buckets: int) -> DataFrame:
+    """Adds ``copies`` to rows that have id, source and order; nothing but the plan is joined."""
+    rows = _ranked(_by_source(rows, plan, count), buckets)
     extra = (F.col("odds") > 0) & (F.col("edge").isNull() | (F.col("bucket") < F.col("edge")) | (F.col("rank") <= F.col("cut")) | (F.col("rank") == F.coalesce("fill", F.lit(-1.0))))
-    rows = rows.withColumn("copies", (F.coalesce("whole", F.lit(0)) + F.when(extra, 1).otherwise(0)).cast("int"))
+    return rows.withColumn("copies", (F.coalesce("whole", F.lit(0)) + F.when(extra, 1).otherwise(0)).cast("int"))
+
+
+def _base(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return durable(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), _order(id_col, seed).alias("order")))
+
+
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, seed: int = 8, buckets: int = 4096) -> DataFrame:
+    """One row per row of ``docs``: id, size, source, source_size, target, copies, taken.
+
+    ``taken`` is copies x size, and copies are at most ``most``. The Pareto order of a source is never sorted in one
+    task: words are summed by ``buckets`` of the order, and only the bucket in which the target falls is looked at row
+    by row. Then the one unselected document that brings the source nearest to its target is added, if any does.
+
+    A null text has size 0; a null source is a source of its own. Documents of size 0 follow their place in the order.
+    Rows with the same id (nulls among them) share one draw and so are taken alike. A source without words has target 0.
+    An empty table gives an empty result; extra columns are ignored. Reruns agree: draws depend on id and seed alone.
+    """
+    base = _base(docs, id_col, text_col, source_col, seed)
+    rows = _copied(base, *_plan(base, weights, most, buckets), buckets)
     return rows.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def repeat_by_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, seed: int = 8, buckets: int = 4096) -> DataFrame:
+    """``docs`` with each row as often as ``mix_sources`` takes it; columns are as they were, and texts aren't shuffled."""
+    plan, count = _plan(_base(docs, id_col, text_col, source_col, seed), weights, most, buckets)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), _order(id_col, seed).alias("order"))
+    rows = _copied(rows, plan, count, buckets).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+
+
 def mix_sql(weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, seed: int = 8, buckets: int = 4096, documents: str = "documents") -> str:
     """The whole of ``mix_sources`` over table ``documents`` in DuckDB: same draws, same arithmetic, plain windows."""
     u = draw_sql(f"'{seed}|' || coalesce(doc_id::VARCHAR, 'null')")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribelake.llm import bpe, lattice, media, mixing, pii, sharding, simhash, sketch, toxicity
+from scribelake.llm import bpe, lattice, media, mixing, pii, quality, sharding, simhash, sketch, toxicity
 from scribelake.llm.common import documents
 
 SHARDS = 24
@@ -24,6 +24,10 @@ def op1_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op3_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,7 +65,7 @@ def op10_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_ball, op3_subword_lattice, op4_boosted_toxicity, op5_peak_pairs, op6_bitmap_bpe, op7_hash_tree, op8_pareto_mix, op9_bloom_sketch, op10_feistel)}
+    return {f.__name__: f for f in (op1_simhash_ball, op2_co_training, op3_subword_lattice, op4_boosted_toxicity, op5_peak_pairs, op6_bitmap_bpe, op7_hash_tree, op8_pareto_mix, op9_bloom_sketch, op10_feistel)}
 
 
 def oracle_sql() -> dict[str, str]:

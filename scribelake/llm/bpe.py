@@ -21,44 +21,10 @@ from pyspark.sql import types as T
 
 from scribelake.llm.common import add_columns, utf8
 
-#: A bitmap word has so many bits; the summary has one bit for each word.
-WORD_BITS = 8
-#: Remembered pre-tokens of one Python worker: two generations of at most so many, of at most so many bytes each.
-MEMO, MEMO_BYTES = 300_000, 64
-
-
-class RankQueue:
-    """Positions by rank, lowest rank first, then leftmost position."""
-
-    __slots__ = ("buckets", "words", "summary")
-
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.words: dict[int, int] = {}
-        self.summary = 0
-
-    def push(self, rank: int, position: int) -> None:
-        if bucket := self.buckets.get(rank):
-            heappush(bucket, position)
-        else:
-            self.buckets[rank] = [position]
-            word = rank >> WORD_BITS
-            self.words[word] = self.words.get(word, 0) | 1 << (rank & (1 << WORD_BITS) - 1)
-            self.summary |= 1 << word
-
-    def pop(self) -> tuple[int, int]:
-        word = (self.summary & -self.summary).bit_length() - 1
-        bits = self.words[word]
-        low = (bits & -bits).bit_length() - 1
-        rank = word << WORD_BITS | low
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.words[word] = bits = bits & bits - 1
-            if not bits:
-                self.summary &= self.summary - 1
-        return rank, position
+#: Ranks of one bitmap word.
+WORD_SIZE = 256
+#: Remembered pre-tokens of one Python worker: two generations of at most so many, of at most so many characters each.
+MEMO, MEMO_LENGTH = 750_000, 48
 
 
 class Vocabulary:
@@ -78,26 +44,51 @@ class Vocabulary:
         ranks = self.ranks
         if (whole := ranks.get(piece)) is not None:
             return (whole,)
-        n = len(piece)
+        n, get = len(piece), ranks.get
         symbols: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue, get = RankQueue(), ranks.get
+        # The queue: positions by rank, a bitmap word for every WORD_SIZE ranks, and a summary with one bit for each word.
+        buckets: dict[int, list[int]] = {}
+        words: dict[int, int] = {}
+        summary = 0
         for i in range(n - 1):
             if (rank := get(piece[i : i + 2])) is not None:
-                queue.push(rank, i)
-        while queue.summary:
-            rank, i = queue.pop()
+                if rank in buckets:
+                    buckets[rank].append(i)  # in order, so still a heap
+                else:
+                    buckets[rank] = [i]
+                    w = rank // WORD_SIZE
+                    words[w] = words.get(w, 0) | 1 << rank % WORD_SIZE
+                    summary |= 1 << w
+        while summary:
+            # Find first set, twice.
+            w = (summary & -summary).bit_length() - 1
+            bits = words[w]
+            least = w * WORD_SIZE + (bits & -bits).bit_length() - 1
+            bucket = buckets[least]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[least]
+                words[w] = bits = bits & bits - 1
+                if not bits:
+                    summary &= summary - 1
             left, j = symbols[i], after[i]
-            if left is None or j >= n or get(merged := left + symbols[j]) != rank:
+            if left is None or j >= n or get(merged := left + symbols[j]) != least:
                 continue  # stale: a neighbour, or this symbol itself, has been merged meanwhile
             symbols[i], symbols[j] = merged, None
             after[i] = k = after[j]
+            h = before[i]
             if k < n:
                 before[k] = i
-                if (rank := get(merged + symbols[k])) is not None:
-                    queue.push(rank, i)
-            if (h := before[i]) >= 0 and (rank := get(symbols[h] + merged)) is not None:
-                queue.push(rank, h)
+            for at, rank in ((i, get(merged + symbols[k]) if k < n else None), (h, get(symbols[h] + merged) if h >= 0 else None)):
+                if rank is not None:
+                    if rank in buckets:
+                        heappush(buckets[rank], at)
+                    else:
+                        buckets[rank] = [at]
+                        w = rank // WORD_SIZE
+                        words[w] = words.get(w, 0) | 1 << rank % WORD_SIZE
+                        summary |= 1 << w
         return tuple(ranks[s] for s in symbols if s is not None)
 
     def encode(self, text: str) -> list[int]:
@@ -108,7 +99,7 @@ class Vocabulary:
             if (ids := new.get(piece)) is None:
                 if (ids := old.get(piece)) is None:
                     ids = self.merge(piece.encode())
-                if len(piece) <= MEMO_BYTES:
+                if len(piece) <= MEMO_LENGTH:
                     if len(new) >= MEMO:
                         self.old = old = new
                         self.new = new = {}

@@ -8,7 +8,7 @@ recovers those in which they differ. If peeling gets stuck, both tables are made
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,32 +21,34 @@ from pyspark.sql import types as T
 HASHES = 3
 #: Cells of the smallest table; each try has twice as many as the one before.
 LEAST_CELLS = 24
-#: A paragraph is cut after each word whose checksum is 0 modulo PIECE_WORDS, and after MOST_WORDS anyway; the first
-#: HEAD_WORDS words of a text are a piece each, so that very short texts have more than one.
-PIECE_WORDS, MOST_WORDS, HEAD_WORDS = 4, 12, 12
+#: A line is cut after each word whose last byte is 0 modulo 4 (about every fourth), and after MOST_WORDS words anyway; the
+#: first HEAD_WORDS words of a text are a piece each, so that very short texts have more than one.
+MOST_WORDS, HEAD_WORDS = 12, 12
+_WORD, _GAP = rb"[^ \t-\r]+", rb"[ \t\x0b-\r]+"
+_ENDS = b"".join(re.escape(bytes([b])) for b in range(256) if b % 4 == 0 and not bytes([b]).isspace())
+_most = b"{0,%d}" % (MOST_WORDS - 1)
+_PIECES = re.compile(b"(?:%s%s)%s?[^ \t-\r]*[%s](?![^ \t-\r])|(?:%s%s)%s%s" % (_WORD, _GAP, _most, _ENDS, _WORD, _GAP, _most, _WORD)).findall
+#: The first table is for a difference of this share of the larger set; each try is twice as large.
+FIRST_SHARE, ROOM = 0.5, 1.5
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 def pieces(text: str) -> list[bytes]:
     """Paragraphs (lines), cut where their own words say, so that an edit changes only the pieces near it."""
-    out, crc = [], xxhash.xxh32_intdigest
-    for line in text.encode().split(b"\n"):
-        words = line.split()
-        start = max(0, min(len(words), HEAD_WORDS - len(out)))
-        out += words[:start]
-        for end, word in enumerate(words[start:], start + 1):
-            if crc(word) % PIECE_WORDS == 0 or end - start == MOST_WORDS:
-                out.append(b" ".join(words[start:end]))
-                start = end
-        if start < len(words):
-            out.append(b" ".join(words[start:]))
-    return out
+    head = text.encode().split(None, HEAD_WORDS)
+    return head[:HEAD_WORDS] + _PIECES(head[HEAD_WORDS]) if len(head) > HEAD_WORDS else head
 
 
 def digests(text: str) -> np.ndarray:
     """Distinct 64-bit digests; the nth copy of a piece has a digest of its own, so repeats count."""
-    keys = [xxhash.xxh3_64_intdigest(piece, seed=n) for piece, copies in Counter(pieces(text)).items() for n in range(copies)]
-    return np.unique(np.array(keys, np.uint64))
+    found = list(map(xxhash.xxh3_64_intdigest, pieces(text)))
+    keys, copies = np.unique(np.array(found, np.uint64), return_counts=True)
+    if len(keys) == len(found):
+        return keys
+    more = np.flatnonzero(copies > 1)
+    nth = np.concatenate([np.arange(1, c) for c in copies[more].tolist()]).astype(np.uint64)
+    again = np.repeat(keys[more], copies[more] - 1)
+    return np.unique(np.concatenate([keys, _mixed(again ^ _mixed(nth, 3), 4)]))
 
 
 def _mixed(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -88,47 +90,55 @@ class Tables:
         return Tables(self.count - other.count, self.key ^ other.key, self.check ^ other.check)
 
 
+def _tries(wanted: np.ndarray) -> np.ndarray:
+    """How often the smallest table is doubled to have room for so many digests."""
+    return np.ceil(np.log2(np.maximum(1.0, ROOM * wanted / LEAST_CELLS))).astype(np.int64)
+
+
+def tables(sets: list[np.ndarray], cells: np.ndarray) -> Tables:
+    """The tables of several sets, side by side."""
+    base = cells.cumsum() - cells
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    keys = np.concatenate(sets)
+    return Tables.of(keys, [c + base[owner] for c in cells_of(keys, cells[owner])], int(cells.sum()))
+
+
+def peel(table: Tables, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, digest, sign) of all that comes off the tables side by side, and which of them didn't come off wholly."""
+    base, owner_of = cells.cumsum() - cells, np.repeat(np.arange(len(cells)), cells)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    look = np.flatnonzero(np.abs(table.count) == 1)
+    while len(look):
+        pure = look[_mixed(table.key[look], 99) == table.check[look]]
+        # A digest may stand alone in several of its cells.
+        _, first = np.unique(table.key[pure] ^ _mixed(owner_of[pure].astype(np.uint64), 7), return_index=True)
+        pure = pure[first]
+        keys, owner, sign = table.key[pure], owner_of[pure], table.count[pure]
+        at = [c + base[owner] for c in cells_of(keys, cells[owner])]
+        table.put(keys, at, -sign)
+        found.append((owner, keys, sign))
+        look = np.concatenate(at)
+        look = np.unique(look[np.abs(table.count[look]) == 1])
+    stuck = np.zeros(len(cells), bool)
+    stuck[owner_of[(table.count != 0) | (table.key != 0) | (table.check != 0)]] = True
+    return *(np.concatenate(x) for x in zip(*found, strict=True)), stuck
+
+
 def differences(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each pair of digest sets, what only the first and only the second has, recovered from their tables alone.
 
-    All pairs of a call are peeled together. The first table of a pair is large enough for the difference in sizes.
+    All pairs of a call are peeled together; those that get stuck are tried again with twice as large tables.
     """
     out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(pairs)
-    tries = np.array([max(0, int(np.ceil(np.log2(max(1, 1.5 * abs(len(a) - len(b)) / LEAST_CELLS))))) for a, b in pairs], np.int64)
+    sizes = np.array([(len(a), len(b)) for a, b in pairs], np.int64).reshape(-1, 2)
+    tries = _tries(np.maximum(np.abs(sizes[:, 0] - sizes[:, 1]), FIRST_SHARE * sizes.max(axis=1, initial=0)))
     todo = np.arange(len(pairs))
     while len(todo):
         cells = LEAST_CELLS * 2 ** tries[todo]
-        base = np.concatenate([[0], cells.cumsum()])
-        sides = []
-        for side in (0, 1):
-            sets = [pairs[p][side] for p in todo]
-            owner = np.repeat(np.arange(len(todo)), [len(s) for s in sets])
-            keys = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            sides.append(Tables.of(keys, [c + base[owner] for c in cells_of(keys, cells[owner])], int(base[-1])))
-        table = sides[0] - sides[1]
-        owner_of = np.repeat(np.arange(len(todo)), cells)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        look = np.arange(int(base[-1]))
-        while len(look):
-            pure = look[(np.abs(table.count[look]) == 1)]
-            pure = pure[_mixed(table.key[pure], 99) == table.check[pure]]
-            if not len(pure):
-                break
-            # A digest may stand alone in several of its cells.
-            mark = np.stack([owner_of[pure].astype(np.uint64), table.key[pure]], axis=1)
-            _, first = np.unique(mark, axis=0, return_index=True)
-            pure = pure[first]
-            keys, owner, sign = table.key[pure], owner_of[pure], table.count[pure]
-            at = [c + base[owner] for c in cells_of(keys, cells[owner])]
-            table.put(keys, at, -sign)
-            found.append((owner, keys, sign))
-            look = np.unique(np.concatenate(at))
-        stuck = np.zeros(len(todo), bool)
-        stuck[owner_of[(table.count != 0) | (table.key != 0) | (table.check != 0)]] = True
-        owner, keys, sign = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        owner, keys, sign, stuck = peel(tables([pairs[p][0] for p in todo], cells) - tables([pairs[p][1] for p in todo], cells), cells)
         order = np.argsort(owner, kind="stable")
-        owner, keys, sign = owner[order], keys[order], sign[order]
-        edges = np.searchsorted(owner, np.arange(len(todo) + 1))
+        keys, sign = keys[order], sign[order]
+        edges = np.searchsorted(owner[order], np.arange(len(todo) + 1))
         for i in np.flatnonzero(~stuck):
             k, s = keys[edges[i] : edges[i + 1]], sign[edges[i] : edges[i + 1]]
             out[todo[i]] = (k[s > 0], k[s < 0])
@@ -144,11 +154,13 @@ def likeness(a: np.ndarray, b: np.ndarray, only: tuple[np.ndarray, np.ndarray])
     return shared / (shared + apart) if shared + apart else 1.0
 
 
-def table_digest(keys: np.ndarray) -> str:
-    """SHA-256 of the text's own table, at the size that peels a set this large."""
-    cells = LEAST_CELLS * 2 ** max(0, int(np.ceil(np.log2(max(1.0, 1.5 * len(keys) / LEAST_CELLS)))))
-    table = Tables.of(keys, cells_of(keys, cells), cells)
-    return hashlib.sha256(b"".join(x.astype("<u8").tobytes() for x in (table.count, table.key, table.check))).hexdigest()
+def table_digests(sets: list[np.ndarray]) -> list[str]:
+    """SHA-256 of each set's own table, at the size that peels a set this large."""
+    cells = LEAST_CELLS * 2 ** _tries(np.array([len(s) for s in sets]))
+    made = tables(sets, cells)
+    flat = np.stack([made.count.view(np.uint64), made.key, made.check], axis=1).astype("<u8")
+    edges = np.concatenate([[0], cells.cumsum()])
+    return [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def in_id_order(docs: DataFrame, parts: int) -> DataFrame:
@@ -187,10 +199,11 @@ def compare(texts: list[str], nexts: list[str]) -> list[tuple]:
     edited = [t[: len(t) - k] + n[:k] for t, n, k in zip(texts, nexts, cut, strict=True)]
     sets = {t: digests(t) for t in {*texts, *nexts, *edited}}
     a, e, n = ([sets[t] for t in ts] for ts in (texts, edited, nexts))
-    to_edited, to_next = differences(list(zip(a, e, strict=True))), differences(list(zip(a, n, strict=True)))
-    marks = {t: table_digest(sets[t]) for t in {*texts, *edited}}
+    apart = differences([*zip(a, e, strict=True), *zip(a, n, strict=True)])
+    to_edited, to_next = apart[: len(texts)], apart[len(texts) :]
+    marks = table_digests(a + e)
     return [
-        (len(t), hashlib.sha256(ed.encode()).hexdigest(), marks[t], marks[ed], likeness(a[i], e[i], to_edited[i]), likeness(a[i], n[i], to_next[i]), len(to_edited[i][0]) + len(to_edited[i][1]))
+        (len(t), hashlib.sha256(ed.encode()).hexdigest(), marks[i], marks[len(texts) + i], likeness(a[i], e[i], to_edited[i]), likeness(a[i], n[i], to_next[i]), len(to_edited[i][0]) + len(to_edited[i][1]))
         for i, (t, ed) in enumerate(zip(texts, edited, strict=True))
     ]
 

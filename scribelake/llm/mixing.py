@@ -7,7 +7,7 @@ inclusion odds, and the first are taken until the source's remaining words are r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scribelake.llm.common import WORD, draw, draw_sql, durable
@@ -44,9 +44,10 @@ def _by_source(rows: DataFrame, table: DataFrame, count: int) -> DataFrame:
     return _with(rows, table, F.col("salt") == F.col("salt_of")).drop("salt", "salt_of")
 
 
-def _with(rows: DataFrame, table: DataFrame, also=F.lit(True)) -> DataFrame:
+def _with(rows: DataFrame, table: DataFrame, also: Column | None = None) -> DataFrame:
     """Left join by source, where ``table`` calls it ``of``; null is a source."""
-    return rows.join(table, F.col("source").eqNullSafe(F.col("of")) & also, "left").drop("of")
+    same = F.col("source").eqNullSafe(F.col("of"))
+    return rows.join(table, same if also is None else same & also, "left").drop("of")
 
 
 def _order(id_col: str, seed: int):

@@ -43,14 +43,19 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(f"({WORD})"), F.lit(1))
 
 
+def _hangul_end(word: Column) -> Column:
+    """Whether the last letter is Hangul: all particles, endings and stopwords are, so others skip their patterns."""
+    return F.substring(word, -1, 1) >= F.lit("가")
+
+
 def stem(word: Column) -> Column:
     """Words of over two characters lose one particle, the longest that fits."""
-    return F.when(F.length(word) > 2, F.regexp_replace(word, f"(?:{'|'.join(PARTICLES)})$", "")).otherwise(word)
+    return F.when((F.length(word) > 2) & _hangul_end(word), F.regexp_replace(word, f"(?:{'|'.join(PARTICLES)})$", "")).otherwise(word)
 
 
 def is_content(stem_: Column) -> Column:
     """Neither short, a stopword, nor an inflected ending."""
-    return (F.length(stem_) >= 2) & ~stem_.isin(STOPWORDS) & ~stem_.rlike(f"(?:{'|'.join(ENDINGS)})$")
+    return F.when(_hangul_end(stem_), (F.length(stem_) >= 2) & ~stem_.isin(STOPWORDS) & ~stem_.rlike(f"(?:{'|'.join(ENDINGS)})$")).otherwise(F.length(stem_) >= 2)
 
 
 def collapse_repeats(c: Column) -> Column:

@@ -143,15 +143,16 @@ def j4_missing(spark, d):
     return library.missing(A.table(spark, d, "documents").select("doc_id"), A.table(spark, d, "labels"), "doc_id")
 
 
-_V_SQL = "[cos(event_id::DOUBLE), sin(event_id::DOUBLE)]"
+# Squares, so that no fragment is as far from the turn before as from the one after.
+_V_SQL = "[cos((event_id * event_id % 1009)::DOUBLE), sin((event_id * event_id % 1009)::DOUBLE)]"
 
 
 def _v(c="event_id"):
-    x = F.col(c).cast("double")
+    x = (F.col(c) * F.col(c) % 1009).cast("double")
     return F.array(F.cos(x), F.sin(x))
 
 
-@query(f"""WITH {A.SPANS_SQL}, s AS (SELECT recording_id, start, label, event_id, {_V_SQL} AS v FROM spans),
+@query(f"""WITH {A.SPANS_SQL}, s AS (SELECT recording_id, start, label, event_id, {_V_SQL} AS v FROM spans WHERE n > 0),
 f AS (SELECT * FROM s WHERE event_id % 7 = 3), t AS (SELECT * FROM s WHERE event_id % 7 <> 3),
 b AS (SELECT f.*, t.label AS la, t.v AS va FROM f ASOF LEFT JOIN t ON f.recording_id = t.recording_id AND f.start > t.start),
 n AS (SELECT b.*, t.label AS lb, t.v AS vb FROM b ASOF LEFT JOIN t ON b.recording_id = t.recording_id AND b.start <= t.start)

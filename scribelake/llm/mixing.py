@@ -58,7 +58,7 @@ def _order(id_col: str, seed: int):
 
 def _ranked(rows: DataFrame, buckets: int) -> DataFrame:
     """Random odds over inclusion odds, pressed into 0..1; a source that needs no part of a copy has no order."""
-    q = F.col("order") / (F.col("odds") / (1 - F.col("odds")))
+    q = F.try_divide(F.col("order"), F.try_divide(F.col("odds"), 1 - F.col("odds")))
     return rows.withColumn("rank", q / (1 + q)).withColumn("bucket", F.floor(F.col("rank") * buckets))
 
 

@@ -61,30 +61,34 @@ def _shift(text: Column, digest: Column) -> Column:
     return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), one), ""))
 
 
+def _rounds(state: Column, left, right) -> Column:
+    """Feistel: by turns, half ``a`` changes by ``left(i, a, b)`` and half ``b`` by ``right(i, a, b)``."""
+
+    def step(i: int):
+        # One parameter only: a second one would be taken for the place in the array.
+        if i % 2 == 0:
+            return lambda s: F.struct(left(i, s["a"], s["b"]).alias("a"), s["b"].alias("b"))
+        return lambda s: F.struct(s["a"].alias("a"), right(i, s["a"], s["b"]).alias("b"))
+
+    for i in range(ROUNDS):
+        state = _let(state, step(i))
+    return state
+
+
 def permute_text(text: Column, key: str, tweak: str) -> Column:
     """Feistel over a string's two halves. Classes and places of characters stay, so it is a permutation of the format."""
     half = F.floor(F.length(text) / 2).cast("int")
     state = F.struct(F.substring(text, F.lit(1), half).alias("a"), F.substring(text, half + 1, F.length(text)).alias("b"))
-    for i in range(ROUNDS):
-        # The halves keep their places; they are shifted by turns.
-        if i % 2 == 0:
-            step = lambda s, i=i: F.struct(_let(_digest(key, tweak, i, s["b"]), lambda d: _shift(s["a"], d)).alias("a"), s["b"].alias("b"))
-        else:
-            step = lambda s, i=i: F.struct(s["a"].alias("a"), _let(_digest(key, tweak, i, s["a"]), lambda d: _shift(s["b"], d)).alias("b"))
-        state = _let(state, step)
-    return _let(state, lambda s: F.concat(s["a"], s["b"]))
+    left = lambda i, a, b: _let(_digest(key, tweak, i, b), lambda d: _shift(a, d))
+    right = lambda i, a, b: _let(_digest(key, tweak, i, a), lambda d: _shift(b, d))
+    return _let(_rounds(state, left, right), lambda s: F.concat(s["a"], s["b"]))
 
 
 def permute_pair(high: Column, low: Column, highs: int, lows: int, key: str, tweak: str) -> Column:
     """Feistel over the numbers 0..highs x lows - 1, as a struct (a, b) of high and low part."""
-    state = F.struct(high.cast("long").alias("a"), low.cast("long").alias("b"))
-    for i in range(ROUNDS):
-        if i % 2 == 0:
-            step = lambda s, i=i: F.struct(((s["a"] + _number(_digest(key, tweak, i, s["b"]))) % highs).alias("a"), s["b"].alias("b"))
-        else:
-            step = lambda s, i=i: F.struct(s["a"].alias("a"), ((s["b"] + _number(_digest(key, tweak, i, s["a"]))) % lows).alias("b"))
-        state = _let(state, step)
-    return state
+    left = lambda i, a, b: (a + _number(_digest(key, tweak, i, b))) % highs
+    right = lambda i, a, b: (b + _number(_digest(key, tweak, i, a))) % lows
+    return _rounds(F.struct(high.cast("long").alias("a"), low.cast("long").alias("b")), left, right)
 
 
 def luhn_sum(digits: Column, doubled: int) -> Column:

@@ -179,7 +179,7 @@ def in_id_order(docs: DataFrame, parts: int) -> DataFrame:
     # The part is how many bounds are below the id; first among every stride-th of them, then between two of those.
     block = F.greatest(F.size(F.filter(coarse, lambda c: c < key)) - 1, F.lit(0)) * stride
     part = block + F.size(F.filter(F.slice(fine, block + 1, F.lit(stride)), lambda c: c < key))
-    heads = ids.select("k", part.alias("p").cast("int")) if not cuts else docs.select(key.alias("k"), part.cast("int").alias("p"))
+    heads = docs.select(key.alias("k"), part.cast("int").alias("p"))
     first = sorted((r["p"], r["k"]) for r in heads.groupBy("p").agg(F.min("k").alias("k")).collect())
     session = docs.sparkSession
     ahead = session.createDataFrame([(k, first[i - 1][0]) for i, (_, k) in enumerate(first)], "k long, to int")

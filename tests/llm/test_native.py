@@ -1,0 +1,261 @@
+"""Sharding, mixing and pseudonyms against plain Python."""
+
+import datetime
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+from hashlib import md5
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from scribelake.llm import mixing, pii, sharding
+from tests.llm.data import SCHEMA, awkward, documents, row
+
+
+def python_free(frame):
+    return not re.search("Python|Pandas|Arrow", frame._jdf.queryExecution().executedPlan().toString())
+
+
+# ---- sharding --------------------------------------------------------------------------------------------------------
+def test_sharding_law_and_slots(spark):
+    rows = awkward() + [row(i, f"t{i}") for i in range(1000, 3000)]
+    out = sharding.assign_shards(documents(spark, rows), sharding.Tree.even(24))
+    assert python_free(out)
+    got = out.collect()
+    text = lambda r: (r[1] or "").encode()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((r[0], len(text(r)) + 8, zlib.crc32(text(r))) for r in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+        assert r["law"] == "key" and r["grown_shard"] in (r["shard"], 24)
+    assert sorted(slots) == list(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert 40 < sum(r["grown_shard"] == 24 for r in got) < 140
+    assert len({r["shard"] for r in got if r["doc_id"] is None}) == 1
+
+
+def test_shares_follow_weights_and_moves_stay_in_changed_subtrees(spark):
+    ids = spark.range(20_000)
+    before = sharding.Tree((((((0, 1.0), (1, 3.0))), ((2, 2.0),)), (((3, 2.0),),)))
+    after = sharding.Tree((((((0, 1.0), (1, 3.0))), ((2, 4.0),)), (((3, 2.0),),)))
+    key = F.col("id").cast("string")
+    rows = ids.select(sharding.shard_of(key, before).alias("a"), sharding.shard_of(key, after).alias("b")).groupBy("a", "b").count().collect()
+    share = Counter()
+    for r in rows:
+        share[r["a"]] += r["count"]
+        # Rack and region of shard 2 grew: nothing goes to shard 3, and nothing leaves shard 2.
+        assert r["b"] == r["a"] or r["a"] != 2 and r["b"] != 3
+    assert [round(share[i] / 2500) for i in range(4)] == [1, 3, 2, 2]
+
+
+def test_sharding_like_a_plain_descent(spark):
+    tree = sharding.Tree.even(24)
+
+    def pick(key, children):
+        import math
+
+        u = lambda name: (int(md5(f"7|{key}|{name}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
+        return min(children, key=lambda c: -math.log(u(c[0])) / c[1])[2]
+
+    weight = lambda racks: sum(w for rack in racks for _, w in rack)
+    for r in sharding.assign_shards(documents(spark), tree).select("doc_id", "shard").distinct().collect():
+        key = "null" if r["doc_id"] is None else r["doc_id"]
+        a = pick(key, [(f"r{i}", weight(x), i) for i, x in enumerate(tree.regions)])
+        b = pick(key, [(f"r{a}/k{i}", weight([x]), i) for i, x in enumerate(tree.regions[a])])
+        assert r["shard"] == pick(key, [(f"r{a}/k{b}/s{s}", w, s) for s, w in tree.regions[a][b]])
+
+
+# ---- mixing ----------------------------------------------------------------------------------------------------------
+def mixed_rows(n=1200):
+    return awkward() + [row(10_000 + i, "w " * (1 + (i * 37) % 90), None if i % 50 == 0 else "src0" if i % 3 == 0 else f"s{i % 11}") for i in range(n)]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_mixing_like_sql(spark, few, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10_000 if few else 0)
+    docs = documents(spark, mixed_rows())
+    out = mixing.mix_sources(docs)
+    assert python_free(out)
+    got = out.collect()
+    own = duckdb.connect()
+    own.register("documents", docs.toArrow())
+    want = own.execute(mixing.mix_sql()).fetchall()
+    assert Counter(tuple(r) for r in got) == Counter(want)
+
+
+def test_mix_totals_and_caps(spark):
+    rows = mixed_rows(4000)
+    got = mixing.mix_sources(documents(spark, rows)).collect()
+    total, target, size, taken = 0, {}, {}, Counter()
+    for r in got:
+        total += r["size"]
+        target[r["source"]], size[r["source"]] = r["target"], r["source_size"]
+        taken[r["source"]] += r["taken"]
+        assert r["taken"] <= 3 * r["size"] and r["taken"] == r["copies"] * r["size"]
+    assert abs(sum(target.values()) - total) < 1e-6 * total
+    for s in target:
+        assert target[s] <= 3 * size[s] * (1 + 1e-12)
+        if str(s).startswith("s") and size[s] > 5000:
+            assert abs(taken[s] - target[s]) <= 0.01 * target[s], s
+    # Sources below their cap share by weight.
+    order = sorted(target, key=lambda s: (s is None, s))
+    level = {target[s] / (5, 2, 1)[i % 3] for i, s in enumerate(order) if target[s] < 3 * size[s] * (1 - 1e-9)}
+    assert max(level) - min(level) < 1e-6 * max(level)
+    copies = {(r["doc_id"], r["source"]): r["copies"] for r in got}
+    again = Counter((r["doc_id"], r["source"]) for r in mixing.repeat_by_mix(documents(spark, rows)).collect())
+    times = Counter((r["doc_id"], r["source"]) for r in got)
+    assert again == Counter({k: c * times[k] for k, c in copies.items() if c})
+
+
+def test_repeats_keep_columns(spark):
+    docs = documents(spark, mixed_rows(50))
+    out = mixing.repeat_by_mix(docs)
+    assert out.columns == docs.columns and out.schema == docs.schema and python_free(out)
+
+
+# ---- pseudonyms ------------------------------------------------------------------------------------------------------
+def luhn(text):
+    digits = [int(c) for c in text if c.isdigit()]
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def mod97(text):
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
+
+
+def shape(text):
+    return re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", text)))
+
+
+VALUES = {
+    "card": ["4111111111111111", "4111-1111-1111-1111", "3782 822463 10005", "6011000990139424000" if luhn("6011000990139424000") else "4242424242424242"],
+    "iban": ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606"],
+    "date": ["1999-12-31", "2000-02-29", "2024-01-01"], "ssn": ["123-45-6789", "899-01-0001"], "phone": ["+1 (017) 555-7713", "555-123-4567", "(212) 555-0100"],
+    "ip": ["192.168.0.1", "8.8.8.8", "255.255.255.255"], "email": ["und.34@mail7.example.com", "réne.x@a-b.example.org", "a+b@site.co"],
+}
+
+
+def replaced(spark, texts, key="k"):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    out = pii.pseudonymise(rows, key=key)
+    assert python_free(out)
+    return [(r["text"], [(v["kind"], v["value"]) for v in r["pii_values"]]) for r in out.orderBy("i").collect()]
+
+
+def test_every_kind_keeps_its_format_and_validity(spark):
+    flat = [(k, v) for k, vs in VALUES.items() for v in vs]
+    for (kind, value), (text, found) in zip(flat, replaced(spark, [f"See {v}, then {v}." for _, v in flat])):
+        assert len(found) == 2 and found[0] == found[1], (kind, value)
+        new = found[0][1]
+        assert found[0][0] == kind and new != value and value not in text and text == f"See {new}, then {new}."
+        if kind not in ("ip", "iban"):
+            assert shape(new) == shape(value)
+        if kind == "card":
+            assert luhn(new)
+        if kind == "iban":
+            assert mod97(new.replace(" ", "")) == 1 and new[:2] == value[:2] and shape(new[4:]) == shape(value[4:])
+        if kind == "ip":
+            assert all(0 <= int(x) <= 255 for x in new.split(".")) and new.count(".") == 3
+        if kind == "ssn":
+            assert 0 < int(new[:3]) < 900 and new[:3] != "666" and new[4:6] != "00" and new[7:] != "0000"
+
+
+def plain_text(text, key, tweak):
+    def digest(i, other):
+        return hashlib.sha256(f"{key}|{tweak}|{i}|{other}".encode()).hexdigest()
+
+    def shift(part, d):
+        out = ""
+        for i, c in enumerate(part):
+            stream = d if i < 14 else hashlib.sha256(f"{d}{i // 14}".encode()).hexdigest()
+            k = int(stream[i % 14 * 4 : i % 14 * 4 + 4], 16)
+            for first, n in (("0", 10), ("a", 26), ("A", 26)):
+                if ord(first) <= ord(c) < ord(first) + n:
+                    c = chr((ord(c) - ord(first) + k) % n + ord(first))
+                    break
+            out += c
+        return out
+
+    a, b = text[: len(text) // 2], text[len(text) // 2 :]
+    for i in range(4):
+        a, b = (shift(a, digest(i, b)), b) if i % 2 == 0 else (a, shift(b, digest(i, a)))
+    return a + b
+
+
+def plain_pair(a, b, highs, lows, key, tweak):
+    for i in range(4):
+        number = lambda other: int(hashlib.sha256(f"{key}|{tweak}|{i}|{other}".encode()).hexdigest()[:13], 16)  # noqa: B023, E731
+        a, b = ((a + number(b)) % highs, b) if i % 2 == 0 else (a, (b + number(a)) % lows)
+    return a, b
+
+
+def plain_pseudonym(kind, v, key):
+    if kind == "email":
+        tail = re.search(r"(?:@|\.)([^@.]+\.[^@.]+)$", v).group()
+        return plain_text(v[: -len(tail)], key, kind) + tail
+    if kind == "phone":
+        country = re.match(r"(?:\+[0-9]{1,3}[ .-]?)?", v).group()
+        return country + plain_text(v[len(country) :], key, kind)
+    if kind == "card":
+        body = plain_text(v[:-1], key, kind)
+        return next(body + d for d in "0123456789" if luhn(body + d))
+    if kind == "iban":
+        body = plain_text(v[4:], key, kind)
+        return v[:2] + f"{98 - int(''.join(str(int(c, 36)) for c in body.replace(' ', '') + v[:2] + '00')) % 97:02d}" + body
+    if kind == "ip":
+        o = list(map(int, v.split(".")))
+        a, b = plain_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, kind)
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if kind == "date":
+        day = (datetime.date.fromisoformat(v) - datetime.date(1900, 1, 1)).days
+        a, b = plain_pair(day // 272, day % 272, 271, 272, key, kind)
+        return str(datetime.date(1900, 1, 1) + datetime.timedelta(a * 272 + b))
+    area, group, serial = map(int, v.split("-"))
+    a, b = plain_pair((area - 1 - (area > 666)) * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn")
+    area = a // 99 + 1
+    return f"{area + (area >= 666):03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+
+
+def test_pseudonyms_like_plain_python(spark):
+    flat = [(k, v) for k, vs in VALUES.items() for v in vs] + [("email", f"user{'x' * n}.{n}@mail{n}.example.com") for n in range(0, 60, 7)]
+    want = [plain_pseudonym(k, v, "k") for k, v in flat]
+    for _ in range(2):
+        assert [found[0][1] for _, found in replaced(spark, [v for _, v in flat])] == want
+
+
+def test_only_valid_values_change(spark):
+    texts = ["4111111111111112", "2021-02-30", "666-12-3456", "256.1.1.1", "version 4.0.", "DE00370400440532013000", "a@b", "token = 9233a8ecf7c5b09fe5949719b6b82bc439e9329b", "x4111111111111111", "", None, "1.2.3.4.5"]
+    assert replaced(spark, texts) == [(t, []) for t in texts]
+
+
+def test_adjacent_values_and_gaps(spark):
+    text, found = replaced(spark, ["7536784127813050 4845168114407329 30 4111111111111111!!"])[0]
+    kinds = [k for k, _ in found]
+    assert kinds == ["card" for v in ("7536784127813050", "4845168114407329", "4111111111111111") if luhn(v)]
+    assert text.endswith("!!") and " 30 " in text and len(text) == len("7536784127813050 4845168114407329 30 4111111111111111!!")
+
+
+def test_a_permutation(spark):
+    area, dates = [f"{i:03d}-55-1234" for i in range(1, 900) if i != 666], spark.range(0, 73712, 7).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
+    new = [t for t, _ in replaced(spark, area)]
+    assert len(set(new)) == len(area)
+    out = pii.pseudonymise(dates.where("text < '2100'")).select("text").collect()
+    assert len({r["text"] for r in out}) == len(out)
+    small = [f"{i:05d}" for i in range(0, 100_000, 9)]
+    rows = spark.createDataFrame([(s,) for s in small], "t string").select(pii.permute_text(F.col("t"), "k", "test").alias("p")).collect()
+    assert len({r["p"] for r in rows}) == len(small) and all(re.fullmatch("[0-9]{5}", r["p"]) for r in rows)
+    assert replaced(spark, ["4111111111111111"], "a") != replaced(spark, ["4111111111111111"], "b")
+
+
+def test_awkward_rows_pass_through(spark):
+    docs = documents(spark)
+    out = pii.pseudonymise(docs)
+    assert out.drop("pii_values").columns == docs.columns and Counter(out.drop("pii_values").collect()) == Counter(docs.collect())
+
+
+def test_native_operators_on_an_empty_table(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    for out in (sharding.assign_shards(none, sharding.Tree.even(24)), mixing.mix_sources(none), mixing.repeat_by_mix(none), pii.pseudonymise(none)):
+        assert out.count() == 0

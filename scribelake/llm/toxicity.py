@@ -26,10 +26,12 @@ LEXICON = frozenset(
     """.split()
 )
 SECOND_PERSON = frozenset("you your yours yourself youre u du dich dir dein deine euch ihr sie tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
-#: Look-alikes inside words.
+#: Look-alikes inside words; a star stands for any letter.
 LOOK_ALIKES = str.maketrans("013457@$!|+", "oieastasiit")
+STARRED = frozenset(f"{w[:i]}*{w[i + 1 :]}" for w in LEXICON for i in range(1, len(w)))
 _WORDS = re.compile(r"[^\W\d_]+").findall
-_MIXED = re.compile(r"[^\W\d_]+(?:[0-9@$*!|+]+[^\W\d_]+)+|[@$0-9]+[^\W\d_]+").findall
+#: Words with digits or signs before a letter of theirs.
+_MIXED = re.compile(r"(?<![\w@$*!|+])[^\W\d_]*[0-9@$*!|+]+[^\W\d_][\w@$*!|+]*").findall
 _RUNS = re.compile(r"([^\W\d_])\1{2,}").findall
 NAMES = ("words", "lexicon_density", "lexicon_hits", "kinds", "learned_density", "learned_hits", "second_person", "proximity", "capitals", "shouted", "exclaims", "punctuation", "digits", "obfuscated", "disguised_hits", "runs")
 
@@ -70,7 +72,7 @@ def features(text: str, codes: WordCodes) -> list[float]:
             gap = np.minimum(np.abs(spots[np.minimum(right, len(spots) - 1)] - at), np.abs(spots[np.maximum(right - 1, 0)] - at))
             near = float((1.0 / (1.0 + gap)).max())
     mixed = _MIXED(low)
-    disguised = sum(m.translate(LOOK_ALIKES).replace("*", "") in LEXICON for m in mixed)
+    disguised = sum((plain := m.translate(LOOK_ALIKES)) in LEXICON or plain in STARRED for m in mixed)
     raw = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
     size = max(1, int(raw.sum()))
     upper, letters = raw[65:91].sum(), max(1, raw[65:91].sum() + raw[97:123].sum())

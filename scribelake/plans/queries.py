@@ -492,3 +492,33 @@ def st3_pause_sessions(spark, d):
     voiced = A.blocks(spark, d).where("energy >= 1024")
     rows = pause_sessions(voiced.withColumn("ts", F.timestamp_millis(F.col("idx") * 200)), ["recording_id"])
     return rows.select("recording_id", (F.unix_millis("start") / 200).cast("long").alias("first"), (F.unix_millis("last") / 200).cast("long").alias("last"), "voiced")
+
+
+# ---- without SQL: sequential rules and patterns with back-references ---------------------------------------------------
+@query()
+def x4_collapse_repeats(spark, d):
+    return A.table(spark, d, "documents").select("doc_id", F.sha2(X.collapse_repeats(F.col("text")), 256).alias("collapsed"))
+
+
+@query()
+def w5_chunks(spark, d):
+    """Each block of a recording as twenty tiles, cut within spans of a minute."""
+    blocks = A.blocks(spark, d)
+    tiles = blocks.select("recording_id", F.explode(F.sequence(F.col("idx") * 20, F.col("idx") * 20 + 19)).alias("tile_idx"), (F.col("energy") * 160).alias("sum_sq"))
+    totals = blocks.groupBy("recording_id").agg((F.count("*") * signal.BLOCK).alias("end")).withColumn("start", F.lit(0).cast("long"))
+    spans = signal.split_long(totals, ["recording_id"]).withColumn("label", (F.col("start") / signal.MAX_REGION).cast("int"))
+    return signal.chunks(tiles, spans, "recording_id")
+
+
+@query()
+def u5_cluster(spark, d):
+    """The vectors of each twentieth of the table, as one recording's turns."""
+    import numpy as np
+    import pandas as pd
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("vec_id")
+        return pd.DataFrame({"recording": own["recording"], "vec_id": own["vec_id"], "speaker": speakers.cluster(np.stack(own["v"].to_list()))})
+
+    rows = A.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("recording"), "vec_id", V.normalise(F.col("embedding")).alias("v"))
+    return rows.groupBy("recording").applyInPandas(run, "recording long, vec_id long, speaker long")

@@ -8,11 +8,13 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scribelake.operators.signal import BLOCK, RATE, split_point
+from scribelake.sources.audio import wav_bytes
 
 SEGMENTS = "{key}, start long, end long, n long, sum_sq double, samples array<smallint>"
 
@@ -93,3 +95,30 @@ def with_prefix(prefix: str, segments: list[str]) -> str:
 
 def seconds(samples: int) -> float:
     return samples / RATE
+
+
+def tile_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
+    """Rows (recording_id, seq, samples, stop) that a capturing process drops as Parquet files into a folder."""
+    schema = "recording_id string, seq long, samples array<smallint>, stop boolean"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+
+
+def record(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keeps every row of a live stream, each micro-batch exactly once."""
+    return stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def assemble_wav(recorded: DataFrame, key: str = "recording_id") -> DataFrame:
+    """(key, wav) of recorded rows (key, seq, samples): one file for each recording, as it is closed."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        samples = np.concatenate([np.asarray(s, np.int16) for s in own.sort_values("seq")["samples"] if s is not None])
+        return pd.DataFrame({key: [own[key].iloc[0]], "wav": [wav_bytes(samples)]})
+
+    return recorded.select(key, "seq", "samples").groupBy(key).applyInPandas(run, f"{key} {recorded.schema[key].dataType.simpleString()}, wav binary")
+
+
+def status(query: StreamingQuery) -> dict[str, Any]:
+    """What a poll of a live query shows."""
+    progress = query.lastProgress
+    return {"active": query.isActive, "batch": progress["batchId"] if progress else None, "rows": progress["numInputRows"] if progress else 0, "error": str(query.exception()) if query.exception() else None}

@@ -2,7 +2,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from scribelake.operators import jobs
-from scribelake.streaming.live import job_states, live_segments, pause_sessions, step, with_prefix
+from scribelake.api import cancel, finish
+from scribelake.sources.audio import decode
+from scribelake.streaming.live import assemble_wav, job_states, live_segments, pause_sessions, record, status, step, tile_stream, with_prefix
 
 R = 16_000
 
@@ -80,3 +82,16 @@ def test_clock_and_salvage(spark):
     assert first["phase"] == "finishing" and first["code"] == "cancelled" and first["error"] == jobs.DEFAULT_ERROR and first["text"] == "부분 더"
     assert [tuple(r) for r in jobs.salvage(fold).collect()] == [(1, "부분")]
     assert with_prefix("기존 본문. ", ["7초 구간", "4초 구간"]) == "기존 본문.\n\n7초 구간\n\n4초 구간" and with_prefix(" ", ["a"]) == "a"
+
+
+def test_recording_is_kept_and_assembled(spark, tmp_path):
+    pcm = (np.random.default_rng(4).standard_normal(20_000) * 3000).astype(np.int16)
+    schema = "recording_id string, seq long, samples array<smallint>, stop boolean"
+    rows = [("a", i, pcm[at : at + 8000].tolist(), False) for i, at in enumerate(range(0, len(pcm), 8000))]
+    write_steps(spark, rows, schema, tmp_path / "in", 1)
+    query = record(tile_stream(spark, str(tmp_path / "in")), str(tmp_path / "kept"), str(tmp_path / "check"))
+    query.awaitTermination()
+    assert status(query)["active"] is False and status(query)["error"] is None
+    wav = assemble_wav(spark.read.parquet(str(tmp_path / "kept"))).first()["wav"]
+    assert decode(bytes(wav)).tolist() == pcm.tolist()
+    assert finish(query) is None and cancel(query) is None

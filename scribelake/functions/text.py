@@ -29,12 +29,28 @@ def strip(c: Column) -> Column:
 
 
 def like(c: Column, pattern: Column | str) -> Column:
-    """LIKE that folds ASCII case only, has ``%`` and ``_`` as wildcards and knows no escape character."""
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    """LIKE that folds ASCII case only, has ``%`` and ``_`` as wildcards and knows no escape character.
+
+    A constant pattern becomes a regular expression, whose case folding in Java is ASCII only: one search, without a
+    folded copy of the text. A column of patterns is folded on both sides.
+    """
+    if isinstance(pattern, str):
+        return c.rlike(_like_pattern(pattern))
     fold = lambda x: F.translate(x, _UPPER, _LOWER)
     return F.like(fold(c), fold(pattern), F.lit("\u0001"))
 
 
+def _like_pattern(pattern: str) -> str:
+    inner = pattern.strip("%") if pattern.strip("%") else ""
+    start, end = "" if pattern.startswith("%") else r"\A", "" if pattern.endswith("%") else r"\z"
+    if not inner and pattern:
+        return "(?s)"
+    # Between \Q and \E all is literal, but for an \E, which is put between two such pieces.
+    literal = lambda t: r"\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E" if t else ""
+    parts = [".*" if p.startswith("%") else "." * len(p) if p.startswith("_") else literal(p) for p in re.findall("%+|_+|[^%_]+", inner)]
+    return "(?si)" + start + "".join(parts) + end
+
+
 def like_sql(c: str, pattern: str) -> str:
     return f"translate({c}, '{_UPPER}', '{_LOWER}') LIKE translate('{pattern}', '{_UPPER}', '{_LOWER}')"
 

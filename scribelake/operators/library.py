@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scribelake.functions import text as X
-from scribelake.operators.text import keywords
+from scribelake.operators.text import keywords_of
 
 NOTES = T.StructType(
     [
@@ -60,10 +60,8 @@ def list_notes(notes: DataFrame, folders: DataFrame, view: str = "all", query: s
 
 def list_with_keywords(notes: DataFrame, folders: DataFrame, view: str = "all", query: str = "", limit: int = 3) -> DataFrame:
     """The main screen: a listing with keywords in place of transcripts."""
-    rows = notes.where(in_view(view)).where(matches(query))
-    tags = keywords(rows, "id", "transcript", limit)
-    out = with_folder(rows.drop("transcript"), folders).join(tags, "id", "left")
-    return out.select(*[c for c in LISTED if c != "transcript"], "keywords").orderBy(F.desc("created"), F.desc("id"))
+    rows = notes.where(in_view(view)).where(matches(query)).withColumn("keywords", keywords_of("transcript", limit)).drop("transcript")
+    return with_folder(rows, folders).select(*[c for c in LISTED if c != "transcript"], "keywords").orderBy(F.desc("created"), F.desc("id"))
 
 
 def sort_notes(listed: DataFrame, key: str = "created", descending: bool = True) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -11,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.functions import udtf
 
-from scribelake.functions import text as X
 from scribelake.operators.speakers import Embedder, window_features
+from scribelake.operators.text import top_stems
 
 
 class Registry:
@@ -68,19 +67,10 @@ def changed_fields(before: dict[str, Any], after: dict[str, Any], locked: bool)
     return {k: v for k, v in after.items() if before.get(k) != v and not (locked and k == "transcript")}
 
 
-def _keyword_rows(text: str | None, limit: int) -> Iterator[tuple[int, str, int]]:
-    import re
-
-    particle = re.compile(f"(?:{'|'.join(X.PARTICLES)})$")
-    stems = (particle.sub("", w) if len(w) > 2 else w for w in re.findall(X.WORD, text or ""))
-    counts = Counter(s for s in stems if len(s) >= 2 and s not in X.STOPWORDS and not s.endswith(tuple(X.ENDINGS)))
-    for rank, (word, n) in enumerate(counts.most_common(limit), 1):
-        yield rank, word, n
-
-
 @udtf(returnType="rank int, keyword string, count int")
 class Keywords:
     """Keywords of one text for lateral joins in SQL; ``operators.text.keywords`` is the way for tables."""
 
     def eval(self, text: str, limit: int):
-        yield from _keyword_rows(text, limit)
+        for rank, (word, n) in enumerate(top_stems(text, limit), 1):
+            yield rank, word, n

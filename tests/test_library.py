@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +106,14 @@ def test_like_folds_ascii_only_and_has_no_escape(spark):
     cases = [("É", "é", False), ("aBc", "AbC", True), ("a\\b", "a\\b", True), ("100%", "1_0%", True), ("x", "%\\%", False)]
     rows = spark.createDataFrame([(t, f"%{p}%" if "%" not in p else p, w) for t, p, w in cases], "t string, p string, w boolean")
     assert rows.where(X.like(F.col("t"), F.col("p")) != F.col("w")).count() == 0
+    own, alphabet = random.Random(1), ["a", "A", "é", "É", "%", "_", "\\", "\\E", "\n", ".", "🙂", "("]
+    texts = spark.createDataFrame([("".join(own.choices(alphabet, k=own.randint(0, 8))),) for _ in range(60)], "t string")
+    for _ in range(25):
+        p = "".join(own.choices(alphabet + ["%"] * 4, k=own.randint(0, 5)))
+        both = texts.select("t", X.like(F.col("t"), p).alias("a"), X.like(F.col("t"), F.lit(p)).alias("b")).collect()
+        folded = lambda x: "".join(c.lower() if c.isascii() else c for c in x)
+        want = re.compile("".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in folded(p)), re.S)
+        assert all(r["a"] == r["b"] == bool(want.fullmatch(folded(r["t"]))) for r in both), p
 
 
 def test_text_functions(spark):

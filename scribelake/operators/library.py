@@ -59,8 +59,12 @@ def list_notes(notes: DataFrame, folders: DataFrame, view: str = "all", query: s
 
 
 def list_with_keywords(notes: DataFrame, folders: DataFrame, view: str = "all", query: str = "", limit: int = 3) -> DataFrame:
-    """The main screen: a listing with keywords in place of transcripts."""
-    rows = notes.where(in_view(view)).where(matches(query)).withColumn("keywords", keywords_of("transcript", limit)).drop("transcript")
+    """The main screen: a listing with keywords in place of transcripts.
+
+    The order samples its input before it sorts. So that texts are searched and counted once, their narrow rows are
+    shuffled first, and both passes of the order read that shuffle.
+    """
+    rows = notes.where(in_view(view)).where(matches(query)).withColumn("keywords", keywords_of("transcript", limit)).drop("transcript").repartition("id")
     return with_folder(rows, folders).select(*[c for c in LISTED if c != "transcript"], "keywords").orderBy(F.desc("created"), F.desc("id"))
 
 

@@ -5,7 +5,7 @@ recursion in log space. The vocabulary's own scores say how likely a piece is to
 training documents then re-weight the pieces by expected counts. Words that training has seen are also remembered whole:
 each keeps its discounted share of the tokens, and what the discount takes is spread by the lattice. So
 
-    P(word) = max(c - D, 0) / N + D V / N * sum over segmentations of P(pieces) P(stop)
+    P(word) = max(c - D, 0) / N + D V / N * sum over segmentations of P(pieces) P(stop after the last, go on after others)
 
 which sums to one over all byte strings, and the end of a text is a token with a share of its own.
 """
@@ -77,9 +77,9 @@ class Pieces:
 class Lattice:
     """Forward and backward recursions over blocks of words; a word starts with a space."""
 
-    def __init__(self, pieces: tuple[bytes, ...], probability: np.ndarray, stop: float) -> None:
-        self.log, self.stop = np.log(probability), float(np.log(stop))
-        self.go = float(np.log1p(-stop))
+    def __init__(self, pieces: tuple[bytes, ...], probability: np.ndarray, stop: np.ndarray | float) -> None:
+        """``stop``: how likely a word ends after a piece, for each piece or for all."""
+        self.last, self.go = np.log(probability) + np.log(stop), np.log(probability) + np.log1p(-np.asarray(stop))
         bits = max(4, (8 * len(pieces)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), 2**bits - 1
         self.slots, self.ids = np.zeros(2**bits, np.uint64), np.full(2**bits, -1, np.int64)
@@ -117,6 +117,14 @@ class Lattice:
             arcs.append(ids)
         return size, arcs
 
+    def _weights(self, size: np.ndarray, arcs: list[np.ndarray]) -> list[np.ndarray]:
+        """Log probability of each arc, and that the word ends there or goes on."""
+        out = []
+        for n, ids in enumerate(arcs, 1):
+            final = np.arange(ids.shape[1]) + n == size[:, None]
+            out.append(np.where(ids >= 0, np.where(final, self.last[ids], self.go[ids]), -np.inf))
+        return out
+
     def _forward(self, weights: list[np.ndarray], rows: int, longest: int) -> np.ndarray:
         alpha = np.full((rows, longest + 1), -np.inf)
         alpha[:, 0] = 0.0
@@ -144,18 +152,17 @@ class Lattice:
         out = np.zeros(len(words))
         for block in self._blocks(words):
             size, arcs = self._arcs([words[i] for i in block])
-            weights = [np.where(a >= 0, self.log[a] + self.go, -np.inf) for a in arcs]
-            alpha = self._forward(weights, len(block), int(size.max()))
-            out[block] = alpha[np.arange(len(block)), size] + self.stop
+            alpha = self._forward(self._weights(size, arcs), len(block), int(size.max()))
+            out[block] = alpha[np.arange(len(block)), size]
         return out
 
-    def expected(self, words: list[bytes]) -> np.ndarray:
-        """Expected uses of each piece, summed over the words."""
-        counts = np.zeros(len(self.log))
+    def expected(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Expected uses of each piece, and of those the ones at a word's end, summed over the words."""
+        uses, ends = np.zeros(len(self.go)), np.zeros(len(self.go))
         for block in self._blocks(words):
             size, arcs = self._arcs([words[i] for i in block])
             longest, rows = int(size.max()), len(block)
-            weights = [np.where(a >= 0, self.log[a] + self.go, -np.inf) for a in arcs]
+            weights = self._weights(size, arcs)
             alpha = self._forward(weights, rows, longest)
             total = alpha[np.arange(rows), size]
             beta = np.full((rows, longest + 1), -np.inf)
@@ -169,9 +176,10 @@ class Lattice:
                     beta[:, start] = safe + np.log(np.exp(terms - safe).sum(axis=0))
             for n, (ids, weight) in enumerate(zip(arcs, weights, strict=True), 1):
                 log = alpha[:, : longest - n + 1] + weight + beta[:, n:] - total[:, None]
-                has = ids >= 0
-                counts += np.bincount(ids[has], np.exp(log[has]), len(counts))
-        return counts
+                has, final = ids >= 0, (ids >= 0) & (np.arange(ids.shape[1]) + n == size[:, None])
+                uses += np.bincount(ids[has], np.exp(log[has]), len(uses))
+                ends += np.bincount(ids[final], np.exp(log[final]), len(ends))
+        return uses, ends
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -214,7 +222,7 @@ class WordModel:
 
     pieces: tuple[bytes, ...]
     probability: np.ndarray
-    stop: float
+    stop: np.ndarray | float
     words: int  # training tokens without ends
     ends: int
     kinds: int  # distinct words
@@ -238,7 +246,7 @@ _made: dict[int, Lattice] = {}
 
 def _lattice(model: WordModel) -> Lattice:
     """One for each worker and model."""
-    key = zlib.crc32(model.probability.tobytes())
+    key = zlib.crc32(model.probability.tobytes() + np.asarray(model.stop, float).tobytes())
     if key not in _made:
         _made.clear()
         _made[key] = Lattice(model.pieces, model.probability, model.stop)
@@ -257,16 +265,19 @@ def fit(counts: DataFrame, ends: int, path: str, *, rounds: int = 2, prior: floa
 
         def run(batches, probability=probability, stop=stop):
             lattice = Lattice(pieces, probability, stop)
-            sums = np.zeros(len(pieces))
+            sums = np.zeros((2, len(pieces)))
             for batch in batches:
                 sums += lattice.expected([b" " + w for w in batch.column("word").cast(pa.binary()).to_pylist()])
-            used = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], names=["piece", "uses"])
-
-        got = counts.where("c > 0").select("word").mapInArrow(run, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
-        uses = np.zeros(len(pieces))
-        uses[np.array(got.column("piece"), np.int64)] = np.array(got.column("uses"))
-        stop = total["v"] / (total["v"] + uses.sum())
+            used = np.flatnonzero(sums[0])
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[0, used]), pa.array(sums[1, used])], names=["piece", "uses", "ends"])
+
+        made = counts.where("c > 0").select("word").mapInArrow(run, "piece long, uses double, ends double")
+        got = made.groupBy("piece").agg(F.sum("uses").alias("uses"), F.sum("ends").alias("ends")).toArrow()
+        uses, ending = np.zeros(len(pieces)), np.zeros(len(pieces))
+        at = np.array(got.column("piece"), np.int64)
+        uses[at], ending[at] = np.array(got.column("uses")), np.array(got.column("ends"))
+        # A piece ends a word as often as it has been seen to; rare ones as often as all do.
+        stop = (ending + 10 * ending.sum() / uses.sum()) / (uses + 10)
         probability = vocabulary.shared(uses + prior * start)
     one, two = total["one"] or 0, total["two"] or 0
     discount = min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.5
@@ -337,7 +348,7 @@ def score_texts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
 
     schema = T.StructType([rows.schema["id"], *(T.StructField(n, k) for n, k in (("mark", T.LongType()), ("word", T.StringType()), ("times", T.IntegerType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType())))])
     table = words.where(F.col("everywhere") * HOT <= total).select("word", "c", "log").unionByName(aside)
-    joined = rows.mapInArrow(split, schema).join(table.hint("shuffle_hash"), "word")
+    joined = rows.mapInArrow(split, schema).join(table, "word")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     each = joined.groupBy("id", "mark").agg(
         F.count("n_tokens").alias("copies"), F.max("n_tokens").alias("n_tokens"), F.sum(zero("n_known") + F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),

@@ -37,20 +37,25 @@ def test_marginals_like_plain_sums():
                     yield chance[word[:n]] * 0.7 * q, (word[:n], *rest)
 
     found = [b" abcabca", b" a", b"c", b" bbbbbbbbb", b" \x00\xff"]
-    assert np.allclose(made.score(found), [math.log(0.3 * sum(q for q, _ in paths(w))) for w in found])
-    want = Counter()
+    assert np.allclose(made.score(found), [math.log(0.3 / 0.7 * sum(q for q, _ in paths(w))) for w in found])
+    want, last = Counter(), Counter()
     for w in found:
         ways = list(paths(w))
         for q, used in ways:
+            last[used[-1]] += q / sum(x for x, _ in ways)
             for piece in used:
                 want[piece] += q / sum(x for x, _ in ways)
-    assert np.allclose(made.expected(found), [want[x] for x in pieces])
+    assert np.allclose(made.expected(found), [[want[x] for x in pieces], [last[x] for x in pieces]])
+    stops = np.array([own.uniform(0.1, 0.9) for _ in pieces])
+    each = dict(zip(pieces, stops))
+    several = [sum(q / 0.7 ** len(u) * math.prod(1 - each[x] for x in u[:-1]) * each[u[-1]] for q, u in paths(w)) for w in found]
+    assert np.allclose(np.exp(lattice.Lattice(pieces, p, stops).score(found)), several, atol=0)
     assert np.isfinite(made.score([b" " + b"x" * 30_000]))[0]
 
 
 def test_probabilities_of_words_sum_to_at_most_one():
     pieces = tuple(bytes([b]) for b in b" ab") + (b" a", b"ab")
-    model = lattice.WordModel(pieces, np.array([0.5, 0.4, 0.3, 0.5, 0.3]), 0.4, 100, 10, 3, 0.5)
+    model = lattice.WordModel(pieces, np.array([0.5, 0.4, 0.3, 0.5, 0.3]), np.array([0.4, 0.2, 0.5, 0.3, 0.9]), 100, 10, 3, 0.5)
     every, layer = [], [b""]
     for _ in range(12):
         layer = [w + c for w in layer for c in (b"a", b"b")]

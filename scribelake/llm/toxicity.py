@@ -32,7 +32,10 @@ STARRED = frozenset(f"{w[:i]}*{w[i + 1 :]}" for w in LEXICON for i in range(1, l
 _WORDS = re.compile(r"[^\W\d_]+").findall
 #: Words with digits or signs before a letter of theirs.
 _MIXED = re.compile(r"(?<![\w@$*!|+])[^\W\d_]*[0-9@$*!|+]+[^\W\d_][\w@$*!|+]*").findall
-_RUNS = re.compile(r"([^\W\d_])\1{2,}").findall
+#: Kinds of bytes: letters (any byte of another script's is one), and digits and signs that can stand for letters.
+_LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_SIGN[list(b"0123456789@$*!|+")] = True
 NAMES = ("words", "lexicon_density", "lexicon_hits", "kinds", "learned_density", "learned_hits", "second_person", "proximity", "capitals", "shouted", "exclaims", "punctuation", "digits", "obfuscated", "disguised_hits", "runs")
 
 
@@ -71,15 +74,19 @@ def features(text: str, codes: WordCodes) -> list[float]:
             right = np.searchsorted(spots, at)
             gap = np.minimum(np.abs(spots[np.minimum(right, len(spots) - 1)] - at), np.abs(spots[np.maximum(right - 1, 0)] - at))
             near = float((1.0 / (1.0 + gap)).max())
-    mixed = _MIXED(low)
+    data = np.frombuffer(text.encode(), np.uint8)
+    raw, letter = np.bincount(data, minlength=256), _LETTER[data]
+    # The pattern is slow, and can match only where a sign comes before a letter.
+    mixed = _MIXED(low) if (_SIGN[data[:-1]] & letter[1:]).any() else []
     disguised = sum((plain := m.translate(LOOK_ALIKES)) in LEXICON or plain in STARRED for m in mixed)
-    raw = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
+    same = (data[1:] == data[:-1]) & letter[1:]
+    runs = int((same[1:] & same[:-1]).sum())
     size = max(1, int(raw.sum()))
     upper, letters = raw[65:91].sum(), max(1, raw[65:91].sum() + raw[97:123].sum())
     marks = raw[33:48].sum() + raw[58:65].sum() + raw[91:97].sum() + raw[123:127].sum()
     return [
         np.log1p(len(words)), known / n, np.log1p(known), kinds, own / n, np.log1p(own), person / n, near,
-        upper / letters, float(upper > letters / 2), raw[33] / size, marks / size, raw[48:58].sum() / size, len(mixed) / n, disguised, len(_RUNS(low)) / n,
+        upper / letters, float(upper > letters / 2), raw[33] / size, marks / size, raw[48:58].sum() / size, len(mixed) / n, disguised, runs / n,
     ]
 
 

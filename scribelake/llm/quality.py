@@ -44,8 +44,8 @@ def content(text: str) -> np.ndarray:
         np.log1p(n), lengths.mean(), (lengths > 15).mean(), len(seen) / n, upper / size, lower / size, raw[48:58].sum() / size, marks / size,
         last["decorated"] / n, last["exclaimed"] / n, seen.get("|", 0) / n, 1 - len(seen) / n if n > 20 else 0.0, max(seen.values()) / n, last["stops"] / n, np.log1p(n / (1 + raw[10])),
     )
-    shape = np.fromiter((xxhash.xxh32_intdigest(w[-3:]) % HASHED for w in words[:: max(1, n // 400)]), np.int64)
-    out[len(CONTENT) :] = np.bincount(shape, minlength=HASHED) / len(shape)
+    shape = np.fromiter((xxhash.xxh32_intdigest(w[-3:]) % HASHED for w in seen), np.int64, len(seen))
+    out[len(CONTENT) :] = np.bincount(shape, np.fromiter(seen.values(), np.int64, len(seen)), HASHED) / n
     return out
 
 

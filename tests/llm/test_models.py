@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 
 from scribelake.llm import boosting, lattice, quality, toxicity
 from scribelake.llm.common import documents as table
@@ -134,6 +135,14 @@ def plain_co_training_data():
     return a, b, y
 
 
+def test_word_shapes_count_every_word():
+    text = " ".join(["aaa", "bbb"] * 1200 + ["last"])  # a stride of 2 or more would miss one of the two words
+    want = np.zeros(quality.HASHED)
+    for w in text.split():
+        want[xxhash.xxh32_intdigest(w[-3:]) % quality.HASHED] += 1 / 2401
+    assert np.allclose(quality.content(text)[len(quality.CONTENT) :], want)
+
+
 def test_co_training_learns_from_unlabelled_rows():
     a, b, y = plain_co_training_data()
     model = quality.co_train(a[:60], b[:60], y[:60], a[60:2000], b[60:2000])

@@ -8,6 +8,7 @@ so a variant holds at most as many of them as its ball has points (65), however
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations, repeat
 
 import numpy as np
@@ -72,10 +73,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int,
     """(id, fp) of every row, and for each fp its (copies, root, head: the smallest (id, fp) of its component)."""
     rows = durable(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), text_col="text", out="fp", words=words, seed=seed).drop("text"))
     prints = durable(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies")))
-    parts = connected_components(links(prints, radius)).select(F.col("node").alias("fp"), "root")
+    return rows, _heads(prints, links(prints, radius))
+
+
+def _heads(prints: DataFrame, linked: DataFrame) -> DataFrame:
+    parts = connected_components(linked).select(F.col("node").alias("fp"), "root")
     grouped = prints.join(parts, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = grouped.groupBy("root").agg(F.min(F.when(F.col("least").isNotNull(), F.struct(F.col("least").alias("id"), "fp"))).alias("head"))
-    return rows, durable(grouped.join(heads, "root").select("fp", "copies", "root", "head"))
+    return durable(grouped.join(heads, "root").select("fp", "copies", "root", "head"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
@@ -99,15 +104,25 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     by text. Rows with a null id are all kept, as nothing can name the one to stay. Null, empty and blank texts are one
     group. An empty table stays empty.
     """
-    mark, print_, rank = fresh(docs.columns, "head", "fp", "rank")
     rows, classes = _classes(docs, id_col, text_col, words, seed, radius)
+    return _keep(docs, rows, classes, lambda some, out: with_fingerprint(some, text_col=text_col, out=out, words=words, seed=seed), id_col, text_col)
+
+
+def keep_heads(docs: DataFrame, rows: DataFrame, linked: DataFrame, with_print: Callable[[DataFrame, str], DataFrame], id_col: str, text_col: str) -> DataFrame:
+    """As ``keep_one``, for fingerprints of another kind: ``rows`` (id, fp), the links between them, and what adds them."""
+    prints = durable(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies")))
+    return _keep(docs, rows, _heads(prints, linked), with_print, id_col, text_col)
+
+
+def _keep(docs: DataFrame, rows: DataFrame, classes: DataFrame, with_print: Callable[[DataFrame, str], DataFrame], id_col: str, text_col: str) -> DataFrame:
+    mark, print_, rank = fresh(docs.columns, "head", "fp", "rank")
     heads = classes.where("head is not null and fp = head.fp").select(F.col("head.id").alias(mark), F.col("fp").alias(print_))
     again = durable(rows.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias(mark)))
     same = F.col(id_col) == F.col(mark)
     kept = docs.join(heads.select(mark), same, "left_semi").join(again, same, "left_anti").unionByName(docs.where(F.col(id_col).isNull()))
     if again.isEmpty():
         return kept
-    several = with_fingerprint(docs.join(again, same, "left_semi"), text_col=text_col, out=print_, words=words, seed=seed)
+    several = with_print(docs.join(again, same, "left_semi"), print_)
     pairs = heads.select(F.col(mark), F.col(print_).alias(rank))
     several = several.join(pairs, same & (F.col(print_) == F.col(rank)), "left_semi")
     order = Window.partitionBy(id_col, print_).orderBy(F.col(text_col).asc_nulls_last())

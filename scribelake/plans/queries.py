@@ -522,3 +522,9 @@ def u5_cluster(spark, d):
 
     rows = A.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("recording"), "vec_id", V.normalise(F.col("embedding")).alias("v"))
     return rows.groupBy("recording").applyInPandas(run, "recording long, vec_id long, speaker long")
+
+
+@query()
+def j8_pairwise_cosine_all(spark, d):
+    """As j8_pairwise_cosine, of every vector: all pairs of a label, so rows grow with the square of a label's vectors."""
+    return speakers.pairwise_cosine(A.table(spark, d, "embeddings"), "vec_id", "embedding", ["label"]).withColumn("cosine", F.round("cosine", 6))

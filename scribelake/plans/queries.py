@@ -524,6 +524,14 @@ def u5_cluster(spark, d):
     return rows.groupBy("recording").applyInPandas(run, "recording long, vec_id long, speaker long")
 
 
+@query()
+def s11_device_kinds_all(spark, d):
+    """As s11_device_kinds, of every event."""
+    first = F.concat_ws(".", "event_type", (F.col("event_id") % 3).cast("string"))
+    rows = A.table(spark, d, "events").select("event_id", "user_id", first.alias("first"), F.array(first, F.lit("CPU"), F.concat("event_type", F.lit(".9"))).alias("devices"))
+    return rows.select("event_id", "user_id", "first", F.array_join(X.device_kinds(F.col("devices")), ",").alias("kinds"))
+
+
 @query()
 def j8_pairwise_cosine_all(spark, d):
     """As j8_pairwise_cosine, of every vector: all pairs of a label, so rows grow with the square of a label's vectors."""

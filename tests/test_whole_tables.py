@@ -19,3 +19,10 @@ def test_all_pairs_of_a_label(spark):
     got = {(r["a"], r["b"]): r["cosine"] for r in QUERIES["j8_pairwise_cosine_all"](spark, SF).collect()}
     assert max(b for _, b in got) >= 400 and got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_kinds_of_every_event(spark):
+    rows = pq.read_table(f"{SF}/events.parquet", columns=["event_id", "user_id", "event_type"]).to_pylist()
+    want = {(r["event_id"], r["user_id"], f"{r['event_type']}.{r['event_id'] % 3}", ",".join(sorted({"CPU", r["event_type"]}))) for r in rows}
+    got = [tuple(r) for r in QUERIES["s11_device_kinds_all"](spark, SF).collect()]
+    assert len(got) == len(rows) and set(got) == want

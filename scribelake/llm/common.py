@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -17,11 +18,17 @@ DRAW_DIGITS = 13
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset, as in local tests, a temporary folder is made."""
-    context = spark.sparkContext
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (one process, so every folder is shared) gets a temporary one; on a cluster it is
+    a ValueError, as executors would write to disks of their own.
+    """
+    context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scribelake-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().get()
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="scribelake-"))
+    return named or context._jsc.sc().getCheckpointDir().get()
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -79,8 +79,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int,
 def _heads(prints: DataFrame, linked: DataFrame) -> DataFrame:
     parts = connected_components(linked).select(F.col("node").alias("fp"), "root")
     grouped = prints.join(parts, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    heads = grouped.groupBy("root").agg(F.min(F.when(F.col("least").isNotNull(), F.struct(F.col("least").alias("id"), "fp"))).alias("head"))
-    return durable(grouped.join(heads, "root").select("fp", "copies", "root", "head"))
+    grouped = durable(grouped)
+    heads = grouped.groupBy("root").agg(F.min(F.when(F.col("least").isNotNull(), F.struct(F.col("least").alias("id"), "fp"))).alias("head"), F.count("*").alias("n"))
+    return durable(join_counted(grouped, heads, "root", "n", grouped.count()).select("fp", "copies", "root", "head"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
@@ -125,5 +126,6 @@ def _keep(docs: DataFrame, rows: DataFrame, classes: DataFrame, with_print: Call
     several = with_print(docs.join(again, same, "left_semi"), print_)
     pairs = heads.select(F.col(mark), F.col(print_).alias(rank))
     several = several.join(pairs, same & (F.col(print_) == F.col(rank)), "left_semi")
-    order = Window.partitionBy(id_col, print_).orderBy(F.col(text_col).asc_nulls_last())
-    return kept.unionByName(several.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank, print_))
+    # A minimum, so that the repeats of one id are combined before the shuffle.
+    first = F.min_by(F.struct(*docs.columns), F.struct(F.col(text_col).isNull(), F.col(text_col))).alias(rank)
+    return kept.unionByName(several.groupBy(F.col(id_col).alias(mark), print_).agg(first).select(f"{rank}.*"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,32 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scribelake.sources.shared import durable, shared_folder  # noqa: F401
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Draws use this many hexadecimal digits of an MD5, which a long and a double both hold exactly.
 DRAW_DIGITS = 13
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Where that is unset, a local session (one process, so every folder is shared) gets a temporary one; on a cluster it is
-    a ValueError, as executors would write to disks of their own.
-    """
-    context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="scribelake-"))
-    return named or context._jsc.sc().getCheckpointDir().get()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the cluster's shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -95,8 +75,11 @@ def utf8(texts: pa.Array) -> list[bytes]:
 def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, heavy: int = 1000) -> DataFrame:
     """Inner join with a table that has one row for each key, and in ``count`` the rows that the key has.
 
-    Keys with over a ``heavy``-th of all rows are at most ``heavy``, so they are broadcast; the rest shuffle.
+    Keys with over a ``heavy``-th of all rows are at most ``heavy``, so they are broadcast; the rest shuffle. Of so few rows
+    all keys are.
     """
+    if total <= heavy:
+        return rows.join(F.broadcast(table.where(F.col(count) > 0).drop(count)), key)
     hot = table.where(F.col(count) * heavy > total).drop(count)
     cold = table.where(F.col(count) * heavy <= total).drop(count)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -92,9 +93,10 @@ def fit_isotonic(margin: np.ndarray, y: np.ndarray) -> Isotonic:
     return Isotonic(m / n, np.maximum.accumulate((s + prior) / (n + 1)))
 
 
-def out_of_fold(x: np.ndarray, y: np.ndarray, fold: np.ndarray, **options) -> np.ndarray:
-    """Each row's margin from trees that haven't seen its fold."""
+def out_of_fold(x: Callable[[int], np.ndarray], y: np.ndarray, fold: np.ndarray, **options) -> np.ndarray:
+    """Each row's margin from trees that haven't seen its fold; ``x(fold)`` are all rows' features as made without it."""
     out = np.zeros(len(y))
-    for f in np.unique(fold):
-        out[fold == f] = fit_trees(x[fold != f], y[fold != f], **options).margin(x[fold == f])
+    for f in np.unique(fold).tolist():
+        rows = x(f)
+        out[fold == f] = fit_trees(rows[fold != f], y[fold != f], **options).margin(rows[fold == f])
     return out

@@ -1,9 +1,11 @@
 """Language-model scoring by a subword lattice.
 
 A word is a path through pieces of an existing vocabulary, and its probability is the sum over all paths, by a forward
-recursion in log space. The vocabulary's own scores say how likely a piece is to begin with; the distinct words of the
-training documents then re-weight the pieces by expected counts. Words that training has seen are also remembered whole:
-each keeps its discounted share of the tokens, and what the discount takes is spread by the lattice. So
+recursion in log space. A vocabulary's scores say how likely a piece is to begin with. The public vocabulary at hand is of
+merge ranks, not of unigram scores, so Zipf's law turns its scores into probabilities, and expected counts in the distinct
+words of the training documents re-weight them: a substitute for scores that the file doesn't have. ``lattice_score`` is
+of this alone. For ``score``, words that training has seen are also remembered whole: each keeps its discounted share of
+the tokens, and what the discount takes is spread by the lattice. So
 
     P(word) = max(c - D, 0) / N + D V / N * sum over segmentations of P(pieces) P(stop after the last, go on after others)
 
@@ -12,26 +14,25 @@ which sums to one over all byte strings, and the end of a text is a token with a
 
 from __future__ import annotations
 
-import zlib
+import uuid
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scribelake.llm.common import durable
 
-#: Words with over a HOT-th of all tokens, at most so many, are looked up where texts are read; the rest shuffle.
-HOT = 200_000
+#: So many of the most frequent words, at most, are looked up where texts are read (and a few more that have over a
+#: thousandth of all tokens); the rest shuffle. Longer words than LONG bytes are among those few only.
+HOT, LONG = 200_000, 100
 #: Entries of a worker's word counts before they are handed on.
 HELD = 300_000
-#: Longest piece, in bytes.
-LONGEST = 16
 #: Symbols of a block of words.
 BLOCK = 60_000
 _PRIME, _SPREAD = 0x100000001B3, 0x9E3779B97F4A7C15
@@ -58,7 +59,7 @@ class Pieces:
                 continue
             piece = bytes([int(model.id_to_piece(i)[3:-1], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("▁", " ").encode()
             score = least if model.is_byte(i) else model.get_score(i)
-            if 0 < len(piece) <= LONGEST:
+            if piece:
                 found[piece] = max(score, found.get(piece, score))
         for b in range(256):
             found.setdefault(bytes([b]), least)
@@ -80,6 +81,7 @@ class Lattice:
     def __init__(self, pieces: tuple[bytes, ...], probability: np.ndarray, stop: np.ndarray | float) -> None:
         """``stop``: how likely a word ends after a piece, for each piece or for all."""
         self.last, self.go = np.log(probability) + np.log(stop), np.log(probability) + np.log1p(-np.asarray(stop))
+        self.longest = max(map(len, pieces))
         bits = max(4, (8 * len(pieces)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), 2**bits - 1
         self.slots, self.ids = np.zeros(2**bits, np.uint64), np.full(2**bits, -1, np.int64)
@@ -110,7 +112,7 @@ class Lattice:
         symbols = np.zeros((len(words), longest), np.uint64)
         symbols[np.arange(longest) < size[:, None]] = np.frombuffer(b"".join(words), np.uint8)
         arcs, h = [], np.zeros((len(words), longest), np.uint64)
-        for n in range(1, min(LONGEST, longest) + 1):
+        for n in range(1, min(self.longest, longest) + 1):
             h = h[:, : longest - n + 1] * np.uint64(_PRIME) + symbols[:, n - 1 :] + np.uint64(1)
             ids = self._find(h.reshape(-1)).reshape(h.shape)
             ids[np.arange(longest - n + 1) + n > size[:, None]] = -1
@@ -227,30 +229,31 @@ class WordModel:
     ends: int
     kinds: int  # distinct words
     discount: float
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @property
     def end(self) -> float:
         return (self.ends + 1) / (self.words + self.ends + 2)
 
-    def log10(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        lattice = _lattice(self)
+    def log10(self, words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of words with these counts: with what is remembered of them, and by the lattice alone."""
+        alone = _lattice(self).score([b" " + w for w in words])
         spread = self.discount * self.kinds / self.words if self.words else 1.0
         seen = np.maximum(counts - self.discount, 0) / max(1, self.words)
         with np.errstate(divide="ignore"):
-            both = np.logaddexp(np.log(seen), np.log(spread) + lattice.score([b" " + w for w in words]))
-        return (np.log1p(-self.end) + both) / np.log(10)
+            both = np.logaddexp(np.log(seen), np.log(spread) + alone)
+        return (np.log1p(-self.end) + both) / np.log(10), (np.log1p(-self.end) + alone) / np.log(10)
 
 
-_made: dict[int, Lattice] = {}
+_made: dict[str, Lattice] = {}
 
 
 def _lattice(model: WordModel) -> Lattice:
     """One for each worker and model."""
-    key = zlib.crc32(model.probability.tobytes() + np.asarray(model.stop, float).tobytes())
-    if key not in _made:
+    if model.name not in _made:
         _made.clear()
-        _made[key] = Lattice(model.pieces, model.probability, model.stop)
-    return _made[key]
+        _made[model.name] = Lattice(model.pieces, model.probability, model.stop)
+    return _made[model.name]
 
 
 def fit(counts: DataFrame, ends: int, path: str, *, rounds: int = 2, prior: float = 1000.0) -> WordModel:
@@ -284,13 +287,31 @@ def fit(counts: DataFrame, ends: int, path: str, *, rounds: int = 2, prior: floa
     return WordModel(pieces, probability, stop, total["n"] or 0, ends, total["v"] or 0, discount)
 
 
+def _hot(words: DataFrame, total: int) -> Column:
+    """Which words are looked up where texts are read: frequent and short ones, at most HOT, and any that alone have over a
+    thousandth of all tokens. The limit is read off the numbers of words by magnitude of their count, so it is exact."""
+    size = F.floor(F.log2("everywhere") * 8).cast("int")
+    short = F.octet_length("word") <= LONG
+    numbers = words.where(short).groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect()
+    least, sum_ = None, 0
+    for r in numbers:
+        sum_ += r["count"]
+        if sum_ > HOT:
+            break
+        least = r["size"]
+    often = F.col("everywhere") * 1000 > total
+    return often if least is None else often | (short & (size >= least))
+
+
 def score_texts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, rounds: int = 2) -> DataFrame:
-    """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score.
 
     Tokens are words and one end. Word counts cover all training rows. Frequent words, at most ``HOT``, are scored where
     the text is read; others are shuffled to the word table once per text, and sums come back by row. A null or empty
-    text is one end. Rows are told apart by id and text, and repeated rows have a result each; without training rows all
-    words come from the lattice alone. An empty table gives an empty result; extra columns are ignored.
+    text is one end. A very long text is scored as a whole; a word of n bytes takes memory in proportion to n times the
+    longest piece (some 180 MB for 400,000 bytes without a space). Rows are told apart by id and text, and repeated rows
+    have a result each; without training rows all words come from the lattice alone. An empty table gives an empty
+    result; extra columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), learns(id_col, folds, fold).alias("train"))
     counts = durable(count_words(rows))
@@ -302,28 +323,27 @@ def score_texts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
     def run(batches):
         for batch in batches:
             c = np.array(batch.column("c"), np.int64)
-            log = model.log10(batch.column("word").cast(pa.binary()).to_pylist(), c)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("everywhere"), pa.array(log)], names=["word", "c", "everywhere", "log"])
+            log, alone = model.log10(batch.column("word").cast(pa.binary()).to_pylist(), c)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("everywhere"), pa.array(log), pa.array(alone)], names=["word", "c", "everywhere", "log", "alone"])
 
-    words = durable(counts.mapInArrow(run, "word string, c long, everywhere long, log double"))
-    total = words.agg(F.sum("everywhere")).first()[0] or 0
-    hot = words.where(F.col("everywhere") * HOT > total).select("word", "c", "log").toArrow()
-    known = docs.sparkSession.sparkContext.broadcast({w: (bool(c), np.log10((c + 1) / below).item(), log) for w, c, log in zip(hot.column("word").cast(pa.binary()).to_pylist(), hot.column("c").to_pylist(), hot.column("log").to_pylist(), strict=True)})
-    end = (bool(ends), float(np.log10((ends + 1) / below)), float(np.log10(model.end)))
-
-    # Words have no spaces, so these are none: where the sums of a text without rare words go.
-    aside = docs.sparkSession.range(256).select(F.concat(F.lit(" "), F.col("id").cast("string")).alias("word"), F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("log"))
+    words = durable(counts.mapInArrow(run, "word string, c long, everywhere long, log double, alone double"))
+    hot_ones = _hot(words, words.agg(F.sum("everywhere")).first()[0] or 0)
+    hot = words.where(hot_ones).select("word", "c", "log", "alone").toArrow()
+    columns = (hot.column("word").cast(pa.binary()).to_pylist(), *(hot.column(c).to_pylist() for c in ("c", "log", "alone")))
+    known = docs.sparkSession.sparkContext.broadcast({w: (bool(c), np.log10((c + 1) / below).item(), log, alone) for w, c, log, alone in zip(*columns, strict=True)})
+    last = float(np.log10(model.end))
+    end = (bool(ends), float(np.log10((ends + 1) / below)), last, last)
 
     def split(batches):
         look = known.value.get
         for batch in batches:
             for start in range(0, batch.num_rows, 100):
                 part = batch.slice(start, 100)
-                cols: list[list] = [[] for _ in range(8)]
-                ids, marks, names, times, n_tokens, n_known, base, score = cols
-                for i, (text, train) in enumerate(zip(part.column("text").to_pylist(), part.column("train").to_pylist(), strict=True)):
+                cols: list[list] = [[] for _ in range(9)]
+                ids, marks, names, times, *sums = cols
+                for i, text in enumerate(part.column("text").to_pylist()):
                     found = Counter(tokens(text))
-                    n, k, b, s, rare = 1, int(end[0]), end[1], end[2], []
+                    n, k, b, s, a, rare = 1, int(end[0]), *end[1:], []
                     for word, m in found.items():
                         n += m
                         if (hit := look(word)) is None:
@@ -332,28 +352,33 @@ def score_texts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
                             k += m * hit[0]
                             b += m * hit[1]
                             s += m * hit[2]
+                            a += m * hit[3]
                     mark = xxhash.xxh3_64_intdigest(text) >> 1
-                    rare = rare or [b" %d" % (mark % 256)]
+                    # A text without rare words goes by a name of its own: with a space in it, it is no word.
+                    rare = rare or [b" %d" % (mark ^ xxhash.xxh3_64_intdigest(b"%d %d" % (start, i)))]
                     ids += [i] * len(rare)
                     marks += [mark] * len(rare)
                     names += rare
                     times += [found.get(w, 0) for w in rare]
-                    for column, value in ((n_tokens, n), (n_known, k), (base, b), (score, s)):
+                    for column, value in zip(sums, (n, k, b, s, a), strict=True):
                         column.append(value)
                         column += [None] * (len(rare) - 1)
                 yield pa.RecordBatch.from_arrays([
                     part.column("id").take(pa.array(ids, pa.int64())), pa.array(marks, pa.int64()), pa.array(names, pa.binary()).cast(pa.string()), pa.array(times, pa.int32()),
-                    pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()),
-                ], names=["id", "mark", "word", "times", "n_tokens", "n_known", "base", "score"])
+                    *(pa.array(c, pa.float64() if f else pa.int64()) for f, c in zip((0, 0, 1, 1, 1), sums, strict=True)),
+                ], names=["id", "mark", "word", "times", "n_tokens", "n_known", "base", "score", "lattice"])
 
-    schema = T.StructType([rows.schema["id"], *(T.StructField(n, k) for n, k in (("mark", T.LongType()), ("word", T.StringType()), ("times", T.IntegerType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType())))])
-    table = words.where(F.col("everywhere") * HOT <= total).select("word", "c", "log").unionByName(aside)
-    joined = rows.mapInArrow(split, schema).join(table, "word")
+    schema = T.StructType([rows.schema["id"], *(T.StructField(n, k) for n, k in (("mark", T.LongType()), ("word", T.StringType()), ("times", T.IntegerType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()), ("lattice", T.DoubleType())))])
+    joined = rows.select("id", "text").mapInArrow(split, schema).join(words.where(~hot_ones).select("word", "c", "log", "alone"), "word", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    rest = lambda c: F.col("times") * F.coalesce(c, F.lit(0.0))
     each = joined.groupBy("id", "mark").agg(
         F.count("n_tokens").alias("copies"), F.max("n_tokens").alias("n_tokens"), F.sum(zero("n_known") + F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(zero("base") + F.col("times") * F.log10((F.col("c") + 1) / F.lit(below))).alias("base_score"), F.sum(zero("score") + F.col("times") * F.col("log")).alias("score"),
+        F.sum(zero("base") + rest(F.log10((F.col("c") + 1) / F.lit(below)))).alias("base_score"), F.sum(zero("score") + rest(F.col("log"))).alias("score"), F.sum(zero("lattice") + rest(F.col("alone"))).alias("lattice_score"),
     )
     n = F.col("copies")
     out = each.withColumn("copy", F.explode(F.sequence(F.lit(1), n.cast("int"))))
-    return out.select(F.col("id").alias(id_col), (~learns("id", folds, fold)).alias("held_out"), "n_tokens", (F.col("n_known") / n).cast("long").alias("n_known"), F.lit(train).cast("long").alias("train_tokens"), (F.col("base_score") / n).alias("base_score"), (F.col("score") / n).alias("score"))
+    return out.select(
+        F.col("id").alias(id_col), (~learns("id", folds, fold)).alias("held_out"), "n_tokens", (F.col("n_known") / n).cast("long").alias("n_known"), F.lit(train).cast("long").alias("train_tokens"),
+        *((F.col(c) / n).alias(c) for c in ("base_score", "score", "lattice_score")),
+    )

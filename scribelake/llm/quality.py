@@ -1,8 +1,9 @@
 """Document quality by co-training: a classifier of the text's content and one of the page's metadata.
 
 Both are logistic regressions on labelled documents. In each round, each view labels the unlabelled documents of which it
-is most confident, in the proportion of the classes, and the other view learns from them too. Afterwards both views are
-calibrated on labelled documents that they haven't learned from, and a document's score combines the calibrated views.
+is most confident, in the proportion of the classes, and the other view learns from them too. After each round both views
+are calibrated on labelled documents that they haven't learned from, and the round whose combined score fits those best is
+the one that counts, so an exchange that does harm is undone. A document's score combines the calibrated views.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scribelake.llm.common import add_columns, draw, durable, fresh
+from scribelake.llm.common import add_columns, draw
 from scribelake.llm.toxicity import held_out, labelled_sample
 
 HASHED = 64
 CONTENT = ("words", "word_length", "long_words", "distinct", "capitals", "lower", "digits", "marks", "decorated", "exclaimed", "bars", "repeats", "commonest", "stops", "line_words")
-META = ("log_chars", "lines", "blank_lines", "short_lines", "bytes_per_char", *(f"source_{i}" for i in range(24)), *(f"lang_{i}" for i in range(8)))
+SOURCES, LANGS = 24, 8
+META = ("log_chars", "no_size", *(f"source_{i}" for i in range(SOURCES)), *(f"lang_{i}" for i in range(LANGS)))
 
 
 def content(text: str) -> np.ndarray:
@@ -64,14 +66,13 @@ def raw_ends(words: list[str]) -> dict[str, int]:
     return ends
 
 
-def metadata(text: str, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """How large the page is and how it is laid out, and where it is from; nothing of its words."""
+def metadata(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    """How large the page is said to be and where it is from, nothing of its text, so the views share nothing. Sources and
+    languages are hashed; what is null has a value of its own."""
     out = np.zeros(len(META))
-    lines = text.split("\n")
-    chars = len(text) if n_chars is None else n_chars
-    out[:5] = np.log1p(max(0, chars)), np.log1p(len(lines)), sum(not x for x in lines) / len(lines), sum(len(x) < 30 for x in lines) / len(lines), len(text.encode()) / max(1, len(text))
-    out[5 + xxhash.xxh32_intdigest(source or "") % 24] = 1
-    out[29 + xxhash.xxh32_intdigest(lang or "") % 8] = 1
+    out[0], out[1] = np.log1p(max(0, n_chars or 0)), n_chars is None
+    out[2 + xxhash.xxh32_intdigest(source or "") % SOURCES] = 1
+    out[2 + SOURCES + xxhash.xxh32_intdigest(lang or "") % LANGS] = 1
     return out
 
 
@@ -149,7 +150,7 @@ class QualityModel:
 def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray, *, rounds: int = 5, share: float = 0.05, sure: float = 0.95) -> QualityModel:
     """a, b: the two views of labelled rows; pool_a, pool_b: of unlabelled ones. In a round, a view hands over at most
     ``share`` of the pool, in the proportion of the classes, and only what it is ``sure`` of. A fourth of the labelled
-    rows are kept for calibration."""
+    rows are kept for calibration and to choose the round."""
     prior = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))) if len(y) else 0.0
     keep = np.arange(len(y)) % 4 == 3
     if len(np.unique(y[~keep])) < 2 or len(np.unique(y[keep])) < 2:
@@ -165,7 +166,12 @@ def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, po
             out.append(view)
         return out
 
+    def loss(views: list[Logistic]) -> float:
+        m = views[0].log_odds(a[keep]) + views[1].log_odds(b[keep]) - prior
+        return float((np.logaddexp(0, m) - y[keep] * m).mean())
+
     views = learn()
+    best_loss, best_views = loss(views), views
     for _ in range(rounds if len(pool_a) else 0):
         for giver, taker in ((0, 1), (1, 0)):
             p = 1 / (1 + np.exp(-np.clip(views[giver].log_odds(pools[giver]), -30, 30)))
@@ -174,23 +180,32 @@ def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, po
                 best = free[np.argsort(-confidence[free], kind="stable")][: max(1, int(share * part * len(p)))]
                 labels[taker, best] = label
         views = learn()
-    return QualityModel((views[0], views[1]), prior)
+        if (now := loss(views)) < best_loss:
+            best_loss, best_views = now, views
+    return QualityModel((best_views[0], best_views[1]), prior)
 
 
 def _views(texts: list, langs: list, sources: list, sizes: list) -> tuple[np.ndarray, np.ndarray]:
     texts = [t or "" for t in texts]
     a = np.array([content(t) for t in texts]).reshape(len(texts), len(CONTENT) + HASHED)
-    b = np.array([metadata(t, lang, source, n) for t, lang, source, n in zip(texts, langs, sources, sizes, strict=True)]).reshape(len(texts), len(META))
+    b = np.array([metadata(lang, source, n) for lang, source, n in zip(langs, sources, sizes, strict=True)]).reshape(len(texts), len(META))
     return a, b
 
 
 COLUMNS = ("text", "lang", "source", "n_chars")
 
 
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, lang, source, n_chars); metadata that the table hasn't got is null."""
+    have = {c.lower() for c in docs.columns}
+    also = [F.col(c).cast(k).alias(c) if c in have else F.lit(None).cast(k).alias(c) for c, k in (("lang", "string"), ("source", "string"), ("n_chars", "long"))]
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *also)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 8_000, pool: int = 8_000, seed: int = 2, **options) -> QualityModel:
     """Fits on at most ``sample`` labelled documents outside the held-out fold and a ``pool`` of unlabelled ones for the
     pseudo-labels (documented bounds; scoring has none). Without labels of both classes, every score is the prior."""
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "lang", "source", "n_chars")
+    named = _named(docs, id_col, text_col)
     rows = labelled_sample(named, labels, "quality", id_col="id", text_col="text", rows=sample, seed=seed, also=("lang", "source", "n_chars"))
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"))
     ids = named.select("id").where("id is not null").join(known, "id", "left_anti").orderBy(draw(F.lit(seed + 100), F.col("id")), "id").limit(pool)
@@ -199,12 +214,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     def make(batches):
         for batch in batches:
             a, b = _views(*(batch.column(c).to_pylist() for c in COLUMNS))
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "a": pa.array(list(a), pa.list_(pa.float64())), "b": pa.array(list(b), pa.list_(pa.float64())), "label": batch.column("label").cast(pa.int32())})
-
-    schema = T.StructType([named.schema["id"], T.StructField("a", T.ArrayType(T.DoubleType())), T.StructField("b", T.ArrayType(T.DoubleType())), T.StructField("label", T.IntegerType())])
-    got = rows.unionByName(others).mapInArrow(make, schema).orderBy("id", "label").toArrow()
-    y = np.array(got.column("label"), np.int64)
-    a, b = (np.array(got.column(c).to_pylist()).reshape(len(y), n) for c, n in (("a", len(CONTENT) + HASHED), ("b", len(META))))
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id").cast(pa.string()), "a": pa.array(list(a), pa.list_(pa.float64())), "b": pa.array(list(b), pa.list_(pa.float64())), "label": batch.column("label").cast(pa.int32())})
+
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("a", T.ArrayType(T.DoubleType())), T.StructField("b", T.ArrayType(T.DoubleType())), T.StructField("label", T.IntegerType())])
+    # A bounded sample: it is put in order here, as an order in the plan would compute the features twice.
+    got = rows.unionByName(others).mapInArrow(make, schema).toArrow().to_pydict()
+    order = sorted(range(len(got["id"])), key=lambda i: (got["id"][i], got["label"][i], got["a"][i], got["b"][i]))
+    y = np.array([got["label"][i] for i in order], np.int64)
+    a, b = (np.array([got[c][i] for i in order]).reshape(len(y), n) for c, n in (("a", len(CONTENT) + HASHED), ("b", len(META))))
     has = y >= 0
     return co_train(a[has], b[has], (y[has] == 1).astype(float), a[~has], b[~has], **options)
 
@@ -216,8 +233,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     """One row per row of ``docs``: id, held_out (the id's row isn't learned from), score (0 to 1), content_score,
     metadata_score, predicted (1 for good), keep (the same as a boolean).
 
-    Every whole text is scored. Null texts are empty, null metadata has a value of its own; rows are on their own. Needs
-    the columns lang, source and n_chars; ignores others. Empty tables give empty results.
+    Every whole text is scored, very long ones too. Null texts are empty; null metadata (lang, source, n_chars) has a value
+    of its own, as has metadata whose column isn't there. Rows are on their own: equal rows have equal scores. Other
+    columns are ignored. Empty tables give empty results.
     """
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
 
@@ -225,5 +243,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         a, b = _views(*(cols[c].to_pylist() for c in COLUMNS))
         return [pa.array(s, pa.float64()) for s in model.score(a, b)]
 
-    rows = add_columns(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "lang", "source", "n_chars"), SCORES, make, list(COLUMNS))
+    rows = add_columns(_named(docs, id_col, text_col), SCORES, make, list(COLUMNS))
     return rows.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), *SCORES.names, (F.col("score") >= threshold).cast("int").alias("predicted"), (F.col("score") >= threshold).alias("keep"))

@@ -45,35 +45,28 @@ CODES = 400_000
 
 
 class WordCodes(dict):
-    """What a lower-case word is: 1 in the lexicon, 2 has a learned stem, 4 second person. Remembers up to CODES words."""
+    """What a lower-case word is: 1 in the lexicon, 2 second person, 4 x 2**i has a stem of the ith learned set (up to six).
+    Remembers up to CODES words."""
 
-    def __init__(self, learned: frozenset[str]) -> None:
+    def __init__(self, *learned: frozenset[str]) -> None:
         super().__init__()
         self.learned = learned
 
     def __missing__(self, word: str) -> int:
-        code = (word in LEXICON) | 2 * (f"={word}" in self.learned or any(word[:n] in self.learned for n in STEMS)) | 4 * (word in SECOND_PERSON)
+        own = {f"={word}", *(word[:n] for n in STEMS)}
+        code = (word in LEXICON) | 2 * (word in SECOND_PERSON) | sum(4 << i for i, stems_ in enumerate(self.learned) if not own.isdisjoint(stems_))
         if len(self) < CODES:
             self[word] = code
         return code
 
 
-def features(text: str, codes: WordCodes) -> list[float]:
-    """Dense features of a whole text; zeros for an empty one."""
+def features(text: str, codes: WordCodes) -> list[list[float]]:
+    """Dense features of a whole text, a row for each learned set; zeros for an empty text."""
     low = text.lower()
     words = _WORDS(low)
     n, code = max(1, len(words)), np.frombuffer(bytes(map(codes.__getitem__, words)), np.uint8)
-    counts = np.bincount(code, minlength=8)
-    known, own, person = (int(counts[[c for c in range(8) if c & bit]].sum()) for bit in (1, 2, 4))
-    kinds, near = 0, 0.0
-    if known or own:
-        at = np.flatnonzero(code & 3)
-        kinds = len({words[i] for i in at})
-        if person:
-            spots = np.flatnonzero(code & 4)
-            right = np.searchsorted(spots, at)
-            gap = np.minimum(np.abs(spots[np.minimum(right, len(spots) - 1)] - at), np.abs(spots[np.maximum(right - 1, 0)] - at))
-            near = float((1.0 / (1.0 + gap)).max())
+    known, person = int((code & 1).sum()), int(((code & 2) > 0).sum())
+    spots = np.flatnonzero(code & 2)
     data = np.frombuffer(text.encode(), np.uint8)
     raw, letter = np.bincount(data, minlength=256), _LETTER[data]
     # The pattern is slow, and can match only where a sign comes before a letter.
@@ -84,10 +77,19 @@ def features(text: str, codes: WordCodes) -> list[float]:
     size = max(1, int(raw.sum()))
     upper, letters = raw[65:91].sum(), max(1, raw[65:91].sum() + raw[97:123].sum())
     marks = raw[33:48].sum() + raw[58:65].sum() + raw[91:97].sum() + raw[123:127].sum()
-    return [
-        np.log1p(len(words)), known / n, np.log1p(known), kinds, own / n, np.log1p(own), person / n, near,
-        upper / letters, float(upper > letters / 2), raw[33] / size, marks / size, raw[48:58].sum() / size, len(mixed) / n, disguised, runs / n,
-    ]
+    out = []
+    for i in range(len(codes.learned)):
+        own, at = int(((code & (4 << i)) > 0).sum()), np.flatnonzero(code & (1 | 4 << i))
+        near = 0.0
+        if len(at) and person:
+            right = np.searchsorted(spots, at)
+            gap = np.minimum(np.abs(spots[np.minimum(right, person - 1)] - at), np.abs(spots[np.maximum(right - 1, 0)] - at))
+            near = float((1.0 / (1.0 + gap)).max())
+        out.append([
+            np.log1p(len(words)), known / n, np.log1p(known), len({words[j] for j in at}), own / n, np.log1p(own), person / n, near,
+            upper / letters, float(upper > letters / 2), raw[33] / size, marks / size, raw[48:58].sum() / size, len(mixed) / n, disguised, runs / n,
+        ])
+    return out
 
 
 @dataclass
@@ -101,7 +103,7 @@ class ToxicityModel:
         if not texts:
             return np.zeros(0)
         codes = self.codes = self.codes or WordCodes(self.learned)  # kept by the worker's copy of the model
-        return np.clip(self.isotonic(self.trees.margin(np.array([features(t, codes) for t in texts]))), 0.0, 1.0)
+        return np.clip(self.isotonic(self.trees.margin(np.array([features(t, codes)[0] for t in texts]))), 0.0, 1.0)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0):
@@ -126,53 +128,64 @@ def stems(text: str) -> set[str]:
     return {w[:n] for n in STEMS for w in words if len(w) >= n}.union("=" + w for w in words)
 
 
-def _learned(sample: DataFrame, least_share: float, least: int, ratio: float, most: int) -> frozenset[str]:
-    """Stems in at least a ``least_share`` of the toxic sample, and ``ratio`` times as usual there as elsewhere.
+def _learned(sample: DataFrame, parts: int, least_share: float, least: int, ratio: float, most: int) -> list[frozenset[str]]:
+    """The stems learned from the whole sample, then those learned without part 0, without part 1, ... of it.
 
-    Counts are combined in the worker by blocks of documents and again before the shuffle.
+    A stem is in at least a ``least_share`` of the toxic texts (and ``least`` of them) and ``ratio`` times as usual there as
+    elsewhere; of more than ``most``, the commonest. Counts are combined in the worker by blocks of documents and again
+    before the shuffle.
     """
-    schema = pa.schema([("stem", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
+    names = [f"{kind}{i}" for kind in "tc" for i in range(parts)]
+    schema = pa.schema([("stem", pa.string()), *((n, pa.int64()) for n in names)])
 
     def count(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
-                part, found = batch.slice(start, 200), (Counter(), Counter())
-                for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist(), strict=True):
-                    found[label == 1].update(stems(text or ""))
-                names = sorted(found[0].keys() | found[1].keys())
-                yield pa.RecordBatch.from_pydict({"stem": names, "toxic": [found[1][s] for s in names], "clean": [found[0][s] for s in names]}, schema)
-
-    totals = sample.agg(F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") != 1).alias("c")).first()
-    if not totals["t"] or not totals["c"]:
-        return frozenset()
-    need = max(least, least_share * totals["t"])
-    found = sample.select("text", "label").mapInArrow(count, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    lift = (F.col("t") / totals["t"]) / ((F.col("c") + 0.5) / totals["c"])
-    return frozenset(r["stem"] for r in found.where((F.col("t") >= need) & (lift >= ratio)).orderBy(F.col("t").desc(), "stem").limit(most).collect())
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 12_000, seed: int = 4) -> ToxicityModel:
-    """Fits on at most ``sample`` labelled documents outside the held-out fold (a documented bound; scoring has none).
-
-    Isotonic calibration uses out-of-fold margins of the same sample. With no labels every score is 0.
+                part, found = batch.slice(start, 200), {n: Counter() for n in names}
+                for text, label, i in zip(*(part.column(c).to_pylist() for c in ("text", "label", "part")), strict=True):
+                    found[f"{'t' if label == 1 else 'c'}{i}"].update(stems(text or ""))
+                keys = sorted(set().union(*found.values()))
+                yield pa.RecordBatch.from_pydict({"stem": keys, **{n: [found[n][s] for s in keys] for n in names}}, schema)
+
+    sizes = {(r["toxic"], r["part"]): r["n"] for r in sample.groupBy((F.col("label") == 1).alias("toxic"), "part").agg(F.count("*").alias("n")).collect()}
+    table = sample.select("text", "label", "part").mapInArrow(count, "stem string, " + ", ".join(f"{n} long" for n in names)).groupBy("stem").agg(*(F.sum(n).alias(n) for n in names))
+    table = durable(table.where(sum((F.col(f"t{i}") for i in range(parts)), F.lit(0)) >= least))
+    out = []
+    for without in range(-1, parts):
+        used = [i for i in range(parts) if i != without]
+        toxic, clean = (sum(sizes.get((k, i), 0) for i in used) for k in (True, False))
+        t, c = (sum((F.col(f"{kind}{i}") for i in used), F.lit(0)) for kind in "tc")
+        found = table.where((t >= max(least, least_share * toxic)) & (t / F.lit(float(max(toxic, 1))) >= ratio * (c + 0.5) / F.lit(float(max(clean, 1))))) if toxic and clean else table.limit(0)
+        out.append(frozenset(r["stem"] for r in found.orderBy(t.desc(), "stem").limit(most).collect()))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 12_000, most_stems: int = 1000, parts: int = 3, seed: int = 4) -> ToxicityModel:
+    """Fits on at most ``sample`` labelled documents outside the held-out fold and with at most ``most_stems`` learned word
+    beginnings (documented bounds; scoring has none).
+
+    Isotonic calibration uses margins of models that haven't seen a row's label in any way: for each part of the sample,
+    stems and trees are learned from the other parts. Equal texts are in one part. With no labels every score is 0.
     """
-    rows = durable(labelled_sample(docs, labels, "toxic", id_col=id_col, text_col=text_col, rows=sample, seed=seed))
-    learned = _learned(rows, 0.02, 5, 8.0, 1000)
+    rows = labelled_sample(docs, labels, "toxic", id_col=id_col, text_col=text_col, rows=sample, seed=seed)
+    rows = durable(rows.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int")))
+    learned = _learned(rows, parts, 0.01, 4, 6.0, most_stems)
 
     def make(batches):
-        codes = WordCodes(learned)
+        codes = WordCodes(*learned)
         for batch in batches:
-            x = [features(t or "", codes) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "x": pa.array(x, pa.list_(pa.float64())), "y": batch.column("label").cast(pa.float64())})
-
-    schema = T.StructType([rows.schema["id"], T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("y", T.DoubleType())])
-    got = rows.select("id", "text", "label").mapInArrow(make, schema).orderBy("id", "y").toArrow()
-    x = np.array(got.column("x").to_pylist()).reshape(-1, len(NAMES))
-    y = (np.array(got.column("y")) == 1).astype(float)
+            x = [sum(features(t or "", codes), []) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id").cast(pa.string()), "x": pa.array(x, pa.list_(pa.float64())), "y": batch.column("label").cast(pa.float64()), "part": batch.column("part")})
+
+    got = rows.select("id", "text", "label", "part").mapInArrow(make, "id string, x array<double>, y double, part int").toArrow().to_pydict()
+    order = sorted(range(len(got["y"])), key=lambda i: (got["id"][i], got["y"][i], got["x"][i]))
+    x = np.array([got["x"][i] for i in order]).reshape(len(order), parts + 1, len(NAMES))
+    y, part = (np.array([got[c][i] for i in order]) for c in ("y", "part"))
+    y = (y == 1).astype(float)
     if not len(y):
-        return ToxicityModel(fit_trees(x, y), Isotonic(np.zeros(1), np.zeros(1)), learned)
-    margin = out_of_fold(x, y, np.arange(len(y)) % 3)
-    return ToxicityModel(fit_trees(x, y), fit_isotonic(margin, y), learned)
+        return ToxicityModel(fit_trees(x[:, 0], y), Isotonic(np.zeros(1), np.zeros(1)), learned[0])
+    margin = out_of_fold(lambda i: x[:, 1 + i], y, part)
+    return ToxicityModel(fit_trees(x[:, 0], y), fit_isotonic(margin, y), learned[0])
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", out: str = "toxicity") -> DataFrame:
@@ -185,14 +198,18 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "tex
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
-    """One row per row of ``docs``: id, held_out, score, predicted. Only the text is an input of a score. Empty tables
-    give empty results; equal texts have equal scores; extra columns are ignored."""
+    """One row per row of ``docs``: id, held_out, score, predicted. Only the text is an input of a score.
+
+    A null text is empty, and empty and very long texts are scored as wholes like any other; equal texts have equal
+    scores and repeated rows a result each. A null id is in the fold of the empty text. Empty tables give empty results;
+    extra columns are ignored."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
     rows = with_toxicity(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model, text_col="text", out="score")
     return rows.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; columns are as they were."""
+    """``docs`` without the rows that score ``threshold`` or more; columns are as they were, null texts are scored as
+    empty ones and an empty table stays empty."""
     (score,) = fresh(docs.columns, "score")
     return with_toxicity(docs, fit(docs, labels, id_col=id_col, text_col=text_col, **options), text_col=text_col, out=score).where(F.col(score) < threshold).drop(score)

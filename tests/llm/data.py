@@ -2,7 +2,9 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shingle string, owner int, rank double, `size` int"
+#: Extra columns have names that the operators use themselves.
+CLASHING = ("shingle", "owner", "rank", "size", "score", "held_out", "label", "id", "fp", "word", "mark", "at", "part", "pii_values", "media", "train", "points", "level", "copies")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
 
 
 def documents(spark, rows=None, partitions=3):
@@ -12,7 +14,7 @@ def documents(spark, rows=None, partitions=3):
 
 
 def row(i, text, source="src0", lang="en"):
-    return (i, text, lang, source, None if text is None else len(text), "x", 1, 0.5, 7)
+    return (i, text, lang, source, None if text is None else len(text), *["x"] * len(CLASHING))
 
 
 def words(seed, n):

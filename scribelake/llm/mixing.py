@@ -1,12 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling (DataFrame functions only).
 
-A source's documents are wanted target / size times each. The whole part of that ratio is copied for certain; for the
-rest, each document has the ratio's fraction as its inclusion odds, documents are ranked by random odds divided by
-inclusion odds, and the first are taken until the source's remaining words are reached.
+A source's documents are wanted target / size times each. The whole part of that ratio is copied for certain. For the rest,
+a document's inclusion odds are in proportion to the whole part of the square root of its words, at most 1 (then it is
+certain), and such that the words expected are those that remain. Documents are ranked by random odds divided by inclusion
+odds, and the first are taken until the source's remaining words are reached. One more document fills the gap.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,22 +20,43 @@ BROADCAST_SOURCES = 10_000
 SALTS = 64
 
 
+def _before(rows: DataFrame, key: Column, sums: dict[str, Column], few: bool) -> DataFrame:
+    """Adds for each row the sums over all rows whose key is smaller. Keys are distinct.
+
+    Of more rows than one task should sort, each is sorted in a part between two of a thousand bounds, taken from the rows
+    themselves by a hash, and the sums of the parts before are added.
+    """
+    running = lambda window: {n: F.coalesce(F.sum(c).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for n, c in sums.items()}
+    if few:
+        return rows.withColumns(running(Window.orderBy(key)))
+    cuts = [tuple(r["k"]) for r in rows.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(1000).orderBy("k").collect()]
+    bounds = F.array(*(F.struct(*map(F.lit, c)) for c in cuts))
+    rows = durable(rows.withColumn("part", F.size(F.filter(bounds, lambda c: c < key))))
+    parts = rows.groupBy("part").agg(*(F.sum(c).alias(f"{n}_part") for n, c in sums.items()))
+    parts = parts.select("part", *(F.coalesce(F.sum(f"{n}_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"{n}_parts") for n in sums))
+    rows = rows.withColumns(running(Window.partitionBy("part").orderBy(key))).join(F.broadcast(parts), "part")
+    return rows.withColumns({n: F.col(n) + F.col(f"{n}_parts") for n in sums}).drop("part", *(f"{n}_parts" for n in sums))
+
+
 def targets(sources: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0) -> DataFrame:
-    """Adds ``target`` to (source, source_size).
+    """Adds ``target`` to (source, source_size), one row per source, which should be a written table.
 
     Sources in code-point order, null last, get the weights in turn. Targets share all words by weight but stop at
     ``most`` times the source's own words; what is over is shared again by weight. With the caps sorted by cap / weight,
     the level that each prefix of full sources leaves to the others is highest at the solution, so no iteration is
-    needed. The table has one row per source.
+    needed.
     """
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1)
-    rows = sources.withColumn("w", w).withColumn("cap", F.lit(most) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("w"))
-    before = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum(F.col("source_size").cast("double")).over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    weight = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    rows = rows.withColumn("level", left / weight)
-    return rows.withColumn("target", F.least("cap", F.max("level").over(everything) * F.col("w"))).select("source", "source_size", "target")
+    few = sources.count() <= BROADCAST_SOURCES
+    place = lambda: (F.col("source").isNull(), F.coalesce("source", F.lit("")))
+    rows = _before(sources, F.struct(*place()), {"nth": F.lit(1)}, few)
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights) + 1).cast("int"))
+    rows = rows.withColumn("w", w).withColumn("cap", F.lit(most) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("w"))
+    rows = durable(rows)
+    total = rows.agg(F.sum(F.col("source_size").cast("double")).alias("words"), F.sum("w").alias("w")).first()
+    rows = _before(rows, F.struct("ratio", *place()), {"full": F.col("cap"), "weight": F.col("w")}, few)
+    rows = durable(rows.withColumn("level", (F.lit(total["words"]) - F.col("full")) / (F.lit(total["w"]) - F.col("weight"))))
+    level = rows.agg(F.max("level")).first()[0]
+    return rows.withColumn("target", F.least("cap", F.lit(level) * F.col("w"))).select("source", "source_size", "target")
 
 
 def _by_source(rows: DataFrame, table: DataFrame, count: int) -> DataFrame:
@@ -56,77 +80,108 @@ def _order(id_col: str, seed: int):
     return u / (1 - u)
 
 
-def _ranked(rows: DataFrame, buckets: int) -> DataFrame:
-    """Random odds over inclusion odds, pressed into 0..1; a source that needs no part of a copy has no order."""
-    q = F.try_divide(F.col("order"), F.try_divide(F.col("odds"), 1 - F.col("odds")))
-    return rows.withColumn("rank", q / (1 + q)).withColumn("bucket", F.floor(F.col("rank") * buckets))
+def measure(size: Column) -> Column:
+    """What a document's inclusion odds are in proportion to: a long, so that sums of it are exact."""
+    return F.floor(F.sqrt(size)).cast("long")
 
 
-def _plan(base: DataFrame, weights: tuple[float, ...], most: int, buckets: int) -> tuple[DataFrame, int]:
-    """For each source what decides a row's copies, and how many sources there are, from (id, source, size, order)."""
-    sources = durable(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, most=float(most)))
+def _levels(rows: DataFrame) -> DataFrame:
+    """(of, level) of each source from (source, size, rest): odds are min(1, level x measure), and the words expected are
+    ``rest``. That sum rises with the level and bends where a measure reaches 1, so of the levels that each number of
+    certain measures would give, the highest is right. A source has as many measures as the root of its longest text."""
+    steps = rows.where("size > 0").groupBy("source", measure(F.col("size")).alias("g")).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    order = Window.partitionBy("source").orderBy(F.desc("g"))
+    certain = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_ = F.sum(F.col("g") * F.col("words")).over(order.rowsBetween(0, Window.unboundedFollowing))
+    steps = steps.select(F.col("source").alias("of"), ((F.col("rest") - certain) / open_).alias("level"))
+    return steps.groupBy("of").agg(F.max("level").alias("level"))
+
+
+def _ranked(rows: DataFrame, buckets: int) -> DataFrame:
+    """Random odds over inclusion odds, pressed into 0..1; none for a document without words, or in a source that needs no
+    part of a copy. What is certain comes before all else."""
+    p = F.least(F.lit(1.0), F.col("level") * measure(F.col("size")))
+    q = F.when(p >= 1, F.col("order") / (1 + F.col("order")) * 1e-15).when(p > 0, F.col("order") / (p / (1 - p)))
+    return rows.withColumn("rank", F.when(F.col("odds") > 0, q / (1 + q))).withColumn("bucket", F.floor(F.col("rank") * buckets))
+
+
+def _plan(base: DataFrame, weights: tuple[float, ...], most: int, buckets: int | None) -> tuple[DataFrame, int, int]:
+    """For each source what decides a row's copies, how many sources there are, and into how many buckets the order is
+    cut, from (id, source, size, order)."""
+    # About as many buckets as rows in a bucket, if one source had all.
+    buckets = buckets or 2 ** max(12, math.ceil(math.log2(max(1, base.count())) / 2))
+    sources = durable(base.groupBy("source").agg(F.sum("size").alias("source_size")))
     count = sources.count()
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan = sources.withColumn("whole", F.floor(share)).withColumn("odds", share - F.floor(share)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    open_ = _ranked(_by_source(base, plan.select("source", "odds", "rest"), count).where("odds > 0"), buckets)
+    plan = targets(sources, weights=weights, most=float(most)).withColumn("whole", F.floor(share)).withColumn("odds", share - F.floor(share)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    plan = durable(plan)
+    levels = _levels(_by_source(base, plan.select("source", "odds", "rest"), count).where("odds > 0"))
+    plan = durable(_with(plan, levels))
+    open_ = _ranked(_by_source(base, plan.select("source", "odds", "rest", "level"), count), buckets).where("rank is not null")
 
     upto = Window.partitionBy("source").orderBy("bucket")
     steps = open_.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest")).withColumn("words_to", F.sum("words").over(upto))
     edge = steps.where("words_to > rest").groupBy("source").agg(F.min(F.struct("bucket", (F.col("words_to") - F.col("words")).alias("done"))).alias("e")).select("source", F.col("e.bucket").alias("edge"), F.col("e.done").alias("done")).withColumnRenamed("source", "of")
     plan = durable(_with(plan, edge))
 
-    near = _ranked(_by_source(base, plan, count).where("odds > 0 and edge is not null"), buckets).where("bucket = edge").groupBy("source", "rank").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("done").alias("done"))
+    near = _ranked(_by_source(base, plan, count).where("edge is not null"), buckets).where("bucket = edge").groupBy("source", "rank").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("done").alias("done"))
     near = near.withColumn("to", F.col("done") + F.sum("words").over(Window.partitionBy("source").orderBy("rank")))
     cut = near.where("to <= rest").groupBy("source").agg(F.max("rank").alias("cut"), F.max("to").alias("at")).withColumnRenamed("source", "of")
     plan = _with(plan, cut)
     plan = durable(plan.withColumn("short", F.col("rest") - F.coalesce("at", "done")).withColumn("cut", F.when(F.col("edge").isNull(), 1.0).otherwise(F.coalesce("cut", F.lit(-1.0)))))
 
-    later = _ranked(_by_source(base, plan, count).where("odds > 0 and edge is not null and size < 2 * short"), buckets).where("bucket >= edge and rank > cut and size > 0")
+    later = _ranked(_by_source(base, plan, count).where("edge is not null and size < 2 * short"), buckets).where("bucket >= edge and rank > cut")
     # Rows that share a rank are taken alike; the smallest miss wins, then the first in the order.
     tied = later.groupBy("source", "rank").agg(F.sum("size").alias("words"), F.first("short").alias("short")).where("words < 2 * short")
     fill = tied.groupBy("source").agg(F.min(F.struct(F.abs(F.col("words") - F.col("short")).alias("miss"), "rank")).alias("f")).select(F.col("source").alias("of"), F.col("f.rank").alias("fill"))
-    plan = durable(_with(plan, fill).select("source", "source_size", "target", "whole", "odds", "cut", "edge", "fill"))
+    plan = durable(_with(plan, fill).select("source", "source_size", "target", "whole", "odds", "level", "cut", "edge", "fill"))
 
-    return plan, count
+    return plan, count, buckets
 
 
 def _copied(rows: DataFrame, plan: DataFrame, count: int, buckets: int) -> DataFrame:
-    """Adds ``copies`` to rows that have id, source and order; nothing but the plan is joined."""
+    """Adds ``copies`` to rows that have id, source, size and order; nothing but the plan is joined."""
     rows = _ranked(_by_source(rows, plan, count), buckets)
-    extra = (F.col("odds") > 0) & (F.col("edge").isNull() | (F.col("bucket") < F.col("edge")) | (F.col("rank") <= F.col("cut")) | (F.col("rank") == F.coalesce("fill", F.lit(-1.0))))
+    extra = F.col("rank").isNotNull() & (F.col("edge").isNull() | (F.col("bucket") < F.col("edge")) | (F.col("rank") <= F.col("cut")) | (F.col("rank") == F.coalesce("fill", F.lit(-1.0))))
     return rows.withColumn("copies", (F.coalesce("whole", F.lit(0)) + F.when(extra, 1).otherwise(0)).cast("int"))
 
 
+def _size(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def _base(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    return durable(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), _order(id_col, seed).alias("order")))
+    return durable(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _size(text_col).alias("size"), _order(id_col, seed).alias("order")))
 
 
-def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, seed: int = 8, buckets: int = 4096) -> DataFrame:
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, seed: int = 8, buckets: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id, size, source, source_size, target, copies, taken.
 
     ``taken`` is copies x size, and copies are at most ``most``. The Pareto order of a source is never sorted in one
-    task: words are summed by ``buckets`` of the order, and only the bucket in which the target falls is looked at row
-    by row. Then the one unselected document that brings the source nearest to its target is added, if any does.
+    task: words are summed by ``buckets`` of the order (by default about the root of the rows), and only the bucket in
+    which the target falls is looked at row by row. Then, outside the order, the one unselected document that brings the
+    source nearest to its target is added, if any does: this fill is a short document more often than not.
 
-    A null text has size 0; a null source is a source of its own. Documents of size 0 follow their place in the order.
+    A null text has size 0; a null source is a source of its own. Documents of size 0 come in whole copies only, as they
+    have no odds. Very long texts are counted whole, and where they are certain come first.
     Rows with the same id (nulls among them) share one draw and so are taken alike. A source without words has target 0.
     An empty table gives an empty result; extra columns are ignored. Reruns agree: draws depend on id and seed alone.
     """
     base = _base(docs, id_col, text_col, source_col, seed)
-    rows = _copied(base, *_plan(base, weights, most, buckets), buckets)
+    rows = _copied(base, *_plan(base, weights, most, buckets))
     return rows.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def repeat_by_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, seed: int = 8, buckets: int = 4096) -> DataFrame:
-    """``docs`` with each row as often as ``mix_sources`` takes it; columns are as they were, and texts aren't shuffled."""
-    plan, count = _plan(_base(docs, id_col, text_col, source_col, seed), weights, most, buckets)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), _order(id_col, seed).alias("order"))
-    rows = _copied(rows, plan, count, buckets).where("copies > 0")
+def repeat_by_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, seed: int = 8, buckets: int | None = None) -> DataFrame:
+    """``docs`` with each row as often as ``mix_sources`` takes it; columns are as they were, and texts aren't shuffled. An
+    empty table stays empty."""
+    plan = _plan(_base(docs, id_col, text_col, source_col, seed), weights, most, buckets)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), _size(text_col).alias("size"), _order(id_col, seed).alias("order"))
+    rows = _copied(rows, *plan).where("copies > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
-def mix_sql(weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, seed: int = 8, buckets: int = 4096, documents: str = "documents") -> str:
+def mix_sql(weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: int = 3, seed: int = 8, documents: str = "documents") -> str:
     """The whole of ``mix_sources`` over table ``documents`` in DuckDB: same draws, same arithmetic, plain windows."""
     u = draw_sql(f"'{seed}|' || coalesce(doc_id::VARCHAR, 'null')")
     case = "CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % %d %s END".replace("%d", str(len(weights))).replace("%s", " ".join(f"WHEN {i} THEN {w!r}::DOUBLE" for i, w in enumerate(weights)))
@@ -139,12 +194,18 @@ levels AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER
 targets AS (SELECT source, source_size, least(cap, max(level) OVER () * w) AS target FROM levels),
 plan AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS share FROM targets),
 plan2 AS (SELECT *, floor(share) AS whole, share - floor(share) AS odds, target - floor(share) * source_size AS rest FROM plan),
-ranked AS (SELECT b.doc_id, b.size, p.*, CASE WHEN odds > 0 THEN ((u / (1 - u)) / (odds / (1 - odds))) / (1 + (u / (1 - u)) / (odds / (1 - odds))) END AS rank
-  FROM base b JOIN plan2 p ON b.source IS NOT DISTINCT FROM p.source),
+sized AS (SELECT b.doc_id, b.size, u, floor(sqrt(b.size))::BIGINT AS g, p.* FROM base b JOIN plan2 p ON b.source IS NOT DISTINCT FROM p.source),
+steps AS (SELECT source, g, sum(size) AS words, any_value(rest) AS rest FROM sized WHERE odds > 0 AND size > 0 GROUP BY source, g),
+levels2 AS (SELECT source, (rest - coalesce(sum(words) OVER (PARTITION BY source ORDER BY g DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+  / sum(g * words) OVER (PARTITION BY source ORDER BY g DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM steps),
+level_of AS (SELECT source, max(level) AS level FROM levels2 GROUP BY source),
+odds AS (SELECT s.*, least(1.0::DOUBLE, l.level * g) AS p FROM sized s LEFT JOIN level_of l ON s.source IS NOT DISTINCT FROM l.source),
+over AS (SELECT *, CASE WHEN odds > 0 THEN CASE WHEN p >= 1 THEN (u / (1 - u)) / (1 + u / (1 - u)) * 1e-15::DOUBLE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END END AS q FROM odds),
+ranked AS (SELECT *, q / (1 + q) AS rank FROM over),
 run AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank RANGE UNBOUNDED PRECEDING) AS upto FROM ranked),
-short AS (SELECT source, any_value(rest) - coalesce(max(CASE WHEN upto <= rest THEN upto END), 0) AS short FROM run WHERE odds > 0 GROUP BY source HAVING max(upto) > any_value(rest)),
-tied AS (SELECT r.source, rank, sum(size) AS words, any_value(s.short) AS short FROM run r JOIN short s ON r.source IS NOT DISTINCT FROM s.source WHERE odds > 0 AND upto > rest AND size > 0 AND size < 2 * s.short GROUP BY r.source, rank),
+short AS (SELECT source, any_value(rest) - coalesce(max(CASE WHEN upto <= rest THEN upto END), 0) AS short FROM run WHERE rank IS NOT NULL GROUP BY source HAVING max(upto) > any_value(rest)),
+tied AS (SELECT r.source, rank, sum(size) AS words, any_value(s.short) AS short FROM run r JOIN short s ON r.source IS NOT DISTINCT FROM s.source WHERE rank IS NOT NULL AND upto > rest AND size < 2 * s.short GROUP BY r.source, rank),
 fill AS (SELECT source, arg_min(rank, (abs(words - short), rank)) AS fill FROM tied WHERE words < 2 * short GROUP BY source)
-SELECT r.doc_id, r.size, r.source, r.source_size, r.target, (whole + CASE WHEN odds > 0 AND (upto <= rest OR rank = f.fill) THEN 1 ELSE 0 END)::INTEGER AS copies,
-  (r.size * (whole + CASE WHEN odds > 0 AND (upto <= rest OR rank = f.fill) THEN 1 ELSE 0 END))::BIGINT AS taken
+SELECT r.doc_id, r.size, r.source, r.source_size, r.target, (whole + CASE WHEN rank IS NOT NULL AND (upto <= rest OR rank = f.fill) THEN 1 ELSE 0 END)::INTEGER AS copies,
+  (r.size * (whole + CASE WHEN rank IS NOT NULL AND (upto <= rest OR rank = f.fill) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM run r LEFT JOIN fill f ON r.source IS NOT DISTINCT FROM f.source"""

@@ -1,13 +1,17 @@
 import hashlib
 import io
 import random
+import re
 import wave
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from scribelake.llm import media, sketch
 from tests.llm.data import SCHEMA, awkward, documents, row, words
@@ -81,16 +85,40 @@ def test_media_columns_and_digests(spark):
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=300), st.sets(st.integers(0, 2**64 - 1), max_size=80), st.sets(st.integers(0, 2**64 - 1), max_size=80))
 def test_peeling_recovers_every_difference(shared, a, b):
     left, right = (np.array(sorted(s), np.uint64) for s in (shared | a, shared | b))
-    only_a, only_b = sketch.differences([(left, right), (right, left)])[0]
+    only_a, only_b = sketch.Sketches([left, right]).differences([(0, 1), (1, 0)])[0]
     assert set(only_a.tolist()) == (shared | a) - (shared | b) and set(only_b.tolist()) == (shared | b) - (shared | a)
 
 
 def test_sketches_in_a_batch_are_independent():
     own = np.random.default_rng(1)
-    pairs = [(np.unique(own.integers(0, 2**63, n).astype(np.uint64)), np.unique(own.integers(0, 2**63, m).astype(np.uint64))) for n, m in ((0, 0), (1, 0), (0, 900), (500, 500), (3, 2000))]
-    for (a, b), (x, y) in zip(pairs, sketch.differences(pairs)):
-        assert set(x.tolist()) == set(a.tolist()) - set(b.tolist()) and set(y.tolist()) == set(b.tolist()) - set(a.tolist())
-    assert len(set(sketch.table_digests([p[0] for p in pairs]))) == len({p[0].tobytes() for p in pairs})
+    sets = [np.unique(own.integers(0, 2**63, n).astype(np.uint64)) for n in (0, 0, 1, 0, 0, 900, 500, 500, 3, 2000)]
+    pairs = [(0, 1), (2, 3), (4, 5), (6, 7), (8, 9), (5, 9), (9, 9)]
+    made = sketch.Sketches(sets)
+    for (a, b), (x, y) in zip(pairs, made.differences(pairs)):
+        assert set(x.tolist()) == set(sets[a].tolist()) - set(sets[b].tolist()) and set(y.tolist()) == set(sets[b].tolist()) - set(sets[a].tolist())
+    assert len(set(made.stored())) == len({s.tobytes() for s in sets})
+
+
+def test_folding_gives_the_smaller_table():
+    keys = np.unique(np.random.default_rng(2).integers(0, 2**63, 400).astype(np.uint64))
+    large, small = (sketch.tables([keys], np.array([c])) for c in (192, 48))
+    made, cells = sketch.folded(large, np.array([0]), np.array([3]), np.array([1]), np.array([0]), np.zeros(0, np.int64))
+    assert cells.tolist() == [48] and all((getattr(made, c) == getattr(small, c)).all() for c in ("count", "key", "check"))
+
+
+def test_stored_sketches_of_versions():
+    text = words(3, 900)
+    versions = [text, text.replace("tion", "shun", 4), text[: len(text) * 3 // 4] + words(4, 60), words(5, 200), "", text]
+    for a in versions:
+        for b in versions:
+            doublings, found = 0, None
+            while (found := sketch.compare(sketch.sketch(a, doublings), sketch.sketch(b, doublings))) is None:
+                doublings += 1
+            x, y = (Counter(plain_pieces(t)) for t in (a, b))
+            apart = ((x - y).total(), (y - x).total())
+            assert (len(found[0]), len(found[1])) == apart
+            assert found[2] == pytest.approx((x & y).total() / (x | y).total() if x or y else 1.0)
+    assert sketch.compare(sketch.sketch(text), sketch.sketch(versions[1])) is not None  # a small edit needs no larger tables
 
 
 def test_pieces_lose_nothing_and_stay_where_the_text_does():
@@ -100,26 +128,54 @@ def test_pieces_lose_nothing_and_stay_where_the_text_does():
     a, b = sketch.digests(text), sketch.digests(text[: len(text) * 3 // 4] + many(9, 80))
     both = len(np.intersect1d(a, b))
     assert both > 0.5 * len(a) and len(np.intersect1d(a, sketch.digests(many(77, 400)))) < 0.05 * len(a)
-    assert len(sketch.digests("a a a a")) == 4 and len(sketch.digests("")) == 0
+    assert len(sketch.digests("d d d d")) == 4 and len(sketch.digests("")) == 0
+
+
+def plain_pieces(text):
+    """Word by word: a piece ends with its line, with a word whose last byte is 0 modulo 4, or with its twelfth word."""
+    data, out, held, end = text.encode(), [], [], 0
+    for m in re.finditer(rb"[^ \t-\r]+", data):
+        if held and b"\n" in data[end : m.start()]:
+            out.append(data[held[0] : end])
+            held = []
+        held.append(m.start())
+        end = m.end()
+        if data[end - 1] % 4 == 0 or len(held) == 12:
+            out.append(data[held[0] : end])
+            held = []
+    return out + ([data[held[0] : end]] if held else [])
 
 
 def plain(rows):
-    order = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], r[1] or ""))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0], xxhash.xxh64_intdigest((r[1] or "").encode(), 42) + 2**63 & 2**64 - 1, r[1] or ""))
     for i, r in enumerate(order):
         text, after = r[1] or "", order[(i + 1) % len(order)][1] or ""
         k = len(text) // 4
         edited = text[: len(text) - k] + after[:k]
-        sets = [set(sketch.digests(t).tolist()) for t in (text, edited, after)]
-        near = [len(sets[0] & s) / len(sets[0] | s) if sets[0] | s else 1.0 for s in sets[1:]]
+        own, *others = (Counter(plain_pieces(t)) for t in (text, edited, after))
+        near = [(own & x).total() / (own | x).total() if own or x else 1.0 for x in others]
         yield r[0], len(text), hashlib.sha256(edited.encode()).hexdigest(), round(near[0], 9), round(near[1], 9)
 
 
+def fingerprint_rows(out):
+    return Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in out)
+
+
 def test_fingerprints_like_a_plain_loop(spark):
-    rows = awkward() + [row(i, words(i, i % 60)) for i in range(200, 400)]
+    rows = awkward() + [row(i, words(i, i % 60)) for i in range(200, 400)] + [row(41, words(i, 9)) for i in range(60)] + [row(900, words(9, 30_000))]
     for parts in (1, 3, 16):
         got = sketch.fingerprint_documents(documents(spark, rows), parts=parts).collect()
-        assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == Counter(plain(rows))
-        assert len({(r["fingerprint"]) for r in got}) == len({tuple(sketch.digests(r[1] or "").tolist()) for r in rows})
+        assert fingerprint_rows(got) == Counter(plain(rows))
+        assert len({(r["fingerprint"]) for r in got}) == len({tuple(sorted(Counter(plain_pieces(r[1] or "")).items())) for r in rows})
+    named = documents(spark, [r for r in rows if r[0] is not None]).withColumn("doc_id", F.format_string("a%05d", "doc_id"))
+    got = sketch.fingerprint_documents(named, parts=5).collect()
+    want = Counter((f"a{i:05d}", *rest) for (i, *rest) in plain([r for r in rows if r[0] is not None]))
+    assert fingerprint_rows(got) == want
+
+
+def test_sketch_column(spark):
+    got = sketch.with_sketch(documents(spark)).collect()
+    assert all(bytes(r["sketch"]) == sketch.sketch(r["text"] or "") for r in got)
 
 
 def test_one_document_and_none(spark):

@@ -9,12 +9,22 @@ linked across documents. Checksums are set anew, so a pseudonym is as valid as w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 4
-#: Dates from FIRST_DAY on, DAY_HIGH x DAY_LOW days (to 2101-10-26), are permuted among themselves.
-FIRST_DAY, DAY_HIGH, DAY_LOW = "1900-01-01", 271, 272
+#: The DAY_HIGH x DAY_LOW = 73,049 days from FIRST_DAY to 2099-12-31, all that the pattern knows, are permuted.
+FIRST_DAY, DAY_HIGH, DAY_LOW = "1900-01-01", 4297, 17
+#: Where the session names the key, and where that is kept otherwise.
+KEY_SETTING, KEY_VARIABLE = "spark.scribelake.pseudonym.secret", "SCRIBELAKE_PSEUDONYM_SECRET"
+#: Letters that move among themselves, besides digits and ASCII letters: first and last code point. Other letters stay.
+LETTERS = {
+    "latin small": (0xE0, 0xF6), "latin capital": (0xC0, 0xD6), "greek small": (0x3B1, 0x3C1), "greek capital": (0x391, 0x3A1), "cyrillic capital": (0x410, 0x42F), "cyrillic small": (0x430, 0x44F),
+    "hebrew": (0x5D0, 0x5EA), "arabic": (0x628, 0x63A), "devanagari": (0x915, 0x939), "thai": (0xE01, 0xE2E), "hiragana": (0x3042, 0x3093), "katakana": (0x30A2, 0x30F3), "han": (0x4E00, 0x9FA5), "hangul": (0xAC00, 0xD7A3),
+}
 SSN_AREAS, SSN_GROUPS, SSN_SERIALS = 898, 99, 9999
 
 _B, _E = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
@@ -25,7 +35,8 @@ PATTERNS = {
     "iban": _B + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _E,
     "date": _B + r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}" + _E,
     "ssn": _B + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _E,
-    "phone": r"(?:(?<![\p{L}\p{N}+])\+[0-9]{1,3}[ .-]?|(?<![\p{L}\p{N}]))(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _E,
+    "phone": r"(?:(?<![\p{L}\p{N}+])\+[0-9]{1,3}[ .-]?|(?<![\p{L}\p{N}]))(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _E
+    + r"|(?<![\p{L}\p{N}+])\+(?=(?:[ ./()-]{0,2}[0-9]){8,15}" + _E + r")[1-9][0-9]{0,2}(?:[ ./-]?\(?[0-9]{1,6}\)?){1,6}" + _E,
     "ip": r"(?<![\p{L}\p{N}.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![\p{L}\p{N}]|\.[0-9])",
     "card": _B + r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _E,
 }
@@ -46,8 +57,9 @@ def _number(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 
-def _shift(text: Column, digest: Column) -> Column:
-    """Each ASCII letter or digit moved within its class by its own place in a keystream; others stay."""
+def _shift(text: Column, digest: Column, letters: bool) -> Column:
+    """Each digit, ASCII letter or, if wanted, letter of LETTERS moved within its class by its own place in a keystream;
+    others stay."""
 
     def one(i: Column) -> Column:
         c = F.substring(text, i, F.lit(1))
@@ -56,7 +68,12 @@ def _shift(text: Column, digest: Column) -> Column:
         stream = F.when(block == 0, digest).otherwise(F.sha2(F.concat(digest, block.cast("string")), 256))
         k = F.conv(F.substring(stream, (i - 1) % 14 * 4 + 1, F.lit(4)), 16, 10).cast("long")
         moved = lambda first, n: F.char((F.ascii(c) - ord(first) + k) % n + ord(first))
-        return F.when(c.between("0", "9"), moved("0", 10)).when(c.between("a", "z"), moved("a", 26)).when(c.between("A", "Z"), moved("A", 26)).otherwise(c)
+        point = F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("long")
+        wide = c
+        for first, last in LETTERS.values() if letters else ():
+            new = F.decode(F.unhex(F.lpad(F.hex((point - first + k) % (last - first + 1) + first), 4, "0")), "UTF-16BE")
+            wide = F.when(point.between(first, last), new).otherwise(wide)
+        return F.when(c.between("0", "9"), moved("0", 10)).when(c.between("a", "z"), moved("a", 26)).when(c.between("A", "Z"), moved("A", 26)).when(c < "\x80", c).otherwise(wide)
 
     return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), one), ""))
 
@@ -75,12 +92,12 @@ def _rounds(state: Column, left, right) -> Column:
     return state
 
 
-def permute_text(text: Column, key: str, tweak: str) -> Column:
+def permute_text(text: Column, key: str, tweak: str, letters: bool = False) -> Column:
     """Feistel over a string's two halves. Classes and places of characters stay, so it is a permutation of the format."""
     half = F.floor(F.length(text) / 2).cast("int")
     state = F.struct(F.substring(text, F.lit(1), half).alias("a"), F.substring(text, half + 1, F.length(text)).alias("b"))
-    left = lambda i, a, b: _let(_digest(key, tweak, i, b), lambda d: _shift(a, d))
-    right = lambda i, a, b: _let(_digest(key, tweak, i, a), lambda d: _shift(b, d))
+    left = lambda i, a, b: _let(_digest(key, tweak, i, b), lambda d: _shift(a, d, letters))
+    right = lambda i, a, b: _let(_digest(key, tweak, i, a), lambda d: _shift(b, d, letters))
     return _let(_rounds(state, left, right), lambda s: F.concat(s["a"], s["b"]))
 
 
@@ -111,7 +128,7 @@ def _digits(text: Column) -> Column:
 def _email(m: Column, key: str) -> Column:
     """All before the last two labels of the domain, so that the domain's owner stays."""
     tail = F.regexp_extract(m, r"(?:@|\.)([^@.]+\.[^@.]+)$", 0)
-    return F.concat(permute_text(F.substring(m, F.lit(1), F.length(m) - F.length(tail)), key, "email"), tail)
+    return F.concat(permute_text(F.substring(m, F.lit(1), F.length(m) - F.length(tail)), key, "email", letters=True), tail)
 
 
 def _iban(m: Column, key: str) -> Column:
@@ -183,13 +200,26 @@ def pseudonym(match: Column, key: str) -> Column:
     return _let(kind_of(match), made)
 
 
-def pseudonymise(docs: DataFrame, *, text_col: str = "text", key: str = "scribelake") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The secret of ``KEY_SETTING``, else of the environment's ``KEY_VARIABLE``, else one drawn at random and kept for the
+    session's life: then values stay linked within the session, and nobody can turn them back. There is no built-in key."""
+    key = spark.conf.get(KEY_SETTING, None) or os.environ.get(KEY_VARIABLE)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with private values of ``text_col`` replaced, and with ``pii_values``: (kind, pseudonym) in text order.
 
     A map over rows: no shuffle, and every other column passes through. A null text stays null and an empty one empty,
-    both with no values; repeated rows give equal results; a column that is named ``pii_values`` already is replaced.
-    Set ``key`` to a secret for use; the same key gives the same pseudonyms everywhere.
+    both with no values; very long texts are searched whole; repeated rows give equal results; an empty table stays empty;
+    a column that is named ``pii_values`` already is replaced. ``key`` is a secret that isn't empty: whoever has it can turn
+    pseudonyms back, and the same key gives the same pseudonyms everywhere. The plan holds it, so plans are as secret.
     """
+    if not key:
+        raise ValueError("a key is needed")
     text = F.col(text_col)
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     value = lambda m: _let(pseudonym(m, key), lambda p: F.struct(F.when(p == m, F.lit(None)).otherwise(kind_of(m)).alias("kind"), p.alias("value")))

@@ -59,7 +59,7 @@ def op9_bloom_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pii.pseudonymise(documents(spark, sf_dir))
+    rows = pii.pseudonymise(documents(spark, sf_dir), key=pii.session_key(spark))
     count = lambda kind: F.size(F.filter("pii_values", lambda v: v["kind"] == kind)).alias(f"n_{kind}")
     return rows.select("doc_id", "text", F.size("pii_values").alias("n_values"), *map(count, pii.KINDS))
 

@@ -126,14 +126,15 @@ def mod97(text):
 
 
 def shape(text):
-    return re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", text)))
+    wide = lambda c: next((chr(first) for first, last in pii.LETTERS.values() if first <= ord(c) <= last), c)
+    return re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", "".join(map(wide, text)))))
 
 
 VALUES = {
     "card": ["4111111111111111", "4111-1111-1111-1111", "3782 822463 10005", "6011000990139424000" if luhn("6011000990139424000") else "4242424242424242"],
     "iban": ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606"],
-    "date": ["1999-12-31", "2000-02-29", "2024-01-01"], "ssn": ["123-45-6789", "899-01-0001"], "phone": ["+1 (017) 555-7713", "555-123-4567", "(212) 555-0100"],
-    "ip": ["192.168.0.1", "8.8.8.8", "255.255.255.255"], "email": ["und.34@mail7.example.com", "réne.x@a-b.example.org", "a+b@site.co"],
+    "date": ["1999-12-31", "2000-02-29", "2024-01-01"], "ssn": ["123-45-6789", "899-01-0001"], "phone": ["+49 30 1234567", "+44 (20) 7946 0958", "+33 1 42 68 53 00", "+1 (017) 555-7713", "555-123-4567", "(212) 555-0100"],
+    "ip": ["192.168.0.1", "8.8.8.8", "255.255.255.255"], "email": ["田中@例え.jp", "Ольга.ß@почта.example.org", "und.34@mail7.example.com", "réne.x@a-b.example.org", "a+b@site.co"],
 }
 
 
@@ -171,9 +172,10 @@ def plain_text(text, key, tweak):
         for i, c in enumerate(part):
             stream = d if i < 14 else hashlib.sha256(f"{d}{i // 14}".encode()).hexdigest()
             k = int(stream[i % 14 * 4 : i % 14 * 4 + 4], 16)
-            for first, n in (("0", 10), ("a", 26), ("A", 26)):
-                if ord(first) <= ord(c) < ord(first) + n:
-                    c = chr((ord(c) - ord(first) + k) % n + ord(first))
+            wide = [(a, b - a + 1) for a, b in pii.LETTERS.values()] if tweak == "email" else []
+            for first, n in [(48, 10), (97, 26), (65, 26), *wide]:
+                if first <= ord(c) < first + n:
+                    c = chr((ord(c) - first + k) % n + first)
                     break
             out += c
         return out
@@ -210,8 +212,8 @@ def plain_pseudonym(kind, v, key):
         return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
     if kind == "date":
         day = (datetime.date.fromisoformat(v) - datetime.date(1900, 1, 1)).days
-        a, b = plain_pair(day // 272, day % 272, 271, 272, key, kind)
-        return str(datetime.date(1900, 1, 1) + datetime.timedelta(a * 272 + b))
+        a, b = plain_pair(day // 17, day % 17, 4297, 17, key, kind)
+        return str(datetime.date(1900, 1, 1) + datetime.timedelta(a * 17 + b))
     area, group, serial = map(int, v.split("-"))
     a, b = plain_pair((area - 1 - (area > 666)) * 99 + group - 1, serial - 1, 898 * 99, 9999, key, "ssn")
     area = a // 99 + 1
@@ -226,10 +228,33 @@ def test_pseudonyms_like_plain_python(spark):
 
 
 def test_only_valid_values_change(spark):
-    texts = ["4111111111111112", "2021-02-30", "666-12-3456", "256.1.1.1", "version 4.0.", "DE00370400440532013000", "a@b", "token = 9233a8ecf7c5b09fe5949719b6b82bc439e9329b", "x4111111111111111", "", None, "1.2.3.4.5"]
+    texts = ["4111111111111112", "2021-02-30", "666-12-3456", "256.1.1.1", "version 4.0.", "DE00370400440532013000", "a@b", "+12 345", "4 +5000000 x", "token = 9233a8ecf7c5b09fe5949719b6b82bc439e9329b", "x4111111111111111", "", None, "1.2.3.4.5"]
     assert replaced(spark, texts) == [(t, []) for t in texts]
 
 
+def test_a_key_is_needed(spark, monkeypatch):
+    docs = documents(spark)
+    with pytest.raises(TypeError):
+        pii.pseudonymise(docs)
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs, key="")
+    monkeypatch.setenv(pii.KEY_VARIABLE, "from the environment")
+    spark.conf.unset(pii.KEY_SETTING)
+    assert pii.session_key(spark) == "from the environment"
+    monkeypatch.delenv(pii.KEY_VARIABLE)
+    drawn = pii.session_key(spark)
+    assert len(drawn) == 32 and pii.session_key(spark) == drawn
+    spark.conf.set(pii.KEY_SETTING, "named")
+    assert pii.session_key(spark) == "named"
+    spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_a_very_long_text(spark):
+    value = "4111111111111111"
+    text, found = replaced(spark, [("word " * 60_000 + value + " ") * 2])[0]
+    assert len(found) == 2 and found[0] == found[1] and value not in text and len(text) == 2 * (300_000 + 17)
+
+
 def test_adjacent_values_and_gaps(spark):
     text, found = replaced(spark, ["7536784127813050 4845168114407329 30 4111111111111111!!"])[0]
     kinds = [k for k, _ in found]
@@ -238,11 +263,14 @@ def test_adjacent_values_and_gaps(spark):
 
 
 def test_a_permutation(spark):
-    area, dates = [f"{i:03d}-55-1234" for i in range(1, 900) if i != 666], spark.range(0, 73712, 7).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
+    area = [f"{i:03d}-55-1234" for i in range(1, 900) if i != 666]
     new = [t for t, _ in replaced(spark, area)]
     assert len(set(new)) == len(area)
-    out = pii.pseudonymise(dates.where("text < '2100'")).select("text").collect()
-    assert len({r["text"] for r in out}) == len(out)
+    days = [str(datetime.date(1900, 1, 1) + datetime.timedelta(i)) for i in range(73_049)]
+    assert days[-1] == "2099-12-31"
+    dates = spark.createDataFrame([(d,) for d in days], "text string").repartition(8)
+    out = pii.pseudonymise(dates, key="k").select("text").collect()
+    assert {r["text"] for r in out} == set(days)
     small = [f"{i:05d}" for i in range(0, 100_000, 9)]
     rows = spark.createDataFrame([(s,) for s in small], "t string").select(pii.permute_text(F.col("t"), "k", "test").alias("p")).collect()
     assert len({r["p"] for r in rows}) == len(small) and all(re.fullmatch("[0-9]{5}", r["p"]) for r in rows)
@@ -250,12 +278,13 @@ def test_a_permutation(spark):
 
 
 def test_awkward_rows_pass_through(spark):
-    docs = documents(spark)
-    out = pii.pseudonymise(docs)
+    assert [f.name for f in pii.pseudonymise(documents(spark), key="k").schema if f.name == "pii_values"] == ["pii_values"]
+    docs = documents(spark).drop("pii_values")
+    out = pii.pseudonymise(docs, key="k")
     assert out.drop("pii_values").columns == docs.columns and Counter(out.drop("pii_values").collect()) == Counter(docs.collect())
 
 
 def test_native_operators_on_an_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
-    for out in (sharding.assign_shards(none, sharding.Tree.even(24)), mixing.mix_sources(none), mixing.repeat_by_mix(none), pii.pseudonymise(none)):
+    for out in (sharding.assign_shards(none, sharding.Tree.even(24)), mixing.mix_sources(none), mixing.repeat_by_mix(none), pii.pseudonymise(none, key="k")):
         assert out.count() == 0

@@ -1,4 +1,4 @@
-"""The public surface: a library of notes kept as event logs, request validation, and the one job slot."""
+"""The public surface: a library of notes kept as event logs, transcription jobs, request validation, the one job slot."""
 
 from __future__ import annotations
 
@@ -13,9 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scribelake.functions import text as X
-from scribelake.operators import library, mutations
+from scribelake.operators import jobs, library, mutations
+from scribelake.operators.models import finish_write
+from scribelake.operators.signal import RATE
+from scribelake.operators.speakers import Embedder
 from scribelake.operators.text import keywords
+from scribelake.operators.transcribe import Transcriber, live_text, transcribe_recordings, transcribe_segments
+from scribelake.sources.audio import EXTENSIONS, HEADER, AudioFolder, decode_recordings, recordings
+from scribelake.sources.shared import durable
 from scribelake.sources.sinks import export_txt
+from scribelake.streaming.live import assemble_wav, live_segments
 
 # Sources of live audio and device labels, in order of preference.
 LIVE_SOURCES = ("mic", "system", "both")
@@ -33,15 +40,25 @@ class RequestError(Exception):
 class Library:
     """Notes and folders below a path, as append-only event logs that are folded when read.
 
-    One writer: sequence numbers come from a counter that starts after the largest in the logs. Readers need no lock.
+    One writer: sequence numbers come from a counter that starts after the largest in the logs, and so do note ids. Readers
+    need no lock. After ``compact_after`` events a log is written anew, compacted. Audio files are kept beside the logs.
     """
 
-    def __init__(self, spark: SparkSession, path: str, clock: Callable[[], float] = time.time) -> None:
-        self.spark, self.path, self.clock, self._lock = spark, path, clock, threading.Lock()
+    def __init__(self, spark: SparkSession, path: str, clock: Callable[[], float] = time.time, compact_after: int = 1000) -> None:
+        self.spark, self.path, self.clock, self.compact_after = spark, path, clock, compact_after
+        self.audio, self.slot, self.job = AudioFolder(spark, f"{path}/audio"), JobSlot(), None
+        self._lock, self._appended = threading.RLock(), 0
         for name, schema in (("note_events", mutations.NOTE_EVENTS), ("folder_events", mutations.FOLDER_EVENTS)):
             spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/{name}")
         tops = [self._events(n).agg(F.max("seq")).first()[0] for n in ("note_events", "folder_events")]
         self._seq = max([-1, *(t for t in tops if t is not None)])
+        self._next_note = self._after_notes()
+
+    def _after_notes(self) -> int:
+        """One more than the largest id in use; only ids and sequence numbers are read."""
+        events = self._events("note_events")
+        lives = events.groupBy("note_id").agg(F.max_by("op", F.when(F.col("op").isin("create", "delete"), F.col("seq"))).alias("last"))
+        return (lives.where("last = 'create'").agg(F.max("note_id")).first()[0] or 0) + 1
 
     def _events(self, name: str) -> DataFrame:
         schema = mutations.NOTE_EVENTS if name == "note_events" else mutations.FOLDER_EVENTS
@@ -52,6 +69,16 @@ class Library:
         numbered = [(self._seq + i + 1, *row) for i, row in enumerate(rows)]
         self._seq += len(rows)
         self.spark.createDataFrame(numbered, schema).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
+        self._appended += len(rows)
+        if self._appended >= self.compact_after:
+            self.compact()
+
+    def compact(self) -> None:
+        """Writes the log of notes anew, a create and at most one update for each. Readers should begin afresh after it."""
+        with self._lock:
+            rows = durable(mutations.compact(self._events("note_events"), self._events("folder_events")))
+            rows.write.mode("overwrite").parquet(f"{self.path}/note_events")
+            self._appended = 0
 
     def notes(self) -> DataFrame:
         return mutations.current_notes(self._events("note_events"), self._events("folder_events"))
@@ -73,15 +100,19 @@ class Library:
         return keywords(self.notes().where(F.col("id") == note_id), "id", "transcript", limit).first()["keywords"]
 
     def create(self, title: str, source: str, transcript: str = "", audio: str | None = None, folder_id: int | None = None) -> int:
-        """The new note's id, one more than the largest in use. A folder that isn't there leaves the note unfiled."""
+        """The new note's id, one more than the largest in use. A folder that isn't there leaves the note unfiled; an audio
+        file is copied into the library."""
         with self._lock:
             now = self.clock()
             if folder_id is not None and self.folders().where(F.col("id") == folder_id).isEmpty():
                 folder_id = None
-            note_id = (self.notes().agg(F.max("id")).first()[0] or 0) + 1
             name = f"{int(now)}-{os.path.basename(audio)}" if audio else None
+            if audio:
+                self.audio.keep(audio, name)
+            note_id = self._next_note
             fields = {"title": title.strip() or X.DEFAULT_TITLE, "source": source, "transcript": transcript, "audio": name, "folder_id": None if folder_id is None else str(folder_id)}
             self._append("note_events", [("create", note_id, fields, now)])
+            self._next_note += 1
             return note_id
 
     def update(self, note_id: int, **fields: Any) -> None:
@@ -103,19 +134,29 @@ class Library:
         return target
 
     def attach_audio(self, note_id: int, path: str) -> str | None:
-        """The audio's name, or None if the note isn't there or has audio already."""
+        """Copies a recording in and gives its name, or None if the note isn't there or has audio already, or if the file is
+        no more than a header."""
         with self._lock:
+            if not self.audio.has_sound(path):
+                return None
             found = mutations.attach_audio(self.notes(), self.spark.createDataFrame([(note_id, path)], "note_id long, path string"), self.clock()).first()
             if found is None:
                 return None
+            self.audio.keep(path, found["fields"]["audio"])
             self._append("note_events", [("update", note_id, dict(found["fields"]), found["at"])])
             return found["fields"]["audio"]
 
     def delete(self, note_id: int, running_note: int | None = None) -> None:
-        if note_id == running_note:
+        """For good, with the note's audio file. The note of the running job stays."""
+        if note_id == running_note or (self.slot.running is not None and note_id == self.slot.running):
             raise RequestError(409, "the note's job is running", "busy")
         with self._lock:
+            note = self.get(note_id)
             self._append("note_events", [("delete", note_id, {}, self.clock())])
+            if note and note["audio"]:
+                self.audio.remove(note["audio"])
+            if note_id == self._next_note - 1:
+                self._next_note = self._after_notes()
 
     def create_folder(self, name: str) -> int:
         name = mutations.folder_name(name)
@@ -137,6 +178,139 @@ class Library:
         export_txt(note["transcript"], path)
 
 
+    # ---- jobs ----
+    def job_state(self) -> dict:
+        """The last job as a poll shows it: the fold of its events, the seconds recorded, its note; idle before the first."""
+        return {"state": "idle"} if self.job is None else self.job.state(self.spark)
+
+    def _begin(self, operation: str, note_id: int) -> Job:
+        self.slot.start(note_id)
+        self.job = Job(operation, note_id, self.clock)
+        return self.job
+
+    def _end(self, job: Job, kind: str, value: str | None, duration: float | None = None) -> None:
+        """Writes the transcript (of a failed job, the text that was complete), then frees the slot."""
+        try:
+            if kind == "done":
+                wrong = finish_write(self.update, job.note_id, value or "", duration)
+                kind, value = ("error", wrong) if wrong else (kind, value)
+            elif job.saved:
+                finish_write(self.update, job.note_id, job.saved, None)
+        finally:
+            job.emit(kind, value)
+            self.slot.release()
+
+    def transcribe(self, path: str, body: dict, devices: list[str], make: Callable[[str], Callable[[], Transcriber]], speakers: Callable[[], Embedder] | None = None, decoders: dict[str, Callable] | None = None) -> int:
+        """Transcribes a recording into a new note and gives its id; ``job_state`` shows how it ended.
+
+        ``make`` gives the factory of a device's model; ``speakers`` a speaker model's, used unless the body says
+        ``speakers: false``. The body is checked, and the slot must be free, before a note is made.
+        """
+        if not self.audio.has_sound(path) or os.path.splitext(path)[1].lower() not in EXTENSIONS:
+            raise RequestError(400, "not a recording", "invalid_file")
+        validate_transcribe(body, devices)
+        self.slot.check()
+        note_id = self.create(os.path.splitext(os.path.basename(path))[0], "audio", audio=path, folder_id=body.get("folder_id"))
+        job = self._begin("transcribe", note_id)
+        try:
+            job.emit("phase", "decoding")
+            files = recordings(self.spark, f"{self.audio.path}/{self.get(note_id)['audio']}")
+            runs = durable(decode_recordings(files, decoders=decoders))
+            job.emit("phase", "diarizing" if speakers and body.get("speakers", True) else "transcribing")
+            texts, events = transcribe_recordings(runs, make(body["device"]), "path", speakers if body.get("speakers", True) else None)
+            for event in events.where("kind <> 'done'").orderBy("seq").collect():  # one recording: a few for each minute
+                job.emit(event["kind"], event["value"])
+            row = texts.first()
+        except Exception as error:
+            self._end(job, "error", str(error))
+        else:
+            job.emit("text", row["transcript"])
+            self._end(job, "done", row["transcript"], row["duration"])
+        return note_id
+
+    def listen(self, stream: DataFrame, body: dict, devices: list[str], make: Callable[[str], Callable[[], Transcriber]], trigger: dict | None = None) -> Listening:
+        """Transcribes a live stream (recording_id, seq, samples, stop) of one recording into a new note.
+
+        Two queries read the stream: one keeps every row, one cuts segments and transcribes those that aren't silent. Both
+        write files, each micro-batch exactly once, so a restart goes on where it was.
+        """
+        validate_live(body, devices)
+        self.slot.check()
+        now = self.clock()
+        title = self.spark.range(1).select(X.live_title(F.lit(now))).first()[0]
+        note_id = self.create(title, "live", folder_id=body.get("folder_id"))
+        job = self._begin("listen", note_id)
+        job.emit("phase", "recording")
+        folder = f"{self.path}/live/{note_id}-{int(now * 1000)}"
+        write = lambda rows, name: rows.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/{name}-log").outputMode("append").trigger(**(trigger or {"processingTime": "1 second"})).start()
+        rows = write(stream, "recorded")
+        texts = write(transcribe_segments(live_segments(stream), make(body["device"]), "recording_id"), "segments")
+        return Listening(self, job, folder, rows, texts)
+
+
+class Job:
+    """One job's events, folded when asked."""
+
+    def __init__(self, operation: str, note_id: int, clock: Callable[[], float]) -> None:
+        self.operation, self.note_id, self.clock, self._events, self.saved = operation, note_id, clock, [], ""
+
+    def emit(self, kind: str, value: Any) -> None:
+        if kind == "text":
+            self.saved = value
+        self._events.append((0, len(self._events), kind, None if value is None else str(value), self.clock()))
+
+    def state(self, spark: SparkSession) -> dict:
+        events = spark.createDataFrame(list(self._events), "job_id int, seq long, kind string, value string, ts double")
+        row = jobs.fold(events, self.operation).join(jobs.clock(events, self.clock()), "job_id").drop("job_id").first()
+        return row.asDict() | {"op": self.operation, "note_id": self.note_id}
+
+
+class Listening:
+    """A live job: its queries, and the two ways it ends."""
+
+    def __init__(self, library_: Library, job: Job, folder: str, recorded: StreamingQuery, segments: StreamingQuery) -> None:
+        self.library, self.job, self.folder, self.recorded, self.segments = library_, job, folder, recorded, segments
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        return self.library.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+
+    def text(self, prefix: str = "") -> str:
+        """What has been transcribed so far."""
+        rows = self._read("segments", "recording_id string, start long, end long, text string")
+        found = live_text(rows, "recording_id", prefix).first()
+        return found["transcript"] if found else prefix.rstrip()
+
+    def finish(self, prefix: str = "") -> str:
+        """After all that has arrived: the recording is kept with the note, then the text and its duration are written."""
+        self.job.emit("phase", "finishing")
+        try:
+            for query in (self.recorded, self.segments):
+                finish(query)
+            text, duration = self.text(prefix), None
+            self.job.emit("text", text)
+            wav = assemble_wav(self._read("recorded", "recording_id string, seq long, samples array<smallint>, stop boolean")).first()
+            if wav:
+                path = self.library.audio.write(f"{self.job.note_id}-live.wav", bytes(wav["wav"]))
+                if self.library.attach_audio(self.job.note_id, path):
+                    duration = (len(wav["wav"]) - HEADER) / 2 / RATE
+                self.library.audio.remove(f"{self.job.note_id}-live.wav")
+        except Exception as error:
+            self.library._end(self.job, "error", str(error))
+            raise
+        self.library._end(self.job, "done", text, duration)
+        return text
+
+    def cancel(self, reason: str | None = None, lost: str | None = None) -> None:
+        """At once; what was transcribed stays. With ``lost``, the source's last words, it is an error: the input broke off."""
+        for query in (self.recorded, self.segments):
+            cancel(query)
+        self.job.emit("text", self.text())
+        if lost is None:
+            self.library._end(self.job, "cancelled", reason)
+        else:
+            self.library._end(self.job, "error", "입력이 끊겼습니다.\n" + lost[-1500:])
+
+
 def validate_transcribe(body: dict, devices: list[str]) -> None:
     if body.get("device") not in devices:
         raise RequestError(400, "unknown device")
@@ -167,12 +341,16 @@ class JobSlot:
     def __init__(self) -> None:
         self._lock, self.running, self.closing = threading.Lock(), None, False
 
+    def check(self) -> None:
+        """A job could start now."""
+        if self.running is not None:
+            raise RequestError(409, "another job is running", "busy")
+        if self.closing:
+            raise RequestError(503, "shutting down", "shutting_down")
+
     def start(self, job_id: int) -> None:
         with self._lock:
-            if self.running is not None:
-                raise RequestError(409, "another job is running", "busy")
-            if self.closing:
-                raise RequestError(503, "shutting down", "shutting_down")
+            self.check()
             self.running = job_id
 
     def release(self) -> None:

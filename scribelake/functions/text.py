@@ -55,25 +55,6 @@ def like_sql(c: str, pattern: str) -> str:
     return f"translate({c}, '{_UPPER}', '{_LOWER}') LIKE translate('{pattern}', '{_UPPER}', '{_LOWER}')"
 
 
-def words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(f"({WORD})"), F.lit(1))
-
-
-def _hangul_end(word: Column) -> Column:
-    """Whether the last letter is Hangul: all particles, endings and stopwords are, so others skip their patterns."""
-    return F.substring(word, -1, 1) >= F.lit("가")
-
-
-def stem(word: Column) -> Column:
-    """Words of over two characters lose one particle, the longest that fits."""
-    return F.when((F.length(word) > 2) & _hangul_end(word), F.regexp_replace(word, f"(?:{'|'.join(PARTICLES)})$", "")).otherwise(word)
-
-
-def is_content(stem_: Column) -> Column:
-    """Neither short, a stopword, nor an inflected ending."""
-    return F.when(_hangul_end(stem_), (F.length(stem_) >= 2) & ~stem_.isin(STOPWORDS) & ~stem_.rlike(f"(?:{'|'.join(ENDINGS)})$")).otherwise(F.length(stem_) >= 2)
-
-
 def collapse_repeats(c: Column) -> Column:
     """A phrase of up to 30 characters that comes five times or more in a row is kept once; then stripped."""
     return strip(F.regexp_replace(c, rf"(?d)(.{{1,30}}?)(?:{SPACE}*\1){{4,}}", "$1"))
@@ -162,6 +143,11 @@ def parse_query(query: Column, key: str) -> Column:
     return F.nullif(F.url_decode(F.replace(found, F.lit("+"), F.lit(" "))), F.lit(""))
 
 
+def parse_body(body: Column, schema: str) -> Column:
+    """A JSON body's fields; what isn't JSON, or not of the type, is null."""
+    return F.from_json(body, schema, {"mode": "PERMISSIVE"})
+
+
 def toggle(chosen: Column, one: Column) -> Column:
     """A set of ids with one id added or taken away."""
     return F.when(F.array_contains(chosen, one), F.array_except(chosen, F.array(one))).otherwise(F.array_union(chosen, F.array(one)))

@@ -68,13 +68,17 @@ def list_with_keywords(notes: DataFrame, folders: DataFrame, view: str = "all",
     return with_folder(rows, folders).select(*[c for c in LISTED if c != "transcript"], "keywords").orderBy(F.desc("created"), F.desc("id"))
 
 
-def sort_notes(listed: DataFrame, key: str = "created", descending: bool = True) -> DataFrame:
-    """By a column, nulls last either way; strings in Korean collation; ties newest first."""
+def sort_columns(key: str = "created", descending: bool = True) -> list[Column]:
+    """A listing's order: by a column, nulls last either way; strings in Korean collation; ties newest first."""
     if key not in SORT_KEYS:
         raise ValueError(f"unknown sort key: {key}")
     column = F.col(key) if key in ("duration", "created") else F.collate(F.col(key), "ko")
     first = column.desc_nulls_last() if descending else column.asc_nulls_last()
-    return listed.orderBy(first, F.desc("created"), F.desc("id"))
+    return [first, F.desc("created"), F.desc("id")]
+
+
+def sort_notes(listed: DataFrame, key: str = "created", descending: bool = True) -> DataFrame:
+    return listed.orderBy(*sort_columns(key, descending))
 
 
 def toggle_sort(current: tuple[str, bool], key: str) -> tuple[str, bool]:

@@ -74,8 +74,13 @@ def attach_audio(notes: DataFrame, recordings: DataFrame, now: float) -> DataFra
 
 
 def compact(note_events: DataFrame, folder_events: DataFrame) -> DataFrame:
-    """Note events that fold to the same notes: one create each, numbered by its last change."""
+    """A log of the same columns that folds to the same notes, ``updated`` included: for each a create with all its fields
+    and, where anything came after its creation, one update that files it. They keep the numbers of the creation and of the
+    last event, so a folder's deletion still comes after or before them as it did."""
     notes = current_notes(note_events, folder_events)
-    seq = note_events.groupBy(F.col("note_id").alias("id")).agg(F.max("seq").alias("seq"))
-    fields = F.map_from_arrays(F.array(*map(F.lit, _TYPES)), F.array(*(F.col(c).cast("string") for c in _TYPES)))
-    return notes.join(seq, "id").select("seq", F.lit("create").alias("op"), F.col("id").alias("note_id"), fields.alias("fields"), F.col("created").alias("at"), "updated")
+    ends = note_events.groupBy(F.col("note_id").alias("id")).agg(F.max(F.when(F.col("op") == "create", F.col("seq"))).alias("born"), F.max("seq").alias("last"))
+    every = F.map_from_arrays(F.array(*map(F.lit, _TYPES)), F.array(*(F.col(c).cast("string") for c in _TYPES)))
+    filed = F.create_map(F.lit("folder_id"), F.col("folder_id").cast("string"))
+    event = lambda seq, op, fields, at: F.struct(F.col(seq).alias("seq"), F.lit(op).alias("op"), F.col("id").alias("note_id"), fields.alias("fields"), F.col(at).alias("at"))
+    create, update = event("born", "create", every, "created"), event("last", "update", filed, "updated")
+    return notes.join(ends, "id").select(F.inline(F.when(F.col("last") > F.col("born"), F.array(create, update)).otherwise(F.array(create))))

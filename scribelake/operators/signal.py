@@ -1,17 +1,14 @@
 """Segmentation of recordings by energy.
 
 Recordings are tables of 10 ms tiles (recording_id, tile_idx, n, sum_sq, peak): every energy window begins on a tile. A
-block is 200 ms, 20 tiles. Keys can be any columns; nothing collects a recording except where a rule is sequential
-(``chunks``), and then only its tiles.
+block is 200 ms, 20 tiles. Keys can be any columns, and nothing collects a recording.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,53 +98,118 @@ def split_long(regions: DataFrame, keys: list[str], most: int = MAX_REGION) -> D
     return rows.select(*keys, (F.col("start") + F.col("k") * most).alias("start"), F.least("end", F.col("start") + (F.col("k") + 1) * most).alias("end"))
 
 
-def cut_chunks(energy: np.ndarray, start: int, end: int) -> Iterator[tuple[int, int]]:
-    """Chunks of [start, end), given the sum of squares of each 10 ms tile before its place: at most 20 s each; while
-    more remains, the cut is in the middle of the last quiet 200 ms window from 12 s on, else of the first quietest."""
-    while start < end:
-        to = min(start + CHUNK_TO, end)
-        if to < end:
-            low = start + CHUNK_FROM
-            edges = energy[low // TILE : to // TILE + 1 : TILES]
-            window = np.diff(edges) / BLOCK
-            quiet = np.flatnonzero(window < max(QUIET, float(np.median(window)) * QUIET_SHARE))
-            to = low + int(quiet[-1] if len(quiet) else np.argmin(window)) * BLOCK + BLOCK // 2
-        yield start, to
-        start = to
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _median(values: Column) -> Column:
+    middle = lambda v: (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2
+    return _once(F.array_sort(values), middle)
+
+
+def cut_window(energies: Column) -> Column:
+    """Which of these windows is cut through: the last quiet one, else the first of the least energy."""
+
+    def place(limit: Column) -> Column:
+        quiet = F.filter(F.transform(energies, lambda e, i: F.when(e < limit, i)), lambda i: i.isNotNull())
+        return F.coalesce(F.array_max(quiet), F.array_position(energies, F.array_min(energies)).cast("int") - 1)
+
+    return _once(F.greatest(F.lit(QUIET), F.lit(QUIET_SHARE) * _median(energies)), place)
+
+
+def live_cut(energies: Column) -> Column:
+    """``split_point`` of a whole buffer of blocks, as a column: null, or the sample to cut at."""
+    first, count = LIVE_FROM // BLOCK, F.size(energies)
+    late = F.slice(energies, first + 1, F.greatest(count - first, F.lit(0)))
+
+    def place(limit: Column) -> Column:
+        quiet = F.array_max(F.filter(F.transform(late, lambda e, i: F.when(e < limit, i)), lambda i: i.isNotNull()))
+        return F.coalesce(quiet, F.when(count >= LIVE_TO // BLOCK, F.array_position(late, F.array_min(late)).cast("int") - 1))
+
+    found = _once(F.greatest(F.lit(QUIET), F.lit(QUIET_SHARE) * _median(energies)), place)
+    return F.when(count >= first, ((found + first) * BLOCK + BLOCK // 2).cast("long"))
+
+
+def voiced(frames: DataFrame) -> DataFrame:
+    """Frames (with ``rms`` and the recording's ``threshold``) that are loud enough to be speech."""
+    return frames.where(F.col("rms") >= F.sqrt("threshold"))
+
+
+def span_windows(tiles_: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """(key, start, end, label, e0, e1) of spans (key, start, end, label): the mean squares of a span's 200 ms windows, e0 for
+    those that begin a multiple of a block after its start and e1 for those half a block later.
+
+    Every cut is in the middle of a window, so chunks begin on the one grid and on the other by turns, and no other windows
+    are ever asked for. Tiles and spans meet by the second, so nothing but a span's windows comes together. A tile that
+    isn't there is silent.
+    """
+    each = spans.select(key, "start", "end", "label").withColumn("span", F.struct("start", "end", "label"))
+    seconds = F.sequence(F.floor(F.col("start") / RATE), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / RATE))
+    heard = tiles_.select(key, (F.col("tile_idx") * TILE).alias("at"), "sum_sq").withColumn("second", F.floor(F.col("at") / RATE))
+    heard = heard.join(each.select(key, "span", F.explode(seconds).alias("second")), [key, "second"]).where("at >= span.start and at < span.end")
+    grids = F.explode(F.array(F.lit(0), F.lit(1)))
+    place = F.floor((F.col("at") - F.col("span.start") - F.col("grid") * (BLOCK // 2)) / BLOCK)
+    heard = heard.select(key, "span", "at", "sum_sq", grids.alias("grid")).select(key, "span", "grid", place.alias("window"), "sum_sq").where("window >= 0")
+    last = F.floor((F.col("end") - F.col("start") - F.col("grid") * (BLOCK // 2)) / BLOCK)
+    silent = each.select(key, "span", "start", "end", grids.alias("grid")).select(key, "span", "grid", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0)))).alias("window"), F.lit(0.0).alias("sum_sq"))
+    energy = heard.unionByName(silent).groupBy(key, "span", "grid", "window").agg((F.sum("sum_sq") / BLOCK).alias("energy"))
+    own = lambda g: F.transform(F.array_sort(F.collect_list(F.when(F.col("grid") == g, F.struct("window", "energy")))), lambda x: x["energy"]).alias(f"e{g}")
+    return energy.groupBy(key, "span").agg(own(0), own(1)).select(key, "span.start", "span.end", "span.label", "e0", "e1")
 
 
 def chunks(tiles_: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """(key, label, start, end) of spans (key, start, end, label), none crossing a span. The rule goes from cut to cut, so
-    a recording's tiles (100 numbers a second) come together; recordings are independent."""
-    fields = {f.name: f for f in spans.schema}
-    schema = f"{key} {fields[key].dataType.simpleString()}, label int, start long, end long"
+    """(key, label, start, end) of spans (key, start, end, label), none crossing a span: at most 20 s each, and while more
+    remains, cut in the middle of a window between 12 s and 20 s (``cut_window``).
+
+    The rule goes from cut to cut, so it is a fold over a span's windows, in the JVM; spans are independent.
+    """
+    windows, most = (CHUNK_TO - CHUNK_FROM) // BLOCK, F.ceil((F.col("end") - F.col("start")) / CHUNK_FROM)
 
-    def run(own: pd.DataFrame, cut: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(cut):
-            sums = np.zeros(int(max(cut["end"].max() // TILE + 2, (own["tile_idx"].max() + 2) if len(own) else 0)))
-            sums[own["tile_idx"].to_numpy(np.int64) + 1] = own["sum_sq"]
-            energy = sums.cumsum()
-            for row in cut.sort_values("start").itertuples():
-                out += [(getattr(row, key), row.label, a, b) for a, b in cut_chunks(energy, int(row.start), int(row.end))]
-        return pd.DataFrame(out, columns=[key, "label", "start", "end"]).astype({"label": "Int32"})
+    def step(done: Column, nth: Column) -> Column:
+        low = done["at"] + CHUNK_FROM
+        first = ((low - F.col("start")) / BLOCK).cast("int")  # on the other grid a window begins half a block later
+        range_ = F.slice(F.when(nth % 2 == 0, F.col("e0")).otherwise(F.col("e1")), first + 1, F.lit(windows))
+        cut = low + cut_window(range_) * BLOCK + BLOCK // 2
+        to = F.when(done["at"] + CHUNK_TO >= F.col("end"), F.col("end")).otherwise(cut)
+        return F.when(done["at"] >= F.col("end"), done).otherwise(_once(to, lambda t: F.struct(t.alias("at"), F.array_append(done["cuts"], F.struct(done["at"].alias("start"), t.alias("end"))).alias("cuts"))))
 
-    left, right = tiles_.select(key, "tile_idx", "sum_sq"), spans.select(key, "start", "end", "label")
-    return left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(run, schema)
+    none = F.struct(F.col("start").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("cuts"))
+    folded = F.aggregate(F.sequence(F.lit(0).cast("long"), F.greatest(most, F.lit(1)).cast("long")), none, step)
+    return span_windows(tiles_, spans, key).select(key, "label", F.inline(folded["cuts"]))
 
 
 def split_point(energy: np.ndarray, samples: int) -> int | None:
-    """Where a growing buffer with these block energies is cut, if anywhere: not before 6 s; in the middle of the last
-    quiet window from there on; at 20 s in the middle of the quietest."""
-    if samples < LIVE_FROM:
+    """Where a growing buffer with these block energies is cut, if anywhere: from 6 s on in the middle of the last quiet
+    block after 6 s, or, when 20 s have come without any, in the middle of the first of the least energy."""
+    skipped = LIVE_FROM // BLOCK
+    late = energy[skipped:]
+    if samples < LIVE_FROM or not len(late):
         return None
-    first = LIVE_FROM // BLOCK
-    quiet = np.flatnonzero(energy[first:] < max(QUIET, float(np.median(energy)) * QUIET_SHARE))
-    if len(quiet):
-        return (first + int(quiet[-1])) * BLOCK + BLOCK // 2
-    if samples >= LIVE_TO:
-        return (first + int(np.argmin(energy[first:]))) * BLOCK + BLOCK // 2
-    return None
+    quiet = late < max(QUIET, QUIET_SHARE * float(np.median(energy)))
+    # Quiet blocks come before others, later ones first; others by their energy.
+    best = np.lexsort((np.where(quiet, -np.arange(len(late)), late), ~quiet))[0]
+    return int(skipped + best) * BLOCK + BLOCK // 2 if quiet[best] or samples >= LIVE_TO else None
+
+
+def cut_samples(runs: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """Spans (key, start, end, ...) with their ``samples``, from runs (key, offset, samples) of a second or so.
+
+    Runs and spans meet by the second, and only one span's samples come together. What no run covers isn't there; a span
+    without any samples has none, and is left out.
+    """
+    seconds = lambda start, end: F.explode(F.sequence(F.floor(start / RATE), F.floor(F.greatest(end - 1, start) / RATE))).alias("second")
+    others = [c for c in spans.columns if c != key]
+    each = spans.select(key, F.struct(*others).alias("span"), seconds(F.col("start"), F.col("end")))
+    # A run that crosses a second is cut there, so each of its samples is sent for each span once.
+    parts = runs.select(key, "offset", "samples", seconds(F.col("offset"), F.col("offset") + F.size("samples")))
+    met = parts.join(each, [key, "second"])
+    low = F.greatest(F.col("offset"), F.col("span.start"), F.col("second") * RATE)
+    high = F.least(F.col("offset") + F.size("samples"), F.col("span.end"), (F.col("second") + 1) * RATE)
+    met = met.withColumns({"low": low, "high": high}).where("high > low")
+    piece = F.struct("low", F.slice("samples", (F.col("low") - F.col("offset") + 1).cast("int"), (F.col("high") - F.col("low")).cast("int")).alias("s"))
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["s"]))
+    return met.groupBy(key, "span").agg(joined.alias("samples")).select(key, "span.*", "samples")
 
 
 def gate_file(chunks_: DataFrame) -> DataFrame:
@@ -172,7 +234,3 @@ def padding(rows: DataFrame, slack: int = PAD_SLACK) -> DataFrame:
     """Adds how much silence a chunk gets: what is missing to the expected length, if that is over ``slack``."""
     short = F.col("expected") - F.col("produced") - F.col("n")
     return rows.withColumn("padding", F.when(short > slack, short).otherwise(0))
-
-
-def frames_of(samples: np.ndarray) -> pa.Array:
-    return pa.array(samples, pa.int16())

@@ -19,8 +19,8 @@ _STOPWORDS, _ENDINGS = frozenset(X.STOPWORDS), tuple(X.ENDINGS)
 
 
 def top_stems(text: str | None, limit: int) -> list[tuple[str, int]]:
-    """(stem, count) of the most frequent content stems, ties by first occurrence; the rule of ``functions.text.stem`` and
-    ``is_content``, which touch words that end in Hangul only."""
+    """(stem, count) of the most frequent content stems, ties by first occurrence; Words of over two
+    letters lose one particle, the longest that fits; neither short stems, stopwords nor inflected endings count."""
     words = _find(text or "")
     if any(w[-1] >= "가" for w in words):
         stems = (_strip(w) if len(w) > 2 and w[-1] >= "가" else w for w in words)
@@ -71,16 +71,29 @@ def first_appearance(rows: DataFrame, keys: list[str], label: str, order: str) -
 
 
 def group_packages(rows: DataFrame) -> DataFrame:
-    """(name, version, license, places) of rows (seq, name, version, license, place): first license, places as they came."""
+    """(name, version, license, places) of rows (seq, name, version, license, place): first license, distinct places as they
+    first came. Repeats are combined before the shuffle, so what is gathered are a package's places, not its rows."""
+    each = rows.groupBy("name", "version", "place").agg(F.min("seq").alias("seq"), F.min_by("license", "seq").alias("license"))
     places = F.transform(F.array_sort(F.collect_list(F.struct("seq", "place"))), lambda x: x["place"])
-    return rows.groupBy("name", "version").agg(F.min_by("license", "seq").alias("license"), F.array_join(places, ", ").alias("places")).orderBy(F.lower("name"), "name", "version")
+    return each.groupBy("name", "version").agg(F.min_by("license", "seq").alias("license"), F.array_join(places, ", ").alias("places")).orderBy(F.lower("name"), "name", "version")
+
+
+def _digest(text_col: str) -> Column:
+    return F.sha2(X.strip(F.coalesce(F.col(text_col), F.lit(""))), 256)
 
 
 def group_by_content(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(sha256, owners, copies, first_owner) of stripped texts. Only digests are shuffled; counts and the first owner
-    combine before it."""
-    digest = F.sha2(X.strip(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    return rows.select(digest.alias("sha256"), F.col(id_col).alias("owner")).groupBy("sha256").agg(F.count("*").alias("copies"), F.min("owner").alias("first_owner")).orderBy("first_owner")
+    """(sha256, copies, first_owner) of stripped texts. Only digests are shuffled; counts and the first owner combine
+    before it."""
+    return rows.select(_digest(text_col).alias("sha256"), F.col(id_col).alias("owner")).groupBy("sha256").agg(F.count("*").alias("copies"), F.min("owner").alias("first_owner")).orderBy("first_owner")
+
+
+def content_owners(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(first_owner, owner, sha256, copies): the owners of each content as rows, so that one content may have any number.
+    Digests are joined to their groups; a frequent one is a skewed join that adaptive execution splits."""
+    own = rows.select(_digest(text_col).alias("sha256"), F.col(id_col).alias("owner"))
+    groups = own.groupBy("sha256").agg(F.count("*").alias("copies"), F.min("owner").alias("first_owner"))
+    return own.join(groups, "sha256").select("first_owner", "owner", "sha256", "copies")
 
 
 def first_with_phrase(rows: DataFrame, phrases: dict[str, str], id_col: str, text_col: str) -> DataFrame:
@@ -96,6 +109,16 @@ def verify_digests(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return manifest.join(have, "path", "left").select("path", F.coalesce(F.col("have") == F.col("sha256"), F.lit(False)).alias("ok"))
 
 
+def verify_assets(required: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, state) of required assets (path, size or null, sha256 or null): missing, size, digest or ok, from files (path,
+    length, content) as Spark's binary source reads them. All is ready if nothing is left but ok."""
+    have = files.select("path", "length", F.sha2("content", 256).alias("have"))
+    rows = required.join(have, "path", "left")
+    wrong_size, wrong_digest = F.col("length") != F.col("size"), F.col("have") != F.lower("sha256")
+    state = F.when(F.col("have").isNull(), "missing").when(F.coalesce(wrong_size, F.lit(False)), "size").when(F.coalesce(wrong_digest, F.lit(False)), "digest").otherwise("ok")
+    return rows.select("path", state.alias("state"))
+
+
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row of each key that has the highest sequence number."""
     others = [c for c in rows.columns if c not in keys]

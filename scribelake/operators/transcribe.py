@@ -9,8 +9,13 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from scribelake.operators.signal import PAD_SLACK, RATE, SILENT_PEAK
+from scribelake.operators import signal
+from scribelake.operators.signal import RATE, SILENT_PEAK
+from scribelake.operators.speakers import Embedder, diarize
+from scribelake.operators.text import render
+from scribelake.sources.shared import durable
 
 SHORT = 2 * RATE
 _LOOP = re.compile(r"(.{1,30}?)(?:\s*\1){4,}")
@@ -72,12 +77,45 @@ def transcribe_chunks(chunks: DataFrame, make: Callable[[], Transcriber], key: s
     return chunks.select(key, "start", "label", "samples").mapInPandas(run, schema)
 
 
-def mix_streams(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The average of what two streams share, rounded down, and what is left of each."""
-    n = min(len(a), len(b))
-    return ((a[:n].astype(np.int32) + b[:n]) >> 1).astype(np.int16), a[n:], b[n:]
+def transcribe_recordings(runs: DataFrame, make: Callable[[], Transcriber], key: str, speakers: Callable[[], Embedder] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Whole recordings of runs (key, offset, samples): (key, transcript, duration) and the (key, seq, kind, value) events of
+    each, in order: the duration, then for each chunk how far it has come in percent, then the text.
+
+    With a speaker model a recording is first parted by speaker, and no chunk crosses a change. Chunks are spread over the
+    cluster whatever recording they are of. The model's parts are written down once. A recording without speech has an
+    empty transcript.
+    """
+    tiles = durable(signal.tiles(runs, [key]))
+    totals = signal.totals(tiles, [key]).select(key, "total", F.col("seconds").alias("duration"))
+    whole = totals.where("total > 0").select(key, F.lit(0).cast("long").alias("start"), F.col("total").alias("end"), F.lit(None).cast("int").alias("label"))
+    spans = whole if speakers is None else diarize(runs, speakers, key)
+    chunks = durable(signal.chunks(tiles, spans, key))
+    parts = durable(transcribe_chunks(signal.cut_samples(runs, chunks, key), make, key))
+    texts = render(parts, [key])
+    out = durable(totals.join(texts, key, "left").select(key, F.coalesce("transcript", F.lit("")).alias("transcript"), "duration"))
+    text = lambda c: F.col(c).cast("string").alias("value")
+    length = out.select(key, F.lit(-1).cast("long").alias("seq"), F.lit("duration").alias("kind"), text("duration"))
+    come = chunks.join(totals, key).select(key, F.col("end").alias("seq"), F.lit("progress").alias("kind"), (F.col("end") / F.col("total") * 100).cast("string").alias("value"))
+    done = out.select(key, F.lit(2**62).alias("seq"), F.lit("done").alias("kind"), text("transcript"))
+    return out, length.unionByName(come).unionByName(done)
+
+
+def transcribe_segments(segments: DataFrame, make: Callable[[], Transcriber], key: str) -> DataFrame:
+    """(key, start, end, text) of live segments (key, start, end, n, sum_sq, samples), on a table or a stream: silent ones
+    aren't given to the model, and those without text are left out. The model is made once for each task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for batch in batches:
+            rows = [(getattr(r, key), r.start, r.end, transcribe_segment(np.asarray(r.samples, np.int16), model)) for r in batch.itertuples()]
+            yield pd.DataFrame([r for r in rows if r[3]], columns=[key, "start", "end", "text"])
+
+    heard = signal.gate_live(segments).select(key, "start", "end", "samples")
+    return heard.mapInPandas(run, f"{key} {segments.schema[key].dataType.simpleString()}, start long, end long, text string")
 
 
-def pad_stream(chunk: np.ndarray, produced: int, expected: int, slack: int = PAD_SLACK) -> np.ndarray:
-    short = expected - produced - len(chunk)
-    return np.concatenate([chunk, np.zeros(short, np.int16)]) if short > slack else chunk
+def live_text(segments: DataFrame, key: str, prefix: str = "") -> DataFrame:
+    """(key, transcript) of transcribed segments in order, a paragraph each; earlier text, if not blank, is the first."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"])
+    first = F.array(F.lit(prefix.rstrip())) if prefix.strip() else F.array().cast("array<string>")
+    return segments.groupBy(key).agg(F.array_join(F.concat(first, ordered), "\n\n").alias("transcript"))

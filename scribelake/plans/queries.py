@@ -80,13 +80,12 @@ def s9_input_devices(spark, d):
     return A.table(spark, d, "events").select("event_id", F.array_join(X.audio_devices(listing), "|").alias("devices"))
 
 
-@query("""WITH names AS (SELECT user_id, [event_type || '.' || (event_id % 3), 'CPU', event_type || '.9'] AS devices FROM events WHERE event_id % 10 = 0)
-SELECT user_id, devices[1] AS first, array_to_string(list_sort(list_distinct(list_transform(devices, lambda x: split_part(x, '.', 1)))), ',') AS kinds FROM names""")
+@query("""WITH names AS (SELECT event_id, [event_type || '.' || (event_id % 3), 'CPU', event_type || '.9'] AS devices FROM events)
+SELECT event_id, devices[1] AS first, array_to_string(list_sort(list_distinct(list_transform(devices, lambda x: split_part(x, '.', 1)))), ',') AS kinds FROM names""")
 def s11_device_kinds(spark, d):
-    rows = A.table(spark, d, "events").where("event_id % 10 = 0")
     first = F.concat_ws(".", "event_type", (F.col("event_id") % 3).cast("string"))
-    rows = rows.select("user_id", first.alias("first"), F.array(first, F.lit("CPU"), F.concat("event_type", F.lit(".9"))).alias("devices"))
-    return rows.select("user_id", "first", F.array_join(X.device_kinds(F.col("devices")), ",").alias("kinds"))
+    rows = A.table(spark, d, "events").select("event_id", first.alias("first"), F.array(first, F.lit("CPU"), F.concat("event_type", F.lit(".9"))).alias("devices"))
+    return rows.select("event_id", "first", F.array_join(X.device_kinds(F.col("devices")), ",").alias("kinds"))
 
 
 @query(f"WITH {A.NOTES_SQL} SELECT to_json({{'id': id, 'source': source, 'starred': starred, 'folder_id': folder_id}})::VARCHAR AS body FROM notes")
@@ -173,11 +172,13 @@ def j7_mix_streams(spark, d):
     return signal.mix(left, right, ["user_id", "event_id"]).select("user_id", "tile_idx", "event_id", F.get("samples", F.lit(0)).cast("int").alias("a"), F.get("samples", F.lit(1)).cast("int").alias("b"))
 
 
-@query("""SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 400 AND b.vec_id < 400""")
+@query("""WITH u AS (SELECT vec_id // 200 AS recording, label, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::DOUBLE / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12) AS x FROM embeddings),
+s AS (SELECT recording, label, dim, sum(x) AS x, count(*) AS n FROM u GROUP BY ALL)
+SELECT a.recording, a.label AS a, b.label AS b, round(sum(a.x * b.x) / any_value(a.n * b.n), 6) + 0.0::DOUBLE AS cosine FROM s a JOIN s b ON a.recording = b.recording AND a.dim = b.dim AND a.label < b.label GROUP BY 1, 2, 3""")
 def j8_pairwise_cosine(spark, d):
-    # Pairs within one recording's vectors; here, of the first 400 vectors a label's.
-    rows = speakers.pairwise_cosine(A.table(spark, d, "embeddings").where("vec_id < 400"), "vec_id", "embedding", ["label"])
-    return rows.withColumn("cosine", F.round("cosine", 6))
+    # Two hundred turns a recording, clustered by label.
+    rows = A.table(spark, d, "embeddings").withColumn("recording", F.floor(F.col("vec_id") / 200))
+    return speakers.cluster_similarity(rows, "embedding", "label", ["recording"]).withColumn("cosine", F.round("cosine", 6) + F.lit(0.0))
 
 
 @query("SELECT event_id, coalesce(m.text, event_type) AS message FROM events LEFT JOIN (VALUES ('error', '오류'), ('click', '클릭')) m(code, text) ON code = event_type")
@@ -240,10 +241,13 @@ def a6_star_target(spark, d):
     return library.star_target(notes, notes.where("id % 3 = 0").select("id"))
 
 
-@query("""SELECT event_type AS name, (user_id % 7)::VARCHAR AS version, arg_min('L' || event_id % 4, event_id) AS license, string_agg(user_id::VARCHAR, ', ' ORDER BY event_id) AS places FROM events GROUP BY 1, 2""")
+@query("""WITH r AS (SELECT event_id, event_type AS name, (user_id % 7)::VARCHAR AS version, 'L' || event_id % 4 AS license, 'p' || event_id % 50 AS place FROM events),
+e AS (SELECT name, version, place, min(event_id) AS seq, arg_min(license, event_id) AS license FROM r GROUP BY 1, 2, 3)
+SELECT name, version, arg_min(license, seq) AS license, string_agg(place, ', ' ORDER BY seq) AS places FROM e GROUP BY 1, 2""")
 def a8_group_packages(spark, d):
     n = F.col("event_id")
-    rows = A.table(spark, d, "events").select(n.alias("seq"), F.col("event_type").alias("name"), (F.col("user_id") % 7).cast("string").alias("version"), F.concat(F.lit("L"), (n % 4).cast("string")).alias("license"), F.col("user_id").cast("string").alias("place"))
+    text_ = lambda mark, x: F.concat(F.lit(mark), x.cast("string"))
+    rows = A.table(spark, d, "events").select(n.alias("seq"), F.col("event_type").alias("name"), (F.col("user_id") % 7).cast("string").alias("version"), text_("L", n % 4).alias("license"), text_("p", n % 50).alias("place"))
     return text.group_packages(rows)
 
 
@@ -255,6 +259,11 @@ def a9_content_groups(spark, d):
     return text.group_by_content(A.table(spark, d, "documents"), "doc_id", "text")
 
 
+@query(f"WITH t AS (SELECT doc_id, sha256(trim(text, {_SPACES})) AS sha256 FROM documents) SELECT min(doc_id) OVER w AS first_owner, doc_id AS owner, sha256, count(*) OVER w AS copies FROM t WINDOW w AS (PARTITION BY sha256)")
+def a9_content_owners(spark, d):
+    return text.content_owners(A.table(spark, d, "documents"), "doc_id", "text")
+
+
 _PHRASES = {"license": "General Public License", "cc": "CC BY-NC", "token": "token = ", "none": "no such phrase at all"}
 
 
@@ -270,6 +279,14 @@ def a11_verify_digests(spark, d):
     return text.verify_digests(docs.where("doc_id % 10 <> 0"), manifest)
 
 
+@query("SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 10 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'size' WHEN doc_id % 9 = 0 THEN 'digest' ELSE 'ok' END AS state FROM documents")
+def s12_verify_assets(spark, d):
+    n = F.col("doc_id")
+    docs = A.table(spark, d, "documents").select(n, n.cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"), F.octet_length("text").cast("long").alias("length"))
+    wanted = docs.select("path", (F.col("length") + F.when(n % 7 == 0, 1).otherwise(0)).alias("size"), F.when(n % 9 == 0, "0").otherwise(F.upper(F.sha2("content", 256))).alias("sha256"))
+    return text.verify_assets(wanted, docs.where("doc_id % 10 <> 0").drop("doc_id"))
+
+
 @query(f"WITH {A.PARTS_SQL} SELECT conv_id, count(DISTINCT label) AS speakers FROM parts GROUP BY conv_id")
 def a12_distinct_labels(spark, d):
     return A.parts(spark, d).groupBy("conv_id").agg(F.count_distinct("label").alias("speakers"))
@@ -372,9 +389,25 @@ def w16_latest(spark, d):
 
 
 # ---- orders ----------------------------------------------------------------------------------------------------------
-@query(_VIEW_SQL + "n.trashed IS NULL")
-def o2_sort_duration(spark, d):
-    return library.sort_notes(library.list_notes(*_lib(spark, d)).select(*_BRIEF), "duration", False)
+_POSITION_SQL = f"WITH {A.NOTES_SQL} SELECT n.id, n.source, row_number() OVER (PARTITION BY n.source, n.starred ORDER BY :order NULLS LAST, n.created DESC, n.id DESC) AS position FROM notes n LEFT JOIN folders f ON f.id = n.folder_id WHERE n.trashed IS NULL"
+
+
+def _positions(key: str, descending: bool) -> Query:
+    """Each note's place in the order, among those of its source and star, so that no order is of everything in one task."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        listed = library.list_notes(*_lib(spark, d))
+        order = Window.partitionBy("source", "starred").orderBy(*library.sort_columns(key, descending))
+        return listed.select("id", "source", F.row_number().over(order).alias("position"))
+
+    return run
+
+
+for _name, _key, _down, _sql in (
+    ("o2_sort_duration", "duration", False, "duration ASC"), ("o2_sort_title", "title", False, "n.title COLLATE ko ASC"), ("o2_sort_title_down", "title", True, "n.title COLLATE ko DESC"),
+    ("o2_sort_folder", "folder", False, "f.name COLLATE ko ASC"), ("o2_sort_folder_down", "folder", True, "f.name COLLATE ko DESC"), ("o1_newest_first", "created", True, "created DESC"),
+):
+    QUERIES[_name], ORACLES[_name] = _positions(_key, _down), _POSITION_SQL.replace(":order", _sql)
 
 
 @query(f"WITH {A.BLOCKS_SQL} SELECT recording_id, arg_min(idx, (energy, idx)) AS quietest, max(CASE WHEN energy < 1024 THEN idx END) AS last_quiet FROM blocks GROUP BY 1")
@@ -421,39 +454,74 @@ def x20_normalise(spark, d):
     return A.table(spark, d, "embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 5).alias("norm"), F.round(F.get(V.normalise(F.col("embedding")), F.lit(0)), 5).alias("first"))
 
 
-@query("""WITH s AS (SELECT user_id, list_sort(list_distinct(list(event_id % 10))) AS chosen FROM events WHERE event_id % 3 = 0 GROUP BY user_id)
+@query("""WITH s AS (SELECT user_id, list_sort(list_distinct(list(event_id % 10))) AS chosen FROM events GROUP BY user_id)
 SELECT user_id, array_to_string(list_sort(CASE WHEN list_contains(chosen, 4) THEN list_filter(chosen, lambda x: x <> 4) ELSE list_append(chosen, 4) END), ',') AS one,
  array_to_string(list_sort(CASE WHEN list_has_all(chosen, [1, 2, 3]) THEN list_filter(chosen, lambda x: NOT list_contains([1, 2, 3], x)) ELSE list_distinct(list_concat(chosen, [1, 2, 3])) END), ',') AS every FROM s""")
 def x24_toggles(spark, d):
-    chosen = A.table(spark, d, "events").where("event_id % 3 = 0").groupBy("user_id").agg(F.collect_set(F.col("event_id") % 10).alias("c"))
+    chosen = A.table(spark, d, "events").groupBy("user_id").agg(F.collect_set(F.col("event_id") % 10).alias("c"))
     one, everything = F.lit(4).cast("long"), F.array(*(F.lit(i).cast("long") for i in (1, 2, 3)))
     text_ = lambda c: F.array_join(F.array_sort(c).cast("array<string>"), ",")
     return chosen.select("user_id", text_(X.toggle(F.col("c"), one)).alias("one"), text_(X.toggle_all(F.col("c"), everything)).alias("every"))
 
 
-@query("SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE CASE WHEN event_id % 5 = 0 THEN '' ELSE 'view' END END AS device FROM events WHERE NOT (event_id % 5 = 0 AND event_type IN ('view', 'click'))")
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' WHEN event_type IN ('view', 'click') THEN event_type ELSE 'view' END AS device FROM events")
 def x25_pick_device(spark, d):
-    rows = A.table(spark, d, "events").where("not (event_id % 5 = 0 and event_type in ('view', 'click'))")
     available = F.when(F.col("event_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("view"), F.lit("click")))
-    return rows.select("event_id", X.pick_device(F.col("event_type"), available).alias("device"))
+    return A.table(spark, d, "events").select("event_id", X.pick_device(F.col("event_type"), available).alias("device"))
+
+
+@query("SELECT event_id, replace(replace('{kind} of {user}, {gone}', '{kind}', CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END), '{user}', user_id::VARCHAR).replace('{gone}', '') AS message FROM events")
+def x16_template(spark, d):
+    kind = F.when(F.col("event_id") % 4 != 0, F.col("event_type"))
+    return A.table(spark, d, "events").select("event_id", X.fill_template(F.lit("{kind} of {user}, {gone}"), {"kind": kind, "user": F.col("user_id")}).alias("message"))
+
+
+@query("""SELECT page_id, nullif(regexp_extract(url, '[?&]utm_source=([^&#]*)', 1), '') AS source, CASE WHEN page_id::BIGINT % 3 = 0 THEN 'a b' END AS q FROM pages""")
+def x23_parse_query(spark, d):
+    url = F.concat("url", F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("q="), F.when(F.col("page_id").cast("long") % 3 == 0, "a+b&q=second").otherwise(""))
+    return A.table(spark, d, "pages").select("page_id", X.parse_query(url, "utm_source").alias("source"), X.parse_query(url, "q").alias("q"))
+
+
+@query("SELECT event_id, (props->>'k')::BIGINT AS k, event_type AS name, event_id % 2 = 0 AS speakers FROM events")
+def x23_parse_body(spark, d):
+    body = F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "name": "'), F.col("event_type"), F.lit('", "speakers": '), (F.col("event_id") % 2 == 0).cast("string"), F.lit("}"))
+    return A.table(spark, d, "events").select("event_id", X.parse_body(body, "k long, name string, speakers boolean").alias("b")).select("event_id", "b.*")
+
+
+@query(f"""WITH {A.BLOCKS_SQL}, t AS (SELECT recording_id, greatest(1024.0::DOUBLE, 0.08::DOUBLE * median(energy)) AS threshold FROM blocks GROUP BY 1) SELECT recording_id, idx AS frame_idx FROM blocks JOIN t USING (recording_id) WHERE sqrt(energy) >= sqrt(threshold)""")
+def f16_voiced_frames(spark, d):
+    blocks = A.blocks(spark, d)
+    frames = blocks.select("recording_id", F.col("idx").alias("frame_idx"), F.sqrt("energy").alias("rms")).join(signal.quiet_threshold(blocks, ["recording_id"]), "recording_id")
+    return signal.voiced(frames).select("recording_id", "frame_idx")
+
+
+_CUT_SQL = f"""WITH {A.BLOCKS_SQL}, b AS (SELECT *, greatest(1024.0::DOUBLE, 0.08::DOUBLE * median(energy) OVER (PARTITION BY recording_id)) AS thr, count(*) OVER (PARTITION BY recording_id) AS n FROM blocks)
+SELECT recording_id, CASE WHEN any_value(n) >= 30 THEN coalesce(max(CASE WHEN idx >= 30 AND energy < thr THEN idx END), CASE WHEN any_value(n) >= 100 THEN arg_min(idx, (energy, idx)) FILTER (WHERE idx >= 30) END) * 3200 + 1600 END::BIGINT AS cut FROM b GROUP BY 1"""
+
+
+@query(_CUT_SQL)
+def w6_split_point(spark, d):
+    """Where each recording would be cut if all its blocks were a live buffer."""
+    held = A.blocks(spark, d).groupBy("recording_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "energy"))), lambda x: x["energy"]).alias("energies"))
+    return held.select("recording_id", signal.live_cut(F.col("energies")).alias("cut"))
 
 
 # ---- mutations and jobs ----------------------------------------------------------------------------------------------
 _FIELDS_SQL = """ev AS (SELECT event_id AS seq, user_id AS note_id, event_type AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 AS first FROM events),
 ops AS (SELECT *, CASE WHEN first OR seq % 11 = 0 THEN 'create' WHEN seq % 13 = 0 THEN 'delete' ELSE 'update' END AS op FROM ev),
-hist AS (SELECT *, op = 'create' OR (op = 'update' AND kind = 'click') AS has_title, op = 'create' OR (op = 'update' AND kind IN ('view', 'signup')) AS has_folder, op = 'update' AND kind = 'purchase' AS has_star FROM ops),
+hist AS (SELECT *, op = 'create' OR (op = 'update' AND kind = 'click') AS has_title, op = 'create' OR (op = 'update' AND kind IN ('view', 'signup')) AS has_folder, op = 'update' AND kind = 'purchase' AS has_star, op = 'update' AND kind = 'error' AND seq % 5 <> 0 AS has_trash FROM ops),
 lives AS (SELECT note_id, max(CASE WHEN op = 'create' THEN seq END) AS born, max(CASE WHEN op = 'delete' THEN seq END) AS gone FROM hist GROUP BY 1),
 alive AS (SELECT h.* FROM hist h JOIN lives l USING (note_id) WHERE born IS NOT NULL AND (gone IS NULL OR born > gone) AND seq >= born AND op <> 'delete'),
-fold AS (SELECT note_id, min(seq) AS created, max(CASE WHEN op = 'create' OR kind <> 'error' THEN seq END) AS updated, 't' || max(CASE WHEN has_title THEN seq END) AS title,
+fold AS (SELECT note_id, min(seq) AS created, max(CASE WHEN op = 'create' OR kind <> 'error' OR has_trash THEN seq END) AS updated, max(CASE WHEN has_trash THEN seq END) AS trash_at, 't' || max(CASE WHEN has_title THEN seq END) AS title,
   max(CASE WHEN has_folder THEN seq END) AS filed_at, arg_max(CASE WHEN op = 'create' OR kind = 'view' THEN seq % 5 END::BIGINT, CASE WHEN has_folder THEN seq END) FILTER (WHERE has_folder AND NOT (op = 'update' AND kind = 'signup')) AS f0,
   max(CASE WHEN has_folder AND op = 'update' AND kind = 'signup' THEN seq END) AS nulled_at, arg_max(seq % 2 = 0, seq) FILTER (WHERE has_star) AS starred FROM alive GROUP BY 1),
 gone AS (SELECT (seq // 200) % 5 AS folder_id, max(seq) AS deleted_at FROM ev WHERE seq % 200 = 0 AND seq >= 5 GROUP BY 1)"""
 
 
 @query(f"""WITH {_FIELDS_SQL}, f AS (SELECT *, CASE WHEN nulled_at = filed_at THEN NULL ELSE f0 END AS folder FROM fold)
-SELECT note_id AS id, title, created::DOUBLE AS created, updated::DOUBLE AS updated, CASE WHEN deleted_at IS NULL OR deleted_at < filed_at THEN folder END AS folder_id, coalesce(starred, false) AS starred FROM f LEFT JOIN gone ON gone.folder_id = f.folder""")
+SELECT note_id AS id, title, created::DOUBLE AS created, updated::DOUBLE AS updated, CASE WHEN deleted_at IS NULL OR deleted_at < filed_at THEN folder END AS folder_id, coalesce(starred, false) AS starred, CASE WHEN trash_at % 2 = 0 THEN trash_at::DOUBLE END AS trashed FROM f LEFT JOIN gone ON gone.folder_id = f.folder""")
 def m1_m7_current_notes(spark, d):
-    return mutations.current_notes(A.note_events(spark, d), A.folder_events(spark, d)).select("id", "title", "created", "updated", "folder_id", "starred")
+    return mutations.current_notes(A.note_events(spark, d), A.folder_events(spark, d)).select("id", "title", "created", "updated", "folder_id", "starred", "trashed")
 
 
 @query("""SELECT id, arg_max(name, seq) AS name FROM (SELECT event_id AS seq, 'f' || event_id AS name, CASE WHEN event_id < 5 THEN event_id % 5 ELSE (event_id // 200) % 5 END::BIGINT AS id, event_id % 200 = 0 AND event_id >= 5 AS gone FROM events WHERE event_id % 200 IN (0, 1) OR event_id < 5) GROUP BY id HAVING NOT arg_max(gone, seq)""")
@@ -461,14 +529,16 @@ def m6_current_folders(spark, d):
     return mutations.current_folders(A.folder_events(spark, d))
 
 
-@query(f"""WITH {A.JOB_EVENTS_SQL}, f AS (SELECT job_id, max(CASE WHEN kind = 'phase' AND value = 'finishing' THEN seq END) AS fin, arg_max(value, seq) FILTER (WHERE kind = 'phase') AS phase, arg_max(value, seq) FILTER (WHERE kind = 'stage') AS stage,
+@query(f"""WITH {A.JOB_EVENTS_SQL}, f AS (SELECT job_id, coalesce(max(CASE WHEN kind = 'phase' AND value = 'finishing' THEN seq END), -2) AS fin, coalesce(max(seq) FILTER (WHERE kind = 'phase'), -2) AS phase_at, arg_max(value, seq) FILTER (WHERE kind = 'phase') AS phase,
+  coalesce(max(seq) FILTER (WHERE kind IN ('file', 'ready')), -1) AS forced_at, arg_max(kind, seq) FILTER (WHERE kind IN ('file', 'ready')) AS forced, arg_max(CASE WHEN kind = 'file' THEN value || ' 내려받는 중' ELSE value END, seq) FILTER (WHERE kind IN ('stage', 'file')) AS stage,
+  arg_max(value, seq) FILTER (WHERE kind = 'file') AS file, string_agg(value, ',' ORDER BY seq) FILTER (WHERE kind = 'ready') AS ready,
   arg_max(value, seq) FILTER (WHERE kind = 'progress')::DOUBLE AS percent, arg_max(value, seq) FILTER (WHERE kind IN ('text', 'preview', 'done')) AS text, arg_max(value, seq) FILTER (WHERE kind = 'text') AS saved,
   arg_max(kind, seq) FILTER (WHERE kind IN ('done', 'error', 'cancelled')) AS ek, arg_max(value, seq) FILTER (WHERE kind IN ('done', 'error', 'cancelled')) AS ev FROM job_events GROUP BY 1)
-SELECT job_id, CASE WHEN ek IS NULL THEN 'running' WHEN ek = 'done' THEN 'done' ELSE 'error' END AS state, CASE WHEN fin IS NOT NULL THEN 'finishing' ELSE coalesce(phase, 'loading') END AS phase, coalesce(stage, '준비 중') AS stage,
-  CASE WHEN ek = 'done' THEN 100.0::DOUBLE ELSE coalesce(percent, 0.0::DOUBLE) END AS percent, coalesce(text, '') AS text, coalesce(saved, '') AS saved, CASE WHEN ek IN ('error', 'cancelled') THEN ev END AS error,
-  CASE ek WHEN 'cancelled' THEN 'cancelled' WHEN 'error' THEN 'failed' END AS code FROM f""")
+SELECT job_id, CASE WHEN ek IS NULL THEN 'running' WHEN ek = 'done' THEN 'done' ELSE 'error' END AS state, CASE WHEN fin > forced_at THEN 'finishing' WHEN phase_at > forced_at THEN phase WHEN forced = 'file' THEN 'downloading' WHEN forced = 'ready' THEN 'checking' ELSE 'loading' END AS phase,
+  coalesce(stage, '준비 중') AS stage, CASE WHEN ek = 'done' THEN 100.0::DOUBLE ELSE coalesce(percent, 0.0::DOUBLE) END AS percent, coalesce(text, '') AS text, coalesce(saved, '') AS saved, coalesce(file, '') AS file, coalesce(ready, '') AS ready,
+  CASE WHEN ek IN ('error', 'cancelled') THEN ev END AS error, CASE ek WHEN 'cancelled' THEN 'cancelled' WHEN 'error' THEN 'failed' END AS code FROM f""")
 def st6_st7_job_fold(spark, d):
-    return jobs.fold(A.job_events(spark, d)).select("job_id", "state", "phase", "stage", "percent", "text", "saved", "error", "code")
+    return jobs.fold(A.job_events(spark, d)).select("job_id", "state", "phase", "stage", "percent", "text", "saved", "file", "ready", "error", "code")
 
 
 @query(f"""WITH {A.JOB_EVENTS_SQL}, c AS (SELECT job_id, min(CASE WHEN kind = 'phase' AND value = 'recording' THEN ts END) AS since, min(CASE WHEN kind IN ('done', 'error', 'cancelled') OR kind = 'phase' AND value = 'finishing' THEN ts END) AS until FROM job_events GROUP BY 1)
@@ -512,7 +582,8 @@ def w5_chunks(spark, d):
 
 @query()
 def u5_cluster(spark, d):
-    """The vectors of each twentieth of the table, as one recording's turns."""
+    """All vectors: each twenty that follow one another, by id, are one recording's turns. A recording has a bounded number of
+    turns, so its group's size is part of this query's mapping, not a cut."""
     import numpy as np
     import pandas as pd
 
@@ -522,17 +593,3 @@ def u5_cluster(spark, d):
 
     rows = A.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("recording"), "vec_id", V.normalise(F.col("embedding")).alias("v"))
     return rows.groupBy("recording").applyInPandas(run, "recording long, vec_id long, speaker long")
-
-
-@query()
-def s11_device_kinds_all(spark, d):
-    """As s11_device_kinds, of every event."""
-    first = F.concat_ws(".", "event_type", (F.col("event_id") % 3).cast("string"))
-    rows = A.table(spark, d, "events").select("event_id", "user_id", first.alias("first"), F.array(first, F.lit("CPU"), F.concat("event_type", F.lit(".9"))).alias("devices"))
-    return rows.select("event_id", "user_id", "first", F.array_join(X.device_kinds(F.col("devices")), ",").alias("kinds"))
-
-
-@query()
-def j8_pairwise_cosine_all(spark, d):
-    """As j8_pairwise_cosine, of every vector: all pairs of a label, so rows grow with the square of a label's vectors."""
-    return speakers.pairwise_cosine(A.table(spark, d, "embeddings"), "vec_id", "embedding", ["label"]).withColumn("cosine", F.round("cosine", 6))

@@ -20,14 +20,14 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("title"), created.alias("created"), (created + 30.0).alias("updated"),
         F.when(F.col("doc_id") % 10 == 0, "live").otherwise("audio").alias("source"), F.lit(None).cast("string").alias("audio"), F.col("text").alias("transcript"),
-        (F.col("n_chars") / 10.0).alias("duration"), F.regexp_replace("source", "[^0-9]", "").cast("long").alias("folder_id"),
+        (F.col("n_chars") / 10.0).alias("duration"), F.regexp_replace("source", "[^0-9]", "").try_cast("long").alias("folder_id"),
         (F.coalesce(F.col("quality"), F.lit(0)) == 1).alias("starred"), F.when(F.col("toxic") == 1, created + 3600.0).alias("trashed"),
     )
 
 
 def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sources of ``documents`` but one, so that some notes have a folder that isn't there."""
-    ids = table(spark, sf_dir, "documents").select(F.regexp_replace("source", "[^0-9]", "").cast("long").alias("id")).distinct()
+    ids = table(spark, sf_dir, "documents").select(F.regexp_replace("source", "[^0-9]", "").try_cast("long").alias("id")).distinct()
     return ids.where(F.col("id") != LEFT_OUT_FOLDER).select("id", F.concat(F.lit("folder "), F.col("id").cast("string")).alias("name"))
 
 
@@ -77,7 +77,7 @@ SPANS_SQL = """spans AS (SELECT user_id AS recording_id, coalesce(sum(floor(valu
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` of a user as the events of a job, by kind."""
-    kind = F.when(F.col("event_type") == "click", "text").when(F.col("event_type") == "view", "preview").when(F.col("event_type") == "signup", "phase").when(F.col("event_type") == "purchase", "progress").otherwise("stage")
+    kind = F.when(F.col("event_type") == "click", "text").when(F.col("event_type") == "view", "preview").when(F.col("event_type") == "signup", "phase").when(F.col("event_type") == "purchase", "progress").when(F.col("event_id") % 3 == 0, "file").when(F.col("event_id") % 3 == 1, "ready").otherwise("stage")
     phases = F.element_at(F.array(*map(F.lit, ("recording", "transcribing", "recording", "finishing"))), (F.col("event_id") % 4 + 1).cast("int"))
     value = F.when(kind == "phase", phases).when(kind == "progress", (F.col("event_id") % 101).cast("string")).otherwise(F.concat(F.lit("v"), F.col("event_id").cast("string")))
     kind = F.when(F.col("event_id") % 97 == 96, F.element_at(F.array(*map(F.lit, ("done", "error", "cancelled"))), (F.col("event_id") % 3 + 1).cast("int"))).otherwise(kind)
@@ -85,7 +85,7 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 JOB_EVENTS_SQL = """raw AS (SELECT user_id AS job_id, event_id AS seq, event_type, epoch(date_trunc('second', ts))::DOUBLE AS ts,
-  CASE event_type WHEN 'click' THEN 'text' WHEN 'view' THEN 'preview' WHEN 'signup' THEN 'phase' WHEN 'purchase' THEN 'progress' ELSE 'stage' END AS k FROM events),
+  CASE event_type WHEN 'click' THEN 'text' WHEN 'view' THEN 'preview' WHEN 'signup' THEN 'phase' WHEN 'purchase' THEN 'progress' ELSE ['file', 'ready', 'stage'][(event_id % 3 + 1)::INTEGER] END AS k FROM events),
 job_events AS (SELECT job_id, seq, ts, CASE WHEN seq % 97 = 96 THEN ['done', 'error', 'cancelled'][(seq % 3 + 1)::INTEGER] ELSE k END AS kind,
   CASE k WHEN 'phase' THEN ['recording', 'transcribing', 'recording', 'finishing'][(seq % 4 + 1)::INTEGER] WHEN 'progress' THEN (seq % 101)::VARCHAR ELSE 'v' || seq END AS value FROM raw)"""
 
@@ -100,7 +100,8 @@ def note_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = (
         F.when(op == "create", both).when(op == "delete", F.create_map().cast("map<string,string>")).when(kind == "click", F.create_map(F.lit("title"), title))
         .when(kind == "view", F.create_map(F.lit("folder_id"), folder)).when(kind == "signup", F.create_map(F.lit("folder_id"), F.lit(None).cast("string")))
-        .when(kind == "purchase", F.create_map(F.lit("starred"), F.when(n % 2 == 0, "true").otherwise("false"))).otherwise(F.create_map().cast("map<string,string>"))
+        .when(kind == "purchase", F.create_map(F.lit("starred"), F.when(n % 2 == 0, "true").otherwise("false")))
+        .when((kind == "error") & (n % 5 != 0), F.create_map(F.lit("trashed"), F.when(n % 2 == 0, n.cast("double").cast("string")))).otherwise(F.create_map().cast("map<string,string>"))
     )
     return table(spark, sf_dir, "events").select(n.alias("seq"), op.alias("op"), F.col("user_id").alias("note_id"), fields.alias("fields"), n.cast("double").alias("at"))
 

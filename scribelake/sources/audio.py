@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import os
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,13 +48,24 @@ def decode(content: bytes) -> np.ndarray:
     return np.clip(np.rint(sound), -32768, 32767).astype(np.int16)
 
 
-def decode_recordings(files: DataFrame, run: int = RUN) -> DataFrame:
-    """(path, offset, samples) in runs of a second."""
+def decode_recordings(files: DataFrame, run: int = RUN, decoders: dict[str, Callable[[bytes], np.ndarray]] | None = None) -> DataFrame:
+    """(path, offset, samples) in runs of a second.
+
+    WAV is decoded here. Another kind needs an entry in ``decoders``, by suffix: a function from a file's bytes to 16 kHz
+    mono 16-bit samples. A file of a kind without one, or without sound, is a ValueError that names it.
+    """
+    known = {".wav": decode} | (decoders or {})
 
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                sound = decode(content)
+                made = known.get(os.path.splitext(path)[1].lower())
+                if made is None:
+                    raise ValueError(f"no decoder for {path}")
+                try:
+                    sound = made(content)
+                except (wave.Error, EOFError, ValueError) as error:
+                    raise ValueError(f"no sound in {path}: {error}") from error
                 at = range(0, len(sound), run)
                 yield pd.DataFrame({"path": path, "offset": list(at), "samples": [sound[i : i + run] for i in at]})
 
@@ -79,9 +90,41 @@ def wav_bytes(samples: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def has_sound(path: str) -> bool:
-    """More than a WAV header."""
-    return os.path.exists(path) and os.path.getsize(path) > HEADER
+class AudioFolder:
+    """A library's audio files, in any file system that Spark knows."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self._jvm, self._conf, self.path = spark._jvm, spark._jsc.hadoopConfiguration(), path
+
+    def _at(self, path: str):
+        at = self._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self._conf), at
+
+    def has_sound(self, path: str) -> bool:
+        """A file of more than a WAV header."""
+        system, at = self._at(path)
+        return bool(system.exists(at)) and system.getFileStatus(at).isFile() and system.getFileStatus(at).getLen() > HEADER
+
+    def keep(self, path: str, name: str) -> str:
+        """Copies a file in under this name; one of the same name is replaced."""
+        system, at = self._at(path)
+        to_system, to = self._at(f"{self.path}/{name}")
+        to_system.mkdirs(to.getParent())
+        self._jvm.org.apache.hadoop.fs.FileUtil.copy(system, at, to_system, to, False, True, self._conf)
+        return f"{self.path}/{name}"
+
+    def remove(self, name: str) -> None:
+        system, at = self._at(f"{self.path}/{name}")
+        system.delete(at, False)
+
+    def write(self, name: str, content: bytes) -> str:
+        system, at = self._at(f"{self.path}/{name}")
+        out = system.create(at, True)
+        try:
+            out.write(bytearray(content))
+        finally:
+            out.close()
+        return f"{self.path}/{name}"
 
 
 def accept_drop(paths: list[str], folder_id: int | None) -> tuple[list[dict], bool]:

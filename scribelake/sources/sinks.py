@@ -41,3 +41,15 @@ def export_many(notes: DataFrame, path: str) -> None:
 def notices(packages: DataFrame) -> DataFrame:
     """Markdown table rows of (name, version, license, places)."""
     return packages.select(F.format_string("| %s | %s | %s | %s |", "name", "version", "license", "places").alias("value"))
+
+
+def notice_blocks(texts: DataFrame) -> DataFrame:
+    """(first_owner, value): each license text once, below the names of its owners, from (owner, text). Owners are packages
+    with a text each, so a block's names are gathered."""
+    own = texts.select("owner", F.trim("text").alias("text")).groupBy(F.sha2("text", 256).alias("sha256")).agg(F.array_sort(F.collect_set("owner")).alias("owners"), F.first("text").alias("text"))
+    return own.select(F.get("owners", F.lit(0)).alias("first_owner"), F.concat(F.lit("### "), F.array_join("owners", ", "), F.lit("\n\n```\n"), F.col("text"), F.lit("\n```")).alias("value"))
+
+
+def profile(df: DataFrame, path: str) -> None:
+    """Writes down how a table would be computed: its formatted plan, as a local text file."""
+    write_new(df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted"), path)

@@ -13,24 +13,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from scribelake.operators.jobs import DEFAULT_ERROR
 from scribelake.operators.signal import BLOCK, RATE, split_point
 from scribelake.sources.audio import wav_bytes
 
+#: Samples between two questions whether to cut.
+STEP = RATE // 2
 SEGMENTS = "{key}, start long, end long, n long, sum_sq double, samples array<smallint>"
 
 
 def live_segments(stream: DataFrame, key: str = "recording_id") -> DataFrame:
     """(key, start, end, n, sum_sq, samples) of a stream (key, seq, samples, stop): the segments of each recording.
 
-    A stateful operator holds the samples since the last cut, 20 s and one row at most. Whether to cut is asked after
-    each row, in order of ``seq`` within a micro-batch, so the segments don't depend on how rows fall into batches as
-    long as they arrive in order. A row with ``stop`` flushes the tail and ends the recording.
+    A stateful operator holds the samples since the last cut, half a second over 20 s at most. Whether to cut is asked after
+    each half second, in order of ``seq`` within a micro-batch, so the segments depend neither on how long rows are nor on
+    how they fall into batches, as long as they arrive in order. A row with ``stop`` flushes the tail and ends the
+    recording: its state goes, and a later row with the key begins a new one.
     """
     kind = stream.schema[key].dataType.simpleString()
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, held = state.get if state.exists else (0, b"")
-        buffer, out = np.frombuffer(held, "<i2"), []
+        start, asked, held = state.get if state.exists else (0, 0, b"")
+        buffer, out, live = np.frombuffer(held, "<i2"), [], True
 
         def emit(n: int) -> None:
             nonlocal start, buffer
@@ -38,20 +42,65 @@ def live_segments(stream: DataFrame, key: str = "recording_id") -> DataFrame:
             out.append((*group, start, start + n, n, float(part @ part), buffer[:n].tolist()))
             start, buffer = start + n, buffer[n:]
 
+        def ask() -> None:
+            while True:
+                blocks = (buffer[: len(buffer) // BLOCK * BLOCK].astype(np.float64).reshape(-1, BLOCK) ** 2).mean(axis=1)
+                if not (cut := split_point(blocks, len(buffer))):
+                    return
+                emit(cut)
+
         rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
         for samples, stop in zip(rows["samples"], rows["stop"], strict=True):
-            if samples is not None and len(samples):
-                buffer = np.concatenate([buffer, np.asarray(samples, "<i2")])
-            blocks = (buffer[: len(buffer) // BLOCK * BLOCK].astype(np.float64).reshape(-1, BLOCK) ** 2).mean(axis=1)
-            if cut := split_point(blocks, len(buffer)):
-                emit(cut)
-            if stop and len(buffer):
-                emit(len(buffer))
-        state.update((start, buffer.astype("<i2").tobytes()))
+            if not live:
+                start, asked, buffer, live = 0, 0, buffer[:0], True
+            left = np.asarray(samples if samples is not None else [], "<i2")
+            while len(left):  # asked: samples of the recording that the last question covered
+                step = asked + STEP - start - len(buffer)
+                buffer, left = np.concatenate([buffer, left[:step]]), left[step:]
+                if start + len(buffer) == asked + STEP:
+                    asked += STEP
+                    ask()
+            if stop:
+                ask()
+                if len(buffer):
+                    emit(len(buffer))
+                live = False
+        if live:
+            state.update((start, asked, buffer.astype("<i2").tobytes()))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=[key, "start", "end", "n", "sum_sq", "samples"])
 
     own = stream.select(key, "seq", "samples", "stop").groupBy(key)
-    return own.applyInPandasWithState(run, SEGMENTS.format(key=f"{key} {kind}"), "start long, held binary", "append", GroupStateTimeout.NoTimeout)
+    return own.applyInPandasWithState(run, SEGMENTS.format(key=f"{key} {kind}"), "start long, asked long, held binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def mix_live(left: DataFrame, right: DataFrame, key: str = "recording_id") -> DataFrame:
+    """(key, offset, samples): the average, rounded down, of two streams (key, seq, samples, stop), as far as both have come.
+
+    What one stream has ahead of the other is kept in the state; it goes, with the state, when both have stopped.
+    """
+    kind = left.schema[key].dataType.simpleString()
+    both = left.select(key, "seq", "samples", "stop", F.lit(0).alias("side")).unionByName(right.select(key, "seq", "samples", "stop", F.lit(1).alias("side")))
+
+    def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        offset, *held, stopped = state.get if state.exists else (0, b"", b"", 0)
+        tails = [np.frombuffer(t, "<i2") for t in held]
+        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        for side in (0, 1):
+            own = rows[rows["side"] == side]
+            tails[side] = np.concatenate([tails[side], *(np.asarray(s, "<i2") for s in own["samples"] if s is not None)])
+            stopped |= int(own["stop"].fillna(False).any()) << side
+        n = min(map(len, tails))
+        mixed = ((tails[0][:n].astype(np.int32) + tails[1][:n]) >> 1).astype(np.int16)
+        if stopped == 3:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((offset + n, *(t[n:].astype("<i2").tobytes() for t in tails), stopped))
+        yield pd.DataFrame({key: [group[0]] * (n > 0), "offset": [offset] * (n > 0), "samples": [mixed.tolist()] * (n > 0)})
+
+    return both.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, offset long, samples array<smallint>", "offset long, a binary, b binary, stopped int", "append", GroupStateTimeout.NoTimeout)
 
 
 def pause_sessions(voiced: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,18 +112,27 @@ def pause_sessions(voiced: DataFrame, keys: list[str]) -> DataFrame:
     return voiced.groupBy(*keys, F.session_window("ts", "700 milliseconds")).agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count("*").alias("voiced")).drop("session_window")
 
 
+JOB = {"seq": -1, "state": "running", "phase": "loading", "stage": "준비 중", "percent": 0.0, "text": "", "saved": "", "error": None, "code": None}
+
+
 def job_states(stream: DataFrame) -> DataFrame:
-    """(job_id, seq, state, phase, text): each job's state after the micro-batch, from a stream of job events."""
+    """(job_id, seq, state, phase, stage, percent, text, saved, error, code): each job's state after the micro-batch, from a
+    stream of job events. A job that has ended needs no state, and none is kept of it."""
+    kind = stream.schema["job_id"].dataType.simpleString()
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        job: dict[str, Any] = json.loads(state.get[0]) if state.exists else {"seq": -1, "state": "running", "phase": "loading", "text": ""}
+        job: dict[str, Any] = json.loads(state.get[0]) if state.exists else JOB
         for row in pd.concat(list(frames)).sort_values("seq").itertuples():
             job = step(job, row.kind, row.value) | {"seq": int(row.seq)}
-        state.update((json.dumps(job),))
-        yield pd.DataFrame([(*group, job["seq"], job["state"], job["phase"], job["text"])], columns=["job_id", "seq", "state", "phase", "text"])
+        if job["state"] == "running":
+            state.update((json.dumps(job),))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([(*group, *job.values())], columns=["job_id", *job])
 
-    kind = stream.schema["job_id"].dataType.simpleString()
-    return stream.groupBy("job_id").applyInPandasWithState(run, f"job_id {kind}, seq long, state string, phase string, text string", "job string", "update", GroupStateTimeout.NoTimeout)
+    types = ("long", "string", "string", "string", "double", "string", "string", "string", "string")
+    schema = f"job_id {kind}, " + ", ".join(f"{n} {t}" for n, t in zip(JOB, types, strict=True))
+    return stream.groupBy("job_id").applyInPandasWithState(run, schema, "job string", "update", GroupStateTimeout.NoTimeout)
 
 
 def step(job: dict[str, Any], kind: str, value: str | None) -> dict[str, Any]:
@@ -82,9 +140,11 @@ def step(job: dict[str, Any], kind: str, value: str | None) -> dict[str, Any]:
     if kind == "phase":
         return job if job["phase"] == "finishing" else job | {"phase": value}
     changes = {
-        "file": {"phase": "downloading"}, "ready": {"phase": "checking"}, "text": {"text": value}, "preview": {"text": value},
-        "done": {"state": "done", "text": value}, "error": {"state": "error"}, "cancelled": {"state": "error"},
+        "stage": {"stage": value}, "file": {"phase": "downloading", "stage": f"{value} 내려받는 중"}, "ready": {"phase": "checking"}, "text": {"text": value, "saved": value}, "preview": {"text": value},
+        "done": {"state": "done", "text": value, "percent": 100.0}, "error": {"state": "error", "error": value or DEFAULT_ERROR, "code": "failed"}, "cancelled": {"state": "error", "error": value or DEFAULT_ERROR, "code": "cancelled"},
     }
+    if kind == "progress":
+        return job | {"percent": float(value)}
     return job | changes.get(kind, {})
 
 
@@ -93,10 +153,6 @@ def with_prefix(prefix: str, segments: list[str]) -> str:
     return "\n\n".join(([prefix.rstrip()] if prefix.strip() else []) + segments)
 
 
-def seconds(samples: int) -> float:
-    return samples / RATE
-
-
 def tile_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
     """Rows (recording_id, seq, samples, stop) that a capturing process drops as Parquet files into a folder."""
     schema = "recording_id string, seq long, samples array<smallint>, stop boolean"

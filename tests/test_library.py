@@ -1,11 +1,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scribelake.api import JobSlot, Library, RequestError, device_list, validate_live, validate_transcribe
 from scribelake.functions import text as X
+from scribelake.sources.audio import wav_bytes
 from scribelake.operators import library, mutations
 from scribelake.operators.text import group_packages, keywords, render
 
@@ -65,9 +67,13 @@ def test_create_update_attach_delete(lib, tmp_path):
     assert note["title"] == "" and note["duration"] == 2.5 and note["updated"] > before
     lib.update(kept, duration=None)
     assert lib.get(kept)["duration"] is None
-    name = lib.attach_audio(kept, "/tmp/take.wav")
-    assert name.endswith("-take.wav") and lib.get(kept)["source"] == "audio"
-    assert lib.attach_audio(kept, "/tmp/other.wav") is None and lib.attach_audio(12345, "/tmp/other.wav") is None
+    take, header = tmp_path / "take.wav", tmp_path / "header.wav"
+    take.write_bytes(wav_bytes(np.ones(100, np.int16)))
+    header.write_bytes(wav_bytes(np.zeros(0, np.int16)))
+    assert lib.attach_audio(kept, str(header)) is None and lib.attach_audio(kept, str(tmp_path / "none.wav")) is None
+    name = lib.attach_audio(kept, str(take))
+    assert name.endswith("-take.wav") and lib.get(kept)["source"] == "audio" and (tmp_path / "lib/audio" / name).read_bytes() == take.read_bytes()
+    assert lib.attach_audio(kept, str(take)) is None and lib.attach_audio(12345, str(take)) is None
     with pytest.raises(RequestError):
         lib.delete(kept, running_note=kept)
     lib.delete(lost)
@@ -86,11 +92,56 @@ def test_folder_id_reuse_does_not_refile(spark):
     assert {r["id"]: r["folder_id"] for r in now.collect()} == {1: None, 2: 1}
 
 
+def test_audio_comes_and_goes_with_its_note(spark, tmp_path):
+    take = tmp_path / "회의.wav"
+    take.write_bytes(wav_bytes(np.ones(100, np.int16)))
+    lib = Library(spark, str(tmp_path / "lib"), clock=lambda: 1_700_000_000.5)
+    note = lib.create("n", "audio", audio=str(take))
+    kept = tmp_path / "lib/audio/1700000000-회의.wav"
+    assert lib.get(note)["audio"] == kept.name and kept.read_bytes() == take.read_bytes()
+    lib.delete(note)
+    assert not kept.exists() and take.exists()
+
+
+def test_the_log_is_compacted_as_it_grows(spark, tmp_path):
+    lib = Library(spark, str(tmp_path / "lib"), clock=iter(range(1, 1000)).__next__, compact_after=6)
+    folder = lib.create_folder("f")
+    ids_ = [lib.create(f"n{i}", "audio", folder_id=folder) for i in range(3)]
+    lib.update_many(ids_[:2], title="new", trashed=True)
+    before = sorted(map(tuple, lib.notes().collect()))
+    lib.compact()
+    assert sorted(map(tuple, lib.notes().collect())) == before and lib._events("note_events").count() == 5
+    again = Library(spark, str(tmp_path / "lib"))
+    assert again.create("next", "audio") == ids_[-1] + 1
+    again.delete_folder(folder)
+    assert again.get(ids_[0])["folder_id"] is None
+
+
 def test_compacted_history_folds_alike(spark):
     notes = spark.createDataFrame([(0, "create", 1, {"title": "a"}, 0.0), (1, "update", 1, {"title": "b", "starred": "true"}, 1.0), (2, "create", 2, {"title": "z"}, 2.0), (3, "delete", 2, {}, 3.0)], mutations.NOTE_EVENTS)
     none = spark.createDataFrame([], mutations.FOLDER_EVENTS)
-    once = mutations.current_notes(notes, none).drop("updated").collect()
-    assert mutations.current_notes(mutations.compact(notes, none), none).drop("updated").collect() == once
+    short = mutations.compact(notes, none)
+    assert short.columns == notes.columns and mutations.current_notes(short, none).collect() == mutations.current_notes(notes, none).collect()
+
+
+def test_random_histories_compact_alike(spark):
+    own = random.Random(2)
+    notes, folders = [], []
+    for seq in range(400):
+        note, folder, kind = own.randrange(12), str(own.randrange(3)), own.random()
+        if kind < 0.2:
+            notes.append((seq, "create", note, {"title": f"t{seq}", "folder_id": folder}, float(seq)))
+        elif kind < 0.3:
+            notes.append((seq, "delete", note, {}, float(seq)))
+        elif kind < 0.8:
+            notes.append((seq, "update", note, own.choice([{"title": f"u{seq}"}, {"folder_id": folder}, {"folder_id": None}, {"trashed": str(float(seq))}, {}]), float(seq)))
+        else:
+            folders.append((seq, own.choice(["create", "delete"]), int(folder), "f"))
+    log, later = spark.createDataFrame(notes, mutations.NOTE_EVENTS), spark.createDataFrame([*folders, (500, "delete", 1, None)], mutations.FOLDER_EVENTS)
+    folder_log = spark.createDataFrame(folders, mutations.FOLDER_EVENTS)
+    short = mutations.compact(log, folder_log)
+    for f in (folder_log, later):
+        assert sorted(map(tuple, mutations.current_notes(short, f).collect())) == sorted(map(tuple, mutations.current_notes(log, f).collect()))
 
 
 def test_keywords_golden(spark):
@@ -156,6 +207,7 @@ def test_bulk_and_packages(spark):
     outcomes = spark.createDataFrame([(2, "late"), (1, "first"), (0, None)], "seq int, error string")
     assert library.bulk_result(outcomes).first().asDict() == {"settled": 3, "failed": 2, "first_error": "first"}
     packages = spark.createDataFrame([(1, "B", "1", "MIT", "y"), (0, "B", "1", "BSD", "x"), (2, "a", "2", "MIT", "z")], "seq int, name string, version string, license string, place string")
+    packages = packages.union(packages.where("seq = 1").withColumn("seq", F.lit(9)))
     assert [tuple(r) for r in group_packages(packages).collect()] == [("a", "2", "MIT", "z"), ("B", "1", "BSD", "x, y")]
 
 

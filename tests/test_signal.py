@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -32,7 +34,29 @@ def regions_of(spark, **recordings):
     return {k: [(r["start"], r["end"]) for r in rows if r["rec"] == k] for k in recordings}
 
 
-def test_regions_golden_and_like_the_local_rule(spark):
+def plain_regions(samples):
+    """Block by block: voiced ones open a region, the third quiet one in a row closes it where the first was."""
+    n = len(samples) // 3200
+    energy = [float((samples[i * 3200 : (i + 1) * 3200].astype(float) ** 2).mean()) for i in range(n)]
+    if not n:
+        return [(0, len(samples))]
+    limit, spans, first, last = max(1024.0, 0.08 * float(np.median(energy))), [], None, None
+    for i, e in enumerate([*energy, *[0.0] * 3]):
+        if e >= limit and i < n:
+            first, last = (i if first is None else first), i
+        elif first is not None and i - last == 3:
+            spans.append((first, len(samples) if i >= n else (last + 1) * 3200))
+            first = None
+    out, floor = [], 0
+    for first, end in spans:
+        while first > floor and energy[first - 1] >= limit / 8:
+            first -= 1
+        floor = end // 3200
+        out += [(a, min(end, a + 60 * R)) for a in range(first * 3200, end, 60 * R)]
+    return out
+
+
+def test_regions_golden_and_like_a_loop(spark):
     silence = lambda s: np.zeros(int(s * R), np.int16)
     speech = np.concatenate([tone(3, 440), silence(1), tone(2, 440), silence(0.2), tone(1, 440)])
     rng = np.random.default_rng(3)
@@ -42,7 +66,7 @@ def test_regions_golden_and_like_the_local_rule(spark):
     assert len(got["speech"]) == 2 and got["speech"][0] == (0, 3 * R) and got["speech"][1][0] == 4 * R
     assert [b - a for a, b in got["long"]] == [60 * R, 60 * R, 10 * R] and got["short"] == [(0, len(cases["short"]))]
     for name, samples in cases.items():
-        assert got[name] == speakers.region_list(samples)[1], name
+        assert got[name] == plain_regions(samples), name
 
 
 def test_chunks_cover_and_cut_in_the_pause(spark):
@@ -58,6 +82,54 @@ def test_chunks_cover_and_cut_in_the_pause(spark):
     assert [b - a for a, b, _ in got][:2] == [7 * R, 2 * R] and got[-1][1] == 30 * R
 
 
+def plain_chunks(sums, start, end):
+    while start < end:
+        to = min(start + 20 * R, end)
+        if to < end:
+            low = start + 12 * R
+            window = [sums[(low + k * 3200) // 160 :][:20].sum() / 3200 for k in range(40)]
+            quiet = [k for k, e in enumerate(window) if e < max(1024, 0.08 * float(np.median(window)))]
+            to = low + (quiet[-1] if quiet else window.index(min(window))) * 3200 + 1600
+        yield start, to
+        start = to
+
+
+def test_random_chunks_like_a_loop(spark):
+    rng, rows, spans, want = np.random.default_rng(1), [], [], []
+    for k in range(12):
+        n = int(rng.integers(1, 14_000))
+        sums = rng.random(n) * rng.choice([1e4, 5e6, 1e9], n)
+        rows += [(k, i, float(x)) for i, x in enumerate(sums)]
+        cuts = sorted({0, n * 160, *(int(x) * 160 for x in rng.integers(0, n, 2))})
+        for a, b in zip(cuts, cuts[1:]):
+            spans.append((k, a, b, a % 3))
+            want += [(k, a % 3, x, y) for x, y in plain_chunks(sums, a, b)]
+    got = signal.chunks(spark.createDataFrame(rows, "k int, tile_idx long, sum_sq double"), spark.createDataFrame(spans, "k int, start long, end long, label int"), "k")
+    assert sorted((r["k"], r["label"], r["start"], r["end"]) for r in got.collect()) == sorted(want)
+
+
+def test_samples_of_spans(spark):
+    pcm = np.arange(50_000, dtype=np.int16)
+    rows = spark.createDataFrame([("a", i, pcm[i : i + 7000].tolist()) for i in range(0, 50_000, 7000)], "rec string, offset long, samples array<smallint>")
+    spans = [("a", 0, 160), ("a", 160, 33_000), ("a", 49_999, 60_000), ("a", 60_000, 70_000), ("b", 0, 10)]
+    got = signal.cut_samples(rows, spark.createDataFrame(spans, "rec string, start long, end long"), "rec").collect()
+    assert {(r["start"], r["end"]): r["samples"] for r in got} == {(a, b): pcm[a:b].tolist() for k, a, b in spans if k == "a" and a < 50_000}
+
+
+def test_split_point_and_its_column(spark):
+    rng = np.random.default_rng(8)
+    held = [(rng.random(n) * rng.choice([1e2, 1e5, 1e7], n)).tolist() for n in [0, 1, 29, 30, 31, 99, 100, 101, *rng.integers(30, 130, 40)]]
+    rows = spark.createDataFrame([(i, e) for i, e in enumerate(held)], "i int, e array<double>").select("i", signal.live_cut(F.col("e")).alias("cut")).collect()
+    want = {}
+    for i, e in enumerate(held):
+        limit = max(1024, 0.08 * float(np.median(e))) if e else 0
+        quiet = [k for k in range(30, len(e)) if e[k] < limit]
+        best = quiet[-1] if quiet else min(range(30, len(e)), key=lambda k: e[k]) if len(e) >= 100 else None
+        want[i] = None if best is None else best * 3200 + 1600
+        assert signal.split_point(np.array(e), len(e) * 3200) == want[i]
+    assert {r["i"]: r["cut"] for r in rows} == want
+
+
 def test_split_point():
     def cut(x):
         return signal.split_point((x[: len(x) // 3200 * 3200].astype(float).reshape(-1, 3200) ** 2).mean(axis=1), len(x))
@@ -69,12 +141,11 @@ def test_split_point():
 
 
 def test_mix_pad_and_totals(spark):
-    mixed, left, right = T.mix_streams(np.array([30000, 30000, -30000, 4], np.int16), np.array([30000, -30000, -30000], np.int16))
-    assert mixed.tolist() == [30000, 0, -30000] and left.tolist() == [4] and right.tolist() == []
-    assert len(T.pad_stream(np.zeros(10), 100, 105, 20)) == 10 and len(T.pad_stream(np.zeros(0), 0, 200, 20)) == 200
     a = spark.createDataFrame([(1, 0, [30000, 30000, -30000, 4])], "k int, tile_idx long, samples array<smallint>")
     b = spark.createDataFrame([(1, 0, [30000, -30001, -30000])], "k int, tile_idx long, samples array<smallint>")
     assert signal.mix(a, b, ["k"]).first()["samples"] == [30000, -1, -30000]
+    padded = signal.padding(spark.createDataFrame([(100, 105, 10), (0, 200, 0)], "produced long, expected long, n long"), 20)
+    assert [r["padding"] for r in padded.collect()] == [0, 200]
     pcm = noise(0.513)
     row = signal.totals(signal.tiles(runs(spark, a=pcm), ["rec"]), ["rec"]).first()
     assert row["total"] == len(pcm) and row["peak"] == abs(pcm.astype(int)).max() and row["rms"] == pytest.approx((pcm.astype(float) ** 2).mean() ** 0.5)
@@ -105,17 +176,75 @@ def test_diarize_golden(spark):
     gap = np.zeros(R, np.int16)
     four = np.concatenate([tone(4, 200), gap, tone(4, 3000), gap, tone(4, 200), gap, tone(4, 3000)])
     two = np.concatenate([tone(5, 200), tone(5, 3000)])
-    raw = lambda f: embed_raw(f)
-
-    def embed_raw(features):
-        return embed(features)
-
-    spans = speakers.diarize(four, raw)
-    assert spans[0][0] == 0 and spans[-1][1] == len(four) and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
-    assert speakers.diarize(np.zeros(3 * R, np.int16), raw) == [(0, 3 * R, 0)]
-    assert {label for *_, label in speakers.diarize(tone(6, 200), raw)} == {0}
-    got = speakers.diarize_recordings(runs(spark, a=four, b=two), lambda: embed, "rec").orderBy("rec", "start").collect()
-    assert [(r["start"], r["end"], r["label"]) for r in got if r["rec"] == "a"] == spans
+    silent, one = np.zeros(3 * R, np.int16), tone(6, 200)
+    got = speakers.diarize(runs(spark, four=four, two=two, silent=silent, one=one), lambda: embed, "rec").orderBy("rec", "start").collect()
+    spans = {k: [(r["start"], r["end"], r["label"]) for r in got if r["rec"] == k] for k in ("four", "two", "silent", "one")}
+    for k, pcm in (("four", four), ("two", two), ("one", one)):
+        assert spans[k][0][0] == 0 and spans[k][-1][1] == len(pcm) and all(a[1] == b[0] for a, b in zip(spans[k], spans[k][1:]))
+    assert [v for *_, v in spans["four"]] == [0, 1, 0, 1] and [v for *_, v in spans["two"]] == [0, 1]
+    assert abs(spans["two"][0][1] - 5 * R) <= 2 * R and spans["silent"] == [(0, 3 * R, 0)] and {v for *_, v in spans["one"]} == {0}
+
+
+def plain_cluster(vectors, threshold=0.5, most=8):
+    groups = [[i] for i in range(len(vectors))]
+    while len(groups) > 1:
+        mean = {(i, j): np.mean([[vectors[a] @ vectors[b] for b in groups[j]] for a in groups[i]]) for i in range(len(groups)) for j in range(i + 1, len(groups))}
+        (i, j), best = max(mean.items(), key=lambda x: x[1])
+        if best < threshold and len(groups) <= most:
+            break
+        groups[i] += groups.pop(j)
+    return {frozenset(g) for g in groups}
+
+
+def test_clusters_like_all_pairs():
+    rng = np.random.default_rng(6)
+    for n, most in ((0, 8), (1, 8), (12, 8), (40, 3), (40, 8)):
+        v = rng.normal(size=(n, 6))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        labels = speakers.cluster(v, 0.5, most)
+        assert {frozenset(np.flatnonzero(labels == k).tolist()) for k in set(labels.tolist())} == plain_cluster(v, 0.5, most)
+
+
+def plain_turns(windows):
+    """Window by window: (cut, end, v) go on with the last turn, or close it."""
+    turns = []
+    for cut, end, v in windows:
+        if turns and v @ turns[-1][2] / np.linalg.norm(turns[-1][2]) >= 0.5:
+            turns[-1][1:] = [end, turns[-1][2] + v]
+        else:
+            if turns:
+                turns[-1][1] = cut
+            turns.append([cut, end, v])
+    return [(a, b, (v / np.linalg.norm(v)).round(9).tolist()) for a, b, v in turns]
+
+
+def test_turns_like_a_loop(spark):
+    rng, rows, want = np.random.default_rng(9), [], {}
+    for region in range(30):
+        v = rng.normal(size=(int(rng.integers(1, 15)), 3)) + [1, 0, 0]
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        own = [(region * 10**6 + i * 1000, region * 10**6 + i * 1000 + 1500, x) for i, x in enumerate(v)]
+        rows += [("a", region, i, cut, end, x.tolist()) for i, (cut, end, x) in enumerate(own)]
+        want[region] = plain_turns(own)
+    windows = spark.createDataFrame(rows, "rec string, region long, nth long, cut long, end long, v array<double>")
+    got = sorted((r["start"], r["end"], np.round(r["v"], 9).tolist()) for r in speakers.turns_of(windows, "rec").collect())
+    assert got == sorted(x for w in want.values() for x in w)
+
+
+def test_windows_are_cut_in_the_longest_pause(spark):
+    gap = np.zeros(int(0.3 * R), np.int16)
+    pcm = np.concatenate([tone(1.5, 200, seed=1), gap, tone(2, 200, seed=2)])
+    regions = spark.createDataFrame([("a", 16_000, 1024.0, pcm.tolist()), ("a", 900_000, 1024.0, pcm[: 40 * 160 + 240].tolist()), ("a", 990_000, 1024.0, pcm[:1000].tolist())], "rec string, start long, threshold double, samples array<smallint>")
+    rows = speakers.region_windows(regions, lambda: embed, "rec").orderBy("region", "nth").collect()
+    assert [(r["region"], r["nth"]) for r in rows if r["region"] > 16_000] == [(900_000, -1)]
+    own = [r for r in rows if r["region"] == 16_000]
+    _, rms = speakers.log_mel(pcm)
+    heard = np.flatnonzero(rms >= 32)
+    assert len(own) == len(heard) // 99 and own[0]["cut"] == 16_000
+    # Between the first two windows lies the pause, so the cut is where it begins.
+    assert own[1]["cut"] == 16_000 + (int(heard[np.diff(heard).argmax()]) + 1) * 160 or np.diff(heard).argmax() >= 99
+    for a, b in zip(own[1:], own[2:]):
+        assert a["cut"] < b["cut"]
 
 
 def test_random_spans_like_a_loop(spark):
@@ -152,6 +281,14 @@ def test_nearest_turn_like_a_loop(spark):
     assert {(r["k"], r["start"]): r["label"] for r in got.collect()} == want
 
 
+def test_as_of_join_of_one_long_recording(spark):
+    turns = spark.range(20_000).select(F.lit("a").alias("rec"), (F.col("id") * 2).alias("start"), F.array(F.lit(1.0), F.lit(0.0)).alias("v"), (F.col("id") % 5).cast("int").alias("label"))
+    fragments = spark.range(2000).select(F.lit("a").alias("rec"), (F.col("id") * 20 + 1).alias("start"), F.array(F.lit(1.0), F.lit(0.0)).alias("v"))
+    began = time.time()
+    got = {r["start"]: r["label"] for r in speakers.nearest_turn(fragments, turns, ["rec"]).collect()}
+    assert time.time() - began < 20 and got == {i * 20 + 1: i * 10 % 5 for i in range(2000)}
+
+
 def test_transcription_retries_and_gates(spark):
     pcm, calls = np.full(35 * R, 2000, np.int16), []
 
@@ -179,3 +316,12 @@ def test_wav_round_trip(spark, tmp_path):
     assert np.concatenate(cut["samples"].to_list()).tolist() == pcm[1000:20000].tolist()
     assert audio.accept_drop(["a.WAV", "b.doc", "c.mp3"], 3) == ([{"seq": 0, "path": "a.WAV", "folder_id": 3}, {"seq": 1, "path": "c.mp3", "folder_id": 3}], True)
     assert rows.select(F.sum(F.size("samples"))).first()[0] == len(pcm)
+    (tmp_path / "c.mp3").write_bytes(b"\x01\x02" * 300)
+    both = audio.recordings(spark, str(tmp_path))
+    with pytest.raises(Exception, match="no decoder for .*c.mp3"):
+        audio.decode_recordings(both).count()
+    given = audio.decode_recordings(both, decoders={".mp3": lambda content: np.frombuffer(content, "<i2")})
+    assert given.where("path like '%mp3'").agg(F.sum(F.size("samples"))).first()[0] == 300
+    (tmp_path / "d.wav").write_bytes(audio.wav_bytes(np.zeros(0, np.int16)))
+    with pytest.raises(Exception, match="no sound in .*d.wav"):
+        audio.decode_recordings(audio.recordings(spark, str(tmp_path / "d.wav"))).count()

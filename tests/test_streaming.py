@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 from scribelake.operators import jobs
 from scribelake.api import cancel, finish
 from scribelake.sources.audio import decode
-from scribelake.streaming.live import assemble_wav, job_states, live_segments, pause_sessions, record, status, step, tile_stream, with_prefix
+from scribelake.streaming.live import JOB, assemble_wav, job_states, live_segments, mix_live, pause_sessions, record, status, step, tile_stream, with_prefix
 
 R = 16_000
+FOLDED = ("state", "phase", "stage", "percent", "text", "saved", "error", "code")
 
 
 def drained(frame, name, mode="append"):
@@ -37,6 +38,34 @@ def test_live_segments_do_not_depend_on_batches(spark, tmp_path):
     assert found[0] == found[1] and len(found[0]) == 2 and 7 * R <= found[0][0][1] <= 7.6 * R
 
 
+def test_one_long_row_is_cut_like_many(spark, tmp_path):
+    pcm = np.concatenate([(np.random.default_rng(i).standard_normal(9 * R) * 3000).astype(np.int16) if i % 2 == 0 else np.zeros(R // 2, np.int16) for i in range(9)])
+    schema, found = "recording_id string, seq long, samples array<smallint>, stop boolean", []
+    for name, step_ in (("one", len(pcm)), ("many", 3000)):
+        rows = [("a", i, pcm[at : at + step_].tolist(), at + step_ >= len(pcm)) for i, at in enumerate(range(0, len(pcm), step_))]
+        rows += [("a", 10_000, pcm[:R].tolist(), True)]  # after the stop: a recording of its own
+        write_steps(spark, rows, schema, tmp_path / name, len(rows))
+        out = drained(live_segments(spark.readStream.schema(schema).parquet(str(tmp_path / name))), f"long_{name}").collect()
+        found.append(sorted((r["start"], r["end"]) for r in out))
+    assert found[0] == found[1] and (0, R) in found[0]
+    cuts = sorted(set(found[0]) - {(0, R)})
+    assert len(cuts) > 3 and cuts[-1][1] == len(pcm) and all(b - a <= 20.5 * R for a, b in cuts) and all(x[1] == y[0] for x, y in zip(cuts, cuts[1:]))
+
+
+def test_two_streams_are_mixed_and_keep_their_tails(spark, tmp_path):
+    schema = "recording_id string, seq long, samples array<smallint>, stop boolean"
+    own = np.random.default_rng(3)
+    a, b = (own.integers(-30_000, 30_000, n).astype(np.int16) for n in (2000, 2600))
+    for name, pcm, sizes in (("a", a, 300), ("b", b, 700)):
+        rows = [("r", i, pcm[at : at + sizes].tolist(), at + sizes >= len(pcm)) for i, at in enumerate(range(0, len(pcm), sizes))]
+        write_steps(spark, rows, schema, tmp_path / name, 2)
+    read = lambda n: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / n))
+    out = drained(mix_live(read("a"), read("b")), "mixed").orderBy("offset").collect()
+    mixed = np.concatenate([r["samples"] for r in out])
+    assert mixed.tolist() == ((a.astype(int) + b[:2000].astype(int)) // 2).tolist()
+    assert [r["offset"] for r in out] == np.cumsum([0, *(len(r["samples"]) for r in out[:-1])]).tolist()
+
+
 def test_pause_sessions_stream_like_batch(spark, tmp_path):
     at = [0, 200, 800, 1600, 1800, 5000]
     rows = spark.createDataFrame([("a", t) for t in at], "rec string, ms long").select("rec", F.timestamp_millis("ms").alias("ts"))
@@ -50,27 +79,27 @@ def test_pause_sessions_stream_like_batch(spark, tmp_path):
 
 def test_job_states_stream_like_fold(spark, tmp_path):
     rng = np.random.default_rng(1)
-    kinds, rows = ["phase", "file", "ready", "text", "preview", "stage"], []
+    kinds, rows = ["phase", "file", "ready", "text", "preview", "stage", "progress"], []
     for job in range(6):
         for seq in range(20):
             kind = kinds[rng.integers(len(kinds))]
-            rows.append((job, seq, kind, ["recording", "transcribing", "finishing"][rng.integers(3)] if kind == "phase" else f"v{seq}", float(seq)))
+            rows.append((job, seq, kind, ["recording", "transcribing", "finishing"][rng.integers(3)] if kind == "phase" else str(seq) if kind == "progress" else f"v{seq}", float(seq)))
         if job % 2:
             rows.append((job, 20, ["done", "error", "cancelled"][job // 2], "end", 20.0))
     schema = "job_id int, seq long, kind string, value string, ts double"
     folded = {r["job_id"]: r for r in jobs.fold(spark.createDataFrame(rows, schema)).collect()}
     for job, row in folded.items():
-        state = {"state": "running", "phase": "loading", "text": ""}
+        state = JOB
         for _, _, kind, value, _ in (r for r in rows if r[0] == job):
             state = step(state, kind, value)
-        assert (row["state"], row["phase"], row["text"]) == (state["state"], state["phase"], state["text"]), job
+        assert [row[c] for c in FOLDED] == [state[c] for c in FOLDED], job
     write_steps(spark, rows, schema, tmp_path / "in", 13)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     last = {}
     for r in drained(job_states(stream), "jobs", "update").collect():
         if r["seq"] >= last.get(r["job_id"], (-1,))[0]:
-            last[r["job_id"]] = (r["seq"], r["state"], r["phase"], r["text"])
-    assert {k: v[1:] for k, v in last.items()} == {k: (r["state"], r["phase"], r["text"]) for k, r in folded.items()}
+            last[r["job_id"]] = (r["seq"], *(r[c] for c in FOLDED))
+    assert {k: v[1:] for k, v in last.items()} == {k: tuple(r[c] for c in FOLDED) for k, r in folded.items()}
 
 
 def test_clock_and_salvage(spark):

@@ -1,5 +1,6 @@
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -72,7 +73,7 @@ def test_create_update_attach_delete(lib, tmp_path):
     header.write_bytes(wav_bytes(np.zeros(0, np.int16)))
     assert lib.attach_audio(kept, str(header)) is None and lib.attach_audio(kept, str(tmp_path / "none.wav")) is None
     name = lib.attach_audio(kept, str(take))
-    assert name.endswith("-take.wav") and lib.get(kept)["source"] == "audio" and (tmp_path / "lib/audio" / name).read_bytes() == take.read_bytes()
+    assert name.endswith("-take.wav") and lib.get(kept)["source"] == "audio" and Path(lib.path, "audio", name).read_bytes() == take.read_bytes()
     assert lib.attach_audio(kept, str(take)) is None and lib.attach_audio(12345, str(take)) is None
     with pytest.raises(RequestError):
         lib.delete(kept, running_note=kept)
@@ -104,7 +105,7 @@ def test_audio_comes_and_goes_with_its_note(spark, tmp_path):
 
 
 def test_the_log_is_compacted_as_it_grows(spark, tmp_path):
-    lib = Library(spark, str(tmp_path / "lib"), clock=iter(range(1, 1000)).__next__, compact_after=6)
+    lib = Library(spark, str(tmp_path / "lib"), clock=map(float, range(1, 1000)).__next__, compact_after=6)
     folder = lib.create_folder("f")
     ids_ = [lib.create(f"n{i}", "audio", folder_id=folder) for i in range(3)]
     lib.update_many(ids_[:2], title="new", trashed=True)

@@ -3,7 +3,7 @@
 A source's documents are wanted target / size times each. The whole part of that ratio is copied for certain. For the rest,
 a document's inclusion odds are in proportion to the whole part of the square root of its words, at most 1 (then it is
 certain), and such that the words expected are those that remain. Documents are ranked by random odds divided by inclusion
-odds, and the first are taken until the source's remaining words are reached. One more document fills the gap.
+odds, and the first are taken until the source's remaining words are reached. Two more documents at most fill the gap.
 """
 
 from __future__ import annotations
@@ -130,11 +130,15 @@ def _plan(base: DataFrame, weights: tuple[float, ...], most: int, buckets: int |
     plan = _with(plan, cut)
     plan = durable(plan.withColumn("short", F.col("rest") - F.coalesce("at", "done")).withColumn("cut", F.when(F.col("edge").isNull(), 1.0).otherwise(F.coalesce("cut", F.lit(-1.0)))))
 
-    later = _ranked(_by_source(base, plan, count).where("edge is not null and size < 2 * short"), buckets).where("bucket >= edge and rank > cut")
-    # Rows that share a rank are taken alike; the smallest miss wins, then the first in the order.
-    tied = later.groupBy("source", "rank").agg(F.sum("size").alias("words"), F.first("short").alias("short")).where("words < 2 * short")
-    fill = tied.groupBy("source").agg(F.min(F.struct(F.abs(F.col("words") - F.col("short")).alias("miss"), "rank")).alias("f")).select(F.col("source").alias("of"), F.col("f.rank").alias("fill"))
-    plan = durable(_with(plan, fill).select("source", "source_size", "target", "whole", "odds", "level", "cut", "edge", "fill"))
+    # Rows that share a rank are taken alike. First the largest that fits, then what brings the source nearest.
+    for name, most_words in (("first_fill", F.col("short")), ("fill", 2 * F.col("short") - 1e-9)):
+        later = _ranked(_by_source(base, plan, count).where((F.col("size") <= most_words) & F.col("edge").isNotNull()), buckets).where("bucket >= edge and rank > cut")
+        if name == "fill":
+            later = later.where("first_fill is null or rank <> first_fill")
+        tied = later.groupBy("source", "rank").agg(F.sum("size").alias("words"), F.first("short").alias("short")).where(F.col("words") <= most_words)
+        best = tied.groupBy("source").agg(F.min(F.struct(F.abs(F.col("words") - F.col("short")).alias("miss"), "rank", "words")).alias("f"))
+        plan = durable(_with(plan, best.select(F.col("source").alias("of"), F.col("f.rank").alias(name), F.col("f.words").alias("filled"))).withColumn("short", F.col("short") - F.coalesce("filled", F.lit(0))).drop("filled"))
+    plan = durable(plan.select("source", "source_size", "target", "whole", "odds", "level", "cut", "edge", "first_fill", "fill"))
 
     return plan, count, buckets
 
@@ -142,7 +146,7 @@ def _plan(base: DataFrame, weights: tuple[float, ...], most: int, buckets: int |
 def _copied(rows: DataFrame, plan: DataFrame, count: int, buckets: int) -> DataFrame:
     """Adds ``copies`` to rows that have id, source, size and order; nothing but the plan is joined."""
     rows = _ranked(_by_source(rows, plan, count), buckets)
-    extra = F.col("rank").isNotNull() & (F.col("edge").isNull() | (F.col("bucket") < F.col("edge")) | (F.col("rank") <= F.col("cut")) | (F.col("rank") == F.coalesce("fill", F.lit(-1.0))))
+    extra = F.col("rank").isNotNull() & (F.col("edge").isNull() | (F.col("bucket") < F.col("edge")) | (F.col("rank") <= F.col("cut")) | F.col("rank").isin(F.coalesce("first_fill", F.lit(-1.0)), F.coalesce("fill", F.lit(-1.0))))
     return rows.withColumn("copies", (F.coalesce("whole", F.lit(0)) + F.when(extra, 1).otherwise(0)).cast("int"))
 
 
@@ -159,8 +163,9 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     ``taken`` is copies x size, and copies are at most ``most``. The Pareto order of a source is never sorted in one
     task: words are summed by ``buckets`` of the order (by default about the root of the rows), and only the bucket in
-    which the target falls is looked at row by row. Then, outside the order, the one unselected document that brings the
-    source nearest to its target is added, if any does: this fill is a short document more often than not.
+    which the target falls is looked at row by row. Where the next in the order is too long, the gap is filled outside the
+    order: with the longest unselected document that fits, then with the one that brings the source nearest to its target.
+    So the documents that fill, two a source at most, are chosen by their length.
 
     A null text has size 0; a null source is a source of its own. Documents of size 0 come in whole copies only, as they
     have no odds. Very long texts are counted whole, and where they are certain come first.
@@ -204,8 +209,11 @@ over AS (SELECT *, CASE WHEN odds > 0 THEN CASE WHEN p >= 1 THEN (u / (1 - u)) /
 ranked AS (SELECT *, q / (1 + q) AS rank FROM over),
 run AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank RANGE UNBOUNDED PRECEDING) AS upto FROM ranked),
 short AS (SELECT source, any_value(rest) - coalesce(max(CASE WHEN upto <= rest THEN upto END), 0) AS short FROM run WHERE rank IS NOT NULL GROUP BY source HAVING max(upto) > any_value(rest)),
-tied AS (SELECT r.source, rank, sum(size) AS words, any_value(s.short) AS short FROM run r JOIN short s ON r.source IS NOT DISTINCT FROM s.source WHERE rank IS NOT NULL AND upto > rest AND size < 2 * s.short GROUP BY r.source, rank),
-fill AS (SELECT source, arg_min(rank, (abs(words - short), rank)) AS fill FROM tied WHERE words < 2 * short GROUP BY source)
-SELECT r.doc_id, r.size, r.source, r.source_size, r.target, (whole + CASE WHEN rank IS NOT NULL AND (upto <= rest OR rank = f.fill) THEN 1 ELSE 0 END)::INTEGER AS copies,
-  (r.size * (whole + CASE WHEN rank IS NOT NULL AND (upto <= rest OR rank = f.fill) THEN 1 ELSE 0 END))::BIGINT AS taken
+later AS (SELECT r.source, rank, sum(size) AS words, any_value(s.short) AS short FROM run r JOIN short s ON r.source IS NOT DISTINCT FROM s.source WHERE rank IS NOT NULL AND upto > rest GROUP BY r.source, rank),
+one AS (SELECT source, arg_min(rank, (abs(words - short), rank)) AS fill, arg_min(words, (abs(words - short), rank)) AS words FROM later WHERE words <= short GROUP BY source),
+left_ AS (SELECT l.source, l.rank, l.words, l.short - coalesce(o.words, 0) AS short FROM later l LEFT JOIN one o ON l.source IS NOT DISTINCT FROM o.source WHERE o.fill IS NULL OR l.rank <> o.fill),
+two AS (SELECT source, arg_min(rank, (abs(words - short), rank)) AS fill FROM left_ WHERE words <= 2 * short - 1e-9 GROUP BY source),
+fill AS (SELECT s.source, o.fill AS one, t.fill AS two FROM short s LEFT JOIN one o ON s.source IS NOT DISTINCT FROM o.source LEFT JOIN two t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT r.doc_id, r.size, r.source, r.source_size, r.target, (whole + CASE WHEN rank IS NOT NULL AND (upto <= rest OR rank = f.one OR rank = f.two) THEN 1 ELSE 0 END)::INTEGER AS copies,
+  (r.size * (whole + CASE WHEN rank IS NOT NULL AND (upto <= rest OR rank = f.one OR rank = f.two) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM run r LEFT JOIN fill f ON r.source IS NOT DISTINCT FROM f.source"""

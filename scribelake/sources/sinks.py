@@ -52,4 +52,4 @@ def notice_blocks(texts: DataFrame) -> DataFrame:
 
 def profile(df: DataFrame, path: str) -> None:
     """Writes down how a table would be computed: its formatted plan, as a local text file."""
-    write_new(df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted"), path)
+    write_new(df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted"), path)

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from scribelake.operators import models
+from scribelake.operators import models, text
 from scribelake.operators.text import keywords
 from scribelake.sources import sinks
 
@@ -58,3 +58,13 @@ def test_text_sinks(spark, tmp_path):
     assert {(r["id"], r["value"].lstrip("\ufeff")) for r in back} == {(1, "one"), (2, "two")}
     packages = spark.createDataFrame([("n", "1", "MIT", "x, y")], "name string, version string, license string, places string")
     assert sinks.notices(packages).first()["value"] == "| n | 1 | MIT | x, y |"
+    texts = spark.createDataFrame([("b", "MIT text "), ("a", "MIT text"), ("c", "other")], "owner string, text string")
+    assert {r["first_owner"]: r["value"] for r in sinks.notice_blocks(texts).collect()} == {"a": "### a, b\n\n```\nMIT text\n```", "c": "### c\n\n```\nother\n```"}
+    sinks.profile(texts.where("owner = 'a'"), str(tmp_path / "plan.txt"))
+    assert "== Physical Plan ==" in (tmp_path / "plan.txt").read_text(encoding="utf-8-sig")
+
+
+def test_assets_are_verified(spark):
+    wanted = spark.createDataFrame([("a", 3, None), ("b", 4, None), ("c", None, "0"), ("d", 3, None), ("e", 3, "BA7816BF8F01CFEA414140DE5DAE2223B00361A396177A9CB410FF61F20015AD")], "path string, size long, sha256 string")
+    files = spark.createDataFrame([(p, 3, b"abc") for p in "abce"], "path string, length long, content binary")
+    assert {r["path"]: r["state"] for r in text.verify_assets(wanted, files).collect()} == {"a": "ok", "b": "size", "c": "digest", "d": "missing", "e": "ok"}

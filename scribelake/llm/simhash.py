@@ -88,7 +88,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """One row per row of ``docs``: id, fingerprint (16 hexadecimal digits), component_id (smallest id reachable), copies
     (rows with this fingerprint).
 
-    Null, empty and blank texts have fingerprint zero and are linked like any other. Rows with equal ids keep a row each.
+    Null, empty and blank texts have fingerprint zero and are linked like any other; a very long text is hashed whole, in
+    blocks. Rows with equal ids keep a row each.
     A null id counts as no id: a component of nothing else has a null component_id. An empty table gives an empty result;
     extra columns are ignored.
     """

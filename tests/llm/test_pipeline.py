@@ -43,3 +43,11 @@ def test_stages(spark, tmp_path):
     assert Counter((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in seen["bpe"]) == want
     again = Counter(corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert again - Counter(seen["bpe"]) == Counter() == Counter(seen["bpe"]) - again
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    labels(spark, []).write.parquet(f"{tmp_path}/labels.parquet")
+    none = documents(spark).select(*COLUMNS).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, str(tmp_path))
+        assert out.count() == 0 and (name == "bpe" or out.columns == COLUMNS)

@@ -107,3 +107,8 @@ def test_keep_one_of_each_group(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
+
+
+def test_a_very_long_text_counts_every_shingle():
+    text = words(8, 80_000)
+    assert simhash.fingerprint(text.encode()) == plain_fingerprint(text)

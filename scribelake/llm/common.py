@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +23,19 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@contextmanager
+def spilled(rows: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``rows`` as Parquet in the shared folder, read again; the folder goes when the block ends."""
+    spark = rows.sparkSession
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
+    try:
+        rows.write.parquet(folder)
+        yield spark.read.schema(rows.schema).parquet(folder)
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def key_text(*parts: Column | str) -> Column:
     """The parts as text, joined by ``|``; a null is the word ``null``."""
     return F.concat_ws("|", *(F.coalesce(F.col(p).cast("string") if isinstance(p, str) else p.cast("string"), F.lit("null")) for p in parts))

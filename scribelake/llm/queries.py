@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scribelake.llm import audit, bpe, lattice, media, mixing, pii, quality, resampling, sharding, simhash, sketch, toxicity
+from scribelake.llm import audit, bpe, lattice, lines, media, mixing, pii, quality, resampling, sharding, simhash, sketch, toxicity
 from scribelake.llm.common import documents
 
 SHARDS = 24
@@ -64,6 +64,10 @@ def op10_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "text", F.size("pii_values").alias("n_values"), *map(count, pii.KINDS))
 
 
+def op11_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.judge(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op12_duckdb_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
@@ -73,7 +77,7 @@ def op13_lattice_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_ball, op2_co_training, op3_subword_lattice, op4_boosted_toxicity, op5_peak_pairs, op6_bitmap_bpe, op7_hash_tree, op8_pareto_mix, op9_bloom_sketch, op10_feistel, op12_duckdb_resample, op13_lattice_audit)}
+    return {f.__name__: f for f in (op1_simhash_ball, op2_co_training, op3_subword_lattice, op4_boosted_toxicity, op5_peak_pairs, op6_bitmap_bpe, op7_hash_tree, op8_pareto_mix, op9_bloom_sketch, op10_feistel, op11_line_field, op12_duckdb_resample, op13_lattice_audit)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,13 +1,17 @@
-"""Document quality by co-training: a classifier of the text's content and one of the page's metadata.
-
-Both are logistic regressions on labelled documents. In each round, each view labels the unlabelled documents of which it
-is most confident, in the proportion of the classes, and the other view learns from them too. After each round both views
-are calibrated on labelled documents that they haven't learned from, and the round whose combined score fits those best is
-the one that counts, so an exchange that does harm is undone. A document's score combines the calibrated views.
+"""Document quality by co-training: a classifier of the text's words and one of the page's metadata.
+
+The content view sees words; the metadata view sees where the page is from, how large it is said to be, and its form: lines,
+how much of it is capitals, digits or
+markup, and how small it packs. Both are logistic regressions on labelled documents. In each round, each
+view labels the unlabelled documents that it ranks surest, in the proportion of the classes, and the other view learns from
+them too. After each round both views are calibrated on labelled documents that they haven't learned from. The last round
+counts whose combined score fits those as well as any round's, so an exchange that does harm is undone. A document's score
+combines the calibrated views.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,9 +25,10 @@ from scribelake.llm.common import add_columns, draw
 from scribelake.llm.toxicity import held_out, labelled_sample
 
 HASHED = 64
-CONTENT = ("words", "word_length", "long_words", "distinct", "capitals", "lower", "digits", "marks", "decorated", "exclaimed", "bars", "repeats", "commonest", "stops", "line_words")
+CONTENT = ("words", "word_length", "long_words", "distinct", "decorated", "exclaimed", "bars", "repeats", "commonest", "stops")
 SOURCES, LANGS = 24, 8
-META = ("log_chars", "no_size", *(f"source_{i}" for i in range(SOURCES)), *(f"lang_{i}" for i in range(LANGS)))
+FORM = ("lines", "line_bytes", "longest_line", "blank_lines", "capitals", "lower", "digits", "marks", "packed")
+META = (*FORM, "log_chars", "no_size", *(f"source_{i}" for i in range(SOURCES)), *(f"lang_{i}" for i in range(LANGS)))
 
 
 def content(text: str) -> np.ndarray:
@@ -34,17 +39,13 @@ def content(text: str) -> np.ndarray:
     if not n:
         return out
     lengths = np.fromiter(map(len, words), np.int64, n)
-    raw = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
-    size = int(raw.sum())
-    upper, lower = int(raw[65:91].sum()), int(raw[97:123].sum())
-    marks = int(raw[33:48].sum() + raw[58:65].sum() + raw[91:97].sum() + raw[123:127].sum())
     seen: dict[str, int] = {}
     for w in words:
         seen[w] = seen.get(w, 0) + 1
     last = raw_ends(words)
     out[: len(CONTENT)] = (
-        np.log1p(n), lengths.mean(), (lengths > 15).mean(), len(seen) / n, upper / size, lower / size, raw[48:58].sum() / size, marks / size,
-        last["decorated"] / n, last["exclaimed"] / n, seen.get("|", 0) / n, 1 - len(seen) / n if n > 20 else 0.0, max(seen.values()) / n, last["stops"] / n, np.log1p(n / (1 + raw[10])),
+        np.log1p(n), lengths.mean(), (lengths > 15).mean(), len(seen) / n, last["decorated"] / n, last["exclaimed"] / n, seen.get("|", 0) / n,
+        1 - len(seen) / n if n > 20 else 0.0, max(seen.values()) / n, last["stops"] / n,
     )
     shape = np.fromiter((xxhash.xxh32_intdigest(w[-3:]) % HASHED for w in seen), np.int64, len(seen))
     out[len(CONTENT) :] = np.bincount(shape, np.fromiter(seen.values(), np.int64, len(seen)), HASHED) / n
@@ -66,13 +67,29 @@ def raw_ends(words: list[str]) -> dict[str, int]:
     return ends
 
 
-def metadata(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """How large the page is said to be and where it is from, nothing of its text, so the views share nothing. Sources and
-    languages are hashed; what is null has a value of its own."""
-    out = np.zeros(len(META))
-    out[0], out[1] = np.log1p(max(0, n_chars or 0)), n_chars is None
-    out[2 + xxhash.xxh32_intdigest(source or "") % SOURCES] = 1
-    out[2 + SOURCES + xxhash.xxh32_intdigest(lang or "") % LANGS] = 1
+def form(text: str) -> np.ndarray:
+    """What the page looks like from afar, whatever its words are; zeros for an empty one."""
+    out = np.zeros(len(FORM))
+    raw = text.encode()
+    if not raw:
+        return out
+    lines = [len(x) for x in raw.split(b"\n")]
+    full = [n for n in lines if n]
+    count = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+    marks = count[33:48].sum() + count[58:65].sum() + count[91:97].sum() + count[123:127].sum()
+    shares = [x / len(raw) for x in (count[65:91].sum(), count[97:123].sum(), count[48:58].sum(), marks)]
+    out[:] = (np.log1p(len(full)), np.log1p(sum(full) / max(1, len(full))), np.log1p(max(lines)), 1 - len(full) / len(lines), *shares, len(zlib.compress(raw, 1)) / len(raw))
+    return out
+
+
+def metadata(text: str, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    """The page's form, how large it is said to be and where it is from; no word of its text. Sources and languages are
+    hashed; what is null has a value of its own."""
+    out, at = np.zeros(len(META)), len(FORM)
+    out[:at] = form(text)
+    out[at], out[at + 1] = np.log1p(max(0, n_chars or 0)), n_chars is None
+    out[at + 2 + xxhash.xxh32_intdigest(source or "") % SOURCES] = 1
+    out[at + 2 + SOURCES + xxhash.xxh32_intdigest(lang or "") % LANGS] = 1
     return out
 
 
@@ -137,6 +154,7 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class QualityModel:
     views: tuple[Logistic, Logistic] | None
     prior: float  # log odds of the classes
+    given: tuple[tuple[int, int], ...] = ()  # by round that counts: pseudo-labels handed over by content, by metadata
 
     def score(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Combined and single-view probabilities. Given the class, the views are taken as independent."""
@@ -147,10 +165,11 @@ class QualityModel:
         return *(1 / (1 + np.exp(-np.clip(m, -50, 50))) for m in (one + two - self.prior, one, two)),
 
 
-def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray, *, rounds: int = 5, share: float = 0.05, sure: float = 0.95) -> QualityModel:
-    """a, b: the two views of labelled rows; pool_a, pool_b: of unlabelled ones. In a round, a view hands over at most
-    ``share`` of the pool, in the proportion of the classes, and only what it is ``sure`` of. A fourth of the labelled
-    rows are kept for calibration and to choose the round."""
+def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray, *, rounds: int = 5, share: float = 0.05) -> QualityModel:
+    """a, b: the two views of labelled rows; pool_a, pool_b: of unlabelled ones. In a round, a view hands over a ``share`` of
+    the pool at most, in the proportion of the classes: for each class the rows it ranks surest, of those it finds likelier
+    to be in it than the classes' proportion says. A fourth of the labelled rows are kept for calibration and to choose
+    the round: the last whose loss there is within a quarter of a standard error of the least."""
     prior = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))) if len(y) else 0.0
     keep = np.arange(len(y)) % 4 == 3
     if len(np.unique(y[~keep])) < 2 or len(np.unique(y[keep])) < 2:
@@ -166,29 +185,34 @@ def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, po
             out.append(view)
         return out
 
-    def loss(views: list[Logistic]) -> float:
+    def losses(views: list[Logistic]) -> np.ndarray:
         m = views[0].log_odds(a[keep]) + views[1].log_odds(b[keep]) - prior
-        return float((np.logaddexp(0, m) - y[keep] * m).mean())
+        return np.logaddexp(0, m) - y[keep] * m
 
     views = learn()
-    best_loss, best_views = loss(views), views
+    tried, given = [(losses(views), views)], []
     for _ in range(rounds if len(pool_a) else 0):
+        handed = [0, 0]
         for giver, taker in ((0, 1), (1, 0)):
-            p = 1 / (1 + np.exp(-np.clip(views[giver].log_odds(pools[giver]), -30, 30)))
-            for label, confidence, part in ((1, p, y.mean()), (0, 1 - p, 1 - y.mean())):
-                free = np.flatnonzero((labels[taker] < 0) & (confidence > sure))
-                best = free[np.argsort(-confidence[free], kind="stable")][: max(1, int(share * part * len(p)))]
+            odds = views[giver].log_odds(pools[giver]) - prior
+            for label, sure, part in ((1, odds, y.mean()), (0, -odds, 1 - y.mean())):
+                free = np.flatnonzero((labels[taker] < 0) & (sure > 0))
+                best = free[np.argsort(-sure[free], kind="stable")][: max(1, int(share * part * len(odds)))]
                 labels[taker, best] = label
+                handed[giver] += len(best)
         views = learn()
-        if (now := loss(views)) < best_loss:
-            best_loss, best_views = now, views
-    return QualityModel((best_views[0], best_views[1]), prior)
+        tried.append((losses(views), views))
+        given.append((handed[0], handed[1]))
+    means = [x.mean() for x, _ in tried]
+    best = tried[int(np.argmin(means))][0]
+    last = max(k for k, m in enumerate(means) if m <= best.mean() + best.std() / len(best) ** 0.5 / 4)
+    return QualityModel((tried[last][1][0], tried[last][1][1]), prior, tuple(given[:last]))
 
 
 def _views(texts: list, langs: list, sources: list, sizes: list) -> tuple[np.ndarray, np.ndarray]:
     texts = [t or "" for t in texts]
     a = np.array([content(t) for t in texts]).reshape(len(texts), len(CONTENT) + HASHED)
-    b = np.array([metadata(lang, source, n) for lang, source, n in zip(langs, sources, sizes, strict=True)]).reshape(len(texts), len(META))
+    b = np.array([metadata(t, lang, source, n) for t, lang, source, n in zip(texts, langs, sources, sizes, strict=True)]).reshape(len(texts), len(META))
     return a, b
 
 

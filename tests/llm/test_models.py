@@ -287,21 +287,34 @@ def plain_content(text):
     found, n = text.split(), len(text.split())
     if not n:
         return [0.0] * (len(quality.CONTENT) + quality.HASHED)
-    data, seen = text.encode(), Counter(found)
-    share = lambda test: sum(map(test, data)) / len(data)
+    seen = Counter(found)
     ends = Counter("fine" if w[-1].isalnum() or w[-1] == "," else w[-1] if w[-1] in "!." else "other" for w in found)
-    upper, lower = share(lambda b: 65 <= b <= 90), share(lambda b: 97 <= b <= 122)
-    out = [math.log1p(n), sum(map(len, found)) / n, sum(len(w) > 15 for w in found) / n, len(seen) / n, upper, lower, share(lambda b: 48 <= b < 58), share(lambda b: 33 <= b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 127)]
-    out += [ends["other"] / n, ends["!"] / n, seen["|"] / n, 1 - len(seen) / n if n > 20 else 0.0, max(seen.values()) / n, ends["."] / n, math.log1p(n / (1 + text.count("\n")))]
+    out = [math.log1p(n), sum(map(len, found)) / n, sum(len(w) > 15 for w in found) / n, len(seen) / n, ends["other"] / n, ends["!"] / n, seen["|"] / n]
+    out += [1 - len(seen) / n if n > 20 else 0.0, max(seen.values()) / n, ends["."] / n]
     shapes = Counter(xxhash.xxh32_intdigest(w[-3:]) % quality.HASHED for w in found)
     return out + [shapes[i] / n for i in range(quality.HASHED)]
 
 
+def plain_metadata(text, lang, source, n_chars):
+    out, raw = [0.0] * len(quality.META), text.encode()
+    if raw:
+        lines = [len(x.encode()) for x in text.split("\n")]
+        full = [n for n in lines if n]
+        share = lambda test: sum(map(test, raw)) / len(raw)
+        out[:4] = math.log1p(len(full)), math.log1p(sum(full) / max(1, len(full))), math.log1p(max(lines)), 1 - len(full) / len(lines)
+        out[4:8] = share(lambda b: 65 <= b <= 90), share(lambda b: 97 <= b <= 122), share(lambda b: 48 <= b < 58), share(lambda b: 33 <= b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 127)
+        out[8] = len(zlib.compress(raw, 1)) / len(raw)
+    out[9], out[10] = math.log1p(n_chars or 0), float(n_chars is None)
+    out[11 + xxhash.xxh32_intdigest(source or "") % quality.SOURCES] = 1.0
+    out[11 + quality.SOURCES + xxhash.xxh32_intdigest(lang or "") % quality.LANGS] = 1.0
+    return out
+
+
 def test_views_like_plain_loops():
     for text in [r[1] or "" for r in awkward()] + ["A | b | c!\nDE!! x, y. z% " * 30, "end. " * 40_000]:
         assert np.allclose(quality.content(text), plain_content(text)), text[:40]
-    a, b = quality.metadata("en", "src1", 100), quality.metadata(None, None, None)
-    assert a.sum() == pytest.approx(math.log1p(100) + 2) and b.sum() == 3 and b[1] == 1 and len(a) == len(quality.META)
+        for page in (("en", "src1", 100), (None, None, None)):
+            assert np.allclose(quality.metadata(text, *page), plain_metadata(text, *page)), text[:40]
 
 
 def test_logistic_and_platt_are_at_their_optimum():
@@ -325,7 +338,7 @@ def test_quality_scores_like_plain_sums(spark):
     want = Counter()
     for r in docs.collect():
         odds = []
-        for view, x in zip(model.views, (plain_content(r["text"] or ""), quality.metadata(r["lang"], r["source"], r["n_chars"]))):
+        for view, x in zip(model.views, (plain_content(r["text"] or ""), plain_metadata(r["text"] or "", r["lang"], r["source"], r["n_chars"]))):
             m = view.weight[0] + sum(w * min(8, max(-8, (v - mean) / scale)) for w, v, mean, scale in zip(view.weight[1:], x, view.mean, view.scale))
             odds.append(view.calibration[0] * m + view.calibration[1])
         want[r["doc_id"], round(1 / (1 + math.exp(-max(-50, min(50, sum(odds) - model.prior)))), 6)] += 1
@@ -374,3 +387,19 @@ def test_held_out_results(spark):
     good = [r for r in quality.score_quality(docs, known).collect() if r["held_out"] and r["doc_id"] in truth]
     assert np.mean([r["predicted"] for r in good if truth[r["doc_id"]]["quality"]]) > 0.97
     assert np.mean([r["predicted"] == truth[r["doc_id"]]["quality"] for r in good]) > 0.9
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_both_views_teach_on_the_drivers_tables(spark):
+    """Pseudo-labels go both ways, change what content learns, and cost nothing on documents that aren't learned from."""
+    docs, known = table(spark, SF, "documents"), table(spark, SF, "labels")
+    with_, without = (quality.fit(docs, known, rounds=r) for r in (5, 0))
+    assert with_.given and all(min(g) > 0 for g in with_.given) and not without.given
+    assert not np.allclose(with_.views[0].weight, without.views[0].weight)
+    assert not np.allclose(with_.views[1].weight, without.views[1].weight)
+    truth = {r["doc_id"]: r["quality"] for r in known.collect()}
+    rows = [r for r in docs.collect() if r["doc_id"] in truth and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    a, b = quality._views(*([r[c] for r in rows] for c in quality.COLUMNS))
+    y = np.array([truth[r["doc_id"]] for r in rows])
+    right = lambda m: [((p > 0.5) == y).mean() for p in m.score(a, b)]
+    assert right(with_)[0] >= right(without)[0] and min(right(with_)) > 0.95

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scribelake.llm import mixing, pii, sharding
-from tests.llm.data import SCHEMA, awkward, documents, row
+from tests.llm.data import SCHEMA, awkward, documents, row, words
 
 
 def python_free(frame):
@@ -103,10 +103,42 @@ def test_mix_totals_and_caps(spark):
     order = sorted(target, key=lambda s: (s is None, s))
     level = {target[s] / (5, 2, 1)[i % 3] for i, s in enumerate(order) if target[s] < 3 * size[s] * (1 - 1e-9)}
     assert max(level) - min(level) < 1e-6 * max(level)
-    copies = {(r["doc_id"], r["source"]): r["copies"] for r in got}
+    copies = Counter()
+    for r in got:
+        copies[r["doc_id"], r["source"]] += r["copies"]
     again = Counter((r["doc_id"], r["source"]) for r in mixing.repeat_by_mix(documents(spark, rows)).collect())
-    times = Counter((r["doc_id"], r["source"]) for r in got)
-    assert again == Counter({k: c * times[k] for k, c in copies.items() if c})
+    assert again == Counter({k: c for k, c in copies.items() if c})
+
+
+def tied_rows():
+    """Sources of one repeated id, of null ids, of rows equal in all, and of equal texts under different ids."""
+    rows = [row(7, words(k, 10), "a") for k in range(100)] + [row(1000 + k, words(k, 10), "b") for k in range(100)]
+    rows += [row(None, words(k % 5, 10 + k % 5), "c") for k in range(100)] + [row(8, words(3, 12), "d")] * 150
+    return rows + [row(2000 + k, words(4, 9), "e") for k in range(100)] + [row(9, words(5, 20), "f", lang=f"l{k % 3}") for k in range(80)]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_tied_rows_are_taken_in_part(spark, few, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10_000 if few else 0)
+    monkeypatch.setattr(mixing, "RUN", 16)
+    docs = documents(spark, tied_rows())
+    got = mixing.mix_sources(docs).collect()
+    target = {r["source"]: r["target"] for r in got}
+    taken, longest = Counter(), Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        longest[r["source"]] = max(longest[r["source"]], r["size"])
+    for s in target:
+        assert abs(taken[s] - target[s]) <= longest[s], s
+    own = duckdb.connect()
+    own.register("documents", docs.toArrow())
+    assert Counter(map(tuple, got)) == Counter(own.execute(mixing.mix_sql()).fetchall())
+    copies = Counter()
+    for r in got:
+        copies[r["doc_id"], r["source"]] += r["copies"]
+    out = mixing.repeat_by_mix(docs)
+    assert out.columns == docs.columns and python_free(out)
+    assert Counter((r["doc_id"], r["source"]) for r in out.collect()) == Counter({k: c for k, c in copies.items() if c})
 
 
 def test_repeats_keep_columns(spark):

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import secrets
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,14 +50,24 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _digest(key: str, tweak: str, i: int, other: Column) -> Column:
-    return F.sha2(F.concat(F.lit(f"{key}|{tweak}|{i}|"), other.cast("string")), 256)
+def _digest(key: str, tweak: str, i: Column, other: Column) -> Column:
+    return F.sha2(F.concat(F.lit(f"{key}|{tweak}|"), i.cast("string"), F.lit("|"), other.cast("string")), 256)
 
 
 def _number(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 
+def _wide(c: Column, k: Column) -> Column:
+    """A letter moved by ``k`` within its alphabet of LETTERS, looked up in one array; any other character as it is."""
+    alphabets = F.expr("array(" + ", ".join(f"named_struct('first', {a}L, 'n', {b - a + 1}L)" for a, b in LETTERS.values()) + ")")
+    point = F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("long")
+    place = lambda a: (point - a["first"] + k) % a["n"] + a["first"]
+    holds = lambda a: (point >= a["first"]) & (point < a["first"] + a["n"])
+    new = F.transform(F.filter(alphabets, holds), lambda a: F.decode(F.unhex(F.lpad(F.hex(place(a)), 4, "0")), "UTF-16BE"))
+    return F.coalesce(F.get(new, F.lit(0)), c)
+
+
 def _shift(text: Column, digest: Column, letters: bool) -> Column:
     """Each digit, ASCII letter or, if wanted, letter of LETTERS moved within its class by its own place in a keystream;
     others stay."""
@@ -68,44 +79,30 @@ def _shift(text: Column, digest: Column, letters: bool) -> Column:
         stream = F.when(block == 0, digest).otherwise(F.sha2(F.concat(digest, block.cast("string")), 256))
         k = F.conv(F.substring(stream, (i - 1) % 14 * 4 + 1, F.lit(4)), 16, 10).cast("long")
         moved = lambda first, n: F.char((F.ascii(c) - ord(first) + k) % n + ord(first))
-        point = F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("long")
-        wide = c
-        for first, last in LETTERS.values() if letters else ():
-            new = F.decode(F.unhex(F.lpad(F.hex((point - first + k) % (last - first + 1) + first), 4, "0")), "UTF-16BE")
-            wide = F.when(point.between(first, last), new).otherwise(wide)
-        return F.when(c.between("0", "9"), moved("0", 10)).when(c.between("a", "z"), moved("a", 26)).when(c.between("A", "Z"), moved("A", 26)).when(c < "\x80", c).otherwise(wide)
+        near = F.when(c.between("0", "9"), moved("0", 10)).when(c.between("a", "z"), moved("a", 26)).when(c.between("A", "Z"), moved("A", 26))
+        return near.when(c < "\x80", c).otherwise(_wide(c, k)) if letters else near.otherwise(c)
 
     return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), one), ""))
 
 
-def _rounds(state: Column, left, right) -> Column:
-    """Feistel: by turns, half ``a`` changes by ``left(i, a, b)`` and half ``b`` by ``right(i, a, b)``."""
-
-    def step(i: int):
-        # One parameter only: a second one would be taken for the place in the array.
-        if i % 2 == 0:
-            return lambda s: F.struct(left(i, s["a"], s["b"]).alias("a"), s["b"].alias("b"))
-        return lambda s: F.struct(s["a"].alias("a"), right(i, s["a"], s["b"]).alias("b"))
-
-    for i in range(ROUNDS):
-        state = _let(state, step(i))
-    return state
+def _rounds(a: Column, b: Column, change) -> Column:
+    """Feistel: by turns, half ``a`` and half ``b`` become ``change(i, half, other)``. The half whose turn it is comes first, so
+    all rounds are one expression; after an even number of them the halves are in their places."""
+    step = lambda s, i: F.struct(s["b"].alias("a"), change(i, s["a"], s["b"]).alias("b"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(a.alias("a"), b.alias("b")), step)
 
 
 def permute_text(text: Column, key: str, tweak: str, letters: bool = False) -> Column:
     """Feistel over a string's two halves. Classes and places of characters stay, so it is a permutation of the format."""
     half = F.floor(F.length(text) / 2).cast("int")
-    state = F.struct(F.substring(text, F.lit(1), half).alias("a"), F.substring(text, half + 1, F.length(text)).alias("b"))
-    left = lambda i, a, b: _let(_digest(key, tweak, i, b), lambda d: _shift(a, d, letters))
-    right = lambda i, a, b: _let(_digest(key, tweak, i, a), lambda d: _shift(b, d, letters))
-    return _let(_rounds(state, left, right), lambda s: F.concat(s["a"], s["b"]))
+    change = lambda i, mine, other: _let(_digest(key, tweak, i, other), lambda d: _shift(mine, d, letters))
+    return _let(_rounds(F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text)), change), lambda s: F.concat(s["a"], s["b"]))
 
 
 def permute_pair(high: Column, low: Column, highs: int, lows: int, key: str, tweak: str) -> Column:
     """Feistel over the numbers 0..highs x lows - 1, as a struct (a, b) of high and low part."""
-    left = lambda i, a, b: (a + _number(_digest(key, tweak, i, b))) % highs
-    right = lambda i, a, b: (b + _number(_digest(key, tweak, i, a))) % lows
-    return _rounds(F.struct(high.cast("long").alias("a"), low.cast("long").alias("b")), left, right)
+    change = lambda i, mine, other: (mine + _number(_digest(key, tweak, i, other))) % F.when(i % 2 == 0, highs).otherwise(lows)
+    return _rounds(high.cast("long"), low.cast("long"), change)
 
 
 def luhn_sum(digits: Column, doubled: int) -> Column:
@@ -202,9 +199,11 @@ def pseudonym(match: Column, key: str) -> Column:
 
 def session_key(spark: SparkSession) -> str:
     """The secret of ``KEY_SETTING``, else of the environment's ``KEY_VARIABLE``, else one drawn at random and kept for the
-    session's life: then values stay linked within the session, and nobody can turn them back. There is no built-in key."""
+    session's life, with a warning: then values stay linked within the session only, and nobody can turn them back. There is
+    no built-in key."""
     key = spark.conf.get(KEY_SETTING, None) or os.environ.get(KEY_VARIABLE)
     if not key:
+        warnings.warn(f"no {KEY_SETTING} is set: pseudonyms will not agree with those of other sessions", stacklevel=2)
         key = secrets.token_hex(16)
         spark.conf.set(KEY_SETTING, key)
     return key

@@ -274,7 +274,8 @@ def test_a_key_is_needed(spark, monkeypatch):
     spark.conf.unset(pii.KEY_SETTING)
     assert pii.session_key(spark) == "from the environment"
     monkeypatch.delenv(pii.KEY_VARIABLE)
-    drawn = pii.session_key(spark)
+    with pytest.warns(UserWarning, match="other sessions"):
+        drawn = pii.session_key(spark)
     assert len(drawn) == 32 and pii.session_key(spark) == drawn
     spark.conf.set(pii.KEY_SETTING, "named")
     assert pii.session_key(spark) == "named"

@@ -20,6 +20,7 @@ from scribelake.operators.speakers import Embedder
 from scribelake.operators.text import keywords
 from scribelake.operators.transcribe import Transcriber, live_text, transcribe_recordings, transcribe_segments
 from scribelake.sources.audio import EXTENSIONS, HEADER, AudioFolder, decode_recordings, recordings
+from scribelake.sources.event_log import EventLog
 from scribelake.sources.shared import durable
 from scribelake.sources.sinks import export_txt
 from scribelake.streaming.live import assemble_wav, live_segments
@@ -41,16 +42,16 @@ class Library:
     """Notes and folders below a path, as append-only event logs that are folded when read.
 
     One writer: sequence numbers come from a counter that starts after the largest in the logs, and so do note ids. Readers
-    need no lock. After ``compact_after`` events a log is written anew, compacted. Audio files are kept beside the logs.
+    need no lock. After ``compact_after`` appends, counted over all openings, a log is written anew, compacted; the log before
+    stays in force until that is done. Audio files are kept beside the logs.
     """
 
     def __init__(self, spark: SparkSession, path: str, clock: Callable[[], float] = time.time, compact_after: int = 1000) -> None:
         self.spark, self.path, self.clock, self.compact_after = spark, path, clock, compact_after
         self.audio, self.slot, self.job = AudioFolder(spark, f"{path}/audio"), JobSlot(), None
-        self._lock, self._appended = threading.RLock(), 0
-        for name, schema in (("note_events", mutations.NOTE_EVENTS), ("folder_events", mutations.FOLDER_EVENTS)):
-            spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/{name}")
-        tops = [self._events(n).agg(F.max("seq")).first()[0] for n in ("note_events", "folder_events")]
+        self._lock = threading.RLock()
+        self._logs = {"note_events": EventLog(spark, f"{path}/note_events", mutations.NOTE_EVENTS, "note_id"), "folder_events": EventLog(spark, f"{path}/folder_events", mutations.FOLDER_EVENTS, "folder_id")}
+        tops = [self._events(n).agg(F.max("seq")).first()[0] for n in self._logs]
         self._seq = max([-1, *(t for t in tops if t is not None)])
         self._next_note = self._after_notes()
 
@@ -60,25 +61,23 @@ class Library:
         lives = events.groupBy("note_id").agg(F.max_by("op", F.when(F.col("op").isin("create", "delete"), F.col("seq"))).alias("last"))
         return (lives.where("last = 'create'").agg(F.max("note_id")).first()[0] or 0) + 1
 
-    def _events(self, name: str) -> DataFrame:
-        schema = mutations.NOTE_EVENTS if name == "note_events" else mutations.FOLDER_EVENTS
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+    def _events(self, name: str, key: int | None = None) -> DataFrame:
+        return self._logs[name].read(key)
 
     def _append(self, name: str, rows: list[tuple]) -> None:
-        schema = mutations.NOTE_EVENTS if name == "note_events" else mutations.FOLDER_EVENTS
         numbered = [(self._seq + i + 1, *row) for i, row in enumerate(rows)]
         self._seq += len(rows)
-        self.spark.createDataFrame(numbered, schema).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
-        self._appended += len(rows)
-        if self._appended >= self.compact_after:
+        self._logs[name].append(numbered)
+        if self._logs[name].appended >= self.compact_after:
             self.compact()
 
     def compact(self) -> None:
-        """Writes the log of notes anew, a create and at most one update for each. Readers should begin afresh after it."""
+        """Writes both logs anew: of each note a create and at most one update, of each folder its last event and deletion.
+        Notes come first, as they are folded against the whole log of folders."""
         with self._lock:
-            rows = durable(mutations.compact(self._events("note_events"), self._events("folder_events")))
-            rows.write.mode("overwrite").parquet(f"{self.path}/note_events")
-            self._appended = 0
+            notes, folders = self._logs["note_events"], self._logs["folder_events"]
+            notes.rewrite(mutations.compact(notes.read(), folders.read()))
+            folders.rewrite(mutations.compact_folders(folders.read()))
 
     def notes(self) -> DataFrame:
         return mutations.current_notes(self._events("note_events"), self._events("folder_events"))
@@ -87,9 +86,13 @@ class Library:
         return mutations.current_folders(self._events("folder_events")).orderBy("name")
 
     def get(self, note_id: int) -> dict | None:
-        row = self.notes().where(F.col("id") == note_id).first()
+        """One note: only its own events are read, and folded."""
+        row = self.note(note_id).first()
         return row.asDict() if row else None
 
+    def note(self, note_id: int) -> DataFrame:
+        return mutations.current_notes(self._events("note_events", note_id), self._events("folder_events"))
+
     def list(self, view: str = "all", query: str = "") -> DataFrame:
         return library.list_notes(self.notes(), self.folders(), view, query)
 
@@ -97,7 +100,7 @@ class Library:
         return library.list_with_keywords(self.notes(), self.folders(), view, query)
 
     def keywords(self, note_id: int, limit: int = 3) -> list[str]:
-        return keywords(self.notes().where(F.col("id") == note_id), "id", "transcript", limit).first()["keywords"]
+        return keywords(self.note(note_id), "id", "transcript", limit).first()["keywords"]
 
     def create(self, title: str, source: str, transcript: str = "", audio: str | None = None, folder_id: int | None = None) -> int:
         """The new note's id, one more than the largest in use. A folder that isn't there leaves the note unfiled; an audio
@@ -139,7 +142,7 @@ class Library:
         with self._lock:
             if not self.audio.has_sound(path):
                 return None
-            found = mutations.attach_audio(self.notes(), self.spark.createDataFrame([(note_id, path)], "note_id long, path string"), self.clock()).first()
+            found = mutations.attach_audio(self.note(note_id), self.spark.createDataFrame([(note_id, path)], "note_id long, path string"), self.clock()).first()
             if found is None:
                 return None
             self.audio.keep(path, found["fields"]["audio"])

@@ -131,10 +131,12 @@ def audio_name(now: Column, path: Column) -> Column:
 
 
 def fill_template(template: Column, values: dict[str, Column]) -> Column:
-    """``{name}`` becomes the value of that name; a null value and an unknown name become nothing."""
-    for name, value in values.items():
-        template = F.replace(template, F.lit("{%s}" % name), F.coalesce(value.cast("string"), F.lit("")))
-    return F.regexp_replace(template, r"\{\w+\}", "")
+    """``{name}`` becomes the value of that name; a null value and an unknown name become nothing. The template is cut once, so
+    braces in a value stay as they are."""
+    place = r"\{(\w+)\}"
+    known = F.create_map(*(c for name, value in values.items() for c in (F.lit(name), F.coalesce(value.cast("string"), F.lit(""))))) if values else F.create_map().cast("map<string,string>")
+    filled = F.transform(F.regexp_extract_all(template, F.lit(place), F.lit(1)), lambda name: F.coalesce(F.element_at(known, name), F.lit("")))
+    return F.array_join(F.zip_with(F.split(template, place, -1), filled, lambda gap, value: F.concat(gap, F.coalesce(value, F.lit("")))), "")
 
 
 def parse_query(query: Column, key: str) -> Column:

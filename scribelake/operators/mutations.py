@@ -84,3 +84,10 @@ def compact(note_events: DataFrame, folder_events: DataFrame) -> DataFrame:
     event = lambda seq, op, fields, at: F.struct(F.col(seq).alias("seq"), F.lit(op).alias("op"), F.col("id").alias("note_id"), fields.alias("fields"), F.col(at).alias("at"))
     create, update = event("born", "create", every, "created"), event("last", "update", filed, "updated")
     return notes.join(ends, "id").select(F.inline(F.when(F.col("last") > F.col("born"), F.array(create, update)).otherwise(F.array(create))))
+
+
+def compact_folders(folder_events: DataFrame) -> DataFrame:
+    """A log of folders that folds alike, now and for notes: each folder's last event, and its last deletion."""
+    whole = F.struct("seq", "op", "folder_id", "name")
+    ends = folder_events.groupBy("folder_id").agg(F.max_by(whole, "seq").alias("last"), F.max_by(whole, F.when(F.col("op") == "delete", F.col("seq"))).alias("gone"))
+    return ends.select(F.inline(F.array_distinct(F.array_compact(F.array("gone", "last")))))

@@ -14,6 +14,7 @@ from scribelake.functions import text as X
 from scribelake.functions import vectors as V
 from scribelake.operators import jobs, library, mutations, signal, speakers, text
 from scribelake.sources import adapters as A
+from scribelake.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -470,10 +471,21 @@ def x25_pick_device(spark, d):
     return A.table(spark, d, "events").select("event_id", X.pick_device(F.col("event_type"), available).alias("device"))
 
 
-@query("SELECT event_id, replace(replace('{kind} of {user}, {gone}', '{kind}', CASE WHEN event_id % 4 = 0 THEN '' ELSE event_type END), '{user}', user_id::VARCHAR).replace('{gone}', '') AS message FROM events")
+@query("SELECT event_id, coalesce(CASE WHEN event_id % 4 = 1 THEN '{user} ' || event_type || ' {x} {kind}' WHEN event_id % 4 > 1 THEN event_type END, '') || ' of ' || user_id || ', {} {a b} ' || coalesce(CASE WHEN event_id % 4 = 1 THEN '{user} ' || event_type || ' {x} {kind}' WHEN event_id % 4 > 1 THEN event_type END, '') AS message FROM events")
 def x16_template(spark, d):
-    kind = F.when(F.col("event_id") % 4 != 0, F.col("event_type"))
-    return A.table(spark, d, "events").select("event_id", X.fill_template(F.lit("{kind} of {user}, {gone}"), {"kind": kind, "user": F.col("user_id")}).alias("message"))
+    """Some values hold places of the template themselves, and one is null."""
+    braces = F.concat(F.lit("{user} "), F.col("event_type"), F.lit(" {x} {kind}"))
+    kind = F.when(F.col("event_id") % 4 == 1, braces).when(F.col("event_id") % 4 > 1, F.col("event_type"))
+    return A.table(spark, d, "events").select("event_id", X.fill_template(F.lit("{kind} of {user}, {}{gone} {a b} {kind}"), {"kind": kind, "user": F.col("user_id")}).alias("message"))
+
+
+@query(f"""WITH t AS (SELECT source AS owner, trim(CASE doc_id % 3 WHEN 0 THEN text ELSE chr(10) || text || chr(9) || chr(160) || chr(10) END, {_SPACES}) AS text FROM documents)
+SELECT min(owner) AS first_owner, sha256('### ' || array_to_string(list_sort(list_distinct(list(owner))), ', ') || chr(10) || chr(10) || '```' || chr(10) || text || chr(10) || '```') AS block FROM t GROUP BY text""")
+def k6_notice_blocks(spark, d):
+    """Texts as licences of their sources, two thirds of them between line ends and other white space."""
+    text_ = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("\n"), "text", F.lit("\t\u00a0\n")))
+    blocks = sinks.notice_blocks(A.table(spark, d, "documents").select(F.col("source").alias("owner"), text_.alias("text")))
+    return blocks.select("first_owner", F.sha2("value", 256).alias("block"))
 
 
 @query("""SELECT page_id, nullif(regexp_extract(url, '[?&]utm_source=([^&#]*)', 1), '') AS source, CASE WHEN page_id::BIGINT % 3 = 0 THEN 'a b' END AS q FROM pages""")

@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scribelake.functions import text as X
+
 BOM = "﻿"
 
 
@@ -44,9 +46,9 @@ def notices(packages: DataFrame) -> DataFrame:
 
 
 def notice_blocks(texts: DataFrame) -> DataFrame:
-    """(first_owner, value): each license text once, below the names of its owners, from (owner, text). Owners are packages
+    """(first_owner, value): each license text once, whatever white space is around it, below the names of its owners, from (owner, text). Owners are packages
     with a text each, so a block's names are gathered."""
-    own = texts.select("owner", F.trim("text").alias("text")).groupBy(F.sha2("text", 256).alias("sha256")).agg(F.array_sort(F.collect_set("owner")).alias("owners"), F.first("text").alias("text"))
+    own = texts.select("owner", X.strip(F.col("text")).alias("text")).groupBy(F.sha2("text", 256).alias("sha256")).agg(F.array_sort(F.collect_set("owner")).alias("owners"), F.first("text").alias("text"))
     return own.select(F.get("owners", F.lit(0)).alias("first_owner"), F.concat(F.lit("### "), F.array_join("owners", ", "), F.lit("\n\n```\n"), F.col("text"), F.lit("\n```")).alias("value"))
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import threading
 import time
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -18,11 +20,12 @@ from scribelake.operators.models import finish_write
 from scribelake.operators.signal import RATE
 from scribelake.operators.speakers import Embedder
 from scribelake.operators.text import keywords
-from scribelake.operators.transcribe import Transcriber, live_text, transcribe_recordings, transcribe_segments
+from scribelake.operators.transcribe import Transcriber, live_text, plan_chunks, transcribe_segments
 from scribelake.sources.audio import EXTENSIONS, HEADER, AudioFolder, decode_recordings, recordings
 from scribelake.sources.event_log import EventLog
-from scribelake.sources.shared import durable
+from scribelake.sources.shared import durable, shared_folder
 from scribelake.sources.sinks import export_txt
+from scribelake.streaming.file_job import FileSteps
 from scribelake.streaming.live import assemble_wav, live_segments
 
 # Sources of live audio and device labels, in order of preference.
@@ -188,8 +191,10 @@ class Library:
 
     def _begin(self, operation: str, note_id: int) -> Job:
         self.slot.start(note_id)
-        self.job = Job(operation, note_id, self.clock)
-        return self.job
+        job = Job(operation, note_id, self.clock)
+        job.emit("phase", "loading")
+        self.job = job
+        return job
 
     def _end(self, job: Job, kind: str, value: str | None, duration: float | None = None) -> None:
         """Writes the transcript (of a failed job, the text that was complete), then frees the slot."""
@@ -204,7 +209,11 @@ class Library:
             self.slot.release()
 
     def transcribe(self, path: str, body: dict, devices: list[str], make: Callable[[str], Callable[[], Transcriber]], speakers: Callable[[], Embedder] | None = None, decoders: dict[str, Callable] | None = None) -> int:
-        """Transcribes a recording into a new note and gives its id; ``job_state`` shows how it ended.
+        """Transcribes a recording into a new note, waits for it, and gives the note's id; ``job_state`` shows how it ended."""
+        return self.start_transcribe(path, body, devices, make, speakers, decoders).wait()
+
+    def start_transcribe(self, path: str, body: dict, devices: list[str], make: Callable[[str], Callable[[], Transcriber]], speakers: Callable[[], Embedder] | None = None, decoders: dict[str, Callable] | None = None) -> Transcribing:
+        """Begins to transcribe a recording into a new note. ``job_state`` shows how far it has come and its text so far.
 
         ``make`` gives the factory of a device's model; ``speakers`` a speaker model's, used unless the body says
         ``speakers: false``. The body is checked, and the slot must be free, before a note is made.
@@ -215,21 +224,12 @@ class Library:
         self.slot.check()
         note_id = self.create(os.path.splitext(os.path.basename(path))[0], "audio", audio=path, folder_id=body.get("folder_id"))
         job = self._begin("transcribe", note_id)
-        try:
-            job.emit("phase", "decoding")
-            files = recordings(self.spark, f"{self.audio.path}/{self.get(note_id)['audio']}")
-            runs = durable(decode_recordings(files, decoders=decoders))
-            job.emit("phase", "diarizing" if speakers and body.get("speakers", True) else "transcribing")
-            texts, events = transcribe_recordings(runs, make(body["device"]), "path", speakers if body.get("speakers", True) else None)
-            for event in events.where("kind <> 'done'").orderBy("seq").collect():  # one recording: a few for each minute
-                job.emit(event["kind"], event["value"])
-            row = texts.first()
-        except Exception as error:
-            self._end(job, "error", str(error))
-        else:
-            job.emit("text", row["transcript"])
-            self._end(job, "done", row["transcript"], row["duration"])
-        return note_id
+        return Transcribing(self, job, make(body["device"]), speakers if body.get("speakers", True) else None, decoders)
+
+    def cancel_job(self) -> None:
+        """Cancels the file job that runs, if any; a live one has its own ways to end."""
+        if self.job and self.job.operation == "transcribe" and self.job.running:
+            self.job.running.cancel()
 
     def listen(self, stream: DataFrame, body: dict, devices: list[str], make: Callable[[str], Callable[[], Transcriber]], trigger: dict | None = None) -> Listening:
         """Transcribes a live stream (recording_id, seq, samples, stop) of one recording into a new note.
@@ -256,6 +256,7 @@ class Job:
 
     def __init__(self, operation: str, note_id: int, clock: Callable[[], float]) -> None:
         self.operation, self.note_id, self.clock, self._events, self.saved = operation, note_id, clock, [], ""
+        self.running: Transcribing | None = None
 
     def emit(self, kind: str, value: Any) -> None:
         if kind == "text":
@@ -268,6 +269,86 @@ class Job:
         return row.asDict() | {"op": self.operation, "note_id": self.note_id}
 
 
+class Transcribing:
+    """A file job, on a thread of its own: what it has transcribed so far shows, is kept if it fails, and it can be cancelled."""
+
+    def __init__(self, library_: Library, job: Job, make: Callable[[], Transcriber], speakers: Callable[[], Embedder] | None, decoders: dict[str, Callable] | None) -> None:
+        self.library, self.job, self._stop = library_, job, threading.Event()
+        self.folder = f"{shared_folder(library_.spark)}/job-{uuid.uuid4()}"
+        self.tag = os.path.basename(self.folder)
+        self._thread = threading.Thread(target=self._run, args=(make, speakers, decoders), daemon=True)
+        job.running = self
+        self._thread.start()
+
+    def wait(self, timeout: float | None = None) -> int:
+        """The note's id, once the job has ended, however it did."""
+        self._thread.join(timeout)
+        return self.job.note_id
+
+    def cancel(self) -> None:
+        """At once: the step that runs is given up, the text of those before stays."""
+        self._stop.set()
+        self.library.spark.sparkContext.cancelJobsWithTag(self.tag)
+
+    def _go_on(self) -> None:
+        if self._stop.is_set():
+            raise InterruptedError
+
+    def _run(self, make: Callable[[], Transcriber], speakers: Callable[[], Embedder] | None, decoders: dict[str, Callable] | None) -> None:
+        library_, job = self.library, self.job
+        spark = library_.spark
+        spark.sparkContext.addJobTag(self.tag)
+        try:
+            text, duration = self._steps(make, speakers, decoders)
+        except Exception as error:
+            library_._end(job, *(("cancelled", None) if self._stop.is_set() else ("error", reason(error))))
+        else:
+            library_._end(job, *(("cancelled", None) if self._stop.is_set() else ("done", text, duration)))
+        finally:
+            job.running = None
+            AudioFolder(spark, os.path.dirname(self.folder)).remove(self.tag, whole=True)
+
+    def _steps(self, make: Callable[[], Transcriber], speakers: Callable[[], Embedder] | None, decoders: dict[str, Callable] | None) -> tuple[str, float]:
+        job, spark = self.job, self.library.spark
+        job.emit("phase", "decoding")
+        job.emit("stage", "오디오를 16 kHz 모노로 변환하는 중…")
+        files = recordings(spark, f"{self.library.audio.path}/{self.library.get(job.note_id)['audio']}")
+        runs = durable(decode_recordings(files, decoders=decoders))
+        self._go_on()
+        if speakers:
+            job.emit("phase", "diarizing")
+            job.emit("stage", "화자 분석 중…")
+        totals, chunks = plan_chunks(runs, "path", speakers)
+        total, duration = totals.select("total", "duration").first()
+        job.emit("duration", duration)
+        self._go_on()
+        steps = FileSteps(spark, self.folder, "path")
+        count = steps.lay_out(runs, chunks)
+        reach = {r["step"]: r for r in steps.chunks().groupBy("step").agg(F.min("start").alias("start"), F.max("end").alias("end")).collect()}  # a row a step
+        job.emit("phase", "transcribing")
+
+        def begun(step: int) -> None:
+            at = reach[step]
+            job.emit("progress", at["start"] / total * 100)
+            job.emit("stage", f"{at['start'] / RATE:.1f}–{at['end'] / RATE:.1f}초 구간 전사 중")
+
+        def done(step: int) -> None:
+            job.emit("text", steps.text())
+            job.emit("progress", reach[step]["end"] / total * 100)
+
+        steps.run(count, make, begun, done, self._stop)
+        self._go_on()
+        return job.saved, duration
+
+
+def reason(error: BaseException) -> str:
+    """What went wrong, in the words of the error that began it, without the traces of those who passed it on."""
+    text = str(error)
+    lines = re.findall(r"^(?:\w+\.)*\w*(?:Error|Exception|Interrupt|Exit)(?:: (.*))?$", text, re.MULTILINE)
+    found = next((x for x in reversed(lines) if x), None)
+    return (found or text.strip().partition("\n")[0] or type(error).__name__)[-3000:]
+
+
 class Listening:
     """A live job: its queries, and the two ways it ends."""
 

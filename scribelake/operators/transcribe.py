@@ -22,7 +22,8 @@ _LOOP = re.compile(r"(.{1,30}?)(?:\s*\1){4,}")
 
 
 class Transcriber(Protocol):
-    """Samples from -1 to 1 to (text, whether the model ran out of tokens)."""
+    """Samples from -1 to 1 to (text, whether the model ran out of tokens). One that also has ``many``, from a list of them to
+    a list, is given the parts of several chunks together."""
 
     def __call__(self, audio: np.ndarray) -> tuple[str, bool]: ...
 
@@ -53,6 +54,28 @@ def transcribe_chunk(samples: np.ndarray, start: int, model: Transcriber, done:
         done(start + b)
 
 
+def transcribe_together(chunks: list[tuple[int, np.ndarray]], model: Transcriber) -> list[list[tuple[int, int, str]]]:
+    """What ``transcribe_chunk`` gives for each chunk (start, samples), by rounds: all parts that wait are given to the model's
+    ``many`` together, and the halves of those cut short wait for the next round."""
+    found: list[list[tuple[int, int, str]]] = [[] for _ in chunks]
+    waiting = [(i, 0, len(samples)) for i, (_, samples) in enumerate(chunks)]
+    while waiting:
+        audio = [chunks[i][1][a:b].astype(np.float32) / 32768.0 for i, a, b in waiting]
+        heard = [k for k, x in enumerate(audio) if len(x) and np.abs(x).max() >= SILENT_PEAK]
+        texts = dict(zip(heard, model.many([audio[k] for k in heard]), strict=True)) if heard else {}
+        halves = []
+        for k, (i, a, b) in enumerate(waiting):
+            text, truncated = texts.get(k, ("", False))
+            start = chunks[i][0]
+            if truncated and b - a > SHORT:
+                middle = (2 * start + a + b) // 2 - start
+                halves += [(i, a, middle), (i, middle, b)]
+            elif text := without_loops(text) if truncated else text:
+                found[i].append((start + a, start + b, text))
+        waiting = halves
+    return [sorted(parts) for parts in found]
+
+
 def transcribe_segment(samples: np.ndarray, model: Transcriber) -> str:
     """A live segment: halved once if the model ran out of tokens, the halves as they are."""
     audio = samples.astype(np.float32) / 32768.0
@@ -71,25 +94,31 @@ def transcribe_chunks(chunks: DataFrame, make: Callable[[], Transcriber], key: s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for batch in batches:
-            rows = [(getattr(r, key), a, r.label, text) for r in batch.itertuples() for a, _, text in transcribe_chunk(np.asarray(r.samples, np.int16), int(r.start), model)]
+            sounds = [(int(r.start), np.asarray(r.samples, np.int16)) for r in batch.itertuples()]
+            parts = transcribe_together(sounds, model) if hasattr(model, "many") else [list(transcribe_chunk(x, start, model)) for start, x in sounds]
+            rows = [(getattr(r, key), a, r.label, text) for r, own in zip(batch.itertuples(), parts, strict=True) for a, _, text in own]
             yield pd.DataFrame(rows, columns=[key, "seq", "label", "text"]).astype({"label": "Int32"})
 
     return chunks.select(key, "start", "label", "samples").mapInPandas(run, schema)
 
 
+def plan_chunks(runs: DataFrame, key: str, speakers: Callable[[], Embedder] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(key, total, duration) of recordings (key, offset, samples) and their chunks (key, label, start, end): with a speaker model
+    a recording is first parted by speaker, and no chunk crosses a change."""
+    tiles = durable(signal.tiles(runs, [key]))
+    totals = signal.totals(tiles, [key]).select(key, "total", F.col("seconds").alias("duration"))
+    whole = totals.where("total > 0").select(key, F.lit(0).cast("long").alias("start"), F.col("total").alias("end"), F.lit(None).cast("int").alias("label"))
+    return totals, durable(signal.chunks(tiles, whole if speakers is None else diarize(runs, speakers, key), key))
+
+
 def transcribe_recordings(runs: DataFrame, make: Callable[[], Transcriber], key: str, speakers: Callable[[], Embedder] | None = None) -> tuple[DataFrame, DataFrame]:
     """Whole recordings of runs (key, offset, samples): (key, transcript, duration) and the (key, seq, kind, value) events of
     each, in order: the duration, then for each chunk how far it has come in percent, then the text.
 
-    With a speaker model a recording is first parted by speaker, and no chunk crosses a change. Chunks are spread over the
-    cluster whatever recording they are of. The model's parts are written down once. A recording without speech has an
-    empty transcript.
+    Chunks are spread over the cluster whatever recording they are of. The model's parts are written down once. A
+    recording without speech has an empty transcript.
     """
-    tiles = durable(signal.tiles(runs, [key]))
-    totals = signal.totals(tiles, [key]).select(key, "total", F.col("seconds").alias("duration"))
-    whole = totals.where("total > 0").select(key, F.lit(0).cast("long").alias("start"), F.col("total").alias("end"), F.lit(None).cast("int").alias("label"))
-    spans = whole if speakers is None else diarize(runs, speakers, key)
-    chunks = durable(signal.chunks(tiles, spans, key))
+    totals, chunks = plan_chunks(runs, key, speakers)
     parts = durable(transcribe_chunks(signal.cut_samples(runs, chunks, key), make, key))
     texts = render(parts, [key])
     out = durable(totals.join(texts, key, "left").select(key, F.coalesce("transcript", F.lit("")).alias("transcript"), "duration"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from scribelake.functions import text as X
 from scribelake.functions import vectors as V
 from scribelake.operators import jobs, library, mutations, signal, speakers, text
+from scribelake.operators.decoding import decode_sounds
 from scribelake.sources import adapters as A
 from scribelake.sources import sinks
 
@@ -605,3 +606,47 @@ def u5_cluster(spark, d):
 
     rows = A.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("recording"), "vec_id", V.normalise(F.col("embedding")).alias("v"))
     return rows.groupBy("recording").applyInPandas(run, "recording long, vec_id long, speaker long")
+
+
+class _Spelling:
+    """A step model without learning: the nth token it wants is the nth sample modulo the vocabulary, then the end; of those
+    that may not come, the next one that may."""
+
+    prompt, end, limit, vocabulary = (46, 47, 48, 49), 45, 40, 50
+    suppressed, suppressed_first = (3, 7, 11, 12), (0, 1, 2, 45)
+
+    def start(self, sounds, lengths):
+        return {"sounds": sounds, "lengths": lengths}
+
+    def step(self, state, tokens, position):
+        import numpy as np
+
+        nth = position - len(self.prompt) + 1
+        wanted = np.rint(state["sounds"][:, nth] * 32768).astype(int) % self.vocabulary if 0 <= nth < state["sounds"].shape[1] else np.full(len(tokens), self.end)
+        wanted = np.where(state["lengths"] > nth, wanted, self.end)
+        return -((np.arange(self.vocabulary)[None, :] - wanted[:, None]) % self.vocabulary).astype(np.float32)
+
+    def keep(self, state, rows):
+        return {k: v[rows] for k, v in state.items()}
+
+    def text(self, tokens):
+        return " ".join(f"t{t}" for t in tokens)
+
+
+@query(f"""WITH {A.BLOCKS_SQL}, sounds AS (SELECT recording_id, idx // 48 AS piece, idx % 48 AS nth, floor(sqrt(energy))::BIGINT % 20000 AS x FROM blocks WHERE idx % 48 <> 47 OR idx // 48 % 2 = 0),
+lengths AS (SELECT recording_id, piece, count(*) AS n FROM sounds GROUP BY 1, 2),
+wanted AS (SELECT recording_id, piece, nth, x % 50 AS w FROM sounds WHERE nth < 36 UNION ALL SELECT recording_id, piece, n, 45 FROM lengths WHERE n < 36),
+vocabulary AS (SELECT t FROM (SELECT unnest(range(46)) AS t) WHERE t NOT IN (3, 7, 11, 12)),
+best AS (SELECT recording_id, piece, nth, arg_min(t, (t - w + 50) % 50) AS token FROM wanted, vocabulary WHERE nth > 0 OR t NOT IN (0, 1, 2, 45) GROUP BY recording_id, piece, nth),
+ends AS (SELECT recording_id, piece, min(nth) AS e FROM best WHERE token = 45 GROUP BY 1, 2),
+made AS (SELECT l.recording_id, l.piece, coalesce(e, 36) AS tokens, e IS NULL AS truncated FROM lengths l LEFT JOIN ends USING (recording_id, piece)),
+texts AS (SELECT recording_id, piece, m.tokens, truncated, coalesce(string_agg('t' || token, ' ' ORDER BY nth) FILTER (WHERE nth < m.tokens), '') AS text FROM made m JOIN best USING (recording_id, piece) GROUP BY ALL),
+counts AS (SELECT recording_id, piece, m.tokens, p * 4 AS upto FROM made m, (SELECT unnest(range(1, 10)) AS p) WHERE p * 4 <= m.tokens),
+early AS (SELECT c.recording_id, c.piece, upto, string_agg('t' || token, ' ' ORDER BY nth) FILTER (WHERE nth < upto) AS text FROM counts c JOIN best USING (recording_id, piece) GROUP BY ALL)
+SELECT recording_id, piece, 'text' AS kind, tokens::INTEGER AS tokens, text, truncated FROM texts UNION ALL SELECT recording_id, piece, 'preview', upto::INTEGER, text, FALSE FROM early""")
+def u1_greedy_decode(spark, d):
+    """All recordings, 47 or 48 blocks a sound, decoded by a model that needs no learning: suppressed tokens, ends, the limit and
+    previews as for any."""
+    rows = A.blocks(spark, d).where("idx % 48 <> 47 or floor(idx / 48) % 2 = 0").select("recording_id", F.floor(F.col("idx") / 48).alias("piece"), F.struct("idx", (F.floor(F.sqrt("energy")) % 20000).cast("smallint").alias("x")).alias("s"))
+    sounds = rows.groupBy("recording_id", "piece").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]).alias("samples"))
+    return decode_sounds(sounds, _Spelling, ["recording_id", "piece"])

@@ -113,9 +113,10 @@ class AudioFolder:
         self._jvm.org.apache.hadoop.fs.FileUtil.copy(system, at, to_system, to, False, True, self._conf)
         return f"{self.path}/{name}"
 
-    def remove(self, name: str) -> None:
+    def remove(self, name: str, whole: bool = False) -> None:
+        """A file or, if ``whole``, a folder with all in it."""
         system, at = self._at(f"{self.path}/{name}")
-        system.delete(at, False)
+        system.delete(at, whole)
 
     def write(self, name: str, content: bytes) -> str:
         system, at = self._at(f"{self.path}/{name}")

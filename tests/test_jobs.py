@@ -1,5 +1,8 @@
 """Whole jobs on a library: transcription of files, live listening, and how they end."""
 
+import threading
+import time
+
 import numpy as np
 import pytest
 
@@ -89,6 +92,117 @@ def test_a_failed_job_frees_the_slot(lib, tmp_path):
     assert lib.get(given)["transcript"] == "7초 구간"
 
 
+def rising(seconds=50):
+    """Louder every ten seconds, with a pause after each, so chunks differ in loudness."""
+    return np.concatenate([np.concatenate([noise(seconds / 5 - 0.6, k) * ((k + 1) / 8), np.zeros(int(0.6 * R), np.int16)]) for k in range(5)]).astype(np.int16)
+
+
+def loud_ones(act, level):
+    """A model that tells how long its audio is, unless it is loud: then it acts."""
+
+    def model(x):
+        if float(np.abs(x).max()) > level:
+            act()
+        return f"{len(x) / R:.0f}초", False
+
+    return lambda device: lambda: model
+
+
+def stop_at(pcm, chunks):
+    """The chunks of a recording, and a level that only the last of them passes."""
+    peaks = [float(np.abs(pcm[a:b] / 32768.0).max()) for a, b in chunks]
+    assert max(peaks[:-1]) < peaks[-1]
+    return (max(peaks[:-1]) + peaks[-1]) / 2
+
+
+def chunks_of(spark, pcm):
+    from scribelake.operators.transcribe import plan_chunks
+
+    _, chunks = plan_chunks(runs(spark, a=pcm), "rec")
+    return sorted((r["start"], r["end"]) for r in chunks.collect())
+
+
+def broken():
+    raise RuntimeError("the model ran out of memory")
+
+
+def test_a_broken_job_keeps_the_chunks_before(spark, lib, tmp_path):
+    pcm = rising()
+    cut = chunks_of(spark, pcm)
+    assert len(cut) >= 3
+    note = lib.transcribe(wav(tmp_path, pcm), BODY, ["cpu"], loud_ones(broken, stop_at(pcm, cut)))
+    job, kept = lib.job_state(), " ".join(f"{(b - a) / R:.0f}초" for a, b in cut[:-1])
+    assert lib.get(note)["transcript"].split() == kept.split()
+    assert job["state"] == "error" and job["code"] == "failed" and job["error"] == "the model ran out of memory"
+    assert 0 < job["percent"] < 100 and job["saved"].split() == kept.split() and lib.slot.running is None
+
+
+def test_a_cancelled_job_keeps_the_chunks_before_and_ends_soon(spark, lib, tmp_path):
+    pcm = rising()
+    cut = chunks_of(spark, pcm)
+
+    def slow():
+        import time
+
+        time.sleep(120)
+
+    job = lib.start_transcribe(wav(tmp_path, pcm), BODY, ["cpu"], loud_ones(slow, stop_at(pcm, cut)))
+    seen = []
+    for _ in range(1200):
+        state = lib.job_state()
+        seen.append((state["percent"], state["text"]))
+        if len(state["saved"].split()) == len(cut) - 1:
+            break
+        time.sleep(0.1)
+    assert state["state"] == "running" and state["phase"] == "transcribing" and state["duration"] == len(pcm) / R
+    with pytest.raises(RequestError):
+        lib.transcribe(wav(tmp_path, noise(1), "other.wav"), BODY, ["cpu"], told())
+    began = time.time()
+    lib.cancel_job()
+    note = job.wait(60)
+    assert time.time() - began < 30
+    percents = [p for p, _ in seen]
+    assert percents == sorted(percents) and len(set(percents)) > 1
+    end = lib.job_state()
+    assert end["state"] == "error" and end["code"] == "cancelled" and end["error"] == "취소됐습니다." and lib.slot.running is None
+    assert len(lib.get(note)["transcript"].split()) == len(cut) - 1
+    lib.cancel_job()  # nothing runs any more
+    assert lib.job_state() == end
+
+
+def test_a_step_that_is_run_again_writes_its_text_once(spark, tmp_path):
+    from scribelake.operators.transcribe import plan_chunks
+    from scribelake.streaming.file_job import FileSteps
+
+    pcm = np.full(90 * R, 2000, np.int16)
+    rows = runs(spark, a=pcm)
+    _, chunks = plan_chunks(rows, "rec")
+    steps = FileSteps(spark, str(tmp_path / "job"), "rec")
+    count = steps.lay_out(rows, chunks, steps=3)
+    assert count == 3 and steps.chunks().count() == chunks.count()
+    make, told_of, stop = told("{:.1f}")("cpu"), [], threading.Event()
+
+    def first_only(step):
+        told_of.append(step)
+        if step == 1:
+            raise OSError("the driver fails after a step has been written, before the stream knows")
+
+    with pytest.raises(Exception, match="before the stream knows"):
+        steps.run(count, make, lambda step: None, first_only, stop)
+    again = FileSteps(spark, str(tmp_path / "job"), "rec")
+    again.run(count, make, lambda step: None, told_of.append, stop)
+    assert told_of == [0, 1, 1, 2]
+    assert sum(map(float, again.text().split())) == pytest.approx(90, abs=0.5)
+
+
+def test_reasons_are_short():
+    from scribelake.api import reason
+
+    trace = "An exception was thrown from the Python worker.\nTraceback (most recent call last):\n  File \"x.py\", line 3, in run\nValueError: no decoder for a.mp3\n\nJVM stacktrace:\norg.apache.spark.SparkException: Job aborted\n\tat a.b"
+    assert reason(Exception(trace.split("\n\nJVM")[0])) == "no decoder for a.mp3"
+    assert reason(ValueError("plain")) == "plain" and reason(ValueError()) == "ValueError"
+
+
 ROWS = "recording_id string, seq long, samples array<smallint>, stop boolean"
 LIVE = BODY | {"source": "mic", "mic": "m"}
 

@@ -21,7 +21,7 @@ from scribelake.operators.signal import RATE
 from scribelake.operators.speakers import Embedder
 from scribelake.operators.text import keywords
 from scribelake.operators.transcribe import Transcriber, live_text, plan_chunks, transcribe_segments
-from scribelake.sources.audio import EXTENSIONS, HEADER, AudioFolder, decode_recordings, recordings
+from scribelake.sources.audio import EXTENSIONS, HEADER, AudioFolder, read_recordings
 from scribelake.sources.event_log import EventLog
 from scribelake.sources.shared import durable, shared_folder
 from scribelake.sources.sinks import export_txt
@@ -312,8 +312,7 @@ class Transcribing:
         job, spark = self.job, self.library.spark
         job.emit("phase", "decoding")
         job.emit("stage", "오디오를 16 kHz 모노로 변환하는 중…")
-        files = recordings(spark, f"{self.library.audio.path}/{self.library.get(job.note_id)['audio']}")
-        runs = durable(decode_recordings(files, decoders=decoders))
+        runs = durable(read_recordings(spark, f"{self.library.audio.path}/{self.library.get(job.note_id)['audio']}", decoders))
         self._go_on()
         if speakers:
             job.emit("phase", "diarizing")

@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribelake.functions import text as X
-from scribelake.operators.signal import RATE, TILE
+from scribelake.operators.signal import RATE
+from scribelake.sources.wav_source import RUN, can_read, read_samples, read_track, read_wav
 
 # What counts as a recording. Only WAV is decoded here; other kinds need a decoder of your own.
 EXTENSIONS = (".wav", ".mp3", ".m4a", ".flac", ".aac", ".ogg", ".opus", ".wma", ".mp4")
 HEADER = 44
-RUN = 100 * TILE
 
 
 def recordings(spark: SparkSession, path: str) -> DataFrame:
@@ -28,24 +28,18 @@ def recordings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode(content: bytes) -> np.ndarray:
-    """16 kHz mono 16-bit samples of a WAV; channels are averaged, other rates interpolated. No sound is a ValueError."""
-    with wave.open(io.BytesIO(content), "rb") as track:
-        width, channels, rate = track.getsampwidth(), track.getnchannels(), track.getframerate()
-        raw = track.readframes(track.getnframes())
-    if width == 1:
-        sound = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) * 256
-    elif width == 2:
-        sound = np.frombuffer(raw, "<i2").astype(np.float64)
-    else:
-        wide = np.frombuffer(raw, np.uint8).reshape(-1, width)[:, -2:]
-        sound = np.ascontiguousarray(wide).view("<i2").reshape(-1).astype(np.float64)
-    sound = sound.reshape(-1, channels).mean(axis=1)
-    if not len(sound):
-        raise ValueError("no sound")
-    if rate != RATE:
-        n = max(1, round(len(sound) * RATE / rate))
-        sound = np.interp(np.arange(n) * rate / RATE, np.arange(len(sound)), sound)
-    return np.clip(np.rint(sound), -32768, 32767).astype(np.int16)
+    """16 kHz mono 16-bit samples of a whole WAV; channels are averaged, other rates filtered. No sound is a ValueError."""
+    track = read_track("the file", content)
+    return read_samples(track, 0, track.length, content)
+
+
+def read_recordings(spark: SparkSession, path: str, decoders: dict[str, Callable[[bytes], np.ndarray]] | None = None) -> DataFrame:
+    """(path, offset, samples) of one recording: a WAV is read in parts by many tasks, unless ``decoders`` has a way of its own
+    or its file system is known to Spark alone; any other kind as a whole."""
+    suffix = os.path.splitext(path)[1].lower()
+    if suffix == ".wav" and suffix not in (decoders or {}) and can_read(path):
+        return read_wav(spark, path)
+    return decode_recordings(recordings(spark, path), decoders=decoders)
 
 
 def decode_recordings(files: DataFrame, run: int = RUN, decoders: dict[str, Callable[[bytes], np.ndarray]] | None = None) -> DataFrame:
@@ -64,7 +58,7 @@ def decode_recordings(files: DataFrame, run: int = RUN, decoders: dict[str, Call
                     raise ValueError(f"no decoder for {path}")
                 try:
                     sound = made(content)
-                except (wave.Error, EOFError, ValueError) as error:
+                except ValueError as error:
                     raise ValueError(f"no sound in {path}: {error}") from error
                 at = range(0, len(sound), run)
                 yield pd.DataFrame({"path": path, "offset": list(at), "samples": [sound[i : i + run] for i in at]})

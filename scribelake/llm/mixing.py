@@ -226,7 +226,10 @@ def repeat_by_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         rows = _marked(docs, id_col, text_col, source_col, F.struct(*docs.columns).alias("row")).withColumn("nth", F.lit(1).cast("long"))
     else:
         rows = _numbered(docs, id_col, text_col, source_col)
-    rows = _copied(rows.withColumn("order", _order(F.col("id"), F.col("mark"), F.col("nth"), seed)), *plan).where("copies > 0")
+    rows = _copied(rows.withColumn("order", _order(F.col("id"), F.col("mark"), F.col("nth"), seed)), *plan)
+    # A filter doesn't move below a column that isn't deterministic: there it would count a text's words for each time its
+    # condition needs their number.
+    rows = rows.withColumn("at", F.monotonically_increasing_id()).where("copies > 0 and at >= 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 

@@ -10,63 +10,82 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from scribelake.operators.jobs import DEFAULT_ERROR
 from scribelake.operators.signal import BLOCK, RATE, split_point
 from scribelake.sources.audio import wav_bytes
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Samples between two questions whether to cut.
 STEP = RATE // 2
 SEGMENTS = "{key}, start long, end long, n long, sum_sq double, samples array<smallint>"
 
 
+class Cutter:
+    """A recording's samples since the last cut, and the segments that leave it. Whether to cut is asked after each half
+    second, so the segments depend neither on how long rows are nor on how they fall into batches."""
+
+    def __init__(self, start: int = 0, asked: int = 0, held: bytes = b"") -> None:
+        self.start, self.asked, self.buffer = start, asked, np.frombuffer(held, "<i2")
+
+    @property
+    def state(self) -> tuple[int, int, bytes]:
+        return self.start, self.asked, self.buffer.astype("<i2").tobytes()
+
+    def _emit(self, n: int) -> tuple:
+        part = self.buffer[:n].astype(np.float64)
+        out = (self.start, self.start + n, n, float(part @ part), self.buffer[:n].tolist())
+        self.start, self.buffer = self.start + n, self.buffer[n:]
+        return out
+
+    def _ask(self) -> Iterator[tuple]:
+        while True:
+            blocks = (self.buffer[: len(self.buffer) // BLOCK * BLOCK].astype(np.float64).reshape(-1, BLOCK) ** 2).mean(axis=1)
+            if not (cut := split_point(blocks, len(self.buffer))):
+                return
+            yield self._emit(cut)
+
+    def take(self, samples: Any) -> Iterator[tuple]:
+        """(start, end, n, sum_sq, samples) of the segments that these samples close."""
+        left = np.asarray(samples if samples is not None else [], "<i2")
+        while len(left):  # asked: samples of the recording that the last question covered
+            step = self.asked + STEP - self.start - len(self.buffer)
+            self.buffer, left = np.concatenate([self.buffer, left[:step]]), left[step:]
+            if self.start + len(self.buffer) == self.asked + STEP:
+                self.asked += STEP
+                yield from self._ask()
+
+    def flush(self) -> Iterator[tuple]:
+        """The rest, as nothing more comes."""
+        yield from self._ask()
+        if len(self.buffer):
+            yield self._emit(len(self.buffer))
+
+
 def live_segments(stream: DataFrame, key: str = "recording_id") -> DataFrame:
     """(key, start, end, n, sum_sq, samples) of a stream (key, seq, samples, stop): the segments of each recording.
 
-    A stateful operator holds the samples since the last cut, half a second over 20 s at most. Whether to cut is asked after
-    each half second, in order of ``seq`` within a micro-batch, so the segments depend neither on how long rows are nor on
-    how they fall into batches, as long as they arrive in order. A row with ``stop`` flushes the tail and ends the
-    recording: its state goes, and a later row with the key begins a new one.
+    A stateful operator holds the samples since the last cut, half a second over 20 s at most, in order of ``seq`` within a
+    micro-batch; rows should arrive in order. A row with ``stop`` flushes the tail and ends the recording: its state goes,
+    and a later row with the key begins a new one. One that is never stopped keeps its state: ``watched_segments`` ends it.
     """
     kind = stream.schema[key].dataType.simpleString()
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, asked, held = state.get if state.exists else (0, 0, b"")
-        buffer, out, live = np.frombuffer(held, "<i2"), [], True
-
-        def emit(n: int) -> None:
-            nonlocal start, buffer
-            part = buffer[:n].astype(np.float64)
-            out.append((*group, start, start + n, n, float(part @ part), buffer[:n].tolist()))
-            start, buffer = start + n, buffer[n:]
-
-        def ask() -> None:
-            while True:
-                blocks = (buffer[: len(buffer) // BLOCK * BLOCK].astype(np.float64).reshape(-1, BLOCK) ** 2).mean(axis=1)
-                if not (cut := split_point(blocks, len(buffer))):
-                    return
-                emit(cut)
-
+        cutter, out, live = Cutter(*state.get) if state.exists else Cutter(), [], True
         rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
         for samples, stop in zip(rows["samples"], rows["stop"], strict=True):
             if not live:
-                start, asked, buffer, live = 0, 0, buffer[:0], True
-            left = np.asarray(samples if samples is not None else [], "<i2")
-            while len(left):  # asked: samples of the recording that the last question covered
-                step = asked + STEP - start - len(buffer)
-                buffer, left = np.concatenate([buffer, left[:step]]), left[step:]
-                if start + len(buffer) == asked + STEP:
-                    asked += STEP
-                    ask()
+                cutter, live = Cutter(), True
+            out += [(*group, *s) for s in cutter.take(samples)]
             if stop:
-                ask()
-                if len(buffer):
-                    emit(len(buffer))
+                out += [(*group, *s) for s in cutter.flush()]
                 live = False
         if live:
-            state.update((start, asked, buffer.astype("<i2").tobytes()))
+            state.update(cutter.state)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=[key, "start", "end", "n", "sum_sq", "samples"])
@@ -75,6 +94,85 @@ def live_segments(stream: DataFrame, key: str = "recording_id") -> DataFrame:
     return own.applyInPandasWithState(run, SEGMENTS.format(key=f"{key} {kind}"), "start long, asked long, held binary", "append", GroupStateTimeout.NoTimeout)
 
 
+WATCHED = "{key}, kind string, start long, end long, n long, sum_sq double, samples array<smallint>, said string"
+#: So much of a lost source's last words is kept.
+LAST_WORDS = 1500
+
+
+class _Watch(StatefulProcessor):
+    """The state of a recording whose source may fall silent: a cutter, when a row last came, and what the source last said."""
+
+    def __init__(self, key: str, silence: float) -> None:
+        self.key, self.silence = key, int(silence * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "start long, asked long, held binary, said string")
+        self.prefix = handle.getValueState("prefix", "text string")
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
+        self.prefix.update((str(initialState["prefix"].iloc[0]),))
+
+    def _rows(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *r) for r in rows], columns=[self.key, "kind", "start", "end", "n", "sum_sq", "samples", "said"])
+
+    def _watch(self, now: int | None) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if now is not None:
+            self.handle.registerTimer(now + self.silence)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        start, asked, held, said = self.held.get() if self.held.exists() else (0, 0, b"", "")
+        cutter, out, live = Cutter(start, asked, bytes(held)), [], True
+        if self.prefix.exists():
+            text = self.prefix.get()[0]
+            self.prefix.clear()
+            out += [("prefix", -1, 0, 0, 0.0, [], text.rstrip())] if text.strip() else []
+        for samples, stop, words in pd.concat(list(rows)).sort_values("seq", kind="stable")[["samples", "stop", "said"]].itertuples(index=False):
+            if not live:
+                cutter, said, live = Cutter(), "", True
+            said = (said + (words or ""))[-LAST_WORDS:]
+            out += [("segment", *s, None) for s in cutter.take(samples)]
+            if stop:
+                out += [("segment", *s, None) for s in cutter.flush()]
+                out.append(("ended", cutter.start, cutter.start, 0, 0.0, [], None))
+                live = False
+        if live:
+            self.held.update((*cutter.state, said))
+        elif self.held.exists():
+            self.held.clear()
+        self._watch(timerValues.getCurrentProcessingTimeInMs() if live else None)
+        yield self._rows(key, out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.held.exists():
+            start, asked, held, said = self.held.get()
+            cutter = Cutter(start, asked, bytes(held))
+            out = [("segment", *s, None) for s in cutter.flush()]
+            out.append(("lost", cutter.start, cutter.start, 0, 0.0, [], said))
+            self.held.clear()
+        yield self._rows(key, out)
+
+
+def watched_segments(stream: DataFrame, key: str = "recording_id", silence: float = 30.0, prefixes: DataFrame | None = None) -> DataFrame:
+    """(key, kind, start, end, n, sum_sq, samples, said) of a stream (key, seq, samples, stop, said): the segments of each
+    recording (``segment``), and how it ended: ``ended`` after its stop, or ``lost``, with what its source last said, when no row
+    came for ``silence`` seconds. Either way its state goes, and a later row begins a new recording.
+
+    ``prefixes`` (key, prefix) is text that was there before a recording goes on: the first row to come gives it out, as a
+    ``prefix``. State is kept in RocksDB, which this sets for queries started from now on; the timer goes by the clock of
+    the machine and needs no rows to fire.
+    """
+    kind = stream.schema[key].dataType.simpleString()
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    said = F.col("said") if "said" in stream.columns else F.lit(None).cast("string")
+    own = stream.select(key, "seq", "samples", "stop", said.alias("said")).groupBy(key)
+    first = None if prefixes is None else prefixes.select(key, "prefix").groupBy(key)
+    return own.transformWithStateInPandas(_Watch(key, silence), WATCHED.format(key=f"{key} {kind}"), "append", "ProcessingTime", first)
+
+
 def mix_live(left: DataFrame, right: DataFrame, key: str = "recording_id") -> DataFrame:
     """(key, offset, samples): the average, rounded down, of two streams (key, seq, samples, stop), as far as both have come.
 
@@ -112,12 +210,12 @@ def pause_sessions(voiced: DataFrame, keys: list[str]) -> DataFrame:
     return voiced.groupBy(*keys, F.session_window("ts", "700 milliseconds")).agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count("*").alias("voiced")).drop("session_window")
 
 
-JOB = {"seq": -1, "state": "running", "phase": "loading", "stage": "준비 중", "percent": 0.0, "text": "", "saved": "", "error": None, "code": None}
+JOB = {"seq": -1, "state": "running", "phase": "loading", "stage": "준비 중", "percent": 0.0, "text": "", "saved": "", "error": None, "code": None, "file": "", "ready": "", "step": "", "size": None, "duration": None}
 
 
 def job_states(stream: DataFrame) -> DataFrame:
-    """(job_id, seq, state, phase, stage, percent, text, saved, error, code): each job's state after the micro-batch, from a
-    stream of job events. A job that has ended needs no state, and none is kept of it."""
+    """(job_id, seq, state, phase, stage, percent, text, saved, error, code, file, ready, step, size, duration): each job's state
+    after the micro-batch, from a stream of job events. A job that has ended needs no state, and none is kept of it."""
     kind = stream.schema["job_id"].dataType.simpleString()
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -130,7 +228,7 @@ def job_states(stream: DataFrame) -> DataFrame:
             state.remove()
         yield pd.DataFrame([(*group, *job.values())], columns=["job_id", *job])
 
-    types = ("long", "string", "string", "string", "double", "string", "string", "string", "string")
+    types = ("long", "string", "string", "string", "double", "string", "string", "string", "string", "string", "string", "string", "string", "double")
     schema = f"job_id {kind}, " + ", ".join(f"{n} {t}" for n, t in zip(JOB, types, strict=True))
     return stream.groupBy("job_id").applyInPandasWithState(run, schema, "job string", "update", GroupStateTimeout.NoTimeout)
 
@@ -140,11 +238,11 @@ def step(job: dict[str, Any], kind: str, value: str | None) -> dict[str, Any]:
     if kind == "phase":
         return job if job["phase"] == "finishing" else job | {"phase": value}
     changes = {
-        "stage": {"stage": value}, "file": {"phase": "downloading", "stage": f"{value} 내려받는 중"}, "ready": {"phase": "checking"}, "text": {"text": value, "saved": value}, "preview": {"text": value},
+        "stage": {"stage": value}, "file": {"phase": "downloading", "stage": f"{value} 내려받는 중", "file": value}, "ready": {"phase": "checking", "ready": ",".join(filter(None, (job["ready"], value)))}, "step": {"step": value}, "size": {"size": value}, "text": {"text": value, "saved": value}, "preview": {"text": value},
         "done": {"state": "done", "text": value, "percent": 100.0}, "error": {"state": "error", "error": value or DEFAULT_ERROR, "code": "failed"}, "cancelled": {"state": "error", "error": value or DEFAULT_ERROR, "code": "cancelled"},
     }
-    if kind == "progress":
-        return job | {"percent": float(value)}
+    if kind in ("progress", "duration"):
+        return job | {"percent" if kind == "progress" else "duration": float(value)}
     return job | changes.get(kind, {})
 
 

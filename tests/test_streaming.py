@@ -1,13 +1,15 @@
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from scribelake.operators import jobs
 from scribelake.api import cancel, finish
 from scribelake.sources.audio import decode
-from scribelake.streaming.live import JOB, assemble_wav, job_states, live_segments, mix_live, pause_sessions, record, status, step, tile_stream, with_prefix
+from scribelake.streaming.live import JOB, assemble_wav, job_states, live_segments, mix_live, pause_sessions, record, status, step, tile_stream, watched_segments, with_prefix
 
 R = 16_000
-FOLDED = ("state", "phase", "stage", "percent", "text", "saved", "error", "code")
+FOLDED = ("state", "phase", "stage", "percent", "text", "saved", "error", "code", "file", "ready", "step", "size", "duration")
 
 
 def drained(frame, name, mode="append"):
@@ -52,6 +54,54 @@ def test_one_long_row_is_cut_like_many(spark, tmp_path):
     assert len(cuts) > 3 and cuts[-1][1] == len(pcm) and all(b - a <= 20.5 * R for a, b in cuts) and all(x[1] == y[0] for x, y in zip(cuts, cuts[1:]))
 
 
+WATCHED = "recording_id string, seq long, samples array<smallint>, stop boolean, said string"
+
+
+def watched(spark, folder, name, silence, prefixes=None):
+    stream = spark.readStream.schema(WATCHED).option("maxFilesPerTrigger", 2).parquet(str(folder))
+    return watched_segments(stream, silence=silence, prefixes=prefixes).writeStream.format("memory").queryName(name).outputMode("append").trigger(processingTime="200 milliseconds").start()
+
+
+def until(condition, seconds=60):
+    end = time.time() + seconds
+    while not (found := condition()):
+        assert time.time() < end, "waited too long"
+        time.sleep(0.2)
+    return found
+
+
+def pieces(name, pcm, stop, said=None):
+    rows = [(name, i, pcm[at : at + R // 2].tolist(), False, said[i] if said and i < len(said) else None) for i, at in enumerate(range(0, len(pcm), R // 2))]
+    return rows + ([(name, len(rows), [], True, None)] if stop else [])
+
+
+def test_a_source_that_falls_silent_is_noticed(spark, tmp_path):
+    """One recording is stopped, two never are: a timer ends those, with their tails and their sources' last words."""
+    loud = lambda s, seed: (np.random.default_rng(seed).standard_normal(int(s * R)) * 3000).astype(np.int16)
+    sound = {"stopped": np.concatenate([loud(7, 1), np.zeros(int(0.6 * R), np.int16), loud(4, 2)]), "broken": loud(3, 3), "mute": loud(1, 4)}
+    rows = pieces("stopped", sound["stopped"], True) + pieces("broken", sound["broken"], False, ["opened\n", None, "x" * 2000, "device unplugged"]) + pieces("mute", sound["mute"], False)
+    write_steps(spark, rows, WATCHED, tmp_path / "in", 9)
+    query = watched(spark, tmp_path / "in", "watched", 4, spark.createDataFrame([("stopped", "기존 본문. "), ("broken", " ")], "recording_id string, prefix string"))
+    try:
+        ends = until(lambda: (lambda e: e if len(e) == 3 else None)([r for r in spark.table("watched").collect() if r["kind"] in ("ended", "lost")]))
+        out = spark.table("watched").collect()
+        # Another row begins the recording anew, and another timer ends it.
+        write_steps(spark, pieces("mute", sound["mute"], False), WATCHED, tmp_path / "in", 9)
+        until(lambda: sum(r["kind"] == "lost" and r["recording_id"] == "mute" for r in spark.table("watched").collect()) == 2)
+    finally:
+        query.stop()
+    assert {r["recording_id"]: r["kind"] for r in ends} == {"stopped": "ended", "broken": "lost", "mute": "lost"}
+    last = next(r["said"] for r in ends if r["recording_id"] == "broken")
+    assert last.endswith("device unplugged") and len(last) == 1500 and next(r["said"] for r in ends if r["recording_id"] == "mute") == ""
+    for name, pcm in sound.items():
+        own = sorted((r for r in out if r["recording_id"] == name and r["kind"] == "segment"), key=lambda r: r["start"])
+        assert np.concatenate([r["samples"] for r in own]).tolist() == pcm.tolist()
+        assert next(r["start"] for r in ends if r["recording_id"] == name) == len(pcm)
+    assert [(r["recording_id"], r["start"], r["said"]) for r in out if r["kind"] == "prefix"] == [("stopped", -1, "기존 본문.")]
+    plain = drained(live_segments(spark.readStream.schema(WATCHED).parquet(str(tmp_path / "in"))), "unwatched").where("recording_id = 'stopped'").collect()
+    assert sorted((r["start"], r["end"], r["sum_sq"]) for r in out if r["recording_id"] == "stopped" and r["kind"] == "segment") == sorted((r["start"], r["end"], r["sum_sq"]) for r in plain)
+
+
 def test_two_streams_are_mixed_and_keep_their_tails(spark, tmp_path):
     schema = "recording_id string, seq long, samples array<smallint>, stop boolean"
     own = np.random.default_rng(3)
@@ -79,11 +129,11 @@ def test_pause_sessions_stream_like_batch(spark, tmp_path):
 
 def test_job_states_stream_like_fold(spark, tmp_path):
     rng = np.random.default_rng(1)
-    kinds, rows = ["phase", "file", "ready", "text", "preview", "stage", "progress"], []
+    kinds, rows = ["phase", "file", "ready", "text", "preview", "stage", "progress", "step", "size", "duration"], []
     for job in range(6):
         for seq in range(20):
             kind = kinds[rng.integers(len(kinds))]
-            rows.append((job, seq, kind, ["recording", "transcribing", "finishing"][rng.integers(3)] if kind == "phase" else str(seq) if kind == "progress" else f"v{seq}", float(seq)))
+            rows.append((job, seq, kind, ["recording", "transcribing", "finishing"][rng.integers(3)] if kind == "phase" else str(seq) if kind in ("progress", "duration") else f"v{seq}", float(seq)))
         if job % 2:
             rows.append((job, 20, ["done", "error", "cancelled"][job // 2], "end", 20.0))
     schema = "job_id int, seq long, kind string, value string, ts double"

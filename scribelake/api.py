@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,16 +21,17 @@ from scribelake.operators.models import finish_write
 from scribelake.operators.signal import RATE
 from scribelake.operators.speakers import Embedder
 from scribelake.operators.text import keywords
-from scribelake.operators.transcribe import Transcriber, live_text, plan_chunks, transcribe_segments
-from scribelake.sources.audio import EXTENSIONS, HEADER, AudioFolder, read_recordings
+from scribelake.operators.transcribe import Transcriber, live_text, plan_chunks, transcribe_watched
+from scribelake.sources.audio import EXTENSIONS, AudioFolder, read_recordings
 from scribelake.sources.event_log import EventLog
 from scribelake.sources.shared import durable, shared_folder
 from scribelake.sources.sinks import export_txt
 from scribelake.streaming.file_job import FileSteps
-from scribelake.streaming.live import assemble_wav, live_segments
+from scribelake.streaming.live import LAST_WORDS, watched_segments, with_offsets
 
 # Sources of live audio and device labels, in order of preference.
 LIVE_SOURCES = ("mic", "system", "both")
+SEGMENT_TEXTS = "recording_id string, kind string, start long, end long, text string"
 DEVICE_LABELS = {"npu": "NPU", "gpu": "GPU", "intel-gpu": "Intel GPU", "intel-npu": "Intel NPU", "cpu": "CPU"}
 
 
@@ -231,11 +233,13 @@ class Library:
         if self.job and self.job.operation == "transcribe" and self.job.running:
             self.job.running.cancel()
 
-    def listen(self, stream: DataFrame, body: dict, devices: list[str], make: Callable[[str], Callable[[], Transcriber]], trigger: dict | None = None) -> Listening:
-        """Transcribes a live stream (recording_id, seq, samples, stop) of one recording into a new note.
+    def listen(self, stream: DataFrame, body: dict, devices: list[str], make: Callable[[str], Callable[[], Transcriber]], trigger: dict | None = None, silence: float = 30.0) -> Listening:
+        """Transcribes a live stream (recording_id, seq, samples, stop) of one recording into a new note. It may also have
+        ``said``, what the source says of itself.
 
         Two queries read the stream: one keeps every row, one cuts segments and transcribes those that aren't silent. Both
-        write files, each micro-batch exactly once, so a restart goes on where it was.
+        write files, each micro-batch exactly once, so a restart goes on where it was. A source that sends no row for
+        ``silence`` seconds is lost: the job ends as an error, with what was transcribed and the source's last words.
         """
         validate_live(body, devices)
         self.slot.check()
@@ -244,11 +248,7 @@ class Library:
         note_id = self.create(title, "live", folder_id=body.get("folder_id"))
         job = self._begin("listen", note_id)
         job.emit("phase", "recording")
-        folder = f"{self.path}/live/{note_id}-{int(now * 1000)}"
-        write = lambda rows, name: rows.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/{name}-log").outputMode("append").trigger(**(trigger or {"processingTime": "1 second"})).start()
-        rows = write(stream, "recorded")
-        texts = write(transcribe_segments(live_segments(stream), make(body["device"]), "recording_id"), "segments")
-        return Listening(self, job, folder, rows, texts)
+        return Listening(self, job, f"{self.path}/live/{note_id}-{int(now * 1000)}", stream, make(body["device"]), trigger or {"processingTime": "1 second"}, silence)
 
 
 class Job:
@@ -349,49 +349,102 @@ def reason(error: BaseException) -> str:
 
 
 class Listening:
-    """A live job: its queries, and the two ways it ends."""
+    """A live job: its queries, and the ways it ends. Its folder goes with it."""
+
+    def __init__(self, library_: Library, job: Job, folder: str, stream: DataFrame, make: Callable[[], Transcriber], trigger: dict, silence: float) -> None:
+        self.library, self.job, self.folder = library_, job, folder
+        self._lock, self._over, self._last_words = threading.Lock(), threading.Event(), None
+        log = lambda name: {"checkpointLocation": f"{folder}/{name}-log"}
+        self.recorded = stream.writeStream.format("parquet").options(path=f"{folder}/recorded", **log("recorded")).outputMode("append").trigger(**trigger).start()
+        texts = transcribe_watched(watched_segments(stream, silence=silence), make, "recording_id")
+        self.segments = texts.writeStream.foreachBatch(self._keep).options(**log("segments")).outputMode("append").trigger(**trigger).start()
+        self._watcher = threading.Thread(target=self._watch, daemon=True)
+        self._watcher.start()
+
+    def _keep(self, batch: DataFrame, number: int) -> None:
+        """A micro-batch's texts into a file of its own, in place of what is there; then how the recording ended, if it did."""
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/segments/batch-{number:09d}")
+        kept = self.library.spark.read.schema(SEGMENT_TEXTS).parquet(f"{self.folder}/segments/batch-{number:09d}")
+        if lost := kept.where("kind = 'lost'").select("text").first():
+            self._last_words = lost["text"]
+
+    def _watch(self) -> None:
+        """Ends the job when its source is lost or one of its queries has failed."""
+        while not self._over.wait(0.25):
+            broken = next((q.exception() for q in (self.recorded, self.segments) if not q.isActive and q.exception()), None)
+            if self._last_words is not None or broken:
+                try:
+                    self.cancel(lost=self._last_words if self._last_words is not None else reason(broken))
+                except RequestError:
+                    pass  # it has been ended by then
+                return
+
+    def _end_once(self) -> None:
+        with self._lock:
+            if self._over.is_set():
+                raise RequestError(409, "the job has ended", "ended")
+            self._over.set()
+
+    def _clear(self) -> None:
+        AudioFolder(self.library.spark, os.path.dirname(self.folder)).remove(os.path.basename(self.folder), whole=True)
 
-    def __init__(self, library_: Library, job: Job, folder: str, recorded: StreamingQuery, segments: StreamingQuery) -> None:
-        self.library, self.job, self.folder, self.recorded, self.segments = library_, job, folder, recorded, segments
+    def wait(self, timeout: float | None = None) -> None:
+        """Until the job is over, for a source that ends by itself."""
+        self._watcher.join(timeout)
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        return self.library.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        return self.library.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.folder}/{name}")
 
     def text(self, prefix: str = "") -> str:
         """What has been transcribed so far."""
-        rows = self._read("segments", "recording_id string, start long, end long, text string")
-        found = live_text(rows, "recording_id", prefix).first()
+        try:
+            rows = self._read("segments", SEGMENT_TEXTS).where("kind = 'segment'")
+            found = live_text(rows, "recording_id", prefix).first()
+        except AnalysisException:  # nothing has been written yet
+            found = None
         return found["transcript"] if found else prefix.rstrip()
 
     def finish(self, prefix: str = "") -> str:
-        """After all that has arrived: the recording is kept with the note, then the text and its duration are written."""
+        """After all that has arrived: the recording is kept with the note, then the text and its duration are written. Samples
+        since the last cut are transcribed if the source has sent its stop."""
+        self._end_once()
         self.job.emit("phase", "finishing")
         try:
-            for query in (self.recorded, self.segments):
-                finish(query)
-            text, duration = self.text(prefix), None
+            finish(self.recorded)
+            drain(self.segments)
+            text = self.text(prefix)
             self.job.emit("text", text)
-            wav = assemble_wav(self._read("recorded", "recording_id string, seq long, samples array<smallint>, stop boolean")).first()
-            if wav:
-                path = self.library.audio.write(f"{self.job.note_id}-live.wav", bytes(wav["wav"]))
-                if self.library.attach_audio(self.job.note_id, path):
-                    duration = (len(wav["wav"]) - HEADER) / 2 / RATE
-                self.library.audio.remove(f"{self.job.note_id}-live.wav")
+            duration = self._keep_sound()
         except Exception as error:
-            self.library._end(self.job, "error", str(error))
+            self.library._end(self.job, "error", reason(error))
             raise
         self.library._end(self.job, "done", text, duration)
+        self._clear()
         return text
 
-    def cancel(self, reason: str | None = None, lost: str | None = None) -> None:
+    def _keep_sound(self) -> float | None:
+        """The recording with its note, and how long it is; None where there is none, or the note has one."""
+        runs = with_offsets(self._read("recorded", "recording_id string, seq long, samples array<smallint>, stop boolean"))
+        total = runs.agg(F.max(F.col("offset") + F.size("samples"))).first()[0]
+        if not total:
+            return None
+        name = f"{self.job.note_id}-live.wav"
+        path = self.library.audio.keep_runs(name, runs)
+        kept = self.library.attach_audio(self.job.note_id, path)
+        self.library.audio.remove(name)
+        return total / RATE if kept else None
+
+    def cancel(self, note: str | None = None, lost: str | None = None) -> None:
         """At once; what was transcribed stays. With ``lost``, the source's last words, it is an error: the input broke off."""
+        self._end_once()
         for query in (self.recorded, self.segments):
             cancel(query)
         self.job.emit("text", self.text())
         if lost is None:
-            self.library._end(self.job, "cancelled", reason)
+            self.library._end(self.job, "cancelled", note)
         else:
-            self.library._end(self.job, "error", "입력이 끊겼습니다.\n" + lost[-1500:])
+            self.library._end(self.job, "error", "입력이 끊겼습니다.\n" + lost[-LAST_WORDS:])
+        self._clear()
 
 
 def validate_transcribe(body: dict, devices: list[str]) -> None:
@@ -463,7 +516,25 @@ def finish(query: StreamingQuery, timeout: float = 30.0) -> None:
     query.awaitTermination(int(timeout))
 
 
+def drain(query: StreamingQuery, timeout: float = 30.0) -> None:
+    """``finish`` for a query with timers, which always has another micro-batch: it has come to the end of what arrived once two
+    of them in a row have read nothing, or if it has had none yet."""
+    quiet, seen, end = 0.0, (query.lastProgress or {}).get("batchId"), time.time() + timeout
+    while query.isActive and quiet < 2 and time.time() < end:
+        last = query.lastProgress
+        if last is None:
+            quiet += 0 if query.status["isTriggerActive"] or query.status["isDataAvailable"] else 0.1
+        elif last["batchId"] != seen:
+            quiet, seen = quiet + 1 if last["numInputRows"] == 0 else 0, last["batchId"]
+        time.sleep(0.1)
+    query.stop()
+    query.awaitTermination(int(timeout))
+
+
 def cancel(query: StreamingQuery, grace: float = 8.0) -> None:
-    """Stops a live stream as it is."""
+    """Stops a live stream as it is, one that has failed too."""
     query.stop()
-    query.awaitTermination(int(grace))
+    try:
+        query.awaitTermination(int(grace))
+    except StreamingQueryException:
+        pass

@@ -143,6 +143,27 @@ def transcribe_segments(segments: DataFrame, make: Callable[[], Transcriber], ke
     return heard.mapInPandas(run, f"{key} {segments.schema[key].dataType.simpleString()}, start long, end long, text string")
 
 
+def transcribe_watched(rows: DataFrame, make: Callable[[], Transcriber], key: str) -> DataFrame:
+    """(key, kind, start, end, text) of what ``watched_segments`` gives: segments as ``transcribe_segments`` has them, earlier text
+    as it is, and how a recording ended, with its source's last words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                text = r.said or ""
+                if r.kind == "segment":
+                    text = transcribe_segment(np.asarray(r.samples, np.int16), model) if r.heard else ""
+                if text or r.kind != "segment":
+                    out.append((getattr(r, key), r.kind, r.start, r.end, text))
+            yield pd.DataFrame(out, columns=[key, "kind", "start", "end", "text"])
+
+    heard = F.coalesce(F.sqrt(F.col("sum_sq") / F.when(F.col("n") > 0, F.col("n"))) >= signal.SILENT_RMS, F.lit(False))
+    cut = rows.select(key, "kind", "start", "end", F.when(heard, F.col("samples")).alias("samples"), "said", heard.alias("heard"))
+    return cut.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, kind string, start long, end long, text string")
+
+
 def live_text(segments: DataFrame, key: str, prefix: str = "") -> DataFrame:
     """(key, transcript) of transcribed segments in order, a paragraph each; earlier text, if not blank, is the first."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"])

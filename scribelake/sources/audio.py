@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import io
 import os
-import wave
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,11 +12,10 @@ from pyspark.sql import functions as F
 
 from scribelake.functions import text as X
 from scribelake.operators.signal import RATE
-from scribelake.sources.wav_source import RUN, can_read, read_samples, read_track, read_wav
+from scribelake.sources.wav_source import HEADER, RUN, can_read, header, mounted, read_samples, read_track, read_wav, write_wav
 
 # What counts as a recording. Only WAV is decoded here; other kinds need a decoder of your own.
 EXTENSIONS = (".wav", ".mp3", ".m4a", ".flac", ".aac", ".ogg", ".opus", ".wma", ".mp4")
-HEADER = 44
 
 
 def recordings(spark: SparkSession, path: str) -> DataFrame:
@@ -75,13 +72,8 @@ def samples_between(runs: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def wav_bytes(samples: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    with wave.open(out, "wb") as track:
-        track.setnchannels(1)
-        track.setsampwidth(2)
-        track.setframerate(RATE)
-        track.writeframes(np.asarray(samples, "<i2").tobytes())
-    return out.getvalue()
+    """A small WAV as a whole."""
+    return header(len(samples)) + np.asarray(samples, "<i2").tobytes()
 
 
 class AudioFolder:
@@ -112,14 +104,25 @@ class AudioFolder:
         system, at = self._at(f"{self.path}/{name}")
         system.delete(at, whole)
 
-    def write(self, name: str, content: bytes) -> str:
-        system, at = self._at(f"{self.path}/{name}")
-        out = system.create(at, True)
+    def keep_runs(self, name: str, runs: DataFrame) -> str:
+        """A WAV of runs (offset, samples): by the tasks that have them where the folder is mounted on all machines, else run by
+        run, in order, through the driver, as such a store takes a file from one writer only."""
+        path = f"{self.path}/{name}"
+        if mounted(path):
+            write_wav(runs, path, overwrite=True)
+            return path
+        total = runs.agg(F.max(F.col("offset") + F.size("samples"))).first()[0] or 0
+        system, at = self._at(path)
+        out, come = system.create(at, True), 0
         try:
-            out.write(bytearray(content))
+            out.write(bytearray(header(total)))
+            for run in runs.orderBy("offset").toLocalIterator(prefetchPartitions=False):
+                out.write(bytearray(2 * max(0, run["offset"] - come)))
+                out.write(bytearray(np.asarray(run["samples"], "<i2").tobytes()))
+                come = run["offset"] + len(run["samples"])
         finally:
             out.close()
-        return f"{self.path}/{name}"
+        return path
 
 
 def accept_drop(paths: list[str], folder_id: int | None) -> tuple[list[dict], bool]:

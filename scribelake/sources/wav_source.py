@@ -1,13 +1,19 @@
-"""WAV files as a data source: a recording is read by as many tasks as it has parts, each its own bytes.
+"""WAV files as a data source: a recording is read, and written, by as many tasks as it has parts, each its own bytes.
 
 ``spark.read.format("wav")`` gives rows (path, offset, samples): runs of a second of 16 kHz mono 16-bit samples. The driver
 reads headers only. Conditions on ``path`` and ``offset`` choose files and bytes before anything is read. Paths may be of any
 file system that pyarrow opens (a plain path is a file on all machines).
+
+``rows.write.format("wav")`` writes one file from rows (offset, samples): every task puts its runs where they belong in a file
+beside the target, which gets its header and its name when all have. That needs a file system that is mounted on all
+machines and can be written anywhere in a file.
 """
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -16,12 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from scribelake.operators.signal import RATE, TILE
 from scribelake.sources.resample import resample, resampled_length, source_range
 
 RUN = 100 * TILE
+HEADER = 44
 #: Seconds of sound that one partition reads, by default.
 PART_SECONDS = 300
 SCHEMA = "path string, offset long, samples array<smallint>"
@@ -61,6 +69,11 @@ def locate(path: str) -> tuple[fs.FileSystem, str, str]:
     return system, at, path[: len(path) - len(at)] if path.endswith(at) else ""
 
 
+def mounted(path: str) -> bool:
+    """A plain path or a ``file:`` one."""
+    return "://" not in path or path.startswith("file:")
+
+
 def can_read(path: str) -> bool:
     """A path of a file system that pyarrow knows."""
     try:
@@ -196,6 +209,62 @@ class WavReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array([partition.track.path] * len(offsets)), pa.array(offsets, pa.int64()), pa.array(samples, pa.list_(pa.int16()))], names=["path", "offset", "samples"])
 
 
+def header(n: int) -> bytes:
+    """Of a file with so many samples at 16 kHz; more than its sizes can name are a ValueError."""
+    if 2 * n + HEADER - 8 > 0xFFFFFFFF:
+        raise ValueError("more sound than a WAV can hold")
+    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", HEADER - 8 + 2 * n, b"WAVE", b"fmt ", 16, PCM, 1, RATE, 2 * RATE, 2, 16, b"data", 2 * n)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    samples: int
+    end: int
+
+
+class WavWriter(DataSourceArrowWriter):
+    """Two phases: tasks write the samples they have, in any order and again if they are run again; the commit closes the
+    file. What no run covers is silent."""
+
+    def __init__(self, options: dict[str, Any], overwrite: bool) -> None:
+        if not options.get("path"):
+            raise ValueError("a path is needed")
+        if not mounted(options["path"]):
+            raise ValueError(f"{options['path']} isn't on a mounted file system")
+        self.path = locate(options["path"])[1]
+        if not overwrite and os.path.exists(self.path):
+            raise FileExistsError(self.path)
+        self.part = f"{self.path}.{uuid.uuid4()}.part"
+        os.makedirs(os.path.dirname(os.path.abspath(self.path)), exist_ok=True)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        samples = end = 0
+        with os.fdopen(os.open(self.part, os.O_RDWR | os.O_CREAT, 0o644), "r+b") as f:
+            for batch in iterator:
+                offsets, lists = batch.column("offset").to_pylist(), batch.column("samples")
+                flat, edges = np.asarray(lists.flatten(), "<i2"), lists.offsets.to_numpy()
+                for offset, a, b in zip(offsets, edges[:-1] - edges[0], edges[1:] - edges[0], strict=True):
+                    if b > a:
+                        f.seek(HEADER + 2 * offset)
+                        f.write(flat[a:b].tobytes())
+                        samples, end = samples + int(b - a), max(end, offset + int(b - a))
+        return Written(samples, end)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        n = max((m.end for m in messages if m), default=0)
+        head = header(n)
+        with os.fdopen(os.open(self.part, os.O_RDWR | os.O_CREAT, 0o644), "r+b") as f:
+            f.write(head)
+            f.truncate(HEADER + 2 * n)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(self.part, self.path)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        if os.path.exists(self.part):
+            os.unlink(self.part)
+
+
 class WavSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -207,6 +276,9 @@ class WavSource(DataSource):
     def reader(self, schema: Any) -> WavReader:
         return WavReader(self.options)
 
+    def writer(self, schema: Any, overwrite: bool) -> WavWriter:
+        return WavWriter(self.options, overwrite)
+
 
 def read_wav(spark: SparkSession, path: str, part_seconds: int = PART_SECONDS) -> DataFrame:
     """(path, offset, samples) of a WAV file or of all below a folder. Registers the source in this session, and lets sources
@@ -214,3 +286,9 @@ def read_wav(spark: SparkSession, path: str, part_seconds: int = PART_SECONDS) -
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WavSource)
     return spark.read.format("wav").option("partSeconds", part_seconds).load(path)
+
+
+def write_wav(runs: DataFrame, path: str, overwrite: bool = False) -> None:
+    """One WAV from runs (offset, samples) at 16 kHz, written by the tasks that have them."""
+    runs.sparkSession.dataSource.register(WavSource)
+    runs.select(F.col("offset").cast("long"), F.col("samples").cast("array<smallint>")).write.format("wav").mode("overwrite" if overwrite else "append").save(path)

@@ -8,7 +8,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -16,7 +16,6 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 
 from scribelake.operators.jobs import DEFAULT_ERROR
 from scribelake.operators.signal import BLOCK, RATE, split_point
-from scribelake.sources.audio import wav_bytes
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Samples between two questions whether to cut.
@@ -262,14 +261,13 @@ def record(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def assemble_wav(recorded: DataFrame, key: str = "recording_id") -> DataFrame:
-    """(key, wav) of recorded rows (key, seq, samples): one file for each recording, as it is closed."""
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        samples = np.concatenate([np.asarray(s, np.int16) for s in own.sort_values("seq")["samples"] if s is not None])
-        return pd.DataFrame({key: [own[key].iloc[0]], "wav": [wav_bytes(samples)]})
-
-    return recorded.select(key, "seq", "samples").groupBy(key).applyInPandas(run, f"{key} {recorded.schema[key].dataType.simpleString()}, wav binary")
+def with_offsets(recorded: DataFrame, key: str = "recording_id") -> DataFrame:
+    """(key, offset, samples) of recorded rows (key, seq, samples): where each begins in its recording. Only the rows' lengths,
+    a number for each half second or so, are added up in one place."""
+    rows = recorded.where(F.size("samples") > 0).select(key, "seq", "samples")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = rows.select(key, "seq", F.size("samples").cast("long").alias("n")).select(key, "seq", before.alias("offset"))
+    return rows.join(at, [key, "seq"]).select(key, "offset", "samples")
 
 
 def status(query: StreamingQuery) -> dict[str, Any]:

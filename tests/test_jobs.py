@@ -228,16 +228,41 @@ def test_live_listening_keeps_text_and_recording(spark, lib, tmp_path):
     assert job["state"] == "done" and job["phase"] == "finishing" and job["recorded_seconds"] > 0
 
 
-def test_cancelled_and_lost_streams(spark, lib, tmp_path):
+def heard(live, text):
+    end = time.time() + 60
+    while live.text() != text:
+        assert time.time() < end
+        time.sleep(0.2)
+
+
+def test_cancelled_and_broken_streams(spark, lib, tmp_path):
     pcm = np.concatenate([noise(7), np.zeros(int(0.6 * R), np.int16), noise(4, 1)])
     live = lib.listen(stream_of(spark, tmp_path, pcm, stop=False), LIVE, ["cpu"], told())
-    live.segments.processAllAvailable()
+    heard(live, "7초 구간")
     live.cancel()
     job = lib.job_state()
     assert job["state"] == "error" and job["code"] == "cancelled" and lib.get(live.job.note_id)["transcript"] == "7초 구간"
+    with pytest.raises(RequestError):
+        live.finish()
     (tmp_path / "b").mkdir()
-    silent = lib.listen(stream_of(spark, tmp_path / "b", np.zeros(7 * R, np.int16)), LIVE, ["cpu"], lambda device: lambda: lambda x: 1 / 0)
-    silent.segments.processAllAvailable()
-    silent.cancel(lost="x" * 3000 + "device busy")
+    broken_ = lib.listen(stream_of(spark, tmp_path / "b", noise(7)), LIVE, ["cpu"], lambda device: lambda: lambda x: 1 / 0)
+    broken_.wait(60)
+    job = lib.job_state()
+    assert job["code"] == "failed" and job["error"] == "입력이 끊겼습니다.\ndivision by zero" and lib.slot.running is None
+    assert not any((tmp_path / "lib/live").iterdir())
+
+
+def test_a_lost_source_ends_the_job_by_itself(spark, lib, tmp_path):
+    """A recorder writes, says something, and dies without an end: the job notices, and keeps text and tail."""
+    from scribelake.sources.capture import read_capture
+
+    pcm = np.concatenate([noise(7), np.zeros(int(0.6 * R), np.int16), noise(4, 1)])
+    folder = tmp_path / "captures"
+    folder.mkdir()
+    (folder / "mic.pcm").write_bytes(pcm.astype("<i2").tobytes())
+    (folder / "mic.log").write_text("device unplugged")
+    live = lib.listen(read_capture(spark, str(folder)), LIVE, ["cpu"], told(), silence=3)
+    live.wait(90)
     job = lib.job_state()
-    assert job["code"] == "failed" and job["error"].endswith("device busy") and len(job["error"]) < 1600 and lib.slot.running is None
+    assert job["state"] == "error" and job["code"] == "failed" and job["error"] == "입력이 끊겼습니다.\ndevice unplugged"
+    assert lib.get(live.job.note_id)["transcript"] == "7초 구간\n\n4초 구간" and lib.slot.running is None

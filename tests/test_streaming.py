@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from scribelake.operators import jobs
 from scribelake.api import cancel, finish
 from scribelake.sources.audio import decode
-from scribelake.streaming.live import JOB, assemble_wav, job_states, live_segments, mix_live, pause_sessions, record, status, step, tile_stream, watched_segments, with_prefix
+from scribelake.sources.wav_source import write_wav
+from scribelake.streaming.live import JOB, job_states, live_segments, mix_live, pause_sessions, record, status, step, tile_stream, watched_segments, with_offsets, with_prefix
 
 R = 16_000
 FOLDED = ("state", "phase", "stage", "percent", "text", "saved", "error", "code", "file", "ready", "step", "size", "duration")
@@ -171,6 +172,6 @@ def test_recording_is_kept_and_assembled(spark, tmp_path):
     query = record(tile_stream(spark, str(tmp_path / "in")), str(tmp_path / "kept"), str(tmp_path / "check"))
     query.awaitTermination()
     assert status(query)["active"] is False and status(query)["error"] is None
-    wav = assemble_wav(spark.read.parquet(str(tmp_path / "kept"))).first()["wav"]
-    assert decode(bytes(wav)).tolist() == pcm.tolist()
+    write_wav(with_offsets(spark.read.parquet(str(tmp_path / "kept")).repartition(4)), str(tmp_path / "take.wav"))
+    assert decode((tmp_path / "take.wav").read_bytes()).tolist() == pcm.tolist()
     assert finish(query) is None and cancel(query) is None

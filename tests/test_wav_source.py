@@ -130,3 +130,56 @@ def test_paths_of_file_systems(tmp_path):
         WavReader({"path": str(tmp_path / "gone")}).partitions()
     with pytest.raises(ValueError):
         WavReader({})
+
+
+def test_tasks_write_one_file(spark, tmp_path):
+    """Runs in any order from many tasks, with a hole; the file is there when all have written, and not before."""
+    pcm = noise(30 * R)
+    rows = [(at, pcm[at : at + 700].tolist()) for at in range(0, len(pcm), 700) if at != 7000]
+    runs = spark.createDataFrame(rows, "offset long, samples array<smallint>").repartition(9)
+    path = str(tmp_path / "new" / "out.wav")
+    wav_source.write_wav(runs, path)
+    want = pcm.copy()
+    want[7000:7700] = 0
+    np.testing.assert_array_equal(decode((tmp_path / "new" / "out.wav").read_bytes()), want)
+    assert [f.name for f in (tmp_path / "new").iterdir()] == ["out.wav"]
+    with pytest.raises(Exception, match="out.wav"):
+        wav_source.write_wav(runs, path)
+    wav_source.write_wav(runs.where("offset < 1400"), path, overwrite=True)
+    assert read_track(path).length == 1400
+    with pytest.raises(Exception, match="mounted"):
+        wav_source.write_wav(runs, "s3://bucket/a.wav")
+
+
+def test_a_write_that_breaks_leaves_the_old_file(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = tmp_path / "out.wav"
+    path.write_bytes(b"old")
+    rows = spark.range(0, 4000, 1, 4).select((F.col("id") * 160).alias("offset"), F.when(F.col("id") < 3500, F.array_repeat(F.lit(1), 160)).otherwise(F.array(F.raise_error(F.lit("no disk")).cast("int"))).cast("array<smallint>").alias("samples"))
+    with pytest.raises(Exception, match="no disk"):
+        wav_source.write_wav(rows, str(path), overwrite=True)
+    assert path.read_bytes() == b"old" and [f.name for f in tmp_path.iterdir()] == ["out.wav"]
+
+
+def test_a_task_that_writes_again_changes_nothing(tmp_path):
+    """Two attempts of a task, and parts in any order: bytes go to their own places."""
+    import pyarrow as pa
+
+    writer = wav_source.WavWriter({"path": str(tmp_path / "a.wav")}, False)
+    batch = lambda offset, s: pa.RecordBatch.from_arrays([pa.array([offset], pa.int64()), pa.array([s], pa.list_(pa.int16()))], names=["offset", "samples"])
+    late = writer.write(iter([batch(5, [6, 7, 8])]))
+    writer.write(iter([batch(0, [1, 2, 3, 4, 5])]))
+    early = writer.write(iter([batch(0, [1, 2, 3, 4, 5])]))
+    writer.commit([late, None, early])
+    assert decode((tmp_path / "a.wav").read_bytes()).tolist() == [1, 2, 3, 4, 5, 6, 7, 8]
+
+
+def test_stores_that_take_one_writer(spark, tmp_path, monkeypatch):
+    from scribelake.sources import audio
+
+    monkeypatch.setattr(audio, "mounted", lambda path: False)
+    pcm = noise(5000)
+    runs = spark.createDataFrame([(at, pcm[at : at + 700].tolist()) for at in range(0, 5000, 700)], "offset long, samples array<smallint>").repartition(3)
+    path = audio.AudioFolder(spark, str(tmp_path)).keep_runs("a.wav", runs)
+    assert decode(open(path, "rb").read()).tolist() == pcm.tolist()

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -234,3 +235,32 @@ def padding(rows: DataFrame, slack: int = PAD_SLACK) -> DataFrame:
     """Adds how much silence a chunk gets: what is missing to the expected length, if that is over ``slack``."""
     short = F.col("expected") - F.col("produced") - F.col("n")
     return rows.withColumn("padding", F.when(short > slack, short).otherwise(0))
+
+
+def fold_padding(produced: int, n: int, expected: int, slack: int = PAD_SLACK) -> int:
+    """The silence that follows a chunk of ``n`` samples after ``produced`` ones, when ``expected`` should have come by then."""
+    missing = expected - produced - n
+    return missing if missing > slack else 0
+
+
+def pad_chunks(rows: DataFrame, key: str, slack: int = PAD_SLACK) -> DataFrame:
+    """(key, seq, offset, padding, samples) of chunks (key, seq, expected, samples) in order of ``seq``: each followed by as much
+    silence as brings the stream to what was expected by then, if it is over ``slack`` behind, and where it begins.
+
+    How far a stream has come depends on all silence before, so the rule goes from chunk to chunk; only their lengths go
+    through it together, a few numbers a chunk, and samples are filled where they are.
+    """
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own, produced, out = own.sort_values("seq"), 0, []
+        for n, expected in zip(own["n"].tolist(), own["expected"].tolist(), strict=True):
+            silence = fold_padding(produced, n, expected, slack)
+            out.append((produced, silence))
+            produced += n + silence
+        return own[[key, "seq"]].assign(offset=[o for o, _ in out], padding=[p for _, p in out])
+
+    kinds = f"{key} {rows.schema[key].dataType.simpleString()}, seq {rows.schema['seq'].dataType.simpleString()}, offset long, padding long"
+    lengths = rows.select(key, "seq", F.col("expected").cast("long").alias("expected"), F.coalesce(F.size("samples"), F.lit(0)).cast("long").alias("n"))
+    folded = lengths.groupBy(key).applyInPandas(run, kinds)
+    silence = F.array_repeat(F.lit(0).cast("smallint"), F.col("padding").cast("int"))
+    return rows.join(folded, [key, "seq"]).select(key, "seq", "offset", "padding", F.concat(F.coalesce("samples", F.array().cast("array<smallint>")), silence).alias("samples"))

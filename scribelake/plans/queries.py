@@ -378,6 +378,18 @@ def w14_padding(spark, d):
     return signal.padding(rows).select("event_id", "padding")
 
 
+@query("""WITH RECURSIVE c AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_id % 5 * 400 AS n, (sum(floor(value)::BIGINT * 20) OVER (PARTITION BY user_id ORDER BY event_id))::BIGINT AS expected FROM events),
+f AS (SELECT user_id, event_id, i, n, 0::BIGINT AS start, CASE WHEN expected - n > 1600 THEN expected - n ELSE 0 END AS padding FROM c WHERE i = 1
+ UNION ALL SELECT c.user_id, c.event_id, c.i, c.n, f.start + f.n + f.padding, CASE WHEN c.expected - (f.start + f.n + f.padding) - c.n > 1600 THEN c.expected - (f.start + f.n + f.padding) - c.n ELSE 0 END FROM f JOIN c ON c.user_id = f.user_id AND c.i = f.i + 1)
+SELECT user_id, event_id, start, padding, (n + padding)::INTEGER AS size, (n * (event_id % 100))::BIGINT AS total FROM f""")
+def w14_pad_chunks(spark, d):
+    """Every user's events as chunks of a stream that should have come as far as the sum of their values says."""
+    n, order = F.col("event_id") % 5 * 400, Window.partitionBy("user_id").orderBy("event_id")
+    rows = A.table(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), F.sum(F.floor("value") * 20).over(order).alias("expected"), F.array_repeat((F.col("event_id") % 100).cast("smallint"), n.cast("int")).alias("samples"))
+    out = signal.pad_chunks(rows, "user_id")
+    return out.select("user_id", F.col("seq").alias("event_id"), F.col("offset").alias("start"), "padding", F.size("samples").alias("size"), F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
 @query("SELECT user_id, event_id, pct FROM (SELECT *, lag(pct) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM (SELECT user_id, event_id, event_id * 100 // 20000 AS pct FROM events)) WHERE b IS DISTINCT FROM pct")
 def w15_progress(spark, d):
     rows = A.table(spark, d, "events").select("user_id", "event_id", F.floor(F.col("event_id") * 100 / 20000).alias("pct"))

@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from scribelake.operators.jobs import DEFAULT_ERROR
-from scribelake.operators.signal import BLOCK, RATE, split_point
+from scribelake.operators.signal import BLOCK, PAD_SLACK, RATE, fold_padding, split_point
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Samples between two questions whether to cut.
@@ -172,6 +172,67 @@ def watched_segments(stream: DataFrame, key: str = "recording_id", silence: floa
     return own.transformWithStateInPandas(_Watch(key, silence), WATCHED.format(key=f"{key} {kind}"), "append", "ProcessingTime", first)
 
 
+class _Pace(StatefulProcessor):
+    """A stream's place, and the clock that it has to keep up with."""
+
+    def __init__(self, key: str, slack: int, every: int) -> None:
+        self.key, self.slack, self.every = key, slack, every
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("pace", "produced long, expected long, seen long")
+
+    def _due(self, at: int | None) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if at is not None:
+            self.handle.registerTimer(at)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        produced, expected, _ = self.state.get() if self.state.exists() else (0, 0, now)
+        out, over = [], False
+        for samples, due, stop in pd.concat(list(rows)).sort_values("seq", kind="stable")[["samples", "expected", "stop"]].itertuples(index=False):
+            sound = np.asarray(samples if samples is not None else [], "<i2")
+            expected, over = max(expected, int(due)), over or bool(stop)
+            silence = fold_padding(produced, len(sound), int(due), self.slack)
+            if len(sound) + silence:
+                out.append((*key, produced, np.concatenate([sound, np.zeros(silence, "<i2")]).tolist()))
+            produced += len(sound) + silence
+        if over:
+            if self.state.exists():
+                self.state.clear()
+        else:
+            self.state.update((produced, expected, now))
+        self._due(None if over else now + self.every)
+        yield pd.DataFrame(out, columns=[self.key, "offset", "samples"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.state.exists():
+            now = timerValues.getCurrentProcessingTimeInMs()
+            produced, expected, seen = self.state.get()
+            expected += (now - seen) * RATE // 1000
+            if silence := fold_padding(produced, 0, expected, self.slack):
+                out.append((*key, produced, [0] * silence))
+            self.state.update((produced + silence, expected, now))
+            self._due(now + self.every)
+        yield pd.DataFrame(out, columns=[self.key, "offset", "samples"])
+
+
+def paced(stream: DataFrame, key: str = "recording_id", slack: int = PAD_SLACK, every: float | None = 0.25) -> DataFrame:
+    """(key, offset, samples) of a stream (key, seq, expected, samples, stop), filled with silence as ``pad_chunks`` fills a table.
+
+    A source that sends nothing while nothing sounds still has to keep pace with the clock: after ``every`` seconds without a
+    row a timer adds the silence that is missing, from what was expected of the last row and the time since then; None adds it
+    with the next row only. A row with ``stop`` ends the recording, and its state goes.
+    """
+    kind = stream.schema[key].dataType.simpleString()
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    own = stream.select(key, "seq", "expected", "samples", "stop").groupBy(key)
+    return own.transformWithStateInPandas(_Pace(key, slack, int(1000 * every) if every is not None else 2**40), f"{key} {kind}, offset long, samples array<smallint>", "append", "ProcessingTime")
+
+
 def mix_live(left: DataFrame, right: DataFrame, key: str = "recording_id") -> DataFrame:
     """(key, offset, samples): the average, rounded down, of two streams (key, seq, samples, stop), as far as both have come.
 

@@ -325,3 +325,23 @@ def test_wav_round_trip(spark, tmp_path):
     (tmp_path / "d.wav").write_bytes(audio.wav_bytes(np.zeros(0, np.int16)))
     with pytest.raises(Exception, match="no sound in .*d.wav"):
         audio.decode_recordings(audio.recordings(spark, str(tmp_path / "d.wav"))).count()
+
+
+def test_frames_of_runs_are_those_of_the_whole(spark):
+    """Wherever runs are cut, and whatever is left of a last second."""
+    rng = np.random.default_rng(12)
+    sounds = {"a": noise(4.321), "b": noise(1, 2), "c": noise(1.014, 3), "d": noise(1.015, 4), "e": noise(0.024, 5), "f": noise(0.025, 6)}
+    rows = []
+    for name, pcm in sounds.items():
+        cuts = [0, *sorted(rng.choice(np.arange(1, len(pcm)), 5, replace=False).tolist()), len(pcm)]
+        rows += [(name, a, pcm[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    got = speakers.frame_features(spark.createDataFrame(rows, "rec string, offset long, samples array<smallint>").repartition(5), "rec").collect()
+    for name, pcm in sounds.items():
+        own = sorted((r for r in got if r["rec"] == name), key=lambda r: r["frame_idx"])
+        if len(pcm) < speakers.FRAME:
+            assert not own
+            continue
+        mel, rms = speakers.log_mel(pcm)
+        assert [r["frame_idx"] for r in own] == list(range(len(rms)))
+        np.testing.assert_array_equal(np.array([r["mel"] for r in own], np.float32), mel)
+        np.testing.assert_array_equal(np.array([r["rms"] for r in own], np.float32), rms)

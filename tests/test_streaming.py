@@ -4,10 +4,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from scribelake.operators import jobs
+from scribelake.operators.signal import pad_chunks
 from scribelake.api import cancel, finish
 from scribelake.sources.audio import decode
 from scribelake.sources.wav_source import write_wav
-from scribelake.streaming.live import JOB, job_states, live_segments, mix_live, pause_sessions, record, status, step, tile_stream, watched_segments, with_offsets, with_prefix
+from scribelake.streaming.live import JOB, job_states, live_segments, mix_live, paced, pause_sessions, record, status, step, tile_stream, watched_segments, with_offsets, with_prefix
 
 R = 16_000
 FOLDED = ("state", "phase", "stage", "percent", "text", "saved", "error", "code", "file", "ready", "step", "size", "duration")
@@ -117,6 +118,48 @@ def test_two_streams_are_mixed_and_keep_their_tails(spark, tmp_path):
     assert [r["offset"] for r in out] == np.cumsum([0, *(len(r["samples"]) for r in out[:-1])]).tolist()
 
 
+PACE = "recording_id string, seq long, expected long, samples array<smallint>, stop boolean"
+
+
+def test_a_stream_with_holes_is_filled_like_a_table(spark, tmp_path):
+    rng, rows = np.random.default_rng(6), []
+    for name in "ab":
+        at = 0
+        for seq in range(40):
+            n = int(rng.integers(0, 900))
+            at += n + (int(rng.integers(0, 3000)) if seq % 5 == 0 else 0)
+            rows.append((name, seq, at, rng.integers(-99, 99, n).astype(int).tolist() if seq % 7 else None, name == "a" and seq == 39))
+    whole = pad_chunks(spark.createDataFrame(rows, PACE), "recording_id").collect()
+    want = {n: sum((list(r["samples"]) for r in sorted((r for r in whole if r["recording_id"] == n), key=lambda r: r["seq"])), []) for n in "ab"}
+    assert all(r["padding"] == 0 or r["padding"] > 1600 for r in whole) and sum(r["padding"] > 0 for r in whole) > 4
+    write_steps(spark, rows, PACE, tmp_path / "in", 7)
+    stream = spark.readStream.schema(PACE).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = paced(stream, every=None).writeStream.format("memory").queryName("paced").outputMode("append").trigger(processingTime="100 milliseconds").start()
+    try:
+        until(lambda: spark.table("paced").selectExpr("sum(size(samples))").first()[0] == sum(map(len, want.values())))
+    finally:
+        query.stop()
+    for name in "ab":
+        own = sorted((r for r in spark.table("paced").collect() if r["recording_id"] == name), key=lambda r: r["offset"])
+        assert sum((list(r["samples"]) for r in own), []) == want[name]
+        assert [r["offset"] for r in own] == np.cumsum([0, *(len(r["samples"]) for r in own[:-1])]).tolist()
+
+
+def test_a_timer_adds_silence_while_no_row_comes(spark, tmp_path):
+    write_steps(spark, [("a", 0, 800, [5] * 800, False)], PACE, tmp_path / "in", 1)
+    stream = spark.readStream.schema(PACE).parquet(str(tmp_path / "in"))
+    began = time.time()
+    query = paced(stream).writeStream.format("memory").queryName("ticking").outputMode("append").trigger(processingTime="100 milliseconds").start()
+    try:
+        until(lambda: (spark.table("ticking").selectExpr("sum(size(samples))").first()[0] or 0) > 800 + 3 * R)
+        rows = sorted(spark.table("ticking").collect(), key=lambda r: r["offset"])
+    finally:
+        query.stop()
+    assert list(rows[0]["samples"]) == [5] * 800 and not any(x for r in rows[1:] for x in r["samples"])
+    assert [r["offset"] for r in rows] == np.cumsum([0, *(len(r["samples"]) for r in rows[:-1])]).tolist()
+    assert sum(len(r["samples"]) for r in rows) <= 800 + (time.time() - began) * R
+
+
 def test_pause_sessions_stream_like_batch(spark, tmp_path):
     at = [0, 200, 800, 1600, 1800, 5000]
     rows = spark.createDataFrame([("a", t) for t in at], "rec string, ms long").select("rec", F.timestamp_millis("ms").alias("ts"))

@@ -240,30 +240,30 @@ def with_sketch(docs: DataFrame, *, text_col: str = "text", out: str = "sketch")
     return add_columns(docs, T.StructType([T.StructField(out, T.BinaryType())]), make, [text_col])
 
 
-def parts_for(docs: DataFrame, bytes_each: int = 256 << 20, most: int = 20_000) -> int:
-    """Parts of about so many bytes of the files below, at least the session's shuffle partitions; just those where Spark
-    doesn't know the size."""
-    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, -(-size // bytes_each)) if size < 1 << 60 else 0)
+def parts_for(docs: DataFrame, most: int = 100_000) -> int:
+    """As many parts as the files below are read in, which Spark bounds by bytes (``spark.sql.files.maxPartitionBytes``), but the
+    session's shuffle partitions at least. Only ids are read to count them."""
+    splits = docs.select(F.spark_partition_id().alias("p")).distinct().count()
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, splits))
 
 
-def in_id_order(docs: DataFrame, parts: int, sample: int = 20) -> DataFrame:
+def in_id_order(docs: DataFrame, parts: int, sample: int = 400_000) -> DataFrame:
     """(id, text, ahead) sorted by id, then by a hash of the text, then by text, within parts; each part ends with the
     first row of the next (``ahead`` 1).
 
-    Any type of id that has an order will do; a null id is the smallest. Bounds are drawn from ``sample`` rows a part, by a
-    hash, as (id, hash) pairs, so that rows with one id can be in several parts. Texts are shuffled once, and only
-    ``parts`` rows twice.
+    Any type of id that has an order will do; a null id is the smallest. Bounds are drawn from ``sample`` rows in all, twenty a
+    part at most, by a hash, as (id, hash) pairs, so that rows with one id can be in several parts. They are one literal of the
+    plan. Texts are shuffled once, and only ``parts`` rows twice.
     """
     key = F.struct(F.col("id").isNotNull().alias("has"), F.col("id").alias("id"), F.xxhash64("text").alias("h"))
     drawn = docs.select(key.alias("k"))
-    drawn = drawn.orderBy(F.xxhash64("k", F.lit(9))).limit(sample * parts) if parts > 1 else drawn.limit(0)
-    drawn = [r["k"] for r in drawn.orderBy("k").collect()]
+    drawn = drawn.orderBy(F.xxhash64("k", F.lit(9))).limit(min(sample, 20 * parts)) if parts > 1 else drawn.limit(0)
+    kind = docs.select(key.alias("k")).schema["k"].dataType
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    drawn = [r["k"] for r in drawn.orderBy("k").select(F.to_json("k", exact).alias("k")).collect()]
     cuts = [drawn[i * len(drawn) // parts] for i in range(1, parts)] if drawn else []
     stride = max(1, int(len(cuts) ** 0.5))
-    kind = docs.select(key.alias("k")).schema["k"].dataType
-    as_array = lambda rows: F.lit([]).cast(T.ArrayType(kind)) if not rows else F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, kind, strict=True))) for r in rows))
+    as_array = lambda rows: F.from_json(F.lit("[" + ",".join(rows) + "]"), T.ArrayType(kind), exact)
     fine, coarse = as_array(cuts), as_array(cuts[::stride])
     # The part is how many bounds are below the key; first among every stride-th of them, then between two of those.
     block = F.greatest(F.size(F.filter(coarse, lambda c: c < key)) - 1, F.lit(0)) * stride
@@ -278,7 +278,7 @@ def in_id_order(docs: DataFrame, parts: int, sample: int = 20) -> DataFrame:
     return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "ahead", F.col("id").asc_nulls_first(), "h", "text")
 
 
-OUT = T.StructType([T.StructField(n, k) for n, k in (("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType()), ("recovered", T.LongType()))])
+OUT = T.StructType([T.StructField(n, k) for n, k in (("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType()), ("recovered", T.LongType()), ("sketch", T.BinaryType()), ("edited_sketch", T.BinaryType()))])
 
 
 def compare_texts(texts: list[str], nexts: list[str]) -> list[tuple]:
@@ -288,20 +288,22 @@ def compare_texts(texts: list[str], nexts: list[str]) -> list[tuple]:
     own = {t: i for i, t in enumerate(dict.fromkeys([*texts, *nexts, *edited]))}
     made = Sketches([digests(t) for t in own])
     size = [len(s) for s in made.sets]
-    marks = [hashlib.sha256(n.to_bytes(8, "little") + x).hexdigest() for n, x in zip(size, made.stored(), strict=True)]
+    stored = [n.to_bytes(8, "little") + x for n, x in zip(size, made.stored(), strict=True)]
+    marks = [hashlib.sha256(x).hexdigest() for x in stored]
     a, e, n = ([own[t] for t in ts] for ts in (texts, edited, nexts))
     apart = made.differences([*zip(a, e, strict=True), *zip(a, n, strict=True)])
     to_edited, to_next = apart[: len(texts)], apart[len(texts) :]
     return [
-        (len(t), hashlib.sha256(ed.encode()).hexdigest(), marks[a[i]], marks[e[i]], likeness(size[a[i]], size[e[i]], to_edited[i]), likeness(size[a[i]], size[n[i]], to_next[i]), len(to_edited[i][0]) + len(to_edited[i][1]))
+        (len(t), hashlib.sha256(ed.encode()).hexdigest(), marks[a[i]], marks[e[i]], likeness(size[a[i]], size[e[i]], to_edited[i]), likeness(size[a[i]], size[n[i]], to_next[i]), len(to_edited[i][0]) + len(to_edited[i][1]), stored[a[i]], stored[e[i]])
         for i, (t, ed) in enumerate(zip(texts, edited, strict=True))
     ]
 
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, block: int = 64) -> DataFrame:
     """One row per row of ``docs``: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
-    recovered (digests that peeling recovers between the text and its edited text). A fingerprint is the SHA-256 of the
-    text's ``sketch``, and likenesses are peeled from the same tables.
+    recovered (digests that peeling recovers between the text and its edited text), sketch, edited_sketch. A fingerprint is the
+    SHA-256 of the text's ``sketch``; likenesses are peeled from these tables, and ``compare`` gives the same from what is
+    returned, of any two rows, unless they differ by more than the tables hold.
 
     The edited text ends with the beginning of the next document by id (after the last comes the first; a lone document
     is its own next). Ids can be of any type that has an order. A null text is empty: no digests, and alike to another

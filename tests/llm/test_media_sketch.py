@@ -1,7 +1,11 @@
+import datetime
+import decimal
 import hashlib
 import io
+import math
 import random
 import re
+import struct
 import wave
 import zlib
 from collections import Counter
@@ -182,3 +186,68 @@ def test_one_document_and_none(spark):
     r = sketch.fingerprint_documents(documents(spark, [row(1, "one two three four")])).collect()
     assert len(r) == 1 and r[0]["near_next"] == 1.0
     assert sketch.fingerprint_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def plain_mixed(key, salt):
+    """The same mixing of 64 bits, in whole numbers."""
+    z = (key + 0x9E3779B97F4A7C15 * (salt + 1)) % 2**64
+    z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+    return z ^ z >> 31
+
+
+def plain_sketch(text):
+    """A table cell by cell: pieces end at words whose last byte is a multiple of four, at twelve words, and at line ends."""
+    keys, seen = set(), {}
+    for line in text.encode().split(b"\n"):
+        words = [(m.start(), m.end()) for m in re.finditer(rb"[^ \t-\r]+", line)]
+        start = 0
+        for i, (_, end) in enumerate(words):
+            if line[end - 1] % 4 == 0 or i - start == 11 or i == len(words) - 1:
+                key = xxhash.xxh3_64_intdigest(line[words[start][0] : end])
+                nth = seen[key] = seen.get(key, -1) + 1
+                keys.add(plain_mixed(key ^ plain_mixed(nth, 3), 4) if nth else key)
+                start = i + 1
+    third = 8 * 2 ** max(0, math.ceil(math.log2(max(1.0, 0.75 * len(keys) / 24))))
+    cells = [[0, 0, 0] for _ in range(3 * third)]
+    for key in keys:
+        for i in range(3):
+            cell = cells[plain_mixed(key, 11 * i + 5) % third + i * third]
+            cell[0], cell[1], cell[2] = cell[0] + 1, cell[1] ^ key, cell[2] ^ plain_mixed(key, 99)
+    return len(keys).to_bytes(8, "little") + b"".join(struct.pack("<iQQ", *c) for c in cells)
+
+
+def test_fingerprints_are_digests_of_plain_tables(spark):
+    rows = [row(k, "\n".join(words(10 * k + j, 30 + 7 * k) for j in range(k % 4 + 1)) + " same same same same") for k in range(30)] + [row(90, None), row(91, "a\n\n b")]
+    for r in sketch.fingerprint_documents(documents(spark, rows), parts=4).collect():
+        text = next(x[1] for x in rows if x[0] == r["doc_id"]) or ""
+        made = plain_sketch(text)
+        assert bytes(r["sketch"]) == made and r["fingerprint"] == hashlib.sha256(made).hexdigest(), text
+        assert r["edited_fingerprint"] == hashlib.sha256(bytes(r["edited_sketch"])).hexdigest()
+
+
+def test_what_is_returned_can_be_peeled(spark):
+    """Rows' own sketches, without any text, give the likenesses again."""
+    rows = [row(k, words(k, 200) if k % 5 else words(1, 220)) for k in range(40)]
+    got = sorted(sketch.fingerprint_documents(documents(spark, rows), parts=3).collect(), key=lambda r: r["doc_id"])
+    peeled = 0
+    for r, after in zip(got, [*got[1:], got[0]], strict=True):
+        for other, near in ((r["edited_sketch"], r["near_edited"]), (after["sketch"], r["near_next"])):
+            if found := sketch.compare(bytes(r["sketch"]), bytes(other)):
+                assert found[2] == near
+                peeled += 1
+    assert peeled >= 30  # of the 40 edited ones; texts that share nothing differ by more than their tables hold
+
+
+@pytest.mark.parametrize("kind,make", [("string", lambda k: f"id \"{k:05d}\""), ("timestamp", lambda k: datetime.datetime(2020, 1, 1, 0, 0, 0, 7 * k + 1)), ("double", lambda k: k / 7), ("decimal(20,3)", lambda k: decimal.Decimal(k) / 8)])
+def test_bounds_of_any_type(spark, kind, make):
+    """More parts than rows in some: the next document is that of the whole order."""
+    rows = [(make(k), words(k, 40)) for k in range(60)] + [(None, words(99, 40))]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(4)
+    got = {r["doc_id"]: r for r in sketch.fingerprint_documents(docs, parts=9).collect()}
+    order = [None, *(make(k) for k in range(60))]
+    texts = dict(rows)
+    for one, after in zip(order, [*order[1:], order[0]], strict=True):
+        n = len(texts[one]) // 4
+        edited = texts[one][: len(texts[one]) - n] + texts[after][:n]
+        assert got[one]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()

@@ -209,12 +209,12 @@ def session_key(spark: SparkSession) -> str:
     return key
 
 
-def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with private values of ``text_col`` replaced, and with ``pii_values``: (kind, pseudonym) in text order.
+def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text", out: str = "pii_values") -> DataFrame:
+    """``docs`` with private values of ``text_col`` replaced, and with ``out``: (kind, pseudonym) in text order.
 
     A map over rows: no shuffle, and every other column passes through. A null text stays null and an empty one empty,
     both with no values; very long texts are searched whole; repeated rows give equal results; an empty table stays empty;
-    a column that is named ``pii_values`` already is replaced. ``key`` is a secret that isn't empty: whoever has it can turn
+    a column that is named like ``out`` already is replaced. ``key`` is a secret that isn't empty: whoever has it can turn
     pseudonyms back, and the same key gives the same pseudonyms everywhere. The plan holds it, so plans are as secret.
     """
     if not key:
@@ -229,5 +229,5 @@ def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFr
 
     none = F.array().cast("array<struct<kind:string,value:string>>")
     made = _let(F.coalesce(F.transform(found, value), none), rebuilt)
-    out = docs.withColumn("pii_values", made)
-    return out.withColumn(text_col, F.col("pii_values.text")).withColumn("pii_values", F.col("pii_values.values"))
+    rows = docs.withColumn(out, made)
+    return rows.withColumn(text_col, F.col(out)["text"]).withColumn(out, F.col(out)["values"])

@@ -7,7 +7,7 @@ import corpus_pipeline
 import public_tokenizers
 
 from scribelake.llm import bpe
-from tests.llm.data import awkward, documents, labels, row, words
+from tests.llm.data import CLASHING, awkward, documents, labels, row, words
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -51,3 +51,39 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, none, str(tmp_path))
         assert out.count() == 0 and (name == "bpe" or out.columns == COLUMNS)
+
+
+def test_stages_with_null_ids_and_clashing_columns(spark, tmp_path):
+    """Every stage on tables with null ids, rows equal in all, and extra columns that have the operators' own names."""
+    rows = awkward() + [row(i, words(i, 30) + (" you stupid worthless idiot" if i % 6 == 0 else ""), f"src{i % 5}") for i in range(100, 220)]
+    rows += [row(None, words(i, 30) + " you stupid worthless idiot") for i in range(300, 310)] + [row(None, words(500, 40), "src1")] * 7
+    docs, before = documents(spark, rows), len(rows)
+    labels(spark, [(i, 1, int(i % 6 == 0)) for i in range(100, 220)] + [(None, 1, 1)]).write.parquet(f"{tmp_path}/labels.parquet")
+    columns, counts = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name == "bpe":
+            break
+        assert docs.columns == columns
+        kept = docs.collect()
+        counts[name] = len(kept)
+        assert all(r[c] == "x" for r in kept for c in CLASHING)
+        if name == "toxicity":
+            gone = [r for r in kept if "stupid worthless" in (r["text"] or "")]
+            assert not gone and sum(r["doc_id"] is None and r["text"] == words(500, 40) for r in kept) == 7
+        if name in ("simhash", "pii"):
+            assert sum(r["doc_id"] is None and r["text"] == words(500, 40) for r in kept) == 7  # nothing can name one of them
+    assert before > counts["toxicity"] > counts["simhash"] == counts["pii"]
+    assert docs.count() == counts["mixing"] and set(docs.columns) >= {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+
+
+def test_a_run_leaves_nothing_in_the_shared_folder(spark, tmp_path):
+    import os
+
+    from scribelake.llm.common import shared_folder
+
+    corpus(spark, str(tmp_path))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert not [n for n in os.listdir(shared_folder(spark).removeprefix("file:")) if n.startswith("pipeline-")]
+    assert out.count() > 0

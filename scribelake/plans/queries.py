@@ -531,6 +531,21 @@ def w6_split_point(spark, d):
     return held.select("recording_id", signal.live_cut(F.col("energies")).alias("cut"))
 
 
+@query(f"""WITH RECURSIVE {A.BLOCKS_SQL}, r AS (SELECT recording_id, list(energy ORDER BY idx) AS e, count(*) * 3200 AS total FROM blocks GROUP BY 1),
+spans AS (SELECT recording_id, e, total, unnest(range((total + 959999) // 960000)) AS label FROM r),
+starts AS (SELECT recording_id, label, e, least((label + 1) * 960000, total) AS stop, (label * 960000)::BIGINT AS a FROM spans
+ UNION ALL SELECT recording_id, label, e, stop, a + 192000 + 1600 + 3200 * coalesce(list_max(list_filter(range(40), lambda k: w[k + 1] < greatest(1024.0::DOUBLE, 0.08::DOUBLE * list_aggregate(w, 'median')))), list_position(w, list_min(w)) - 1)::BIGINT
+  FROM (SELECT *, list_transform(range(40), lambda k: CASE WHEN a % 3200 = 0 THEN e[(a + 192000) // 3200 + k + 1] ELSE (e[(a + 192000) // 3200 + k + 1] + e[(a + 192000) // 3200 + k + 2]) / 2 END) AS w FROM starts WHERE a + 320000 < stop))
+SELECT recording_id, label::INTEGER AS label, a AS start, coalesce(lead(a) OVER (PARTITION BY recording_id, label ORDER BY a), stop)::BIGINT AS "end" FROM starts""")
+def w5_chunks(spark, d):
+    """Each block of a recording as twenty tiles, cut within spans of a minute."""
+    blocks = A.blocks(spark, d)
+    tiles = blocks.select("recording_id", F.explode(F.sequence(F.col("idx") * 20, F.col("idx") * 20 + 19)).alias("tile_idx"), (F.col("energy") * 160).alias("sum_sq"))
+    totals = blocks.groupBy("recording_id").agg((F.count("*") * signal.BLOCK).alias("end")).withColumn("start", F.lit(0).cast("long"))
+    spans = signal.split_long(totals, ["recording_id"]).withColumn("label", (F.col("start") / signal.MAX_REGION).cast("int"))
+    return signal.chunks(tiles, spans, "recording_id")
+
+
 # ---- mutations and jobs ----------------------------------------------------------------------------------------------
 _FIELDS_SQL = """ev AS (SELECT event_id AS seq, user_id AS note_id, event_type AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 AS first FROM events),
 ops AS (SELECT *, CASE WHEN first OR seq % 11 = 0 THEN 'create' WHEN seq % 13 = 0 THEN 'delete' ELSE 'update' END AS op FROM ev),
@@ -595,16 +610,6 @@ def x4_collapse_repeats(spark, d):
     return A.table(spark, d, "documents").select("doc_id", F.sha2(X.collapse_repeats(F.col("text")), 256).alias("collapsed"))
 
 
-@query()
-def w5_chunks(spark, d):
-    """Each block of a recording as twenty tiles, cut within spans of a minute."""
-    blocks = A.blocks(spark, d)
-    tiles = blocks.select("recording_id", F.explode(F.sequence(F.col("idx") * 20, F.col("idx") * 20 + 19)).alias("tile_idx"), (F.col("energy") * 160).alias("sum_sq"))
-    totals = blocks.groupBy("recording_id").agg((F.count("*") * signal.BLOCK).alias("end")).withColumn("start", F.lit(0).cast("long"))
-    spans = signal.split_long(totals, ["recording_id"]).withColumn("label", (F.col("start") / signal.MAX_REGION).cast("int"))
-    return signal.chunks(tiles, spans, "recording_id")
-
-
 @query()
 def u5_cluster(spark, d):
     """All vectors: each twenty that follow one another, by id, are one recording's turns. A recording has a bounded number of
@@ -662,3 +667,26 @@ def u1_greedy_decode(spark, d):
     rows = A.blocks(spark, d).where("idx % 48 <> 47 or floor(idx / 48) % 2 = 0").select("recording_id", F.floor(F.col("idx") / 48).alias("piece"), F.struct("idx", (F.floor(F.sqrt("energy")) % 20000).cast("smallint").alias("x")).alias("s"))
     sounds = rows.groupBy("recording_id", "piece").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]).alias("samples"))
     return decode_sounds(sounds, _Spelling, ["recording_id", "piece"])
+
+
+@query("""WITH v AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, floor(value)::BIGINT AS x, count(*) OVER (PARTITION BY user_id) * 200 AS total FROM events),
+frames AS (SELECT user_id, unnest(range((total - 400) // 160 + 1)) AS f FROM (SELECT DISTINCT user_id, total FROM v) WHERE total >= 400),
+met AS (SELECT user_id, f, unnest(range(160 * f // 200, (160 * f + 399) // 200 + 1)) AS i FROM frames)
+SELECT user_id, f AS frame_idx, round(sqrt(sum((least(200 * i + 200, 160 * f + 400) - greatest(200 * i, 160 * f)) * x * x) / 400.0::DOUBLE)::FLOAT::DOUBLE, 2) AS rms FROM met JOIN v USING (user_id, i) GROUP BY user_id, f""")
+def x21_frame_loudness(spark, d):
+    """Every user's events as runs of 200 samples of one height: how loud each frame of the whole is, by ``frame_features``."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    runs = A.table(spark, d, "events").select("user_id", (place * 200).cast("long").alias("offset"), F.array_repeat(F.floor("value").cast("smallint"), 200).alias("samples"))
+    return speakers.frame_features(runs, "user_id").select("user_id", "frame_idx", F.round(F.col("rms").cast("double"), 2).alias("rms"))
+
+
+@query("""WITH v AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) * 200 AS o, floor(value)::BIGINT AS x FROM events)
+SELECT user_id, greatest(o, 1050) AS "offset", (least(o + 200, 3333) - greatest(o, 1050))::INTEGER AS size, x * (least(o + 200, 3333) - greatest(o, 1050))::BIGINT AS total FROM v WHERE o < 3333 AND o + 200 > 1050""")
+def s6_pcm_slice(spark, d):
+    """Samples 1,050 to 3,333 of every user's recording, from runs of 200."""
+    from scribelake.sources.audio import samples_between
+
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    runs = A.table(spark, d, "events").select("user_id", (place * 200).cast("long").alias("offset"), F.array_repeat(F.floor("value").cast("smallint"), 200).alias("samples"))
+    rows = samples_between(runs, 1050, 3333)
+    return rows.select("user_id", "offset", F.size("samples").alias("size"), F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))

@@ -223,12 +223,16 @@ def gate_live(segments: DataFrame) -> DataFrame:
     return segments.where(F.sqrt(F.col("sum_sq") / F.col("n")) >= SILENT_RMS)
 
 
+def averaged(x: Column, y: Column) -> Column:
+    """The average, rounded down, of two arrays of samples as far as both go."""
+    n = F.least(F.size(x), F.size(y))
+    return F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(1), n), lambda p, q: F.shiftright(p.cast("int") + q.cast("int"), 1).cast("smallint"))
+
+
 def mix(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, tile_idx, samples): the average, rounded down, of two streams' tiles where both have samples."""
     both = a.select(*keys, "tile_idx", F.col("samples").alias("x")).join(b.select(*keys, "tile_idx", F.col("samples").alias("y")), [*keys, "tile_idx"])
-    n = F.least(F.size("x"), F.size("y"))
-    average = F.zip_with(F.slice("x", F.lit(1), n), F.slice("y", F.lit(1), n), lambda x, y: F.shiftright(x.cast("int") + y.cast("int"), 1).cast("smallint"))
-    return both.select(*keys, "tile_idx", average.alias("samples"))
+    return both.select(*keys, "tile_idx", averaged(F.col("x"), F.col("y")).alias("samples"))
 
 
 def padding(rows: DataFrame, slack: int = PAD_SLACK) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from scribelake.operators.jobs import DEFAULT_ERROR
-from scribelake.operators.signal import BLOCK, PAD_SLACK, RATE, fold_padding, split_point
+from scribelake.operators.signal import BLOCK, PAD_SLACK, RATE, averaged, fold_padding, split_point
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Samples between two questions whether to cut.
@@ -261,6 +261,20 @@ def mix_live(left: DataFrame, right: DataFrame, key: str = "recording_id") -> Da
     return both.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, offset long, samples array<smallint>", "offset long, a binary, b binary, stopped int", "append", GroupStateTimeout.NoTimeout)
 
 
+def mix_tiles(left: DataFrame, right: DataFrame, key: str = "recording_id", late: str = "10 seconds", apart: str = "2 seconds") -> DataFrame:
+    """(key, tile_idx, ts, samples): the average, rounded down, of two streams of tiles (key, tile_idx, ts, samples), by a join of
+    streams on the tile.
+
+    ``ts`` is when a tile was captured. The two of a pair lie at most ``apart``, and rows come at most ``late``, so a watermark
+    lets go of tiles that have no partner, and state is bounded by what comes in that time.
+    """
+    a = left.select(F.col(key).alias("key_a"), F.col("tile_idx").alias("tile_a"), F.col("ts").alias("ts_a"), F.col("samples").alias("x")).withWatermark("ts_a", late)
+    b = right.select(F.col(key).alias("key_b"), F.col("tile_idx").alias("tile_b"), F.col("ts").alias("ts_b"), F.col("samples").alias("y")).withWatermark("ts_b", late)
+    near = F.expr(f"ts_a >= ts_b - INTERVAL {apart} AND ts_a <= ts_b + INTERVAL {apart}")
+    both = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("tile_a") == F.col("tile_b")) & near)
+    return both.select(F.col("key_a").alias(key), F.col("tile_a").alias("tile_idx"), F.greatest("ts_a", "ts_b").alias("ts"), averaged(F.col("x"), F.col("y")).alias("samples"))
+
+
 def pause_sessions(voiced: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, start, last, voiced): voiced blocks (keys, ts: when a block begins) with at most two quiet ones between.
 

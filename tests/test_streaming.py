@@ -1,14 +1,15 @@
+import datetime
 import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from scribelake.operators import jobs
+from scribelake.operators import jobs, signal
 from scribelake.operators.signal import pad_chunks
 from scribelake.api import cancel, finish
 from scribelake.sources.audio import decode
 from scribelake.sources.wav_source import write_wav
-from scribelake.streaming.live import JOB, job_states, live_segments, mix_live, paced, pause_sessions, record, status, step, tile_stream, watched_segments, with_offsets, with_prefix
+from scribelake.streaming.live import JOB, job_states, live_segments, mix_live, mix_tiles, paced, pause_sessions, record, status, step, tile_stream, watched_segments, with_offsets, with_prefix
 
 R = 16_000
 FOLDED = ("state", "phase", "stage", "percent", "text", "saved", "error", "code", "file", "ready", "step", "size", "duration")
@@ -121,6 +122,29 @@ def test_two_streams_are_mixed_and_keep_their_tails(spark, tmp_path):
 PACE = "recording_id string, seq long, expected long, samples array<smallint>, stop boolean"
 
 
+TILES = "recording_id string, tile_idx long, ts timestamp, samples array<smallint>"
+
+
+def test_joined_streams_of_tiles_mix_like_tables(spark, tmp_path):
+    """Tiles that come late or out of order, some without a partner; what no partner can come for leaves the state."""
+    rng = np.random.default_rng(8)
+    began = datetime.datetime(2024, 5, 1, 12, 0, 0)
+    tile = lambda n, i, lag: (n, i, began + datetime.timedelta(milliseconds=10 * i + lag), rng.integers(-30_000, 30_000, int(rng.integers(100, 161))).tolist())
+    left = [tile(n, i, int(rng.integers(0, 300))) for i in range(0, 3000, 10) for n in "pq" if i % 70]
+    right = [tile(n, i, int(rng.integers(0, 300))) for i in range(0, 3000, 10) for n in "pq" if i % 90]
+    for name, rows in (("a", left), ("b", right)):
+        order = sorted(rows, key=lambda r: r[2] + datetime.timedelta(milliseconds=int(rng.integers(0, 400))))
+        write_steps(spark, order, TILES, tmp_path / name, 100)
+    read = lambda n: spark.readStream.schema(TILES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / n))
+    query = mix_tiles(read("a"), read("b")).writeStream.format("memory").queryName("joined").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    want = signal.mix(*(spark.createDataFrame(r, TILES) for r in (left, right)), ["recording_id"])
+    key = lambda r: (r["recording_id"], r["tile_idx"], tuple(r["samples"]))
+    assert sorted(map(key, spark.table("joined").collect())) == sorted(map(key, want.collect())) and want.count() > 300
+    assert held < len(left) + len(right)
+
+
 def test_a_stream_with_holes_is_filled_like_a_table(spark, tmp_path):
     rng, rows = np.random.default_rng(6), []
     for name in "ab":

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from scribelake.functions import text as X
 from scribelake.functions import vectors as V
 from scribelake.operators import jobs, library, mutations, signal, speakers, text
+from scribelake.operators.agglomerate import cluster_turns
 from scribelake.operators.decoding import decode_sounds
 from scribelake.sources import adapters as A
 from scribelake.sources import sinks
@@ -614,15 +615,8 @@ def x4_collapse_repeats(spark, d):
 def u5_cluster(spark, d):
     """All vectors: each twenty that follow one another, by id, are one recording's turns. A recording has a bounded number of
     turns, so its group's size is part of this query's mapping, not a cut."""
-    import numpy as np
-    import pandas as pd
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("vec_id")
-        return pd.DataFrame({"recording": own["recording"], "vec_id": own["vec_id"], "speaker": speakers.cluster(np.stack(own["v"].to_list()))})
-
-    rows = A.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("recording"), "vec_id", V.normalise(F.col("embedding")).alias("v"))
-    return rows.groupBy("recording").applyInPandas(run, "recording long, vec_id long, speaker long")
+    rows = A.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("recording"), F.col("vec_id").alias("id"), V.normalise(F.col("embedding")).alias("v"))
+    return cluster_turns(rows, "recording").select("recording", F.col("id").alias("vec_id"), F.col("label").cast("long").alias("speaker"))
 
 
 class _Spelling:

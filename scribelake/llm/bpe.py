@@ -140,8 +140,8 @@ def decode_column(docs: DataFrame, path: str, pattern: str, *, ids_col: str = "i
 def round_trip(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, ids_sha256, decoded_sha256, of the whole text and of its ids decoded.
 
-    Encodes and decodes without the ids leaving the worker. A null text is empty: no ids, digests of no bytes. Ids may be
-    null or repeat; each row is on its own. An empty table gives an empty result; extra columns are ignored.
+    Encodes and decodes without the ids leaving the worker. A null text is empty: no ids, digests of no bytes. A very long
+    text is encoded whole, in memory in proportion to it. Ids may be null or repeat; each row is on its own. An empty table gives an empty result; extra columns are ignored.
     """
     fields = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 

@@ -106,7 +106,8 @@ DIGESTS = T.StructType([T.StructField(n, k) for n, k in (("n_bytes", T.LongType(
 
 def media_columns(docs: DataFrame, *, text_col: str = "text", spectrum: Spectrum = Spectrum(), multiple: int = 192) -> DataFrame:
     """``docs`` with ``media`` (the WAV) and its landmarks as two arrays, times and codes. A null text is empty: one
-    payload of spaces. Rows are on their own; columns that have these names already are replaced."""
+    payload of spaces; a very long one is stored whole, in memory in proportion to it. Rows are on their own; columns that have
+    these names already are replaced."""
 
     def make(cols: dict[str, pa.Array]) -> list[pa.Array]:
         media = [store(payload(t, multiple), spectrum.rate) for t in utf8(cols[text_col])]
@@ -120,8 +121,8 @@ def media_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """One row per row of ``docs``: id, sizes and digests of payload, stored form and landmarks (``feature`` is the
     SHA-256 of the times and codes as little-endian 32-bit integers). The payload's digests are of what is read back.
 
-    Media stay in the worker. Null, empty and repeated texts and ids: as ``media_columns``. An empty table gives an empty
-    result; extra columns are ignored.
+    Media stay in the worker. Null, empty, very long and repeated texts and ids: as ``media_columns``. An empty table gives an
+    empty result; extra columns are ignored.
     """
 
     def make(cols: dict[str, pa.Array]) -> list[pa.Array]:

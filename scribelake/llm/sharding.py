@@ -72,18 +72,20 @@ def assign_shards(docs: DataFrame, tree: Tree, *, id_col: str = "doc_id", text_c
 
     The law is ``key``: the id and the tree decide; ``grown_shard`` is the shard after one more is added. ``size`` is the
     text's UTF-8 bytes plus 8 (a null text: 8, and the checksum of no bytes, 0). ``slot`` numbers a shard's rows from 0
-    without gaps. Each shard is cut into ``slots`` parts by a hash; the rows of each part are counted from the id column
-    alone, at most shards x slots counts are broadcast, and only a part's rows are ever sorted together. Rows with a null
-    id have the key ``null`` and so share a shard; repeated rows get slots of their own, in no defined order among them.
-    An empty table gives an empty result; extra columns are ignored.
+    without gaps. Each shard is cut into ``slots`` parts by a hash of id and text, so rows of one id are in many; the rows of each
+    part are counted first, at most shards x slots counts are broadcast, and only a part's rows, without their texts, are
+    ever sorted together. Rows with a null id have the key ``null`` and so share a shard; repeated rows get slots of their own,
+    in no defined order among them. A very long text is only measured and summed up. An empty table gives an empty result;
+    extra columns are ignored.
     """
     key = F.col(id_col).cast("string")
-    shard, part = shard_of(key, tree, seed).cast("int"), F.conv(F.substring(F.md5(F.concat(F.lit("slot|"), F.coalesce(key, F.lit("null")))), 1, 8), 16, 10).cast("long") % slots
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    checksum = F.crc32(F.encode(text, "UTF-8"))
+    shard, part = shard_of(key, tree, seed).cast("int"), F.pmod(F.xxhash64(key, checksum), F.lit(slots))
     counts = docs.select(shard.alias("shard"), part.alias("part")).groupBy("shard", "part").count()
     starts = counts.select("shard", "part", (F.sum("count").over(Window.partitionBy("shard").orderBy("part")) - F.col("count")).alias("start"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.col(id_col), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"),
+        F.col(id_col), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), checksum.alias("text_crc32"), F.lit("key").alias("law"),
         shard.alias("shard"), part.alias("part"), shard_of(key, tree.grown(), seed).cast("int").alias("grown_shard"),
     )
     rank = F.row_number().over(Window.partitionBy("shard", "part").orderBy(F.col(id_col), "size", "text_crc32"))

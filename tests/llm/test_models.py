@@ -403,3 +403,14 @@ def test_both_views_teach_on_the_drivers_tables(spark):
     y = np.array([truth[r["doc_id"]] for r in rows])
     right = lambda m: [((p > 0.5) == y).mean() for p in m.score(a, b)]
     assert right(with_)[0] >= right(without)[0] and min(right(with_)) > 0.95
+
+
+def test_very_long_texts_are_scored_whole(spark):
+    """A text of half a million words, whose last ones are counted like its first."""
+    long_ = words(1, 500_000)
+    docs = documents(spark, [row(k, words(k, 40) if k % 2 else "| !! $$$ " * 20) for k in range(60)] + [row(900, long_), row(901, long_ + " stupid" * 50_000)])
+    known = labels(spark, [(k, k % 2, int(k % 4 == 0)) for k in range(60)])
+    for got in (quality.score_quality(docs, known).collect(), toxicity.score_toxicity(docs, known).collect()):
+        assert len(got) == 62 and all(0 <= r["score"] <= 1 for r in got)
+    a, b = quality.content(long_), quality.content(long_ + " stupid" * 50_000)
+    assert np.expm1(a[0]) == pytest.approx(500_000) and np.expm1(b[0]) == pytest.approx(550_000)

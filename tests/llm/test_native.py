@@ -67,6 +67,20 @@ def test_sharding_like_a_plain_descent(spark):
         assert r["shard"] == pick(key, [(f"r{a}/k{b}/s{s}", w, s) for s, w in tree.regions[a][b]])
 
 
+def test_slots_of_one_id_and_of_very_long_texts(spark):
+    """A third of all rows with a null id and another with one id: slots without gaps, in many parts; long texts measured whole."""
+    rows = [row(None, words(k, 5)) for k in range(300)] + [row(7, words(k, 6)) for k in range(300)] + [row(100 + k, "x") for k in range(300)] + [row(5000, words(1, 200_000))]
+    got = sharding.assign_shards(documents(spark, rows), sharding.Tree.even(24)).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 901 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r["shard"] for r in got if r["doc_id"] is None}) == len({r["shard"] for r in got if r["doc_id"] == 7}) == 1
+    long_ = next(r for r in got if r["doc_id"] == 5000)
+    text = words(1, 200_000).encode()
+    assert long_["size"] == len(text) + 8 and long_["text_crc32"] == zlib.crc32(text)
+
+
 # ---- mixing ----------------------------------------------------------------------------------------------------------
 def mixed_rows(n=1200):
     return awkward() + [row(10_000 + i, "w " * (1 + (i * 37) % 90), None if i % 50 == 0 else "src0" if i % 3 == 0 else f"s{i % 11}") for i in range(n)]
@@ -117,6 +131,12 @@ def tied_rows():
     return rows + [row(2000 + k, words(4, 9), "e") for k in range(100)] + [row(9, words(5, 20), "f", lang=f"l{k % 3}") for k in range(80)]
 
 
+def test_very_long_texts_are_mixed_by_all_their_words(spark):
+    docs = documents(spark, [row(1, "w " * 300_000, "a"), *[row(2 + k, words(k, 50), "b") for k in range(100)]])
+    got = {r["doc_id"]: r for r in mixing.mix_sources(docs).collect()}
+    assert got[1]["size"] == 300_000 and got[1]["taken"] in (0, 300_000, 600_000, 900_000)
+
+
 @pytest.mark.parametrize("few", [True, False])
 def test_tied_rows_are_taken_in_part(spark, few, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10_000 if few else 0)

@@ -223,16 +223,19 @@ def gate_live(segments: DataFrame) -> DataFrame:
     return segments.where(F.sqrt(F.col("sum_sq") / F.col("n")) >= SILENT_RMS)
 
 
-def averaged(x: Column, y: Column) -> Column:
-    """The average, rounded down, of two arrays of samples as far as both go."""
+def averaged(x: Column, y: Column, kind: str = "smallint") -> Column:
+    """The average, rounded down, of two arrays of samples as far as both go. An average lies between its samples, so it is of
+    their ``kind`` too."""
     n = F.least(F.size(x), F.size(y))
-    return F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(1), n), lambda p, q: F.shiftright(p.cast("int") + q.cast("int"), 1).cast("smallint"))
+    return F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(1), n), lambda p, q: F.shiftright(p.cast("long") + q.cast("long"), 1).cast(kind))
 
 
 def mix(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, tile_idx, samples): the average, rounded down, of two streams' tiles where both have samples."""
+    """(keys, tile_idx, samples): the average, rounded down, of two streams' tiles where both have samples; of the wider kind of
+    the two."""
+    kind = max((d.schema["samples"].dataType.elementType.simpleString() for d in (a, b)), key=("tinyint", "smallint", "int").index)
     both = a.select(*keys, "tile_idx", F.col("samples").alias("x")).join(b.select(*keys, "tile_idx", F.col("samples").alias("y")), [*keys, "tile_idx"])
-    return both.select(*keys, "tile_idx", averaged(F.col("x"), F.col("y")).alias("samples"))
+    return both.select(*keys, "tile_idx", averaged(F.col("x"), F.col("y"), kind).alias("samples"))
 
 
 def padding(rows: DataFrame, slack: int = PAD_SLACK) -> DataFrame:

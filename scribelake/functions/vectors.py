@@ -11,6 +11,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, product), F.lit(0.0), lambda s, x: s + x)
 
 
+def fused_dot(a: Column, b: Column) -> Column:
+    """``dot`` by fused multiply-add: each product is added before it is rounded."""
+    fma = lambda s, x, y: F.java_method(F.lit("java.lang.Math"), F.lit("fma"), x, y, s).cast("double")
+    pair = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return F.aggregate(F.zip_with(a, b, pair), F.lit(0.0), lambda s, p: fma(s, p["x"], p["y"]))
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 

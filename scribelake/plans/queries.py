@@ -5,6 +5,7 @@ Names begin with the operator's place in the survey (f7 is the search filter, w2
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -145,13 +146,15 @@ def j4_missing(spark, d):
     return library.missing(A.table(spark, d, "documents").select("doc_id"), A.table(spark, d, "labels"), "doc_id")
 
 
-# Squares, so that no fragment is as far from the turn before as from the one after.
+# Squares, so that few fragments are as far from the turn before as from the one after. Where some are, the last bits decide,
+# and those of the JVM's cosine and sine aren't always those of the C library, so the values are looked up.
 _V_SQL = "[cos((event_id * event_id % 1009)::DOUBLE), sin((event_id * event_id % 1009)::DOUBLE)]"
 
 
 def _v(c="event_id"):
-    x = (F.col(c) * F.col(c) % 1009).cast("double")
-    return F.array(F.cos(x), F.sin(x))
+    place = (F.col(c) * F.col(c) % 1009).cast("int")
+    known = [F.split(F.lit(" ".join(repr(f(x)) for x in range(1009))), " ").cast("array<double>") for f in (math.cos, math.sin)]
+    return F.array(*(F.get(values, place) for values in known))
 
 
 @query(f"""WITH {A.SPANS_SQL}, s AS (SELECT recording_id, start, label, event_id, {_V_SQL} AS v FROM spans WHERE n > 0),

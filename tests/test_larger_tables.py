@@ -45,3 +45,18 @@ def test_mix_is_of_the_wider_kind(spark):
     assert got.schema["samples"].dataType.elementType.simpleString() == "int"
     assert signal.mix(narrow, narrow, ["k"]).schema["samples"].dataType.elementType.simpleString() == "smallint"
     assert signal.mix(wide, wide, ["k"]).first()["samples"] == [2**31 - 1, -(2**31), 0]
+
+
+def test_turns_as_close_as_the_last_bits_tell(spark, tmp_path):
+    """Fragments half way between the vectors of the turns before and after, and others whose vectors the JVM's own cosine
+    would round apart from SQL's."""
+    roots, rows = {}, []
+    for i in range(7 * 1009):
+        roots.setdefault((i * i % 1009, i % 7 == 3), i)
+    known = sorted({r for r, fragment in roots if fragment and (r, False) in roots})
+    for n, middle in enumerate(known):
+        for gap in (g for g in range(1, 60) if (middle - g, False) in roots and (middle + g, False) in roots):
+            ids = (roots[middle - gap, False], roots[middle, True], roots[middle + gap, False])
+            rows += [(i, 1000 * n + gap, kind, 2.0 + gap) for i, kind in zip(ids, ("click", "view", "error"), strict=True)]
+    got = same_as_sql(spark, events(spark, tmp_path, rows), "j5_nearest_turn")
+    assert len(got) == len(rows) / 3 > 2000 and {r[2] for r in got} == {1, 3}

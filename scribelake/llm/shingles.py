@@ -1,9 +1,10 @@
-"""Near copies by five-word shingles: ball hashing over several fingerprints of min-hashes, verified by exact Jaccard.
+"""Near copies by five-word shingles: SimHash with meet-in-the-middle ball hashing, verified by exact Jaccard.
 
-At a similarity of 0.8 about ten of 64 SimHash bits differ, and a ball of half that radius has eight million points. So the
-fingerprints here are made of min-hashes: five for each, and it emits the five points that leave one of them out. Two texts
-meet where at most one differs; at 0.8 that happens to 74 of 100 pairs, and to all but one in 40,000 of them in one of
-eight fingerprints.
+Each distinct set of shingles has a SimHash, and those within two bits are linked as by ``simhash``. At a similarity of 0.8
+about ten of 64 bits differ, and a ball of half that radius has eight million points. So that no pair between is lost, the
+same is done on fingerprints whose digits are min-hashes, five for each of eight: it emits the five points that leave one
+of them out. Two texts meet where at most one differs; at 0.8 that happens to 74 of 100 pairs, and to all but one in 40,000 of
+them in one of eight fingerprints.
 
 Texts that meet, directly or by way of others, are a family. Inside a family the similarity of all whole sets is computed,
 as matrix products over blocks of bounded size, and only links enough to connect what is similar leave a block.
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from scribelake.llm.common import add_columns, durable, join_counted, utf8
 from scribelake.llm.components import connected_components
-from scribelake.llm.simhash import keep_heads
+from scribelake.llm.simhash import keep_heads, links, majority
 
 PRINTS, SIZE = 8, 5
 #: A block of a family has room for so many shingles; each text takes up some besides its own, as it is a row of a matrix.
@@ -125,13 +126,13 @@ def with_key(docs: DataFrame, *, text_col: str, out: str) -> DataFrame:
 
 
 def _with_points(docs: DataFrame) -> DataFrame:
-    """(id, fp: the set's key, size, points) of (id, text)."""
+    """(id, fp: the set's key, print: its SimHash, size, points) of (id, text)."""
 
     def make(cols: dict[str, pa.Array]) -> list[pa.Array]:
         sets = list(map(shingle_set, utf8(cols["text"])))
-        return [_longs(list(map(set_key, sets))), pa.array([len(s) for s in sets], pa.int64()), pa.array([points(s) for s in sets], pa.list_(pa.int64()))]
+        return [_longs(list(map(set_key, sets))), _longs(list(map(majority, sets))), pa.array([len(s) for s in sets], pa.int64()), pa.array([points(s) for s in sets], pa.list_(pa.int64()))]
 
-    fields = (T.StructField("fp", T.LongType()), T.StructField("size", T.LongType()), T.StructField("points", T.ArrayType(T.LongType())))
+    fields = (T.StructField("fp", T.LongType()), T.StructField("print", T.LongType()), T.StructField("size", T.LongType()), T.StructField("points", T.ArrayType(T.LongType())))
     return add_columns(docs, T.StructType(list(fields)), make, ["text"]).drop("text")
 
 
@@ -155,12 +156,25 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "fp long, shingles binary")
 
 
+def simhash_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): set keys that connect all whose SimHashes lie within two bits. Keys of one SimHash are linked to the smallest of
+    them, and those smallest ones by the balls of ``simhash.links``."""
+    own = durable(rows.where("size > 0").select("fp", "print").distinct())
+    heads = durable(own.groupBy("print").agg(F.min("fp").alias("head"), F.count("*").alias("n")))
+    same = join_counted(own, heads, "print", "n", own.count()).where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b"))
+    near = durable(links(heads.select(F.col("print").alias("fp")), 2))
+    end = lambda c: heads.select(F.col("print").alias(c), F.col("head").alias(f"head_{c}"))
+    near = near.join(end("a"), "a").join(end("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    return same.unionByName(near)
+
+
 def _families(rows: DataFrame) -> DataFrame:
     """(fp, root, blocks): the texts that meet others, the family of each and into how many blocks the family is cut."""
     seen = rows.select("fp", F.explode("points").alias("point"))
     meets = durable(seen.groupBy("point").agg(F.count("*").alias("n"), F.min("fp").alias("head"), F.max("fp").alias("other")).where("head <> other").drop("other"))
     total = rows.agg(F.sum(F.size("points"))).first()[0] or 0
     pairs = join_counted(seen, meets, "point", "n", total).where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b"))
+    pairs = simhash_pairs(rows).unionByName(pairs)
     nodes = durable(connected_components(pairs).select(F.col("node").alias("fp"), "root").join(rows.select("fp", "size").distinct(), "fp"))
     families = nodes.groupBy("root").agg(F.count("*").alias("n"), F.ceil(F.sum(F.col("size") + EACH) / ROOM).cast("int").alias("blocks"))
     return durable(join_counted(nodes, families, "root", "n", nodes.count()).select("fp", "root", "blocks"))

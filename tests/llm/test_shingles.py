@@ -87,3 +87,16 @@ def test_similar_like_plain_sets(monkeypatch, small, dense):
         old, new = part[j], part[i]
         part = [new if p == old else p for p in part]
     assert all((part[i] == part[j]) or not want[i, j] for i in range(len(sets)) for j in range(i))
+
+
+def test_simhash_balls_link_what_min_hashes_miss(spark, monkeypatch):
+    """Without points of min-hashes, pairs within two bits are found by SimHash alone, and verified; the others are not."""
+    monkeypatch.setattr(shingles, "points", lambda hashes: np.zeros(0, np.int64))
+    base = [words(g, 600).split() for g in range(20)]
+    rows = [row(100 * g + i, " ".join(text[:-i] if i else text)) for g, text in enumerate(base) for i in (0, 1, 2, 300)]
+    prints = {r[0]: shingles.majority(shingles.shingle_set(r[1].encode())) for r in rows}
+    near = {g for g in range(20) if (prints[100 * g] ^ prints[100 * g + 1]).bit_count() <= 2 and (prints[100 * g + 1] ^ prints[100 * g + 2]).bit_count() <= 2}
+    assert len(near) > 10
+    kept = {r["doc_id"] for r in shingles.keep_one_similar(documents(spark, rows)).collect()}
+    assert all(not kept & {100 * g + 1, 100 * g + 2} for g in near)
+    assert kept >= {100 * g + i for g in range(20) for i in (0, 300)}

@@ -1,9 +1,11 @@
-"""Scalar text functions as columns. All of them stay in the JVM."""
+"""Scalar text functions as columns. All but ``collapse_repeats`` stay in the JVM."""
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,9 +57,61 @@ def like_sql(c: str, pattern: str) -> str:
     return f"translate({c}, '{_UPPER}', '{_LOWER}') LIKE translate('{pattern}', '{_UPPER}', '{_LOWER}')"
 
 
+_LOOP = re.compile(r"(.{1,30}?)(?:\s*\1){4,}")
+_IS_SPACE = np.array([c.isspace() for c in map(chr, range(0x3002))])
+
+
+def repeating(text: str, longest: int = 30, times: int = 5) -> list[tuple[int, int]]:
+    """Stretches (start, end) outside of which nothing can match ``_LOOP``, in order and apart from each other.
+
+    Without white space, a phrase that comes ``times`` times in a row is as many periods of at most ``longest`` characters, or
+    it is white space alone. Each stretch has the white space on both sides, as a phrase may begin or end with it.
+    """
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = _IS_SPACE[np.minimum(chars, len(_IS_SPACE) - 1)]
+    at = np.flatnonzero(~space)
+    edges = np.concatenate([[-1], at, [len(chars)]])  # white space is between two of them
+    wide = np.flatnonzero(np.diff(edges) > times)
+    starts, ends = [edges[wide] + 1], [edges[wide + 1]]
+    kept = chars[at]
+    for period in range(1, min(longest, len(kept) // times) + 1):
+        other = np.flatnonzero(kept[period:] != kept[:-period])
+        other = np.concatenate([[-1], other, [len(kept) - period]])
+        run = np.flatnonzero(np.diff(other) > (times - 1) * period)
+        starts.append(edges[other[run] + 1] + 1)  # after the last character before the run
+        ends.append(edges[other[run + 1] + period + 1])
+    starts, ends = np.concatenate(starts), np.concatenate(ends)
+    order = np.argsort(starts, kind="stable")
+    out: list[tuple[int, int]] = []
+    for start, end in zip(starts[order].tolist(), ends[order].tolist(), strict=True):
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
+    return out
+
+
+def collapsed(text: str) -> str:
+    """``text`` with each match of ``_LOOP`` kept once. Only stretches that repeat are searched."""
+    parts, done = [], 0
+    for start, end in repeating(text):
+        parts += [text[done:start], _LOOP.sub(r"\1", text[start:end])]
+        done = end
+    return "".join([*parts, text[done:]])
+
+
 def collapse_repeats(c: Column) -> Column:
-    """A phrase of up to 30 characters that comes five times or more in a row is kept once; then stripped."""
-    return strip(F.regexp_replace(c, rf"(?d)(.{{1,30}}?)(?:{SPACE}*\1){{4,}}", "$1"))
+    """A phrase of up to 30 characters that comes five times or more in a row is kept once; then stripped.
+
+    A pattern engine tries 30 lengths at every character; numpy compares the text with itself instead, by Arrow batches, and
+    the pattern decides only where it repeats.
+    """
+
+    @F.arrow_udf("string")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else collapsed(t) for t in texts.to_pylist()], pa.string())
+
+    return strip(of(c))
 
 
 def format_duration(seconds: Column) -> Column:

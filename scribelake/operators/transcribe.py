@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -11,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scribelake.functions.text import collapsed
 from scribelake.operators import signal
 from scribelake.operators.signal import RATE, SILENT_PEAK
 from scribelake.operators.speakers import Embedder, diarize
@@ -18,7 +18,6 @@ from scribelake.operators.text import render
 from scribelake.sources.shared import durable
 
 SHORT = 2 * RATE
-_LOOP = re.compile(r"(.{1,30}?)(?:\s*\1){4,}")
 
 
 class Transcriber(Protocol):
@@ -30,7 +29,7 @@ class Transcriber(Protocol):
 
 def without_loops(text: str) -> str:
     """The worker's form of ``functions.text.collapse_repeats``."""
-    return _LOOP.sub(r"\1", text).strip()
+    return collapsed(text).strip()
 
 
 def transcribe_chunk(samples: np.ndarray, start: int, model: Transcriber, done: Callable[[int], None] = lambda end: None) -> Iterator[tuple[int, int, str]]:

@@ -142,21 +142,28 @@ def span_windows(tiles_: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     those that begin a multiple of a block after its start and e1 for those half a block later.
 
     Every cut is in the middle of a window, so chunks begin on the one grid and on the other by turns, and no other windows
-    are ever asked for. Tiles and spans meet by the second, so nothing but a span's windows comes together. A tile that
-    isn't there is silent.
+    are ever asked for; both are made of the same half windows. The tiles of a block are one row of sums, put together before
+    anything is shuffled or sorted, and blocks and spans meet by the second, so nothing but a span's half windows comes
+    together, as one row of sums for each of its seconds. A tile that isn't there is silent.
     """
+    half, per_second = BLOCK // 2, RATE // BLOCK
+    by_place = lambda place, n: [F.sum(F.when(place == i, F.col("sum_sq"))).alias(f"s{i}") for i in range(n)]
+    row = lambda n: F.array(*(f"s{i}" for i in range(n)))
     each = spans.select(key, "start", "end", "label").withColumn("span", F.struct("start", "end", "label"))
     seconds = F.sequence(F.floor(F.col("start") / RATE), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / RATE))
-    heard = tiles_.select(key, (F.col("tile_idx") * TILE).alias("at"), "sum_sq").withColumn("second", F.floor(F.col("at") / RATE))
-    heard = heard.join(each.select(key, "span", F.explode(seconds).alias("second")), [key, "second"]).where("at >= span.start and at < span.end")
-    grids = F.explode(F.array(F.lit(0), F.lit(1)))
-    place = F.floor((F.col("at") - F.col("span.start") - F.col("grid") * (BLOCK // 2)) / BLOCK)
-    heard = heard.select(key, "span", "at", "sum_sq", grids.alias("grid")).select(key, "span", "grid", place.alias("window"), "sum_sq").where("window >= 0")
-    last = F.floor((F.col("end") - F.col("start") - F.col("grid") * (BLOCK // 2)) / BLOCK)
-    silent = each.select(key, "span", "start", "end", grids.alias("grid")).select(key, "span", "grid", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0)))).alias("window"), F.lit(0.0).alias("sum_sq"))
-    energy = heard.unionByName(silent).groupBy(key, "span", "grid", "window").agg((F.sum("sum_sq") / BLOCK).alias("energy"))
-    own = lambda g: F.transform(F.array_sort(F.collect_list(F.when(F.col("grid") == g, F.struct("window", "energy")))), lambda x: x["energy"]).alias(f"e{g}")
-    return energy.groupBy(key, "span").agg(own(0), own(1)).select(key, "span.start", "span.end", "span.label", "e0", "e1")
+    blocks = tiles_.groupBy(key, F.floor(F.col("tile_idx") / TILES).alias("block")).agg(*by_place(F.pmod("tile_idx", F.lit(TILES)), TILES)).withColumn("second", F.floor(F.col("block") / per_second))
+    met = blocks.join(each.select(key, "span", F.explode(seconds).alias("second")), [key, "second"])
+    heard = met.select(key, "span", "block", F.posexplode(row(TILES)).alias("i", "sum_sq")).withColumn("at", F.col("block") * BLOCK + F.col("i") * TILE)
+    heard = heard.where("sum_sq is not null and at >= span.start and at < span.end").withColumn("half", F.floor((F.col("at") - F.col("span.start")) / half))
+    windows = [F.greatest(F.floor((F.col("end") - F.col("start") - g * half) / BLOCK), F.lit(0)).cast("long") + 1 for g in (0, 1)]
+    last = F.floor(F.greatest(windows[0] * 2 - 1, windows[1] * 2) / (2 * per_second))
+    silent = each.select(key, "span", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("nth"), F.lit(0).cast("long").alias("place"), F.lit(0.0).alias("sum_sq"))
+    heard = heard.select(key, "span", F.floor(F.col("half") / (2 * per_second)).alias("nth"), (F.col("half") % (2 * per_second)).alias("place"), "sum_sq")
+    sums = heard.unionByName(silent).groupBy(key, "span", "nth").agg(*by_place(F.col("place"), 2 * per_second))
+    rows = F.array_sort(F.collect_list(F.struct("nth", F.transform(row(2 * per_second), lambda x: F.coalesce(x, F.lit(0.0))).alias("s"))))
+    held = sums.groupBy(key, "span").agg(F.flatten(F.transform(rows, lambda x: x["s"])).alias("h")).select(key, "span.*", "h")
+    two = lambda g: lambda w: (F.get("h", (w * 2 + g).cast("int")) + F.get("h", (w * 2 + g + 1).cast("int"))) / BLOCK
+    return held.select(key, "start", "end", "label", *(F.transform(F.sequence(F.lit(0).cast("long"), windows[g] - 1), two(g)).alias(f"e{g}") for g in (0, 1)))
 
 
 def chunks(tiles_: DataFrame, spans: DataFrame, key: str) -> DataFrame:

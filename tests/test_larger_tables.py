@@ -3,9 +3,11 @@
 import datetime
 
 import duckdb
+import numpy as np
 
 from scribelake.operators import signal
 from scribelake.plans.queries import ORACLES, QUERIES
+from tests.test_signal import plain_chunks
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -60,3 +62,19 @@ def test_turns_as_close_as_the_last_bits_tell(spark, tmp_path):
             rows += [(i, 1000 * n + gap, kind, 2.0 + gap) for i, kind in zip(ids, ("click", "view", "error"), strict=True)]
     got = same_as_sql(spark, events(spark, tmp_path, rows), "j5_nearest_turn")
     assert len(got) == len(rows) / 3 > 2000 and {r[2] for r in got} == {1, 3}
+
+
+def test_blocks_not_tiles_meet_spans(spark):
+    """A block's tiles are one row before the join, and a second's half windows are one row after it; tiles that aren't there are
+    silent, spans may begin off the grid."""
+    rng = np.random.default_rng(5)
+    sums = rng.integers(1, 10**6, 9_000).astype(float) * 160
+    gone = set(rng.choice(9_000, 900, replace=False).tolist()) | set(range(4_000, 4_050))
+    sums[sorted(gone)] = 0
+    tiles = spark.createDataFrame([(1, t, float(sums[t])) for t in range(9_000) if t not in gone], "k int, tile_idx long, sum_sq double")
+    spans = [(0, 800_000, 1), (801_120, 1_439_999, 2)]
+    got = signal.chunks(tiles, spark.createDataFrame([(1, *s) for s in spans], "k int, start long, end long, label int"), "k")
+    want = [(a, b) for start, end, _ in spans for a, b in plain_chunks(sums, start, end)]
+    assert sorted((r["start"], r["end"]) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Join Inner") : plan.index("LogicalRDD")]

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
+from copy import copy
+from functools import cached_property, lru_cache
 from heapq import heappop, heappush
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ from scribelake.llm.common import add_columns, utf8
 
 #: Ranks of one bitmap word.
 WORD_SIZE = 256
-#: Remembered pre-tokens of one Python worker: two generations of at most so many, of at most so many characters each.
+#: Remembered pre-tokens of one task: two generations of at most so many, of at most so many characters each.
 MEMO, MEMO_LENGTH = 750_000, 48
 
 
@@ -117,11 +118,26 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
+class TaskVocabulary:
+    """What functions for tasks hold: the worker's vocabulary, with remembered pre-tokens that go with the task. Workers stay for
+    other work, in which they would hold them for nothing."""
+
+    def __init__(self, path: str, pattern: str) -> None:
+        self.named = path, pattern
+
+    @cached_property
+    def own(self) -> Vocabulary:
+        own = copy(vocabulary(*self.named))
+        own.new, own.old = {}, {}
+        return own
+
+
 def encode_column(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with the ids of each whole text; a null or empty text has none."""
+    task = TaskVocabulary(path, pattern)
 
     def make(cols: dict[str, pa.Array]) -> list[pa.Array]:
-        encode = vocabulary(path, pattern).encode
+        encode = task.own.encode
         return [pa.array([encode(t or "") for t in cols[text_col].to_pylist()], pa.list_(pa.int32()))]
 
     return add_columns(docs, T.StructType([T.StructField(out, T.ArrayType(T.IntegerType()))]), make, [text_col])
@@ -144,9 +160,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_i
     text is encoded whole, in memory in proportion to it. Ids may be null or repeat; each row is on its own. An empty table gives an empty result; extra columns are ignored.
     """
     fields = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    task = TaskVocabulary(path, pattern)
 
     def make(cols: dict[str, pa.Array]) -> list[pa.Array]:
-        own, counts, ids_sha, text_sha = vocabulary(path, pattern), [], [], []
+        own, counts, ids_sha, text_sha = task.own, [], [], []
         for text in cols["text"].to_pylist():
             ids = own.encode(text or "")
             counts.append(len(ids))

@@ -23,8 +23,12 @@ RUN = 1 << 16
 
 
 def _settled(table: DataFrame, few: bool) -> DataFrame:
-    """A table of a row per source, computed now: few rows are kept in the plan, more are written down."""
-    return table.sparkSession.createDataFrame(table.collect(), table.schema) if few else durable(table)
+    """A table of a row per source, computed now: few rows are kept in the plan, more are written down.
+
+    Few rows come back by Arrow: Python rows would be read by Python workers of another kind than those of the Arrow
+    functions, which every executor would start and keep beside those.
+    """
+    return table.sparkSession.createDataFrame(table.toArrow(), table.schema) if few else durable(table)
 
 
 def _before(rows: DataFrame, key: Column, sums: dict[str, Column], few: bool) -> DataFrame:

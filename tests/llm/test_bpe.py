@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -53,3 +54,22 @@ def test_columns(spark):
     back = bpe.decode_column(bpe.encode_column(docs, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN)
     assert set(back.columns) == {*docs.columns, "ids", "decoded"} and all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in back.collect())
     assert bpe.round_trip(spark.createDataFrame([], SCHEMA), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_workers_keep_no_pieces_after_a_task(spark):
+    """Only what a task remembers may hold its pieces: workers are used again, and their memory counts while other stages run."""
+
+    def holding(batches):
+        import gc
+
+        from scribelake.llm.bpe import Vocabulary
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(len(o.new) + len(o.old) for o in gc.get_objects() if isinstance(o, Vocabulary))]})
+
+    rows = [(i, "Zyxwq77piece and Zyxwq77piece") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    pattern = r"[^ ]+"
+    assert {r["n_tokens"] for r in bpe.round_trip(docs, PATH, pattern).collect()} == {2 * len(VOCABULARY.merge(b"Zyxwq77piece")) + len(VOCABULARY.merge(b"and"))}
+    bpe.encode_column(docs, PATH, pattern).select("ids").collect()
+    assert sum(r["n"] for r in spark.range(0, 40, 1, 8).mapInArrow(holding, "n long").collect()) == 0

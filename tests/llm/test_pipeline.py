@@ -87,3 +87,14 @@ def test_a_run_leaves_nothing_in_the_shared_folder(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert not [n for n in os.listdir(shared_folder(spark).removeprefix("file:")) if n.startswith("pipeline-")]
     assert out.count() > 0
+
+
+def test_mixing_starts_no_python_workers(spark):
+    """Its plan of a few sources stays in the JVM; from Python rows, executors would start workers besides those of the Arrow functions."""
+    from scribelake.llm import mixing
+
+    few = spark.sql("select * from values ('a', 1.5D, 3L, 0.1D + 0.2D), (null, null, 2L, double('nan')) as t(source, target, source_size, level)")
+    got = mixing._settled(few, True)
+    assert got.schema == few.schema and sorted(map(repr, got.collect())) == sorted(map(repr, few.collect()))
+    assert mixing._settled(few.limit(0), True).collect() == []
+    assert all("LogicalRDD" not in (plan := t._jdf.queryExecution().analyzed().toString()) and "ExistingRDD" not in plan for t in (got, mixing._settled(few.limit(0), True)))

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+from heapq import heappop
 
 import public_tokenizers
 import pyarrow as pa
@@ -47,6 +48,54 @@ def test_memory_of_pieces_is_bounded(monkeypatch):
     assert all(own.encode(t) == PUBLIC.encode_ordinary(t) for t in texts) and len(own.new) <= 50 and len(own.old) <= 50
 
 
+def nonsense(n, alphabet="abcdefghijklmnoprstuvwyzéü", seed=5):
+    draw = random.Random(seed)
+    return [("".join(draw.choices(alphabet, k=draw.randint(1, 14)))) for _ in range(n)]
+
+
+def test_new_pieces_are_merged_by_whole_buckets(monkeypatch):
+    """Words that no vocabulary has cost most of the time; their places aren't taken from the queue one at a time."""
+    taken = []
+    monkeypatch.setattr(bpe, "heappop", lambda bucket: taken.append(1) or heappop(bucket))
+    text = " ".join(nonsense(4_000))
+    assert bpe.Vocabulary(PATH, public_tokenizers.PATTERN).encode(text) == PUBLIC.encode_ordinary(text)
+    assert len(taken) < len(text) // 100
+
+
+@pytest.mark.parametrize("queue", [1, 300, 1 << 20])
+def test_queues_of_many_pieces(monkeypatch, queue):
+    monkeypatch.setattr(bpe, "LEAST_QUEUE", 0)
+    monkeypatch.setattr(bpe, "QUEUE", queue)
+    pieces = [*nonsense(300), *nonsense(100, "a"), *nonsense(100, "=\0 -"), "", "the", "é" * 700, "ab" * 600 + "a", "\0", ""]
+    assert list(VOCABULARY.merge_all(p.encode() for p in pieces)) == [VOCABULARY.merge(p.encode()) for p in pieces]
+    assert all(list(VOCABULARY.merge(p.encode())) == PUBLIC.encode_ordinary(p) for p in pieces if len(VOCABULARY.find(p)) == 1)
+    assert list(VOCABULARY.merge_all([])) == []
+
+
+def test_queues_with_merges_out_of_order(monkeypatch):
+    monkeypatch.setattr(bpe, "LEAST_QUEUE", 0)
+    for seed in range(40):
+        tokens = sorted({t.encode() for t in nonsense(20, "abc", seed) if 1 < len(t) < 7} | {b"ab", b"bc", b"aa"})
+        random.Random(seed).shuffle(tokens)
+        own = bpe.Vocabulary.__new__(bpe.Vocabulary)
+        own.ranks = {t: i for i, t in enumerate([*tokens, *(bytes([i]) for i in range(256))])}
+        pieces = nonsense(60, "abc", seed + 100)
+        public = tiktoken.Encoding("odd", pat_str=r"\w+", mergeable_ranks=own.ranks, special_tokens={})
+        assert list(map(list, own.merge_all(p.encode() for p in pieces))) == [public.encode_ordinary(p) for p in pieces]
+        del own.pairs, own.ranks[b"z"]  # a byte that is no token
+        assert list(map(list, own.merge_all(p.encode() for p in pieces))) == [public.encode_ordinary(p) for p in pieces]
+
+
+def test_texts_by_groups(monkeypatch):
+    """Of several groups, with remembered pieces from any of them, texts longer than a group and none."""
+    monkeypatch.setattr(bpe, "TEXTS", 500)
+    monkeypatch.setattr(bpe, "MEMO", 70)
+    own = bpe.Vocabulary(PATH, public_tokenizers.PATTERN)
+    texts = [" ".join(nonsense(i % 60, seed=i % 17)) for i in range(150)] + ["", "x" * 3_000, " ".join(nonsense(2_000)), ""]
+    assert list(own.encode_all(iter(texts))) == [PUBLIC.encode_ordinary(t) for t in texts]
+    assert list(own.encode_all([])) == [] and len(own.new) <= 70 and len(own.old) <= 70
+
+
 def test_columns(spark):
     docs = documents(spark)
     want = sorted((str(r[0]), len(ids := PUBLIC.encode_ordinary(r[1] or "")), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in awkward())
